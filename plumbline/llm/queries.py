@@ -7,8 +7,10 @@ import hashlib
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import sentencepiece
+from plumbline.llm import html, langid, mixing, sentencepiece, warc
+from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
 QUERIES: dict = {}
@@ -36,3 +38,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [pa.array([len(row) for row in ids], pa.int64()), pa.array(map(sha, joined), pa.string()), pa.array([sha(t.encode()) for t in decoded], pa.string())]
 
     return sentencepiece.encode(table(spark, sf_dir, "documents"), model, "doc_id", derive=digests, schema="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    delete_at_exit(spark, path)
+    records = warc.read(spark, path, payloads=False).filter("gap is null")
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = settled(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size")))
+    return mixing.mix(sizes, "doc_id", "source", "size").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out("doc_id", 4, 2)
+    model = langid.fit(docs.filter(~out), "doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
