@@ -79,7 +79,7 @@ def shard_ends(quotas: DataFrame, shards: int, block: int, seed: int) -> DataFra
         nodes = split.select("sources", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("half").alias("left")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("left", "half", lambda a, b: a - b).alias("left")))).alias("n")).select("n.node", "sources", "n.left")
     rows = nodes.select("node", F.explode(F.arrays_zip("sources", "left")).alias("x")).select("node", F.col("x.sources").alias("source"), F.col("x.left").alias("blocks"))
     ends = rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "blocks"))), lambda x: x["blocks"]).alias("b"))
-    running = F.aggregate("b", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x * block)))
+    running = F.aggregate("b", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x * block)))
     return ends.select("source", running.alias("ends"))
 
 
@@ -100,13 +100,13 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: tuple[float, .
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     ends = shard_ends(targets, shards, block, seed).select(named.alias("e"), "ends")
     targets = targets.select(named.alias("t"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), "quota").join(ends, F.col("t") == F.col("e"))
-    placed = ranges.select("s", "r", "before").join(targets, F.col("s") == F.col("t"))
+    placed = ranges.select("s", "r", "before").join(targets, F.col("s") == F.col("t")).select(F.col("s").alias("__ps"), F.col("r").alias("__pr"), F.col("before").alias("__before"), "__total", "__target", F.col("quota").alias("__quota"), F.col("ends").alias("__ends"))
     inside = Window.partitionBy("__s", "__r").orderBy(F.expr("shiftrightunsigned(__h, 1)"), "__h", F.col(key), "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__at", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    rows = rows.join(placed, (F.col("__s") == F.col("s")) & (F.col("__r") == F.col("r"))).withColumn("__at", F.col("__at") + F.col("before"))
-    taken = "least(greatest(quota - __at - j * __total, 0), __size)"
+    rows = rows.join(placed, (F.col("__s") == F.col("__ps")) & (F.col("__r") == F.col("__pr"))).withColumn("__at", F.col("__at") + F.col("__before"))
+    taken = "least(greatest(__quota - __at - j * __total, 0), __size)"
     copies = F.expr(f"""filter(transform(sequence(0L, cast(ceil({float(most)}D) as bigint) - 1), j -> named_struct(
-        'shard', least(size(filter(ends, x -> x <= __at + j * __total)), {shards - 1}), 'size', {taken}, 'shuffle_key', xxhash64({seed + 1}, __h, j))), c -> c.size > 0)""")
+        'shard', least(size(filter(__ends, x -> x <= __at + j * __total)), {shards - 1}), 'size', {taken}, 'shuffle_key', xxhash64({seed + 1}, __h, j))), c -> c.size > 0)""")
     out = rows.withColumn("__copies", copies)
     columns = [F.col(c) for c in df.columns if c not in OUTPUTS or c in (key, source, size)]
     return out.select(*columns, F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.expr("aggregate(__copies, 0L, (t, c) -> t + c.size)").alias("taken"), F.col("__copies").alias("copies"))

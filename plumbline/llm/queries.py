@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, langid, mixing, sentencepiece, warc
+from plumbline.llm import html, langid, minhash, mixing, sentencepiece, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
@@ -68,3 +68,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~out), "doc_id", "text", "lang")
     found = langid.predict(docs.select("doc_id", "text", out.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=2, similarity=0.8)
