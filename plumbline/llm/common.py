@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +35,8 @@ def settled(df: DataFrame, **options: str) -> DataFrame:
     path = scratch_dir(spark)
     df.write.options(**options).parquet(path)
     delete_at_exit(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()  # the cleaner drops shuffle files of finished plans only when their handles are collected
     return spark.read.schema(df.schema).parquet(path)
 
 
