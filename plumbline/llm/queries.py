@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import gridjoin, html, langid, lm, minhash, mixing, sentencepiece, substrings, warc
+from plumbline.llm import ann, gridjoin, html, langid, lm, minhash, mixing, sentencepiece, substrings, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
@@ -89,3 +89,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridjoin.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", least=0.93)
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", most=20)
