@@ -1 +1 @@
-
+"""Evaluation operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Views, configuration, workflows, and the registered queries."""
