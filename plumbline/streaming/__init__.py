@@ -1 +1 @@
-
+"""Streams: incoming rows are scored against a fitted reference."""
