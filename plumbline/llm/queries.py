@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, gridjoin, html, langid, lm, minhash, mixing, sentencepiece, substrings, warc
+from plumbline.llm import ann, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = dict(oracles.ORACLES)
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
