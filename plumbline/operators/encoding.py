@@ -171,3 +171,16 @@ def propagate(unit: DataFrame, instance: DataFrame, key: str, factors: list[str]
     up = unit.select(key, *(F.col(c).alias(f"unit_{c}" if c in both else c) for c in factors))
     down = instance.select(*(F.col(c).alias(f"instance_{c}" if c in both else c) for c in instance.columns))
     return down.join(up, key, "left")
+
+
+def descriptor(policy: Policy) -> str:
+    """The policy as JSON: sorted keys, two spaces, infinities as text."""
+    edge = lambda v: v if math.isfinite(v) else ("inf" if v > 0 else "-inf")
+    shown = {f: {"kind": "bins", "edges": [edge(v) for v in e.edges], "names": e.names(), "provenance": e.provenance, "method": e.method} if isinstance(e, Bins) else {"kind": "levels", "levels": list(e.levels), "provenance": e.provenance} for f, e in policy.encodings.items()}
+    return json.dumps({"descriptor_version": 1, "encoding_digest": policy.digest(), "factor_source": policy.factor_source, "auto_bin_method": policy.auto_bin_method, "excluded": sorted(policy.exclude), "factors": shown}, indent=2, sort_keys=True, allow_nan=False)
+
+
+def from_descriptor(text: str) -> Policy:
+    raw = json.loads(text)
+    made = {f: Bins(tuple(float(v) for v in e["edges"]), e["provenance"], e.get("method")) if e["kind"] == "bins" else Levels(tuple(e["levels"]), e["provenance"]) for f, e in raw["factors"].items()}
+    return Policy(made, tuple(raw["excluded"]), False, raw["auto_bin_method"], raw["factor_source"])

@@ -260,3 +260,22 @@ def mst_divergence(a: DataFrame, b: DataFrame, key: str, vector: str, most: int
         crossing += side[at] != side[parent[at]]
     m, n = int((side == 0).sum()), int((side == 1).sum())
     return max(0.0, 1 - crossing * (m + n) / (2 * m * n))
+
+
+def kmeans_scores(pool: DataFrame, reference: DataFrame, key: str, vector: str, clusters: int, method: str = "kmeans_distance", seed: int = 1) -> DataFrame:
+    """``key, score`` of the pool by clusters of the reference. kmeans_distance: distance to the nearest centre;
+    kmeans_complexity: that, over the mean distance of the centre's own members."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = lambda df: df.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("x")).withColumn("features", array_to_vector("x"))
+    model = KMeans(k=clusters, seed=seed).fit(ready(reference))
+    centres = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in model.clusterCenters()))
+    d = F.sqrt(F.aggregate(F.zip_with("x", centres[F.col("prediction")], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))
+    scored = model.transform(ready(pool)).select(key, "prediction", d.alias("score"))
+    if method == "kmeans_distance":
+        return scored.select(key, "score")
+    if method != "kmeans_complexity":
+        raise ValueError(f"unknown method {method!r}")
+    usual = model.transform(ready(reference)).select("prediction", d.alias("d")).groupBy("prediction").agg(F.avg("d").alias("usual"))
+    return scored.join(F.broadcast(usual), "prediction", "left").select(key, (F.col("score") / F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1e-12))).alias("score"))

@@ -201,3 +201,15 @@ def factor_predictors(df: DataFrame, flag: str, factors: list[str], bins: int =
     coded = df.select(F.col(flag).cast("string").alias("flag"), *(uniform_count(df, f, bins).code(F.col(f)).alias(f) for f in factors))
     out = mutual_information(pair_tables(coded, [("flag", f) for f in factors]))
     return out.select(F.col("y_name").alias("factor"), F.round(F.col("mi") / math.log(2), 4).alias("mi_bits"))
+
+
+def ood_domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: str, folds: int = 5, repeats: int = 5, n_std: float = 2.0) -> DataFrame:
+    """``key, score, threshold, is_ood``: mean out-of-fold probability of being test over repeated folds, against mean +
+    n_std * std of the reference's own."""
+    rounds = None
+    for seed in range(1, repeats + 1):
+        part = domain_classifier(reference, test, key, vector, folds, seed=seed)[2]
+        rounds = part if rounds is None else rounds.union(part)
+    mean = rounds.groupBy(key, "label").agg(F.avg("probability").alias("score"))
+    limit = mean.filter("label = 0").agg((F.avg("score") + n_std * F.stddev_pop("score")).alias("threshold"))
+    return mean.filter("label = 1").crossJoin(F.broadcast(limit)).select(key, "score", "threshold", (F.col("score") > F.col("threshold")).alias("is_ood"))

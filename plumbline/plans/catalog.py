@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import shuffled
-from plumbline.operators import encoding, labels, neighbors, ontology, quality, shift, splitting
+from plumbline.operators import duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import views
 from plumbline.session import table
 
@@ -561,3 +561,40 @@ def factor_predictors(spark, sf_dir):
 @register("SELECT doc_id, md5('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents")
 def shuffle_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shuffled("doc_id", 1).alias("h"))
+
+
+SIGNATURES = "s AS (SELECT doc_id, sha256(lower(text)) AS folded, sha256(substr(text, 1, 200)) AS opening FROM documents WHERE text IS NOT NULL)"
+
+
+def _signature_edges(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    signed = docs.select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("folded"), F.sha2(F.substring("text", 1, 200).cast("binary"), 256).alias("opening"))
+    return duplicates.signature_edges(signed, "doc_id", {"folded": "folded", "opening": "opening"})
+
+
+@register(f"""WITH RECURSIVE {SIGNATURES}, e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON (a.folded = b.folded OR a.opening = b.opening) AND a.doc_id <> b.doc_id),
+r(node, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y) SELECT node AS key, min(root) AS group_id FROM r GROUP BY 1""")
+def near_duplicates_merged(spark, sf_dir):
+    return duplicates.merged_groups(_signature_edges(spark, sf_dir))
+
+
+@register(f"""WITH {KNN}, m AS (SELECT quantile_cont(dist, 0.5) AS scale FROM k WHERE rank = 1) SELECT vec_id AS a, neighbor AS b, 'cluster' AS method FROM k, m WHERE rank <= 5 AND dist < 0.9 * scale""")
+def cluster_duplicate_edges(spark, sf_dir):
+    return duplicates.short_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+@register()
+def ood_domain_classifier(spark, sf_dir):
+    return shift.ood_domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding", folds=2, repeats=1)
+
+
+@register()
+def prioritize_kmeans(spark, sf_dir):
+    reference, test = _populations(spark, sf_dir)
+    return neighbors.prioritize(neighbors.kmeans_scores(test, reference, "vec_id", "embedding", 10, "kmeans_complexity"), "vec_id")
+
+
+@register(f"""WITH {POOL} SELECT CAST(dim AS BIGINT) AS dim, round((sum(r * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / m * (cr - (r - 1) / 2.0), 2) / ((cr - (r - 1) / 2.0) / (m + 1) * (1 - (cr - (r - 1) / 2.0) / (m + 1)) * n * (m + n) / m)) / max(m)
+ + sum(t * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / n * (ct - (t - 1) / 2.0), 2) / ((ct - (t - 1) / 2.0) / (n + 1) * (1 - (ct - (t - 1) / 2.0) / (n + 1)) * m * (m + n) / n)) / max(n)) / 2, 6) AS statistic FROM p GROUP BY 1""")
+def drift_bws(spark, sf_dir):
+    return _test(spark, sf_dir, "bws")

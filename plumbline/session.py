@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,8 @@ def local_session(app: str = "plumbline", cpus: str | int = "*", partitions: int
         .config("spark.driver.memory", os.environ.get("PLUMBLINE_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
     )
+    if "spark.checkpoint.dir" not in conf:  # a cluster names a shared one; this session is local
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
