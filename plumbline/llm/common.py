@@ -10,14 +10,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker.
 SLICE_BYTES = 1 << 20
-#: Words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,11 +32,17 @@ def settled(df: DataFrame, **options: str) -> DataFrame:
     path = scratch_dir(spark)
     df.write.options(**options).parquet(path)
     delete_at_exit(spark, path)
-    gc.collect()
-    spark._jvm.System.gc()  # the cleaner drops shuffle files of finished plans only when their handles are collected
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished plans: it does so when their handles are collected. """
+    gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark._jvm.System.gc()
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,19 +60,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE
                 yield batch.slice(lo, hi - lo)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-HASHES = WordHashes()
-
-
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8; bytes.split() splits at just those six characters and
     bytes.lower() lowers A-Z alone."""
@@ -77,10 +67,6 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finalizer of MurmurHash3)."""
     x = x ^ (x >> np.uint64(33))
@@ -90,22 +76,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0xD1342543DE82EF95
+        size = 1 << max(12, n.bit_length())
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One hash for each run of ``n`` consecutive words; none if there are fewer."""
+    """One hash for each run of ``n`` consecutive words; none if there are fewer. A polynomial modulo 2**64 by prefix
+    sums, scrambled."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m] + np.uint64(k + 1))
-    return out
+    up, down = _powers(len(hashes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(mix64(hashes) * up[: len(hashes)], dtype=np.uint64))
+    return mix64((sums[n:] - sums[:m]) * down[:m])
+
+
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+BYTE_VALUES = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Texts are hashed in pieces of about so many bytes, cut between words.
+PIECE_BYTES = 1 << 20
+
+
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of a text (those of ``words_of``), by prefix sums over its bytes."""
+    raw = (text or "").encode()
+    raw = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+    if len(raw) <= PIECE_BYTES:
+        return _piece_hashes(raw)
+    space = np.append(np.flatnonzero(SPACES[raw]), len(raw))
+    cuts = np.unique(space[np.minimum(np.searchsorted(space, np.arange(PIECE_BYTES, len(raw), PIECE_BYTES)), len(space) - 1)])
+    return np.concatenate([_piece_hashes(x) for x in np.split(raw, cuts)])
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles; fewer words count whole as one; no words, none."""
-    if not words:
+def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+    if not len(raw):
         return np.empty(0, np.uint64)
-    return np.unique(rolled(hashes_of(words), min(n, len(words))))
+    space = SPACES[raw]
+    edges = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1], [not space[-1]]]))
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = _powers(len(raw) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64))
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``n``-word shingles of a lower-cased text; fewer words count whole as one; no words,
+    none."""
+    hashes = word_hashes(text, lower=True)
+    return np.unique(rolled(hashes, min(n, len(hashes)))) if len(hashes) else np.empty(0, np.uint64)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

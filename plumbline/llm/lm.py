@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hashes_of, mix64, settled, slices, text_bytes, words_of
+from plumbline.llm.common import mix64, settled, slices, text_bytes, word_hashes
 
 WEIGHT = 0.2
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -37,7 +37,7 @@ FLUSH_TOKENS = 1_000_000
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words and the end."""
-    return np.append(hashes_of(words_of(text, lower=True)), END)
+    return np.append(word_hashes(text, lower=True), END)
 
 
 def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, settled, shingle_set, slices, words_of
+from plumbline.llm.common import mix64, settled, shingle_set, slices
 from plumbline.llm.graph import components
 
 BINS, ROWS = 128, 4
@@ -69,7 +69,7 @@ def shingle_classes(df: DataFrame, key: str, text: str, words: int) -> DataFrame
         for part in slices(batches):
             n, c, sketches, names = [], [], [], []
             for t in part.column(1).to_pylist():
-                found = shingle_set(words_of(t, lower=True), words)
+                found = shingle_set(t, words)
                 n.append(len(found))
                 minima = signature(found) if len(found) else None
                 c.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
@@ -215,7 +215,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [shingle_set(words_of(t, lower=True), words) for t in part.column(1).to_pylist()]
+            sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
             names = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), *part.columns[2:]], ["c", "found", "shingles", "family", "blocks"])
 

@@ -3,14 +3,14 @@
 1. Of every ``window`` consecutive words the run of ``ANCHOR`` words with the smallest hash is its anchor, so equal
    windows have equal anchors; only anchors that two documents share (a fifth of the positions go in, a partial minimum
    and maximum come out) can belong to a repeated window.
-2. Windows with such an anchor meet by hash, one row for each window and block of documents; a window is confirmed if
-   it starts in two documents. Its first document is the smallest.
-3. Each block gets the confirmed windows that it holds in later documents. Their words, read off the block's own
-   documents, are compiled into Aho-Corasick automata of bounded size, and all documents of the block are streamed
-   through each: every occurrence in a document behind the first is marked, word for word.
+2. Windows with such an anchor meet by ranges of their hashes, packed, one entry for each window and block of documents;
+   a window is confirmed if it starts in two documents. Its first document is the smallest.
+3. Each block gets the confirmed windows that it holds in later documents. Their anchors are compiled, as phrases of
+   words, into Aho-Corasick automata of bounded size, and all documents of the block are streamed through each; around
+   every occurrence the windows are compared with the confirmed ones, and those from a smaller document are marked.
 
-A window that stands in very many documents costs one row a block. Blocks hold about ``BLOCK_CHARS`` of text, automata
-``SHARD_PATTERNS`` windows, so tasks are bounded; nothing is sampled or capped.
+A window that stands in very many documents costs one entry a block. Blocks hold about ``BLOCK_CHARS`` of text, automata
+``SHARD_PHRASES`` phrases, so tasks are bounded; nothing is sampled or capped.
 
 Defined results: null and empty texts have no words; a document with a null key is neither a source nor changed; rows
 with equal keys aren't before each other; a text shorter than the window stays.
@@ -26,15 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.llm.common import hashes_of, rolled, settled, slices, text_bytes, words_of
+from plumbline.llm.common import rolled, settled, slices, text_bytes, word_hashes, words_of
 
 ANCHOR = 5
 BLOCK_CHARS = 8 << 20
-SHARD_PATTERNS = 60_000
-#: Windows gathered before a task hands on their distinct ones.
-FLUSH_WINDOWS = 400_000
+SHARD_PHRASES = 50_000
+#: Windows gathered before a task hands on their distinct ones; characters of text whose windows meet in one range.
+FLUSH_WINDOWS, RANGE_CHARS = 400_000, 32 << 20
+#: A word is written as two letters from these many, the first and the second kind apart, so that no node of an
+#: automaton has more children and no phrase matches across words.
+LETTERS = 1024
 
 
 def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if k is None:
                     continue
-                anchors = np.unique(anchors_of(hashes_of(words_of(t)), window))
+                anchors = np.unique(anchors_of(word_hashes(t), window))
                 keys.append(np.full(len(anchors), k, np.int64))
                 found.append(anchors.view(np.int64))
             if keys:
@@ -74,26 +76,35 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     return anchors.join(recurring, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("shared"))
 
 
-def confirmed_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: int) -> DataFrame:
-    """``block, w, first``: the windows of each block that stand in a document behind the one they first start in."""
+PACKED = "range int, block int, w binary, least binary, several binary"
+
+
+def confirmed_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: int, bits: int) -> DataFrame:
+    """``block, w, first`` (packed): the windows of each block that stand in a document behind the one they first start
+    in."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
+            """One entry for each window and block: its least document, and whether there are several."""
             w, block, k = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((k, block, w))
+            order = np.lexsort((k, w, block))
             w, block, k = w[order], block[order], k[order]
             heads = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (block[1:] != block[:-1])))
-            least, most = k[heads], k[np.append(heads[1:], len(w)) - 1]
-            return pa.RecordBatch.from_arrays([pa.array(w[heads].view(np.int64)), pa.array(block[heads]), pa.array(least), pa.array(most > least)], ["w", "block", "least", "several"])
+            least, several = k[heads], k[np.append(heads[1:], len(w)) - 1] > k[heads]
+            w, block = w[heads], block[heads]
+            part = (w >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
+            cuts = [*np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (block[1:] != block[:-1]))).tolist(), len(w)]
+            rows = [(int(part[a]), int(block[a]), w[a:b].tobytes(), least[a:b].tobytes(), several[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "block", "w", "least", "several"])
 
         for part in slices(batches):
             for k, t, shared, block in zip(*(part.column(i).to_pylist() for i in range(4))):
-                hashes = hashes_of(words_of(t))
-                anchors = anchors_of(hashes, window)
-                w = np.unique(rolled(hashes, window)[np.isin(anchors, np.array(shared, np.int64).view(np.uint64))])
+                hashes = word_hashes(t)
+                w = np.unique(rolled(hashes, window)[np.isin(anchors_of(hashes, window), np.array(shared, np.int64).view(np.uint64))])
                 held.append((w, np.full(len(w), block, np.int32), np.full(len(w), k, np.int64)))
                 size += len(w)
                 if size > FLUSH_WINDOWS:
@@ -102,50 +113,81 @@ def confirmed_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
         if size:
             yield flush()
 
+    def confirm(rows: pa.Table) -> pa.Table:
+        w = [np.frombuffer(x, np.uint64) for x in rows["w"].to_pylist()]
+        least = [np.frombuffer(x, np.int64) for x in rows["least"].to_pylist()]
+        keys, place = np.unique(np.concatenate(w), return_inverse=True)
+        first = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(first, place, np.concatenate(least))
+        out, at = [], 0
+        for block, x, k, several in zip(rows["block"].to_pylist(), w, least, rows["several"].to_pylist()):
+            own = first[place[at : at + len(x)]]
+            at += len(x)
+            later = (k > own) | np.frombuffer(several, bool)
+            if later.any():
+                out.append((block, x[later].tobytes(), own[later].tobytes()))
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.table({"block": pa.array(columns[0], pa.int32()), "w": pa.array(columns[1], pa.binary()), "first": pa.array(columns[2], pa.binary())})
+
     both = docs.repartition(blocks, "k").join(lists.withColumnRenamed("k", "lk").repartition(blocks, "lk"), F.col("k") == F.col("lk"))
-    rows = both.select("k", "t", "shared", "block").mapInArrow(run, "w long, block int, least long, several boolean")
-    # one row for each window, block and flush: a window's rows are as few as the blocks, however often it stands
-    all_of = Window.partitionBy("w")
-    rows = rows.withColumn("first", F.min("least").over(all_of))
-    return rows.filter("least > first or several").select("block", "w", "first").distinct()
+    rows = both.select("k", "t", "shared", "block").mapInArrow(run, PACKED)
+    return rows.groupBy("range").applyInArrow(confirm, "block int, w binary, first binary")
 
 
-def _marks(keys: list, texts: list[list[bytes]], windows: np.ndarray, firsts: np.ndarray, window: int) -> list[np.ndarray]:
+def _marks(keys: list, texts: list[list[bytes]], hashes: list[np.ndarray], windows: np.ndarray, firsts: np.ndarray, window: int) -> list[np.ndarray]:
     """For each document of a block, which words a confirmed window from a smaller key covers."""
     marks = [np.zeros(len(words), bool) for words in texts]
-    order = np.argsort(windows)
-    windows, firsts = windows[order], firsts[order]
-    patterns: dict[tuple[bytes, ...], int] = {}
-
-    def stream() -> None:
-        """Compiles the patterns at hand into an automaton over words, each written as one character, and locates them."""
-        letters = {w: chr(0xE000 + i) for i, w in enumerate(dict.fromkeys(w for p in patterns for w in p))}
-        automaton = ahocorasick.Automaton()
-        for words, first in patterns.items():
-            automaton.add_word("".join(map(letters.__getitem__, words)), first)
-        automaton.make_automaton()
-        for k, words, mark in zip(keys, texts, marks):
-            if k is None or len(words) < window:
-                continue
-            for end, first in automaton.iter("".join([letters.get(w, " ") for w in words])):
-                if first < k:
-                    mark[end - window + 1 : end + 1] = True
-        patterns.clear()
-
     if not len(windows):
         return marks
-    compiled = np.zeros(len(windows), bool)
-    for words in texts:
-        found = rolled(hashes_of(words), window)
-        at = np.minimum(np.searchsorted(windows, found), len(windows) - 1)
-        for i in np.flatnonzero((windows[at] == found) & ~compiled[at]).tolist():
-            if not compiled[at[i]]:
-                compiled[at[i]] = True
-                patterns[tuple(words[i : i + window])] = int(firsts[at[i]])
-                if len(patterns) >= SHARD_PATTERNS:
-                    stream()
-    if patterns:
-        stream()
+    windows, at = np.unique(windows, return_index=True)
+    firsts = firsts[at]
+    size = min(ANCHOR, window)
+    # the documents that hold a confirmed window (only these can be marked), and their confirmed windows' anchors
+    found: list[tuple[np.ndarray, ...]] = []
+    hit: list[int] = []
+    for n, hashed in enumerate(hashes):
+        own = rolled(hashed, window)
+        held = windows[np.minimum(np.searchsorted(windows, own), len(windows) - 1)] == own
+        if not held.any():
+            continue
+        hit.append(n)
+        runs = rolled(hashed, size)
+        at = np.flatnonzero(np.isin(runs, anchors_of(hashed, window)[held]))
+        found.append((runs[at], np.full(len(at), n), at))
+    if not found:
+        return marks
+    runs, doc, at = (np.concatenate(x) for x in zip(*found))
+    _, once = np.unique(runs, return_index=True)
+    doc, at = doc[once].tolist(), at[once].tolist()
+
+    def stream(phrases: list[tuple[bytes, ...]]) -> None:
+        """Compiles phrases into an automaton, locates them in all documents, and checks the windows around each."""
+        names = {w: chr(0x100 + i // LETTERS) + chr(0x10000 + i % LETTERS) for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            automaton.add_word("".join(map(names.__getitem__, p)))
+        automaton.make_automaton()
+        for n in hit:
+            k, words, hashed, mark = keys[n], texts[n], hashes[n], marks[n]
+            if k is None:
+                continue
+            ends = np.array([end for end, _ in automaton.iter("".join([names.get(w, "  ") for w in words]))], np.int64)
+            if not len(ends):
+                continue
+            near = np.zeros(len(words) - window + 1, bool)
+            start = ends // 2 - size + 1
+            for back in range(window - size + 1):
+                s = start - back
+                near[s[(s >= 0) & (s < len(near))]] = True
+            s = np.flatnonzero(near)
+            found = rolled(hashed, window)[s]
+            at = np.minimum(np.searchsorted(windows, found), len(windows) - 1)
+            s = s[(windows[at] == found) & (firsts[at] < k)]
+            for i in range(window):
+                mark[s + i] = True
+
+    for lo in range(0, len(doc), SHARD_PHRASES):
+        stream([tuple(texts[n][i : i + size]) for n, i in zip(doc[lo : lo + SHARD_PHRASES], at[lo : lo + SHARD_PHRASES])])
     return marks
 
 
@@ -155,11 +197,13 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     blocks = block_count(df, text)
     docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("block", F.pmod(F.hash("k"), F.lit(blocks)))
     lists = settled(shared_anchors(docs, window))
-    confirmed = settled(confirmed_windows(docs.filter("k is not null"), lists, window, blocks))
+    bits = max(0, math.ceil(math.log2(max(1, blocks * BLOCK_CHARS / RANGE_CHARS))))
+    confirmed = settled(confirmed_windows(docs.filter("k is not null"), lists, window, blocks, bits))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = left["k"].to_pylist(), [words_of(t) for t in left["t"].to_pylist()]
-        marks = _marks(keys, texts, right["w"].to_numpy().view(np.uint64), right["first"].to_numpy(), window)
+        hashes = [word_hashes(t) for t in left["t"].to_pylist()]
+        marks = _marks(keys, texts, hashes, np.frombuffer(b"".join(right["w"].to_pylist()), np.uint64), np.frombuffer(b"".join(right["first"].to_pylist()), np.int64), window)
         kept = [b" ".join([w for w, m in zip(words, mark.tolist()) if not m]).decode() if mark.any() else b" ".join(words).decode() for words, mark in zip(texts, marks)]
         return pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
 

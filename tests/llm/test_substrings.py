@@ -34,8 +34,9 @@ def test_query_over_the_whole_table(spark, sf_dir):
 
 @pytest.mark.parametrize(("window", "shard"), [(13, 60_000), (4, 60_000), (6, 5), (13, 1)])
 def test_random_texts_as_brute_force(spark, monkeypatch, window, shard):
-    monkeypatch.setattr(substrings, "SHARD_PATTERNS", shard)
+    monkeypatch.setattr(substrings, "SHARD_PHRASES", shard)
     monkeypatch.setattr(substrings, "FLUSH_WINDOWS", 50)
+    monkeypatch.setattr(substrings, "RANGE_CHARS", 1 << 20)
     random.seed(window)
     passages = [[random.choice("abcdefgh漢é") * random.randint(1, 2) for _ in range(40)] for _ in range(6)]
     rows = []
