@@ -32,10 +32,10 @@ from pyspark.sql.window import Window
 from plumbline.llm.common import settled
 from plumbline.llm.vectors import usable
 
-NEIGHBOURS, REVERSE = 28, 20
+NEIGHBOURS, REVERSE = 36, 28
 TABLES, LEAF = 6, 512
-ROUNDS, SETTLED_SHARE = 4, 0.02
-BEAM, FOLLOWED, SEARCH_ROUNDS = 128, 32, 8
+ROUNDS, SETTLED_SHARE = 6, 0.02
+BEAM, FOLLOWED, SEARCH_ROUNDS = 192, 48, 10
 #: Candidates that a node gets from one group.
 OFFERS = 6
 SEED = 11
@@ -261,10 +261,7 @@ def search(queries: DataFrame, rows: DataFrame, lists: DataFrame, most: int) ->
         ids, scores, followed, seen = np.frombuffer(ids, np.int64), np.frombuffer(scores, np.float64), np.frombuffer(followed, bool), np.frombuffer(seen, np.int64)
         if found.num_rows:
             names = found["b"].to_numpy()
-            x = np.zeros((len(names), len(v)))
-            for i, w in enumerate(found["w"].to_pylist()):
-                w = np.array(w, np.float64)[: len(v)]
-                x[i, : len(w)] = w
+            x = np.frombuffer(b"".join(found["w"].to_pylist()), np.float64).reshape(len(names), -1)[:, : len(v)]
             y = (x * np.array(v)).sum(1)
             ids, scores = np.concatenate([ids, names]), np.concatenate([scores, y])
             followed = np.concatenate([followed, np.zeros(len(names), bool)])
@@ -299,7 +296,17 @@ def search(queries: DataFrame, rows: DataFrame, lists: DataFrame, most: int) ->
                 out.append(f.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary()), batch.column(5)], batch.schema.names)
 
-    vectors = rows.select(F.col("node").alias("n"), F.col("v").alias("w"))
+    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors in doubles as bytes, padded to the same width."""
+        for batch in batches:
+            x = np.zeros((batch.num_rows, width))
+            for i, v in enumerate(batch.column(1).to_pylist()):
+                x[i, : len(v)] = v
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["n", "w"])
+
+    vectors = settled(rows.select("node", "v").mapInArrow(pack, "n long, w binary"))
     state = settled(queries.select("node", F.col("v").cast("array<double>").alias("v")).mapInArrow(begin, STATE_SCHEMA))
     for _ in range(SEARCH_ROUNDS):
         fronts = state.mapInArrow(front, "q long, a long")
