@@ -3,8 +3,8 @@
 A text becomes a normalised TF-IDF vector of hashed letter n-grams; each language has several centroids, clustered from
 its training texts; the language of the nearest centroid by cosine wins. A text too far from every centroid is rejected.
 
-Learning reads a bounded sample: ``per_label`` texts of every language, those with the smallest hash of their key (one
-partial top-k, no language is gathered whole). Everything else covers all rows.
+Learning reads a bounded sample: ``per_label`` texts of every language, those with the smallest hash of their key
+(keys are drawn in two levels, only the sample's texts move). Everything else covers all rows.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language
 that sorts first; with nothing to learn from, every text is ``und``. Texts are read whole.
@@ -32,6 +32,8 @@ BLANK = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 #: Rejected below this share of the language's usual (median) training cosine.
 REJECT_SHARE = 0.05
 SEED = 23
+#: Parts that a language's keys are dealt into before the sample is drawn.
+SAMPLE_PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,14 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     """Learns from rows with a label and a letter. ``per_label``: how many texts of each language are read; this bounds
     what the workers and the driver hold, however large the table."""
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("l")).filter("l is not null and t is not null").filter(F.col("t").rlike(r"\p{L}"))
+    # keys first, without texts, and in two levels: the best of each part of a language's keys, then of these
+    keys = rows.select("l", "k", F.xxhash64(F.lit(SEED), "k").alias("h")).distinct()
+    for by in (["l", F.pmod("h", F.lit(SAMPLE_PARTS))], ["l"]):
+        keys = keys.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))).filter(F.col("n") <= per_label).drop("n")
+    chosen = keys.select(F.col("l").alias("kl"), F.col("k").alias("kk"))
     order = Window.partitionBy("l").orderBy(F.xxhash64(F.lit(SEED), "k"), "k", F.xxhash64("t"))
-    sample = settled(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("l", "t"))
+    found = rows.join(F.broadcast(chosen), F.col("l").eqNullSafe(F.col("kl")) & F.col("k").eqNullSafe(F.col("kk")))
+    sample = settled(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("l", "t"))
 
     def presence(part: pd.DataFrame) -> pd.DataFrame:
         seen = sum((counts(t) > 0).astype(np.int64) for t in part["t"])
