@@ -169,7 +169,6 @@ def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples:
 def completeness(df: DataFrame, vector: str) -> float:
     """Effective rank of the vectors over their dimension: exp of the entropy of the covariance's eigenvalues."""
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation  # noqa: F401  (Spark ML's vectors)
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
