@@ -30,9 +30,11 @@ from plumbline.llm.common import mix64, settled, slices, text_bytes, word_hashes
 
 WEIGHT = 0.2
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-BLOCK_CHARS, RANGE_CHARS = 8 << 20, 16 << 20
+BLOCK_CHARS, RANGE_CHARS = 12 << 20, 16 << 20
 #: Tokens counted at once in a task.
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 2_500_000
+#: Bytes that a pair's hash has within its range (words keep all 8): about 1 pair in a million meets another, at any size.
+PAIR_BYTES = 5
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -40,8 +42,36 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(text, lower=True), END)
 
 
-def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
+def pairs(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of pairs: the range's bits and ``PAIR_BYTES`` more."""
+    unused = np.uint64(max(0, 64 - bits - 8 * PAIR_BYTES))
+    return mix64(left * np.uint64(0x9E3779B97F4A7C15) + right) >> unused << unused
+
+
+def packed(keys: np.ndarray, kind: int, bits: int) -> bytes:
+    """Keys of one range as bytes: pairs without the range's bits."""
+    if kind == 0:
+        return keys.tobytes()
+    inner = keys << np.uint64(bits) >> np.uint64(64 - 8 * PAIR_BYTES)
+    return np.ascontiguousarray(inner.view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]).tobytes()
+
+
+def unpacked(raw: bytes, kind: int, bits: int, part: int) -> np.ndarray:
+    if kind == 0:
+        return np.frombuffer(raw, np.uint64)
+    held = np.zeros((len(raw) // PAIR_BYTES, 8), np.uint8)
+    held[:, :PAIR_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PAIR_BYTES)
+    inner = held.reshape(-1).view(np.uint64) << np.uint64(64 - 8 * PAIR_BYTES) >> np.uint64(bits)
+    return inner | (np.uint64(part) << np.uint64(64 - bits) if bits else np.uint64(0))
+
+
+def counts_packed(counts: np.ndarray) -> bytes:
+    """Each count in 4 bytes, or in 8 (with a byte before) if one needs them."""
+    return counts.astype(np.uint32).tobytes() if not len(counts) or counts.max() < 1 << 32 else b"L" + counts.astype(np.int64).tobytes()
+
+
+def counts_unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64, offset=1) if len(raw) % 4 else np.frombuffer(raw, np.uint32).astype(np.int64)
 
 
 def chained(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,11 +95,11 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[heads], np.add.reduceat(counts, heads)
 
 
-def ngrams(found: list[np.ndarray], train: list[bool]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+def ngrams(found: list[np.ndarray], train: list[bool], bits: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
     """Distinct words, and pairs, of some texts with their counts in those that train."""
     flat, before, _ = chained(found)
     used = np.repeat(np.array(train, bool), [len(x) for x in found])
-    return counted(flat, used), counted(pairs(before, flat), used)
+    return counted(flat, used), counted(pairs(before, flat, bits), used)
 
 
 COUNT_SCHEMA = "range int, kind int, block int, keys binary, counts binary"
@@ -85,10 +115,10 @@ def block_counts(docs: DataFrame, bits: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for block, (found, train) in held.items():
                 rows = []
-                for kind, (keys, counts) in enumerate(ngrams(found, train)):
+                for kind, (keys, counts) in enumerate(ngrams(found, train, bits)):
                     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     heads = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(keys)]
-                    rows += [(int(part[a]), kind, block, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(heads, heads[1:])]
+                    rows += [(int(part[a]), kind, block, packed(keys[a:b], kind, bits), counts_packed(counts[a:b])) for a, b in zip(heads, heads[1:])]
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "kind", "block", "keys", "counts"])
 
@@ -107,27 +137,27 @@ def block_counts(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("k", "t", "train", "block").mapInArrow(run, COUNT_SCHEMA)
 
 
-TOTAL_SCHEMA = "block int, kind int, keys binary, totals binary, tokens long, distinct long"
+TOTAL_SCHEMA = "block int, range int, kind int, keys binary, totals binary, tokens long, distinct long"
 
 
-def range_totals(counts: DataFrame) -> DataFrame:
+def range_totals(counts: DataFrame, bits: int) -> DataFrame:
     """For each block, packed totals of the keys whose total isn't what the block counted itself; and a row with the
     block -1 for each range: how many training tokens and distinct ones it has."""
 
     def total(rows: pa.Table) -> pa.Table:
-        kind = rows["kind"][0].as_py()
-        keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
-        own = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"].to_pylist()]
+        kind, part = rows["kind"][0].as_py(), rows["range"][0].as_py()
+        keys = [unpacked(x, kind, bits, part) for x in rows["keys"].to_pylist()]
+        own = [counts_unpacked(x) for x in rows["counts"].to_pylist()]
         known, sums = counted(np.concatenate(keys), np.concatenate(own))
         out = []
         for block, k, c in zip(rows["block"].to_pylist(), keys, own):
             totals = sums[np.searchsorted(known, k)]
             differ = totals != c
             if differ.any():
-                out.append((block, kind, k[differ].tobytes(), totals[differ].tobytes(), 0, 0))
+                out.append((block, part, kind, packed(k[differ], kind, bits), counts_packed(totals[differ]), 0, 0))
         if kind == 0:
-            out.append((-1, 0, b"", b"", int(sums.sum()), int((sums > 0).sum())))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            out.append((-1, part, 0, b"", b"", int(sums.sum()), int((sums > 0).sum())))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in TOTAL_SCHEMA.split(", ")]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
@@ -137,7 +167,7 @@ def range_totals(counts: DataFrame) -> DataFrame:
 class Automaton:
     """The part of the model that a block of texts can reach."""
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, n: int, v: int, starts: int, weight: float):
+    def __init__(self, words: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray, n: int, v: int, starts: int, weight: float, bits: int):
         self.words, self.counts = words, word_counts
         self.root = np.log10((word_counts + 0.5) / (n + 0.5 * (v + 1)))  # arcs of the root
         # a state for each word and the start, -1 is the root; the end is followed by nothing
@@ -145,7 +175,7 @@ class Automaton:
         self.followed = np.append(followed, starts)
         self.state_of = np.where(followed > 0, np.arange(len(words)), -1)
         self.start = len(words) if starts else -1
-        self.pairs, self.pair_counts, self.weight = pair_keys, pair_counts, weight
+        self.pairs, self.pair_counts, self.weight, self.bits = pair_keys, pair_counts, weight, bits
         self.fail = math.log10(1 - weight)
 
     def arcs(self, before: np.ndarray, keys: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -160,7 +190,7 @@ class Automaton:
         """Known tokens, base score and model score of each text."""
         word = np.searchsorted(self.words, flat)
         context = np.where(before == START, len(self.words), np.searchsorted(self.words, before))
-        weights = self.arcs(context, pairs(before, flat), word)
+        weights = self.arcs(context, pairs(before, flat, self.bits), word)
         lengths = np.diff(np.append(starts, len(flat)))
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order], lengths[order]
@@ -185,7 +215,7 @@ def lm_scores(df: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BLOCK_CHARS))
     bits = max(0, math.ceil(math.log2(max(1, chars / RANGE_CHARS))))
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("block", F.pmod(F.hash("k"), F.lit(blocks)))
-    totals = settled(range_totals(block_counts(docs.repartition(blocks, "k"), bits)))
+    totals = settled(range_totals(block_counts(docs.repartition(blocks, "k"), bits), bits))
     n, v = totals.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     starts = docs.filter("train").count()
     kind = dict(df.dtypes)[key]
@@ -193,18 +223,18 @@ def lm_scores(df: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found, trains = [tokens(t) for t in left["t"].to_pylist()], left["train"].to_pylist()
         model = []
-        for which, (keys, counts) in enumerate(ngrams(found, trains)):
-            for other, k, t in zip(right["kind"].to_pylist(), right["keys"].to_pylist(), right["totals"].to_pylist()):
+        for which, (keys, counts) in enumerate(ngrams(found, trains, bits)):
+            for part, other, k, t in zip(*(right[c].to_pylist() for c in ("range", "kind", "keys", "totals"))):
                 if other == which:
-                    counts[np.searchsorted(keys, np.frombuffer(k, np.uint64))] = np.frombuffer(t, np.int64)
+                    counts[np.searchsorted(keys, unpacked(k, which, bits, part))] = counts_unpacked(t)
             model += [keys, counts]
         out = {"k": left["k"], "held_out": pa.array([not x for x in trains], pa.bool_()), "n_tokens": pa.array([len(x) for x in found], pa.int64())}
         if found:
-            known, base, score = Automaton(*model, n, v, starts, weight).scores(*chained(found))
+            known, base, score = Automaton(*model, n, v, starts, weight, bits).scores(*chained(found))
         else:
             known = base = score = np.empty(0)
         out |= {"n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(found), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
         return pa.table(out)
 
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(totals.filter("block >= 0").select("block", "kind", "keys", "totals").groupBy("block")).applyInArrow(run, schema).withColumnRenamed("k", key)
+    return docs.groupBy("block").cogroup(totals.filter("block >= 0").select("block", "range", "kind", "keys", "totals").groupBy("block")).applyInArrow(run, schema).withColumnRenamed("k", key)
