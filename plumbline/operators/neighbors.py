@@ -2,7 +2,8 @@
 
 Both sides are packed into blocks of ``BLOCK`` vectors; every block of queries meets every block of references by block
 number, a product of matrices gives the block's best k, and a partial top-k goes on. No pair is ever a row. The result
-is exact and costs queries times references; for approximate search at scale an index belongs in front.
+is exact and costs queries times references; for approximate search at scale an index belongs in front. Spanning trees
+are exact too, from the trees of every two blocks.
 """
 
 from __future__ import annotations
@@ -241,23 +242,123 @@ def fnn_divergence(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFra
     return crossing.crossJoin(F.broadcast(sizes)).select(F.round(F.greatest(F.lit(0.0), 1 - F.col("crossing") * (F.col("m") + F.col("n")) / (2.0 * F.col("m") * F.col("n"))), 6).alias("divergence"), "crossing")
 
 
-def mst_divergence(a: DataFrame, b: DataFrame, key: str, vector: str, most: int = 20_000) -> float:
-    """The same from a Euclidean minimum spanning tree (Prim on the driver): refused above ``most`` rows."""
-    both = a.select(key, vector, F.lit(0).alias("side")).union(b.select(key, vector, F.lit(1).alias("side")))
-    rows = both.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the spanning tree is for {most} rows at most; use the 1-nearest-neighbour graph")
-    x, side = np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows])
-    near, parent, left = np.full(len(x), np.inf), np.zeros(len(x), int), np.ones(len(x), bool)
-    at, crossing = 0, 0
-    for _ in range(len(x) - 1):
-        left[at] = False
-        d = ((x - x[at]) ** 2).sum(1)
-        better = left & (d < near)
-        near[better], parent[better] = d[better], at
-        at = int(np.argmin(np.where(left, near, np.inf)))
-        crossing += side[at] != side[parent[at]]
-    m, n = int((side == 0).sum()), int((side == 1).sum())
+def meetings(blocks: DataFrame, n: int) -> DataFrame:
+    """Every two of ``n`` blocks once, as the columns of one and those of the other with ``2`` appended; a block meets
+    itself. Each block goes half the way round, so that all take part in about as many."""
+    steps = F.sequence(F.lit(0), F.lit(n // 2))
+    other = blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns))
+    dealt = blocks.withColumn("step", F.explode(steps)).filter((F.col("step") * 2 < n) | (F.col("b") * 2 < n))
+    return dealt.withColumn("b2", F.pmod(F.col("b") + F.col("step"), F.lit(n)).cast("int")).drop("step").join(other, "b2")
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x @ y.T
+    d *= -2
+    d += (x * x).sum(1)[:, None]
+    d += (y * y).sum(1)[None, :]
+    return np.maximum(d, 0, out=d)
+
+
+def _tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a minimum spanning tree (Prim) of a matrix of distances, which is overwritten."""
+    n = len(d)
+    near, parent, done = d[0].copy(), np.zeros(n, np.int64), np.zeros(n, bool)
+    done[0], near[0] = True, np.inf
+    ends = np.zeros(n - 1, np.int64)
+    for step in range(n - 1):
+        at = int(near.argmin())
+        ends[step], done[at] = at, True
+        row = d[at]
+        row[done] = np.inf
+        near[at] = np.inf
+        better = row < near
+        near[better], parent[better] = row[better], at
+    return parent[ends], ends
+
+
+#: Edges that the driver holds at once to end a spanning tree; more are contracted by Spark first.
+DRIVER_EDGES = 500_000
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One Boruvka round: the least edge of every component, and the edges left between the components joined by them.
+    edges: a, b (components), d, ka, kb."""
+    e = F.struct("d", "ka", "kb", "a", "b")
+    least = edges.select(F.col("a").alias("c"), e.alias("e")).union(edges.select(F.col("b").alias("c"), e.alias("e"))).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*").checkpoint()
+    other = F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    to = least.select("c", other.alias("p"), "ka", "kb")
+    back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+    # edges are in a strict order, so that cycles are of two: the smaller of both is the root
+    parents = to.join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")).checkpoint()
+    while True:
+        jumped = parents.join(parents.select(F.col("c").alias("p"), F.col("p").alias("g")), "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")).checkpoint()
+        parents = jumped.select("c", "p")
+        if jumped.filter("moved").isEmpty():
+            break
+    roots = lambda end: parents.select(F.col("c").alias(end), F.col("p").alias(f"{end}r"))
+    moved = edges.join(roots("a"), "a").join(roots("b"), "b").filter("ar <> br")
+    left = moved.groupBy(F.least("ar", "br").alias("a"), F.greatest("ar", "br").alias("b")).agg(F.min(F.struct("d", "ka", "kb")).alias("e")).select("a", "b", "e.*").checkpoint()
+    return least.select("ka", "kb").distinct(), left
+
+
+def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """``a, b``: a Euclidean minimum spanning tree of any number of vectors; keys are unique, a < b.
+
+    Equal vectors hang on the smallest key among them. Every two blocks of the distinct vectors give the minimum spanning
+    tree of both; an edge that is in none of these closes a cycle of shorter ones, so the tree is among theirs. Boruvka
+    rounds contract these edges until the driver can take the rest.
+    """
+    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(F.col(vector).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("x")).checkpoint()
+    firsts = rows.groupBy("x").agg(F.min("k").alias("k")).checkpoint()
+    copies = rows.join(firsts.select("x", F.col("k").alias("a")), "x").filter("k <> a").select("a", F.col("k").alias("b"))
+    blocks, n = _blocks(firsts, "k", "x", block)
+
+    def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, k, x, k2, x2 in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                k, x = np.frombuffer(k, np.int64), np.frombuffer(x, np.float64)
+                x = x.reshape(len(k), -1)
+                if i != j:
+                    k2 = np.frombuffer(k2, np.int64)
+                    k, x = np.concatenate([k, k2]), np.concatenate([x, np.frombuffer(x2, np.float64).reshape(len(k2), -1)])
+                if len(k) > 1:
+                    a, b = _tree(squared_distances(x, x))
+                    d = ((x[a] - x[b]) ** 2).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b])), pa.array(d)], ["a", "b", "d"])
+
+    met = meetings(blocks, n).filter((F.col("b") != F.col("b2")) | F.lit(n == 1))
+    edges = met.select("b", "b2", "k", "x", "k2", "x2").mapInArrow(trees, "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ka"), F.col("b").alias("kb")).checkpoint()
+    tree = copies
+    while edges.count() > DRIVER_EDGES:
+        chosen, edges = _contracted(edges)
+        tree = tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    rest = edges.toArrow()
+    a, b, d, ka, kb = (rest[c].to_numpy() for c in ("a", "b", "d", "ka", "kb"))
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, order = list(range(len(names))), np.lexsort((kb, ka, d))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    used = []
+    for at, u, v in zip(order.tolist(), ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()):
+        u, v = find(u), find(v)
+        if u != v:
+            root[v] = u
+            used.append(at)
+    last = pa.table({"a": pa.array(ka[used], pa.int64()), "b": pa.array(kb[used], pa.int64())})
+    return tree.union(df.sparkSession.createDataFrame(last))
+
+
+def mst_divergence(a: DataFrame, b: DataFrame, key: str, vector: str, block: int = BLOCK) -> float:
+    """The same from a Euclidean minimum spanning tree of all rows."""
+    both = a.select(key, vector, F.lit(0).alias("side")).union(b.select(key, vector, F.lit(1).alias("side"))).filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    side = both.select(F.col(key).cast("long").alias("a"), F.col("side").alias("sa"))
+    edges = spanning_tree(both, key, vector, block).join(side, "a").join(side.toDF("b", "sb"), "b")
+    crossing = edges.filter("sa <> sb").count()
+    n, m = both.agg(F.sum("side"), F.count("*") - F.sum("side")).first()
     return max(0.0, 1 - crossing * (m + n) / (2 * m * n))
 
 

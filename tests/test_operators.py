@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import views
@@ -130,6 +131,34 @@ def test_mmd_and_tree_divergence(spark):
     assert neighbors.mst_divergence(side(0, 0), side(9, 100), "k", "x") > 0.9 > 0.5 > neighbors.mst_divergence(side(0, 0), side(0, 100), "k", "x")
 
 
+def prim(x):
+    """Edges of a minimum spanning tree by brute force."""
+    left, out = set(range(1, len(x))), []
+    while left:
+        inside = [i for i in range(len(x)) if i not in left]
+        d = ((x[inside][:, None] - x[sorted(left)][None]) ** 2).sum(2)
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        out.append((inside[i], sorted(left)[j]))
+        left.remove(out[-1][1])
+    return out
+
+
+@pytest.mark.parametrize("most", [500_000, 60])
+def test_spanning_tree_in_many_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(neighbors, "DRIVER_EDGES", most)
+    x = np.random.default_rng(4).normal(size=(120, 3))
+    x[100:] = x[7]  # copies of one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "k long, x array<double>")
+    found = {(r.a, r.b) for r in neighbors.spanning_tree(df, "k", "x", block=20).collect()}
+    distinct = {(min(e), max(e)) for e in prim(x[:100])}
+    assert found == distinct | {(7, i) for i in range(100, 120)}
+
+
+def test_tree_divergence_above_the_former_cap(spark):
+    side = lambda start: spark.range(start, start + 10_500).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("x"))
+    assert neighbors.mst_divergence(side(0), side(10_500), "k", "x") == pytest.approx(1 - 1 * 21_000 / (2 * 10_500**2))
+
+
 def test_chunks(spark):
     df = spark.range(23).withColumnRenamed("id", "k")
     size = lambda **o: sorted(r["count"] for r in shift.chunks(df, "k", **o).groupBy("chunk").count().collect())
