@@ -20,17 +20,21 @@ from pyspark.sql.window import Window
 BLOCK = 2048
 
 
-def _blocks(df: DataFrame, key: str, vector: str, block: int) -> tuple[DataFrame, int]:
-    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("x"))
+def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str | None = None) -> tuple[DataFrame, int]:
+    """Rows dealt by hash of the key and packed: ``b, k, x``, with ``side`` also ``s``; and how many blocks."""
+    carried = [F.col(side).cast("long").alias("s")] if side else []
+    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("x"), *carried)
     count = max(1, math.ceil(rows.count() / block))
 
     def pack(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["k"].to_numpy(), kind="stable")
+        k, s = table["k"].to_numpy(), [table["s"].to_numpy()] if side else []
+        order = np.lexsort((*s, k))
         x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)[order]
-        return pa.table({"b": pa.array([table["b"][0].as_py()], pa.int32()), "k": [table["k"].to_numpy()[order].tobytes()], "x": [np.ascontiguousarray(x).tobytes()]})
+        packed = {"b": pa.array([table["b"][0].as_py()], pa.int32()), "k": [k[order].tobytes()], "x": [np.ascontiguousarray(x).tobytes()]}
+        return pa.table(packed | ({"s": [s[0][order].tobytes()]} if side else {}))
 
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int"))
-    return dealt.groupBy("b").applyInArrow(pack, "b int, k binary, x binary"), count
+    return dealt.groupBy("b").applyInArrow(pack, "b int, k binary, x binary" + ", s binary" * bool(side)), count
 
 
 def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.neighbors import BLOCK, _blocks, meetings, squared_distances
+
 
 def melted(reference: DataFrame, test: DataFrame, vector: str) -> DataFrame:
     """``dim, v, is_test``: the features of both populations."""
@@ -127,11 +131,91 @@ def mmd2(x: np.ndarray, y: np.ndarray, permutations: int = 0, seed: int = 1, blo
     return seen, (1 + more) / (1 + permutations)
 
 
-def drift_mmd(reference: DataFrame, test: DataFrame, key: str, vector: str, sample: int = 2000, permutations: int = 100, seed: int = 1) -> DataFrame:
-    """``mmd2, p_val, drifted`` over a bounded hash sample of both sides (``sample`` rows each)."""
-    side = lambda df: np.array([r[0] for r in df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(sample).select(F.col(vector).cast("array<double>")).collect()])
-    value, p = mmd2(side(reference), side(test), permutations, seed)
-    return reference.sparkSession.createDataFrame([(value, p, p < 0.05)], "mmd2 double, p_val double, drifted boolean")
+def _met(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``b, s, b2, s2, d2``: two blocks, their sides and their squared distances."""
+    for i, x, s, j, x2, s2 in zip(*(batch.column(c).to_pylist() for c in range(6))):
+        s, s2 = np.frombuffer(s, np.int64), np.frombuffer(s2, np.int64)
+        x, x2 = np.frombuffer(x, np.float64).reshape(len(s), -1), np.frombuffer(x2, np.float64).reshape(len(s2), -1)
+        yield i, s, j, s2, squared_distances(x, x2)
+
+
+#: Ranges that a pass over all distances counts.
+RANGES = 1 << 18
+
+
+def _median_distance(met: DataFrame, top: float, pairs: int) -> float:
+    """The median of the squared distances of all pairs, none above ``top``, to within top / RANGES**2 (less is 0): one
+    pass counts them in ranges, another in parts of the ranges that hold the middle ones."""
+    width = top / RANGES
+
+    def counted(within: list[int]) -> np.ndarray:
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((max(1, len(within)), RANGES), np.int64)
+            for batch in batches:
+                for i, _, j, _, d in _met(batch):
+                    d = (d[np.triu_indices(len(d), 1)] if i == j else d.ravel()) / width
+                    at = np.minimum(d, RANGES - 1).astype(np.int64)
+                    if not within:
+                        seen[0] += np.bincount(at, minlength=RANGES)
+                    for row, k in enumerate(within):
+                        part = np.minimum((d[at == k] - k) * RANGES, RANGES - 1).astype(np.int64)
+                        seen[row] += np.bincount(part, minlength=RANGES)
+            row, at = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at), pa.array(seen[row, at])], ["row", "at", "n"])
+
+        found = met.mapInArrow(count, "row long, at long, n long").groupBy("row", "at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((max(1, len(within)), RANGES), np.int64)
+        out[found["row"].to_numpy(), found["at"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    upto = np.cumsum(counted([])[0])
+    ranks = [(pairs - 1) // 2, pairs // 2]
+    ranges = [int(np.searchsorted(upto, r, side="right")) for r in ranks]
+    within = sorted(set(ranges))
+    parts = dict(zip(within, np.cumsum(counted(within), axis=1)))
+    values = []
+    for r, k in zip(ranks, ranges):
+        part = int(np.searchsorted(parts[k], r - (upto[k - 1] if k else 0), side="right"))
+        values.append((k + (part + 0.5) / RANGES) * width if k or part else 0.0)
+    return sum(values) / 2
+
+
+def drift_mmd(reference: DataFrame, test: DataFrame, key: str, vector: str, permutations: int = 100, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """``mmd2, p_val, drifted`` over all rows: unbiased MMD^2 with a Gaussian kernel of median bandwidth, and its
+    permutation p. Kernel sums are taken in blocks of both sides that meet by block number. Permutations change sides
+    within blocks, whose rows a hash of the key has dealt: each is as likely as the true sides if nothing drifted."""
+    both = reference.select(key, vector, F.lit(0).alias("side")).union(test.select(key, vector, F.lit(1).alias("side"))).filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    square = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda t, v: t + v * v)
+    n, m, longest = both.agg(F.sum("side"), F.count("*") - F.sum("side"), F.max(square)).first()
+    blocks, count = _blocks(both, key, vector, block, "side")
+    met = meetings(blocks.checkpoint(), count).select("b", "x", "s", "b2", "x2", "s2")
+    sigma2 = (_median_distance(met, 4 * longest, (m + n) * (m + n - 1) // 2) if longest else 0.0) or 1.0
+
+    def sides(b: int, s: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng([seed, b])
+        return np.stack([s, *(rng.permutation(s) for _ in range(permutations))], 1).astype(np.float64)
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yy, xy, whole = np.zeros(1 + permutations), np.zeros(1 + permutations), 0.0
+        for batch in batches:
+            for i, s, j, s2, k in _met(batch):
+                k /= -2 * sigma2
+                np.exp(k, out=k)
+                if i == j:
+                    np.fill_diagonal(k, 0)
+                one, two = sides(i, s), sides(j, s2)
+                inside = (one * (k @ two)).sum(0)
+                across = k.sum(0) @ two - inside
+                if i != j:
+                    across += k.sum(1) @ one - inside
+                yy, xy, whole = yy + inside * (1 + (i != j)), xy + across, whole + k.sum() * (1 + (i != j))
+        yield pa.RecordBatch.from_arrays([pa.array([yy.tolist()]), pa.array([xy.tolist()]), pa.array([whole])], ["yy", "xy", "whole"])
+
+    found = met.mapInArrow(sums, "yy array<double>, xy array<double>, whole double").collect()
+    yy, xy, whole = (np.sum([r[c] for r in found], axis=0) for c in ("yy", "xy", "whole"))
+    values = (whole - yy - 2 * xy) / (m * (m - 1)) + yy / (n * (n - 1)) - 2 * xy / (m * n)
+    p = float((1 + (values[1:] >= values[0]).sum()) / (1 + permutations))
+    return reference.sparkSession.createDataFrame([(float(values[0]), p, p < 0.05)], "mmd2 double, p_val double, drifted boolean")
 
 
 def chunks(df: DataFrame, order: str, size: int | None = None, count: int | None = None, incomplete: str = "keep") -> DataFrame:

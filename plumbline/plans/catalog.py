@@ -456,7 +456,7 @@ def drift_knn(spark, sf_dir):
 @register()
 def drift_mmd(spark, sf_dir):
     reference, test = _populations(spark, sf_dir)
-    return shift.drift_mmd(reference, test, "vec_id", "embedding", sample=500, permutations=50)
+    return shift.drift_mmd(reference, test, "vec_id", "embedding", permutations=50)
 
 
 @register(f"""WITH {KNN}, m AS (SELECT count(*) FILTER (vec_id % 4 <> 0) AS m, count(*) FILTER (vec_id % 4 = 0) AS n FROM e), c AS (SELECT count(*) FILTER ((vec_id % 4 = 0) <> (neighbor % 4 = 0)) AS crossing FROM k WHERE rank = 1)

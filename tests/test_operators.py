@@ -159,6 +159,23 @@ def test_tree_divergence_above_the_former_cap(spark):
     assert neighbors.mst_divergence(side(0), side(10_500), "k", "x") == pytest.approx(1 - 1 * 21_000 / (2 * 10_500**2))
 
 
+def test_mmd_over_all_rows_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(140, 3)), rng.normal(0.1, 1, size=(91, 3))
+    side = lambda z: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)] + [(999, None)], "k long, x array<double>")
+    for block in (30, 2048):
+        assert shift.drift_mmd(side(x), side(y), "k", "x", 10, block=block).first().mmd2 == pytest.approx(shift.mmd2(x, y)[0], abs=1e-8)
+
+
+def test_mmd_sees_drift_of_few_rows(spark):
+    x, y = (np.random.default_rng(s).normal(size=(2600, 2)) for s in (6, 7))
+    y[:100] = 6  # a sample of 500 a side holds about 19 of them
+    side = lambda z: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "k long, x array<double>")
+    row = shift.drift_mmd(side(x), side(y), "k", "x", 50).first()
+    assert row.mmd2 == pytest.approx(shift.mmd2(x, y)[0], abs=1e-8) and row.drifted
+    assert not shift.drift_mmd(side(x), side(x[::-1]), "k", "x", 50).first().drifted
+
+
 def test_chunks(spark):
     df = spark.range(23).withColumnRenamed("id", "k")
     size = lambda **o: sorted(r["count"] for r in shift.chunks(df, "k", **o).groupBy("chunk").count().collect())
