@@ -1,7 +1,9 @@
 """Language ID by nearest centroids.
 
 A text becomes a normalised TF-IDF vector of hashed letter n-grams; each language has several centroids, clustered from
-its training texts; the language of the nearest centroid by cosine wins. A text too far from every centroid is rejected.
+its training texts; the language of the nearest centroid by cosine wins. A text too far from every centroid is rejected:
+each language has a bar for every size of text, from the low tail of what its own training texts and excerpts of them
+reach against centroids that they had no part in.
 
 Learning reads a bounded sample: ``per_label`` texts of every language, those with the smallest hash of their key
 (keys are drawn in two levels, only the sample's texts move). Everything else covers all rows.
@@ -29,8 +31,14 @@ UNKNOWN = "und"
 WIDTH = 1 << 13
 #: ASCII that is no letter becomes a space before n-grams are taken.
 BLANK = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
-#: Rejected below this share of the language's usual (median) training cosine.
+#: No bar is below this share of the language's usual (median) training cosine.
 REJECT_SHARE = 0.05
+#: A bar is this share of this quantile of the cosines of training texts of a size.
+TAIL_SHARE, TAIL = 0.4, 0.05
+#: Characters of the excerpts that make up for the short texts a sample lacks.
+EXCERPTS = (12, 24, 48, 96, 192, 384, 768)
+#: Sizes: powers of two of distinct n-grams.
+SIZES = 14
 SEED = 23
 #: Parts that a language's keys are dealt into before the sample is drawn.
 SAMPLE_PARTS = 256
@@ -44,7 +52,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, normalised
     owner: np.ndarray  # the language of each
-    reject_below: np.ndarray  # by language
+    reject_below: np.ndarray  # by language and size
 
 
 def counts(text: str) -> np.ndarray:
@@ -62,6 +70,38 @@ def vector(text: str, idf: np.ndarray) -> np.ndarray:
     return (x / norm if norm else x).astype(np.float32)
 
 
+def shared_centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """Without those that fewer than a hundredth of the texts are nearest to: an odd text is no language."""
+    centres = spherical_kmeans(x, k)
+    members = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
+    return centres[(members * 100 >= len(x)) | (members == members.max())]
+
+
+def sizes(x: np.ndarray) -> np.ndarray:
+    """Of vectors, the power of two of their distinct n-grams: a text that repeats itself is as small as its parts."""
+    return np.minimum(np.log2(np.maximum(np.count_nonzero(x, axis=1), 1)).astype(np.int64), SIZES - 1)
+
+
+def bars(texts: list[str], x: np.ndarray, centroids: int, idf: np.ndarray, floor: float) -> np.ndarray:
+    """By size, the cosine below which a text is not of the language of ``texts`` (in order; x: their vectors). Halves are
+    measured against the centroids of the other half. A size not met has the bar of the next smaller one."""
+    cosines, at = [], []
+    for half in (0, 1) if len(x) > 1 else (0,):
+        centres = shared_centroids(x[1 - half :: 2] if len(x) > 1 else x, centroids)
+        for i in range(half, len(x), 2):
+            y = np.stack([x[i], *(vector(texts[i][:n], idf) for n in EXCERPTS if n < len(texts[i]))])
+            y = y[y.any(1)]
+            cosines.append((y @ centres.T).max(1))
+            at.append(sizes(y))
+    cosines, at = np.concatenate(cosines), np.concatenate(at)
+    out, bar = np.zeros(SIZES), floor
+    for k in range(SIZES):
+        if (at == k).any():
+            bar = max(floor, TAIL_SHARE * float(np.quantile(cosines[at == k], TAIL)))
+        out[k] = bar
+    return out
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
 
@@ -101,31 +141,34 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
 
     found = sample.groupBy("l").applyInPandas(presence, "l string, n long, seen array<long>").collect()
     if not found:
-        return LanguageModel((), np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0))
+        return LanguageModel((), np.ones(WIDTH), np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros((0, SIZES)))
     total = sum(r.n for r in found)
     idf = np.log((1 + total) / (1 + sum(np.array(r.seen) for r in found))) + 1
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([vector(t, idf) for t in part["t"]])
-        centres = spherical_kmeans(x, centroids)
+        texts = sorted(part["t"])
+        x = np.stack([vector(t, idf) for t in texts])
+        centres = shared_centroids(x, centroids)
         usual = float(np.median((x @ centres.T).max(1)))
-        return pd.DataFrame({"l": part["l"].iloc[0], "c": [c.tolist() for c in centres], "usual": usual})
+        below = bars(texts, x, centroids, idf, REJECT_SHARE * usual).tolist()
+        return pd.DataFrame({"l": part["l"].iloc[0], "c": [c.tolist() for c in centres], "below": [below] * len(centres)})
 
-    rows = sorted(sample.groupBy("l").applyInPandas(cluster, "l string, c array<float>, usual double").collect(), key=lambda r: (r.l, r.c))
+    rows = sorted(sample.groupBy("l").applyInPandas(cluster, "l string, c array<float>, below array<double>").collect(), key=lambda r: (r.l, r.c))
     languages = tuple(sorted({r.l for r in rows}))
-    usual = {r.l: r.usual for r in rows}
-    return LanguageModel(languages, idf, np.array([r.c for r in rows], np.float32), np.array([languages.index(r.l) for r in rows]), np.array([REJECT_SHARE * usual[x] for x in languages]))
+    below = {r.l: r.below for r in rows}
+    return LanguageModel(languages, idf, np.array([r.c for r in rows], np.float32), np.array([languages.index(r.l) for r in rows]), np.array([below[x] for x in languages]))
 
 
 def classify(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     names, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     at = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
     if at:
-        cosines = np.stack([vector(texts[i], model.idf) for i in at]) @ model.centroids.T
+        x = np.stack([vector(texts[i], model.idf) for i in at])
+        cosines = x @ model.centroids.T
         by_language = np.stack([cosines[:, model.owner == j].max(1) for j in range(len(model.languages))], 1)
         best = by_language.argmax(1)
-        for i, j, c in zip(at, best.tolist(), np.clip(by_language.max(1), 0, 1).tolist()):
-            names[i], scores[i], rejected[i] = model.languages[j], c, c < model.reject_below[j]
+        for i, j, c, bar in zip(at, best.tolist(), np.clip(by_language.max(1), 0, 1).tolist(), model.reject_below[best, sizes(x)].tolist()):
+            names[i], scores[i], rejected[i] = model.languages[j], c, c < bar
     return names, scores, rejected
 
 

@@ -1,3 +1,4 @@
+import base64
 import zlib
 
 import numpy as np
@@ -47,3 +48,21 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.97 * len(held)
     assert not [r for r in rows if r.rejected and len(docs[r.doc_id].text or "") > 5]
+
+
+FOREIGN = [
+    "Wczoraj wieczorem poszliśmy do kina, aby zobaczyć nowy film o przygodach młodego chłopca, który szukał swojego ojca w dalekim kraju",
+    "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa nuoren pojan seikkailuista, joka etsi isäänsä kaukaisesta maasta",
+    "Dün akşam uzak bir ülkede babasını arayan genç bir çocuğun maceralarını anlatan yeni filmi izlemek için sinemaya gittik",
+    "Tối qua chúng tôi đi xem phim mới về cuộc phiêu lưu của một cậu bé đi tìm cha ở một đất nước xa xôi",
+]
+
+
+def test_foreign_prose_and_noise_are_rejected_and_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(docs)
+    raw = np.random.default_rng(1).integers(0, 256, 300, dtype=np.uint8).tobytes()
+    letters = "".join(chr(97 + b % 26) + " " * (b % 7 == 0) for b in raw)
+    assert langid.classify(model, [*FOREIGN, base64.b64encode(raw).decode(), letters, raw.hex()])[2] == [True] * 7
+    texts = [r.text for r in docs.select("text").limit(3000).collect() if langid.has_letter(r.text)]
+    assert sum(langid.classify(model, texts)[2]) <= len(texts) / 1000
