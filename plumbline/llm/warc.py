@@ -129,29 +129,52 @@ def _partial(data: bytes, at: int) -> bytes:
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive, plain or of gzip members (one or many records in each). Offsets in a compressed
-    archive are the member's."""
-    if not data.startswith(MEMBER[:2]) and MEMBER not in data[:64]:
-        yield from salvage_plain(data)
-        return
+    """Records and gaps of an archive: plain records, gzip members (one or many records in each), or both in any order.
+    Offsets of records in a member are the member's.
+
+    After a failed check the nearer of the next member and the next version line that holds goes on; a member that closes
+    a gap holds a record. Whole records at the head of every broken member are kept.
+    """
     at, bad, why = 0, None, ""
+    member, version = -1, -1
+    rescued: list[tuple] = []
     while at < len(data):
+        packed = data.startswith(MEMBER[:2], at)
         try:
-            raw, end = _member(data, at)
+            if packed:
+                raw, end = _member(data, at)
+                inside = list(salvage_plain(raw))
+                if bad is not None and not any(isinstance(x, Record) for x in inside):
+                    raise ValueError("no record in a member")
+            else:
+                record = parse_record(data, at)
+                if bad is not None and (record.headers, record.block) in rescued:
+                    raise ValueError("a record that its broken member gave")
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-                whole = [x for x in salvage_plain(_partial(data, at)) if isinstance(x, Record)]
+            if packed:
+                whole = [x for x in salvage_plain(_partial(data, at)) if isinstance(x, Record) and (x.headers, x.block) not in rescued]
+                rescued += [(x.headers, x.block) for x in whole]
                 yield from (Record(at, 0, x.headers, x.block) for x in whole)
-            at = data.find(MEMBER, at + 1)
-            at = len(data) if at < 0 else at
+            if member <= at:
+                member = data.find(MEMBER, at + 1)
+                member = len(data) if member < 0 else member
+            if version <= at:
+                following = VERSION_LINE.search(data, at + 1)
+                version = following.start() if following else len(data)
+            at = min(member, version)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
-            bad = None
-        for x in salvage_plain(raw):
-            yield Record(at, end - at, x.headers, x.block) if isinstance(x, Record) else Gap(at, end, f"in a member, bytes {x.start} to {x.end}: {x.reason}")
-        at = end
+            bad, rescued = None, []
+        if packed:
+            for x in inside:
+                yield Record(at, end - at, x.headers, x.block) if isinstance(x, Record) else Gap(at, end, f"in a member, bytes {x.start} to {x.end}: {x.reason}")
+            at = end
+        else:
+            yield record
+            at += record.length
     if bad is not None:
         yield Gap(bad, len(data), why)
 

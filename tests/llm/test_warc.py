@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import random
 
 from plumbline.llm import queries, warc
 
@@ -75,6 +77,23 @@ def test_salvage_recovers_what_follows_a_broken_plain_record():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_of_a_damaged_start_mixed_kinds_and_adjacent_broken_members():
+    parts = records(5, True)
+    data = b"\0" * 100 + parts[0][100:] + b"".join(parts[1:])
+    found = list(warc.salvage(data))
+    assert names(found) == [f"<urn:page:{i}>" for i in range(1, 5)]
+    assert [(x.start, x.end) for x in found if isinstance(x, warc.Gap)] == [(0, len(parts[0]))]
+    plain = records(4, False)
+    assert names(warc.salvage(plain[0] + plain[1] + parts[2] + plain[3] + parts[4])) == [f"<urn:page:{i}>" for i in range(5)]
+
+    def broken(i):  # two records in a member, the second cut off
+        noise = bytes(random.Random(i).randbytes(30_000))
+        raw = warc.encode_record({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:page:{i}>"}, b"head") + warc.encode_record({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:99>"}, noise)
+        return gzip.compress(raw)[:20_000]
+
+    assert names(warc.salvage(broken(10) + broken(11) + parts[0])) == ["<urn:page:10>", "<urn:page:11>", "<urn:page:0>"]
+
+
 def test_query_over_the_whole_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     rows = queries.QUERIES["op10_warc"](spark, sf_dir).collect()
