@@ -9,6 +9,9 @@ stage before it kept.
    which it takes less than half goes.
 5. SentencePiece: the mix as token ids, with what they decode to.
 
+Every row is a document, whatever its id. In stages 2 and 3 documents are in the order of their ids; those with the same
+id in the order of a hash of their text, those without an id after all others.
+
 Every stage but the last returns the columns of ``documents``.
 """
 
@@ -30,14 +33,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).filter(~F.col("rejected")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, unique and in the order of documents: the id itself where all have one of their own."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    return settled(ordered.withColumn("row", F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs, "doc_id", "text").filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    docs = numbered(docs)
+    kept = minhash.near_duplicates(docs, "row", "text").filter("kept").select("row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.dedup_substrings(docs, "doc_id", "text").filter("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text").dropDuplicates(["doc_id"])
-    both = docs.join(cut, "doc_id", "left").filter("n_removed is null or n_removed < n_words")
+    docs = numbered(docs)
+    cut = substrings.dedup_substrings(docs, "row", "text").filter("n_removed > 0").select("row", "n_words", "n_removed", "kept_text")
+    both = docs.join(cut, "row", "left").filter("n_removed is null or n_removed < n_words")
     text = F.coalesce("kept_text", "text")
     return both.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))
 

@@ -49,3 +49,16 @@ def test_stages_as_brute_force(spark, sf_dir):
 def test_run_is_the_stages(spark, sf_dir):
     rows = queries.QUERIES["pipeline"](spark, sf_dir).collect()
     assert rows and rows[0].n_tokens == len(rows[0].ids)
+
+
+def test_null_and_repeated_ids(spark):
+    words = lambda a, n: " ".join(f"w{i}" for i in range(a, a + n))
+    texts = [(None, words(0, 40)), (None, words(100, 40)), (5, words(200, 40)), (5, words(300, 40)), (5, words(200, 40)), (None, words(300, 40)), (7, words(200, 15) + " " + words(500, 30))]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    near = p.near_dedup(spark, docs, "")
+    clean = [(None, words(0, 40)), (None, words(100, 40)), (5, words(200, 40)), (5, words(300, 40)), texts[-1]]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=key) == sorted(clean, key=key)
+    cut = [*clean[:-1], (7, words(500, 30))]
+    found = p.substring_dedup(spark, near, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=key) == sorted(cut, key=key)
