@@ -11,7 +11,8 @@ neighbour; queries are compared by the plain inner product of the original vecto
 3. Greedy search: each query starts from its place in the graph, follows the best nodes not yet followed, and ends when
    the best ``BEAM`` it has seen have all been followed.
 
-Every row is indexed. A node takes part in at most NEIGHBOURS + REVERSE comparisons' groups a round, whatever its fame;
+Equal vectors are one node, which its rows' smallest keys stand for in the answers, so copies of any number crowd nothing
+out. Every row is indexed. A node takes part in at most NEIGHBOURS + REVERSE comparisons' groups a round, whatever its fame;
 recall is measured against brute force in the tests. Vectors of different lengths are compared as if padded with zeros.
 
 Defined results: vectors null, empty, zero or holding null or non-finite components take no part, nor do rows with a
@@ -331,6 +332,24 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     products that the search finds."""
     rows = df.select(F.col(key).cast("long").alias("node"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("node").isNotNull() & usable("v"))
     rows = settled(rows.groupBy("node").agg(F.min(F.struct("v", "asks")).alias("r")).select("node", "r.v", "r.asks"))
-    index, width, n = index_vectors(rows)
+    classes = settled(rows.groupBy("v").agg(F.min("node").alias("node"), F.max("asks").alias("asks")).select("node", "v", "asks"))
+    index, width, n = index_vectors(classes)
     lists = neighbour_graph(index, width, n)
-    return search(rows.filter("asks"), rows, lists, most).withColumnRenamed("id", key)
+    found = search(classes.filter("asks"), classes, lists, most).select("query_id", "id", "score")
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squares = [float((np.array(v, np.float64) ** 2).sum()) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array(squares, pa.float64())], ["query_id", "id", "score"])
+
+    found = found.union(classes.filter("asks").select("node", "v").mapInArrow(own, "query_id long, id long, score double"))
+    # a class stands for its members: of each, the smallest keys that can be among the best, and one for the query itself
+    members = rows.join(classes.select("v", F.col("node").alias("c")), "v").select("c", "node", "asks")
+    first = settled(members.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("node"))).filter(F.col("n") <= most + 1).select("c", "node"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")
+    spread = found.join(first, F.col("id") == F.col("c")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most + 1)
+    answers = spread.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "node", "score"))).alias("best"))
+    asking = members.filter("asks").select("c", F.col("node").alias("q"))
+    others = F.slice(F.filter("best", lambda x: x["node"] != F.col("q")), 1, most)
+    out = asking.join(answers, F.col("c") == F.col("query_id")).select("q", F.posexplode(others).alias("at", "x"))
+    return out.select(F.col("q").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.node").alias(key), F.col("x.score").alias("score"))

@@ -57,3 +57,15 @@ def test_odd_rows(spark):
     assert recall(found, brute(rows, lambda k: k % 20 == 0, 3)) == 1
     assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 20] == [(1, 2.0), (2, 2.0), (40, 0.5)]
     assert nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 64)
+    x = np.random.default_rng(8).normal(size=(1500, 16))
+    x[::3] = x[0] * 2  # more copies than a list or a leaf holds
+    x[1:700:6] = x[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest(df, F.col("vec_id") % 20 == 0).collect()
+    copies = {q: best for q, best in brute(rows, lambda k: k % 20 == 0, 20).items() if q % 3 == 0}
+    assert recall([r for r in found if r.query_id in copies], copies) == 1
