@@ -1,7 +1,7 @@
 """WARC archives: writing with deduplicated payloads, and a reader that salvages damaged files.
 
 Records are written through Spark's own committed text writer, so any store that Spark writes works and a lost executor
-only repeats its files. The reader checks every record (version line, header block, length, closing lines, block digest).
+only repeats its files. Each is a gzip member of its own: damage costs the records that it hits. The reader checks every record (version line, header block, length, closing lines, block digest).
 After a failed check it searches for the next valid gzip member or version line, recovers the records from there on, and
 logs the bytes in between as a quarantined gap.
 """
@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import slices
+
 log = logging.getLogger(__name__)
 
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EMPTY_SHA1 = base64.b32encode(hashlib.sha1(b"").digest()).decode()
+#: Compressed bytes that the writer hands on at once.
+BUNDLE_BYTES = 4 << 20
 
 
 @dataclass
@@ -105,39 +108,70 @@ def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), why)
 
 
+def _fed(data: bytes, at: int) -> Iterator[memoryview]:
+    """The bytes from a place on, in pieces that grow: what lies behind a member's end is never copied as a whole."""
+    view, size = memoryview(data), 8192
+    while at < len(data):
+        yield view[at : at + size]
+        at, size = at + size, min(2 * size, 1 << 20)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """What the gzip member at a byte holds, and where it ends; ValueError if it is broken or cut off."""
-    opener = zlib.decompressobj(31)
+    opener, out, end = zlib.decompressobj(31), [], at
     try:
-        raw = opener.decompress(memoryview(data)[at:])
+        for piece in _fed(data, at):
+            out.append(opener.decompress(piece))
+            end += len(piece)
+            if opener.eof:
+                return b"".join(out), end - len(opener.unused_data)
     except zlib.error as e:
         raise ValueError(f"broken member: {e}") from None
-    if not opener.eof:
-        raise ValueError("cut off member")
-    return raw, len(data) - len(opener.unused_data)
+    raise ValueError("cut off member")
 
 
-def _partial(data: bytes, at: int) -> bytes:
-    """As much of a broken member as can be had."""
-    opener, out = zlib.decompressobj(31), []
-    for k in range(at, len(data), 4096):
+def _head(data: bytes, at: int) -> tuple[list[Record], int]:
+    """The whole records at the head of a broken member, and where the bytes that hold them end."""
+    opener, out, size = zlib.decompressobj(31), [], 256
+    view = memoryview(data)
+    for k in range(at, len(data), size):
         try:
-            out.append(opener.decompress(data[k : k + 4096]))
+            out.append(opener.decompress(view[k : k + size]))
         except zlib.error:
             break
-    return b"".join(out)
+        if opener.eof:
+            break
+    raw, found, ends = b"".join(out), [], 0
+    for x in salvage_plain(raw):
+        if not isinstance(x, Record) or x.offset != ends:
+            break  # whole records from the start on
+        found.append(x)
+        ends = x.offset + x.length
+    if not found:
+        return [], at
+    # the fewest bytes that give them: piece by piece, the last piece byte by byte
+    opener, given, k = zlib.decompressobj(31), 0, at
+    while True:
+        before = opener.copy()
+        piece = opener.decompress(view[k : k + 4096])
+        if given + len(piece) >= ends:
+            break
+        given, k = given + len(piece), k + 4096
+    while given < ends:
+        given, k = given + len(before.decompress(view[k : k + 1])), k + 1
+    return found, k
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive: plain records, gzip members (one or many records in each), or both in any order.
-    Offsets of records in a member are the member's.
+    Offsets and lengths of records in a member are the member's; of a broken one, those of the part that held.
 
     After a failed check the nearer of the next member and the next version line that holds goes on; a member that closes
-    a gap holds a record. Whole records at the head of every broken member are kept.
+    a gap holds a record. Whole records at the head of every broken member are kept, and the gap starts behind them.
+    Members are opened piece by piece, so the time is in proportion to the bytes.
     """
     at, bad, why = 0, None, ""
     member, version = -1, -1
-    rescued: list[tuple] = []
     while at < len(data):
         packed = data.startswith(MEMBER[:2], at)
         try:
@@ -148,26 +182,28 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                     raise ValueError("no record in a member")
             else:
                 record = parse_record(data, at)
-                if bad is not None and (record.headers, record.block) in rescued:
-                    raise ValueError("a record that its broken member gave")
         except ValueError as e:
-            if bad is None:
+            held, behind = _head(data, at) if packed else ([], at)
+            if held:
+                if bad is not None:
+                    yield Gap(bad, at, why)
+                yield from (Record(at, behind - at, x.headers, x.block) for x in held)
+                bad, why = behind, str(e)
+            elif bad is None:
                 bad, why = at, str(e)
-            if packed:
-                whole = [x for x in salvage_plain(_partial(data, at)) if isinstance(x, Record) and (x.headers, x.block) not in rescued]
-                rescued += [(x.headers, x.block) for x in whole]
-                yield from (Record(at, 0, x.headers, x.block) for x in whole)
-            if member <= at:
-                member = data.find(MEMBER, at + 1)
+            following = max(behind, at + 1)
+            if member < following:
+                member = data.find(MEMBER, following)
                 member = len(data) if member < 0 else member
-            if version <= at:
-                following = VERSION_LINE.search(data, at + 1)
-                version = following.start() if following else len(data)
+            if version < following:
+                line = VERSION_LINE.search(data, following)
+                version = line.start() if line else len(data)
             at = min(member, version)
             continue
         if bad is not None:
-            yield Gap(bad, at, why)
-            bad, rescued = None, []
+            if bad < at:
+                yield Gap(bad, at, why)
+            bad = None
         if packed:
             for x in inside:
                 yield Record(at, end - at, x.headers, x.block) if isinstance(x, Record) else Gap(at, end, f"in a member, bytes {x.start} to {x.end}: {x.reason}")
@@ -175,7 +211,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         else:
             yield record
             at += record.length
-    if bad is not None:
+    if bad is not None and bad < len(data):
         yield Gap(bad, len(data), why)
 
 
@@ -186,8 +222,33 @@ def _base32(hexed: Column) -> Column:
     return F.concat(*(F.lit(letters).substr(F.shiftright(g, s).bitwiseAND(31) + F.lit(1), F.lit(1)) for g in groups for s in (15, 10, 5, 0)))
 
 
-def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, compression: str = "gzip", records_per_file: int = 20_000) -> None:
-    """Writes one record per row.
+def members(records: DataFrame, bundle: int = BUNDLE_BYTES) -> DataFrame:
+    """``value`` (binary): gzip members, one a record, end to end in bundles of about so many bytes. The last byte of a
+    bundle is left out: it is 0, the high byte of the last member's size; a member of 16 MB or more that ends otherwise is
+    followed by an empty one. Spark's text writer then puts that byte where it puts line ends."""
+    empty = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in slices(batches, 0):
+            for raw in part.column(0).cast(pa.binary()).to_pylist():
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                held += [packer.compress(raw), packer.flush()]
+                if held[-1][-1]:
+                    held.append(empty)
+                size += len(held[-2]) + len(held[-1])
+                if size > bundle:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    return records.mapInArrow(run, "value binary")
+
+
+def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, compression: str = "gzip", bundles_per_file: int = 16) -> None:
+    """Writes one record per row, each a gzip member of its own (``compression="none"``: plain records), in files of
+    about ``bundles_per_file`` times ``BUNDLE_BYTES``.
 
     Of the rows whose payloads (null: empty) are equal and of ``min_bytes`` at least, the one with the smallest key
     becomes a response and the others revisit it; smaller payloads are all responses. Rows with the same key and
@@ -220,7 +281,12 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
         crlf, F.col("b"), F.lit("\r\n\r"),
     )
     rows = rows.withColumn("b", block).withColumn("bd", F.sha1(F.col("b").cast("binary")))
-    rows.select(record.alias("value")).write.option("compression", compression).option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    records = rows.select(record.alias("value"))
+    if compression == "none":
+        records.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 1000 * bundles_per_file).text(path)
+        return
+    whole = members(records.select(F.concat("value", F.lit("\n")).alias("value")))
+    whole.select(F.col("value").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", bundles_per_file).text(path)
 
 
 READ_SCHEMA = "file string, offset long, length long, gap string, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, digest_holds boolean, payload_bytes long, payload binary"
@@ -229,7 +295,8 @@ READ_SCHEMA = "file string, offset long, length long, gap string, record_id stri
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record below a path, and a row with ``gap`` (why) for each quarantined run of bytes.
 
-    A response's digest and length are taken from its payload anew; a revisit has no payload here, and those of its
+    A task holds one file, and of what it packs one member at a time; files of 2 GB or more are beyond Spark's reader of
+    whole files. A response's digest and length are taken from its payload anew; a revisit has no payload here, and those of its
     headers. ``digest_holds`` compares with the header. An empty file has no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")

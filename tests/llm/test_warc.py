@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 from plumbline.llm import queries, warc
 
@@ -99,3 +100,49 @@ def test_query_over_the_whole_table(spark, sf_dir):
     rows = queries.QUERIES["op10_warc"](spark, sf_dir).collect()
     assert len(rows) == len(pages)
     assert {tuple(r) for r in rows} == expected([(p.page_id, (p.html or "").encode()) for p in pages])
+
+
+def test_damage_in_a_written_archive_costs_one_record(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " + str(random.Random(i).random()) * 40, "", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, d string, first int").coalesce(1)
+    warc.write(df, str(tmp_path / "a"))
+    file = max((tmp_path / "a").glob("part-*"), key=lambda f: f.stat().st_size)
+    whole = file.read_bytes()
+    assert gzip.decompress(whole).count(b"WARC/1.1\r\n") == 300
+    held = [x for x in warc.salvage(whole)]
+    hit = held[30]
+    broken = bytearray(whole)
+    broken[hit.offset + hit.length // 2] ^= 0xFF
+    found = list(warc.salvage(bytes(broken)))
+    assert names(found) == [n for i, n in enumerate(names(held)) if i != 30]
+    assert [(x.start, x.end) for x in found if isinstance(x, warc.Gap)] == [(hit.offset, hit.offset + hit.length)]
+
+
+def test_a_record_of_16_mb_and_an_empty_member(spark, tmp_path):
+    rows = [(1, "u", "x" * (17 << 20), "", 0), (2, "u", "y", "", 0)]
+    found = archive(spark, tmp_path, rows)
+    assert sorted((r.record_id, r.payload_bytes, r.gap) for r in found) == [("1", 17 << 20, None), ("2", 1, None)]
+
+
+def test_gaps_start_behind_what_a_broken_member_gave():
+    heads = [warc.encode_record({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:page:{i}>"}, random.Random(i).randbytes(3000)) for i in range(4)]
+    packed = gzip.compress(b"".join(heads))
+    damaged = bytearray(packed)
+    damaged[len(packed) * 5 // 8] ^= 0xFF
+    parts = records(2, True)
+    data = parts[0] + bytes(damaged) + parts[1]
+    found = list(warc.salvage(data))
+    assert names(found)[:3] == ["<urn:page:0>", "<urn:page:0>", "<urn:page:1>"] and names(found)[-1] == "<urn:page:1>"
+    gap = next(x for x in found if isinstance(x, warc.Gap))
+    assert len(parts[0]) + 6000 < gap.start < gap.end == len(parts[0]) + len(packed)
+
+
+def test_time_grows_with_the_bytes():
+    def seconds(n):
+        part = warc.encode_record({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:1>"}, random.Random(1).randbytes(20_000), True)
+        began = time.process_time()
+        assert len(list(warc.salvage(part * n))) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(2000) < 8 * seconds(500)
