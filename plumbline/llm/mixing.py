@@ -1,18 +1,20 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-A multivariate-hypergeometric splitting tree deals each source's quota of blocks out among the output shards: at every
-node the left half's share of each source is drawn from the exact hypergeometric distribution (by inverting its weights,
-conditional source by source), so every shard is a random draw of the whole mix and the shares add up to the quota. Each
-shard then owns a run of the source's permuted rows, disjoint from the others', and shuffles locally by a hash.
+Each source's rows, permuted by a hash of their key, make a stream of words (repeated as often as the quota asks for),
+cut into blocks. A multivariate-hypergeometric splitting tree deals each source's quota of blocks out among the output
+shards: at every node the left half's share of each source is drawn from the exact hypergeometric distribution (by
+inverting its weights, conditional source by source), so every shard is a random draw of the whole mix and the shares add
+up to the quota. A shard draws its number of blocks from the source's blocks in a permuted order, disjoint from the
+others', and shuffles what it has locally by a hash. A row is taken in pieces, one for each block that it reaches into;
+what no shard drew is not taken, so what a row gives follows from the tree.
 
-Rows of a source are permuted by a hash of their key; their running size is found in two levels (hash ranges, then rows
-in a range), so no task sees a whole source. A quota over the source's size wraps around: every row once, then again from
-the start. Where a quota ends inside a row, that row is taken in part; so taken sizes add up to the rounded target.
+The running size of the rows is found in two levels (hash ranges, then rows in a range), so no task sees a whole source.
+The last block of a quota is as long as the quota leaves it, so taken sizes add up to the rounded target.
 
 Defined results: null sizes count as 0; the null source is a source of its own, ordered last; a row of size 0 is never
 taken; an empty table stays empty. Rows with equal keys are permuted by size. Columns named like an output are replaced.
 The table of sources is collected in one task and its quotas in one row per node: it is a dimension, small beside the
-rows.
+rows, as the number of shards is.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ def _hypergeometric(pool: str, marked: str, draws: str, uniform: str) -> str:
 
 
 def shard_ends(quotas: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
-    """``source, ends``: where in the source's permuted stream each shard's run ends. ``quotas``: source, quota."""
+    """``source, ends``: where in the permuted order of the source's blocks each shard's draw ends. ``quotas``: source,
+    quota."""
     whole = quotas.select("source", F.ceil(F.col("quota") / F.lit(block)).cast("long").alias("blocks"))
     root = whole.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "blocks"))).alias("all"))
     nodes = root.select(F.lit(0).alias("node"), F.transform("all", lambda x: x["source"]).alias("sources"), F.transform("all", lambda x: x["blocks"]).alias("left"))
@@ -79,13 +82,18 @@ def shard_ends(quotas: DataFrame, shards: int, block: int, seed: int) -> DataFra
         nodes = split.select("sources", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("half").alias("left")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("left", "half", lambda a, b: a - b).alias("left")))).alias("n")).select("n.node", "sources", "n.left")
     rows = nodes.select("node", F.explode(F.arrays_zip("sources", "left")).alias("x")).select("node", F.col("x.sources").alias("source"), F.col("x.left").alias("blocks"))
     ends = rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "blocks"))), lambda x: x["blocks"]).alias("b"))
-    running = F.aggregate("b", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x * block)))
+    running = F.aggregate("b", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     return ends.select("source", running.alias("ends"))
 
 
-def mix(df: DataFrame, key: str, source: str, size: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, block: int = 64, seed: int = 17) -> DataFrame:
+# Primes, one of which divides no number of blocks that a table can have.
+PRIMES = (1_000_003, 999_983, 1_000_033, 1_000_037)
+
+
+def mix(df: DataFrame, key: str, source: str, size: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, block: int = 1024, seed: int = 17) -> DataFrame:
     """Every row of ``df`` with its source's size and target, how much of it the mix takes (repeats counted), and
-    ``copies``: for each time it is taken, the shard, how much, and the key that orders the shard."""
+    ``copies``: the pieces taken, each with the repeat it belongs to, the shard that drew it, where in the row it starts,
+    how much it holds, and the key that orders the shard."""
     if shards & (shards - 1) or shards < 1:
         raise ValueError("shards must be a power of two")
     rows = df.drop(*(c for c in OUTPUTS if c not in (key, source, size)))
@@ -100,21 +108,30 @@ def mix(df: DataFrame, key: str, source: str, size: str, weights: tuple[float, .
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     ends = shard_ends(targets, shards, block, seed).select(named.alias("e"), "ends")
     targets = targets.select(named.alias("t"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), "quota").join(ends, F.col("t") == F.col("e"))
-    placed = ranges.select("s", "r", "before").join(targets, F.col("s") == F.col("t")).select(F.col("s").alias("__ps"), F.col("r").alias("__pr"), F.col("before").alias("__before"), "__total", "__target", F.col("quota").alias("__quota"), F.col("ends").alias("__ends"))
+    # block i of a source is the (i * step)th in its permuted order; a prime that doesn't divide their number reaches all
+    step = F.coalesce(*(F.when(F.element_at("ends", -1) % prime != 0, F.lit(prime)) for prime in PRIMES), F.lit(1)).cast("long")
+    placed = ranges.select("s", "r", "before").join(targets, F.col("s") == F.col("t")).select(F.col("s").alias("__ps"), F.col("r").alias("__pr"), F.col("before").alias("__before"), "__total", "__target", F.col("quota").alias("__quota"), F.col("ends").alias("__ends"), F.element_at("ends", -1).alias("__blocks"), step.alias("__step"))
     inside = Window.partitionBy("__s", "__r").orderBy(F.expr("shiftrightunsigned(__h, 1)"), "__h", F.col(key), "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__at", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     rows = rows.join(placed, (F.col("__s") == F.col("__ps")) & (F.col("__r") == F.col("__pr"))).withColumn("__at", F.col("__at") + F.col("__before"))
-    taken = "least(greatest(__quota - __at - j * __total, 0), __size)"
-    copies = F.expr(f"""filter(transform(sequence(0L, cast(ceil({float(most)}D) as bigint) - 1), j -> named_struct(
-        'shard', least(size(filter(__ends, x -> x <= __at + j * __total)), {shards - 1}), 'size', {taken}, 'shuffle_key', xxhash64({seed + 1}, __h, j))), c -> c.size > 0)""")
-    out = rows.withColumn("__copies", copies)
+    low, high = "(__at + j * __total)", "least(__at + j * __total + __size, __quota)"
+    piece = f"""named_struct('copy', cast(j as int), 'shard', cast(size(filter(__ends, x -> x <= (b * __step) % __blocks)) as int), 'start', greatest(b * {block} - {low}, 0L),
+        'size', least((b + 1) * {block}, {high}) - greatest(b * {block}, {low}), 'shuffle_key', xxhash64({seed + 1}, __h, j, b))"""
+    pieces = F.expr(f"""filter(flatten(transform(sequence(0L, cast(ceil({float(most)}D) as bigint) - 1), j -> if({high} > {low},
+        transform(sequence({low} div {block}, ({high} - 1) div {block}), b -> {piece}), array()))), c -> c.shard < {shards})""")
+    out = rows.withColumn("__copies", pieces)
     columns = [F.col(c) for c in df.columns if c not in OUTPUTS or c in (key, source, size)]
     return out.select(*columns, F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.expr("aggregate(__copies, 0L, (t, c) -> t + c.size)").alias("taken"), F.col("__copies").alias("copies"))
 
 
-def shards_of(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per copy, dealt to its shard and shuffled there by the hash."""
+def shards_of(mixed: DataFrame, size: str, least: float = 0.0, partitions: int | None = None) -> DataFrame:
+    """The rows of a mix, whole, once for each repeat of which it takes more than ``least`` of the row, in ``shard`` (that
+    which drew most of the repeat) with how much was taken. Shards are dealt to tasks in parts and shuffled there by the
+    hash, so a shard of any size is no single task."""
     columns = [c for c in mixed.columns if c not in OUTPUTS]
-    rows = mixed.select(*columns, F.explode("copies").alias("copy")).select(*columns, "copy.shard", F.col("copy.size").alias("taken"), F.col("copy.shuffle_key").alias("shuffle_key"))
-    by = (partitions, "shard") if partitions else ("shard",)
-    return rows.repartition(*by).sortWithinPartitions("shard", "shuffle_key")
+    repeat = """aggregate(filter(copies, c -> c.copy = j), named_struct('n', 0L, 'most', -1L, 'shard', 0, 'shuffle_key', 0L),
+        (a, c) -> named_struct('n', a.n + c.size, 'most', greatest(a.most, c.size), 'shard', if(c.size > a.most, c.shard, a.shard), 'shuffle_key', if(c.size > a.most, c.shuffle_key, a.shuffle_key)))"""
+    repeats = F.expr(f"filter(transform(array_distinct(transform(copies, c -> c.copy)), j -> {repeat}), r -> r.n > 0 and r.n >= {float(least)}D * `{size}`)")
+    rows = mixed.select(*columns, F.explode(repeats).alias("copy")).select(*columns, "copy.shard", F.col("copy.n").alias("taken"), F.col("copy.shuffle_key").alias("shuffle_key"))
+    count = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, F.col("shard"), F.pmod("shuffle_key", F.lit(count))).sortWithinPartitions("shard", "shuffle_key")

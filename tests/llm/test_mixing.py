@@ -69,14 +69,44 @@ def test_shards_share_the_quota_exactly(spark):
     quotas = {"a": 64_000, "b": 6_400, None: 128, "c": 0}
     ends = {r.source: r.ends for r in shard_ends(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 8, 64, 1).collect()}
     for s, q in quotas.items():
-        assert len(ends[s]) == 8 and ends[s][-1] == q and ends[s] == sorted(ends[s])
+        assert len(ends[s]) == 8 and ends[s][-1] == q // 64 and ends[s] == sorted(ends[s])
     runs = [sum(ends[s][i] - (ends[s][i - 1] if i else 0) for s in quotas) for i in range(8)]
-    assert max(runs) - min(runs) <= 64
+    assert max(runs) - min(runs) <= 1
     df = spark.range(400).selectExpr("id as doc_id", "cast(id % 4 as string) as source", "cast(30 as bigint) as size")
-    rows = shards_of(mix(df, "doc_id", "source", "size", shards=4)).collect()
+    rows = shards_of(mix(df, "doc_id", "source", "size", shards=4, block=64), "size").collect()
     assert sum(r.taken for r in rows) == 18_000 and {r["shard"] for r in rows} == {0, 1, 2, 3}
 
 
+def test_pieces_are_the_blocks_that_the_shards_drew(spark):
+    """Against the tree: each shard holds its number of blocks of each source, no word is taken twice in a repeat."""
+    block, shards = 50, 8
+    df = spark.range(300).selectExpr("id as doc_id", "cast(id % 3 as string) as source", "(id * 37) % 211 as size")
+    rows = mix(df, "doc_id", "source", "size", shards=shards, block=block, seed=3).collect()
+    quotas = {r.source: round(r.target) for r in rows}
+    ends = {r.source: r.ends for r in shard_ends(spark.createDataFrame(list(quotas.items()), "source string, quota long"), shards, block, 3).collect()}
+    held = defaultdict(int)
+    for r in rows:
+        for j in {c.copy for c in r.copies}:
+            mine = sorted((c.start, c.size) for c in r.copies if c.copy == j)
+            assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and sum(n for _, n in mine) <= r.size
+        for c in r.copies:
+            held[r.source, c.shard] += c.size
+    for s, q in quotas.items():
+        short = -q % block  # the last block of the quota
+        for i in range(shards):
+            blocks = ends[s][i] - (ends[s][i - 1] if i else 0)
+            assert held[s, i] in (blocks * block, blocks * block - short)
+        assert sum(held[s, i] for i in range(shards)) == q
+
+
+def test_shards_of_gives_whole_rows_by_share(spark):
+    df = spark.range(100).selectExpr("id as doc_id", "'a' as source", "100 as size")
+    mixed = mix(df, "doc_id", "source", "size", shards=4, block=64)
+    rows = shards_of(mixed, "size", 0.5).collect()
+    assert len(rows) == 150 and all(r.taken >= 50 for r in rows)
+    assert shards_of(mixed.limit(0), "size").count() == 0
+
+
 def test_hypergeometric_draws_follow_the_exact_distribution(spark):
     pool, marked, draws = 30, 11, 13
     rows = spark.range(20_000).selectExpr(f"{_hypergeometric(f'{pool}L', f'{marked}L', f'{draws}L', '((id + 0.5D) / 20000)')} as x").groupBy("x").count().collect()
