@@ -6,7 +6,7 @@ stage before it kept.
 3. Substring dedup: words in passages of 13 words that a smaller document also has are removed; a document of which no
    word is left goes.
 4. Mixing: sources take part by weight, 150 % of all words; a document that the mix takes twice is there twice, one of
-   which it takes less than half goes.
+   which it takes less than half goes. Documents lie in the shards that drew most of them, shuffled.
 5. SentencePiece: the mix as token ids, with what they decode to.
 
 Every row is a document, whatever its id. In stages 2 and 3 documents are in the order of their ids; those with the same
@@ -57,8 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs.withColumn("size", mixing.word_count("text")), "doc_id", "source", "size")
-    copies = F.explode(F.filter("copies", lambda c: c["size"] * 2 >= F.col("size")))
-    return mixed.select(*COLUMNS, copies.alias("copy")).select(*COLUMNS)
+    return mixing.shards_of(mixed, "size", least=0.5).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
