@@ -4,13 +4,15 @@
    windows have equal anchors; only anchors that two documents share (a fifth of the positions go in, a partial minimum
    and maximum come out) can belong to a repeated window.
 2. Windows with such an anchor meet by ranges of their hashes, packed, one entry for each window and block of documents;
-   a window is confirmed if it starts in two documents. Its first document is the smallest.
-3. Each block gets the confirmed windows that it holds in later documents. Their anchors are compiled, as phrases of
-   words, into Aho-Corasick automata of bounded size, and all documents of the block are streamed through each; around
-   every occurrence the windows are compared with the confirmed ones, and those from a smaller document are marked.
+   one that starts in two documents recurs. Its first document is the smallest.
+3. The first documents hand their recurring passages, word by word, to the blocks that hold later documents with them.
+4. A block compiles the anchors of its passages, as phrases of words, into Aho-Corasick automata of bounded size and
+   streams all its documents through each. Around every occurrence the windows are compared with the passages, word by
+   word, and those that a smaller document's passage has are marked. Nothing but the automata says where to look.
 
 A window that stands in very many documents costs one entry a block. Blocks hold about ``BLOCK_CHARS`` of text, automata
-``SHARD_PHRASES`` phrases, so tasks are bounded; nothing is sampled or capped.
+``SHARD_PHRASES`` phrases, so tasks are bounded; nothing is sampled or capped. Hashes only propose: no two windows are
+taken for equal by them (two unequal ones of one 64-bit hash could hide the one that starts in the larger document).
 
 Defined results: null and empty texts have no words; a document with a null key is neither a source nor changed; rows
 with equal keys aren't before each other; a text shorter than the window stays.
@@ -79,9 +81,9 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 PACKED = "range int, block int, w binary, least binary, several binary"
 
 
-def confirmed_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: int, bits: int) -> DataFrame:
-    """``block, w, first`` (packed): the windows of each block that stand in a document behind the one they first start
-    in."""
+def recurring_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: int, bits: int) -> DataFrame:
+    """``source, w, first, block`` (packed): the windows that blocks hold in a document behind the one they first start
+    in; ``source`` is the block of that one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -114,80 +116,149 @@ def confirmed_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
             yield flush()
 
     def confirm(rows: pa.Table) -> pa.Table:
-        w = [np.frombuffer(x, np.uint64) for x in rows["w"].to_pylist()]
-        least = [np.frombuffer(x, np.int64) for x in rows["least"].to_pylist()]
-        keys, place = np.unique(np.concatenate(w), return_inverse=True)
-        first = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(first, place, np.concatenate(least))
-        out, at = [], 0
-        for block, x, k, several in zip(rows["block"].to_pylist(), w, least, rows["several"].to_pylist()):
-            own = first[place[at : at + len(x)]]
-            at += len(x)
-            later = (k > own) | np.frombuffer(several, bool)
-            if later.any():
-                out.append((block, x[later].tobytes(), own[later].tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 3
-        return pa.table({"block": pa.array(columns[0], pa.int32()), "w": pa.array(columns[1], pa.binary()), "first": pa.array(columns[2], pa.binary())})
+        found = [np.frombuffer(x, np.uint64) for x in rows["w"].to_pylist()]
+        block = np.repeat(rows["block"].to_numpy(), [len(x) for x in found])
+        w = np.concatenate(found)
+        k = np.frombuffer(b"".join(rows["least"].to_pylist()), np.int64)
+        several = np.frombuffer(b"".join(rows["several"].to_pylist()), bool)
+        order = np.lexsort((k, w))
+        w, k, block, several = w[order], k[order], block[order], several[order]
+        heads = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        own = np.repeat(heads, np.diff(np.append(heads, len(w))))  # where the window's first document stands
+        later = np.flatnonzero((k > k[own]) | several)
+        source, first = block[own[later]], k[own[later]]
+        order = np.argsort(source, kind="stable")
+        later, source, first = later[order], source[order], first[order]
+        cuts = [*np.flatnonzero(np.append(True, source[1:] != source[:-1])).tolist(), len(source)] if len(source) else [0]
+        out = [(int(source[a]), w[later[a:b]].tobytes(), first[a:b].tobytes(), block[later[a:b]].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        columns = list(zip(*out)) if out else [[]] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("source", "w", "first", "block"), columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
     both = docs.repartition(blocks, "k").join(lists.withColumnRenamed("k", "lk").repartition(blocks, "lk"), F.col("k") == F.col("lk"))
     rows = both.select("k", "t", "shared", "block").mapInArrow(run, PACKED)
-    return rows.groupBy("range").applyInArrow(confirm, "block int, w binary, first binary")
+    return rows.groupBy("range").applyInArrow(confirm, "source int, w binary, first binary, block binary")
+
 
+def passages(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
+    """``to, first, passage``: for each block that later documents of a recurring window stand in, the longest runs of
+    such windows of each first document, as words joined by spaces."""
 
-def _marks(keys: list, texts: list[list[bytes]], hashes: list[np.ndarray], windows: np.ndarray, firsts: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each document of a block, which words a confirmed window from a smaller key covers."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, first, block = (np.frombuffer(b"".join(right[c].to_pylist()), t) for c, t in (("w", np.uint64), ("first", np.int64), ("block", np.int32)))
+        order = np.lexsort((w, block, first))
+        w, first, block = w[order], first[order], block[order]
+        keys, edges = np.unique(first, return_index=True)
+        edges = dict(zip(keys.tolist(), zip(edges.tolist(), [*edges[1:].tolist(), len(first)])))
+        out: list[tuple[int, int, str]] = []
+        for k, t in zip(left["k"].to_pylist(), left["t"].to_pylist()):
+            if k not in edges:
+                continue
+            a, b = edges[k]
+            words, own = words_of(t), rolled(word_hashes(t), window)
+            for lo, hi in _runs(block[a:b]):
+                held = np.concatenate([[False], np.isin(own, w[a + lo : a + hi]), [False]])
+                turns = np.flatnonzero(held[1:] != held[:-1])
+                out += [(int(block[a + lo]), k, b" ".join(words[i : j + window - 1]).decode()) for i, j in zip(turns[0::2].tolist(), turns[1::2].tolist())]
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.table({"to": pa.array(columns[0], pa.int32()), "first": pa.array(columns[1], pa.int64()), "passage": pa.array(columns[2], pa.string())})
+
+    return docs.select("block", "k", "t").groupBy("block").cogroup(recurring.groupBy("source")).applyInArrow(run, "to int, first long, passage string")
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = [*np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist(), len(values)] if len(values) else [0]
+    return list(zip(edges, edges[1:]))
+
+
+class Passages:
+    """The recurring passages of a block: their words as numbers, and an index of their windows."""
+
+    def __init__(self, texts: list[str], firsts: list[int], window: int):
+        self.window, self.size = window, min(ANCHOR, window)
+        split = [words_of(t) for t in texts]
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+        flat, starts, first, anchors, at = [], [], [], [], 0
+        for words, text, f in zip(split, texts, firsts):
+            flat.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+            n = len(words) - window + 1
+            starts.append(np.arange(at, at + n))
+            first.append(np.full(n, f))
+            runs = rolled(word_hashes(text), self.size)
+            span = np.lib.stride_tricks.sliding_window_view(runs, window - self.size + 1)
+            anchors.append(np.unique(np.arange(n) + span.argmin(1)) + at)
+            at += len(words)
+        self.words = np.concatenate(flat)
+        starts, first = np.concatenate(starts), np.concatenate(first)
+        for seed in range(1, 1000):  # until no two unequal windows have one hash
+            self.seed = np.uint64(seed)
+            hashes = self._hashes(self.words)[starts]
+            order = np.lexsort((first, hashes))
+            ranked, at = hashes[order], starts[order]
+            twin = np.flatnonzero(ranked[1:] == ranked[:-1])
+            if all((self.words[at[twin] + i] == self.words[at[twin + 1] + i]).all() for i in range(window)):
+                break
+        once = np.append(True, ranked[1:] != ranked[:-1])
+        self.hashes, self.starts, self.first = ranked[once], at[once], first[order][once]
+        phrases = self.words[np.concatenate(anchors)[:, None] + np.arange(self.size)]
+        self.phrases = np.unique(phrases, axis=0)
+
+    def _hashes(self, words: np.ndarray) -> np.ndarray:
+        return rolled(words.astype(np.uint64) * np.uint64(2) + self.seed, self.window)
+
+    @staticmethod
+    def letters(words: np.ndarray) -> str:
+        """Two letters a word; two spaces for a word (-1) that no passage has."""
+        out = np.full((len(words), 2), 32, "<u4")
+        known = words >= 0
+        out[known, 0], out[known, 1] = 0x100 + words[known] // LETTERS, 0x10000 + words[known] % LETTERS
+        return out.tobytes().decode("utf-32-le")
+
+    def automata(self) -> Iterator[ahocorasick.Automaton]:
+        for lo in range(0, len(self.phrases), SHARD_PHRASES):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in self.phrases[lo : lo + SHARD_PHRASES]:
+                automaton.add_word(self.letters(p))
+            automaton.make_automaton()
+            yield automaton
+
+    def earlier(self, words: np.ndarray, starts: np.ndarray, key: int) -> np.ndarray:
+        """Those of the starts at which a window stands that a passage from a smaller key has, word by word."""
+        hashes = self._hashes(words)[starts]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = (self.hashes[at] == hashes) & (self.first[at] < key)
+        starts, at = starts[same], self.starts[at[same]]
+        equal = np.ones(len(starts), bool)
+        for i in range(self.window):
+            equal &= words[starts + i] == self.words[at + i]
+        return starts[equal]
+
+
+def _marks(keys: list, texts: list[list[bytes]], held: list[str], firsts: list[int], window: int) -> list[np.ndarray]:
+    """For each document of a block, which words a window covers that a smaller key's passage has."""
     marks = [np.zeros(len(words), bool) for words in texts]
-    if not len(windows):
-        return marks
-    windows, at = np.unique(windows, return_index=True)
-    firsts = firsts[at]
-    size = min(ANCHOR, window)
-    # the documents that hold a confirmed window (only these can be marked), and their confirmed windows' anchors
-    found: list[tuple[np.ndarray, ...]] = []
-    hit: list[int] = []
-    for n, hashed in enumerate(hashes):
-        own = rolled(hashed, window)
-        held = windows[np.minimum(np.searchsorted(windows, own), len(windows) - 1)] == own
-        if not held.any():
-            continue
-        hit.append(n)
-        runs = rolled(hashed, size)
-        at = np.flatnonzero(np.isin(runs, anchors_of(hashed, window)[held]))
-        found.append((runs[at], np.full(len(at), n), at))
-    if not found:
+    if not held:
         return marks
-    runs, doc, at = (np.concatenate(x) for x in zip(*found))
-    _, once = np.unique(runs, return_index=True)
-    doc, at = doc[once].tolist(), at[once].tolist()
-
-    def stream(phrases: list[tuple[bytes, ...]]) -> None:
-        """Compiles phrases into an automaton, locates them in all documents, and checks the windows around each."""
-        names = {w: chr(0x100 + i // LETTERS) + chr(0x10000 + i % LETTERS) for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            automaton.add_word("".join(map(names.__getitem__, p)))
-        automaton.make_automaton()
-        for n in hit:
-            k, words, hashed, mark = keys[n], texts[n], hashes[n], marks[n]
-            if k is None:
-                continue
-            ends = np.array([end for end, _ in automaton.iter("".join([names.get(w, "  ") for w in words]))], np.int64)
+    known = Passages(held, firsts, window)
+    get = known.numbers.get
+    streams = []
+    for n, (k, words) in enumerate(zip(keys, texts)):
+        if k is not None and len(words) >= window:
+            numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            streams.append((n, numbers, known.letters(numbers)))
+    for automaton in known.automata():
+        for n, numbers, letters in streams:
+            ends = np.array([end for end, _ in automaton.iter(letters)], np.int64)
             if not len(ends):
                 continue
-            near = np.zeros(len(words) - window + 1, bool)
-            start = ends // 2 - size + 1
-            for back in range(window - size + 1):
+            near = np.zeros(len(numbers) - window + 1, bool)
+            start = ends // 2 - known.size + 1
+            for back in range(window - known.size + 1):
                 s = start - back
                 near[s[(s >= 0) & (s < len(near))]] = True
-            s = np.flatnonzero(near)
-            found = rolled(hashed, window)[s]
-            at = np.minimum(np.searchsorted(windows, found), len(windows) - 1)
-            s = s[(windows[at] == found) & (firsts[at] < k)]
+            s = known.earlier(numbers, np.flatnonzero(near), keys[n])
             for i in range(window):
-                mark[s + i] = True
-
-    for lo in range(0, len(doc), SHARD_PHRASES):
-        stream([tuple(texts[n][i : i + size]) for n, i in zip(doc[lo : lo + SHARD_PHRASES], at[lo : lo + SHARD_PHRASES])])
+                marks[n][s + i] = True
     return marks
 
 
@@ -195,17 +266,20 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     """``key, n_words, n_removed, kept_text``: each word covered by a ``window``-word passage that also starts in a row
     with a smaller key is removed; the kept words are joined by one space. Windows are judged on the input."""
     blocks = block_count(df, text)
-    docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("block", F.pmod(F.hash("k"), F.lit(blocks)))
-    lists = settled(shared_anchors(docs, window))
+    docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    # without a key a row is only passed on: dealt by its text
+    docs = docs.withColumn("block", F.pmod(F.when(F.col("k").isNull(), F.hash("t")).otherwise(F.hash("k")), F.lit(blocks)))
+    keyed = docs.filter("k is not null")
+    lists = settled(shared_anchors(keyed, window))
     bits = max(0, math.ceil(math.log2(max(1, blocks * BLOCK_CHARS / RANGE_CHARS))))
-    confirmed = settled(confirmed_windows(docs.filter("k is not null"), lists, window, blocks, bits))
+    recurring = settled(recurring_windows(keyed, lists, window, blocks, bits))
+    held = settled(passages(keyed, recurring, window))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = left["k"].to_pylist(), [words_of(t) for t in left["t"].to_pylist()]
-        hashes = [word_hashes(t) for t in left["t"].to_pylist()]
-        marks = _marks(keys, texts, hashes, np.frombuffer(b"".join(right["w"].to_pylist()), np.uint64), np.frombuffer(b"".join(right["first"].to_pylist()), np.int64), window)
+        marks = _marks(keys, texts, right["passage"].to_pylist(), right["first"].to_pylist(), window)
         kept = [b" ".join([w for w, m in zip(words, mark.tolist()) if not m]).decode() if mark.any() else b" ".join(words).decode() for words, mark in zip(texts, marks)]
         return pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    out = docs.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(run, "k long, n_words long, n_removed long, kept_text string")
+    out = docs.groupBy("block").cogroup(held.groupBy("to")).applyInArrow(run, "k long, n_words long, n_removed long, kept_text string")
     return out.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), "n_words", "n_removed", "kept_text")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from plumbline.llm import queries, substrings
@@ -54,3 +55,19 @@ def test_random_texts_as_brute_force(spark, monkeypatch, window, shard):
 
 def test_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_automata_say_where_to_look(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, "x " + text), (3, text)], "doc_id long, text string").coalesce(1)
+    assert sum(r.n_removed for r in dedup_substrings(df).collect()) == 80
+    monkeypatch.setattr(substrings.Passages, "automata", lambda self: iter(()))
+    keys, texts = [1, 2], [text.encode().split()] * 2
+    assert not any(m.any() for m in substrings._marks(keys, texts, [text], [1], 13))
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(monkeypatch):
+    monkeypatch.setattr(substrings.Passages, "_hashes", lambda self, words: np.zeros(max(0, len(words) - self.window + 1), np.uint64) + (words[: len(words) - self.window + 1] if self.seed > 2 else 0).astype(np.uint64) if self.seed > 2 else np.zeros(len(words) - self.window + 1, np.uint64))
+    one, two = (" ".join(f"{c}{i}" for i in range(6)) for c in "ab")
+    marks = substrings._marks([5, 6], [two.encode().split(), b"c d e f g h".split()], [one, two], [1, 2], 4)
+    assert marks[0].all() and not marks[1].any()
