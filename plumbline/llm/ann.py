@@ -3,17 +3,19 @@
 Vectors get one more component that makes all norms equal, so that on the graph the largest inner product is the nearest
 neighbour; queries are compared by the plain inner product of the original vectors, in double precision.
 
-1. A first graph: random hyperplanes deal the vectors into leaves, several times; leaves are searched through in runs of
-   bounded size.
+1. Nodes are numbered along a rough order of space; ``HOME`` consecutive ones are at home together. A first graph comes
+   from runs of such orders, by several sets of random hyperplanes.
 2. NN-descent: in each round every node's neighbours, and a sample of the nodes that have it as a neighbour, meet in Spark
-   joins and are compared with each other; pairs that met before are skipped; each node keeps its best. The rounds end
-   when few lists change.
-3. Greedy search: each query starts from its place in the graph, follows the best nodes not yet followed, and ends when
-   the best ``BEAM`` it has seen have all been followed.
+   joins and are compared with each other; pairs that met before are skipped; each node keeps its best. What the nodes of
+   one home need is sent to it once. The rounds end when less than ``SETTLED_SHARE`` of the entries are new.
+3. Greedy search: queries start from their place in the graph, home by home; each follows the best nodes not yet
+   followed, what any of a home's queries comes to is compared with all of them, and the search ends when the best
+   ``BEAM`` that each query has seen have all been followed, however many rounds that takes.
 
 Equal vectors are one node, which its rows' smallest keys stand for in the answers, so copies of any number crowd nothing
-out. Every row is indexed. A node takes part in at most NEIGHBOURS + REVERSE comparisons' groups a round, whatever its fame;
-recall is measured against brute force in the tests. Vectors of different lengths are compared as if padded with zeros.
+out. Every row is indexed. A node takes part in at most neighbours + REVERSE comparisons' groups a round, whatever its
+fame; recall is measured against brute force in the tests. Vectors of different lengths are compared as if padded with
+zeros. The graph holds as many neighbours a node as are asked for, ``NEIGHBOURS`` at least, so no answer is short.
 
 Defined results: vectors null, empty, zero or holding null or non-finite components take no part, nor do rows with a
 null key; rows with equal keys are one vector; equal scores are ordered by key.
@@ -26,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +36,14 @@ from pyspark.sql.window import Window
 from plumbline.llm.common import settled
 from plumbline.llm.vectors import usable
 
-NEIGHBOURS, REVERSE = 36, 28
+NEIGHBOURS, REVERSE = 24, 16
 TABLES, LEAF = 6, 512
-ROUNDS, SETTLED_SHARE = 6, 0.02
-BEAM, FOLLOWED, SEARCH_ROUNDS = 192, 48, 10
+SETTLED_SHARE = 0.02
+BEAM, FOLLOWED = 160, 48
 #: Candidates that a node gets from one group.
 OFFERS = 6
+#: Nodes at home together, as bits: a node's number without them is its home.
+HOME_BITS = 12
 SEED = 11
 
 LIST_SCHEMA = "node long, ids binary, sims binary, fresh binary"
@@ -114,217 +119,284 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: int, most: int) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def _unpack(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+def _floats(column: pa.ChunkedArray | pa.Array, width: int, kind: type = np.float16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def index_vectors(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """``node, x`` (float32, all of one norm, packed), their width, and how many there are. rows: node, v."""
-    n, width, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))))).first()
+def _home(nodes: np.ndarray) -> np.ndarray:
+    return nodes >> HOME_BITS
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def index_vectors(classes: DataFrame) -> tuple[DataFrame, int, int, type]:
+    """``name, node, x, w``: each class numbered along an order of space, its vector of one norm (float16) and the
+    original (packed); how wide x is, how many there are, and what w holds. classes: node, v."""
+    n, width, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))))).first()
+    kind = np.float32 if dict(classes.dtypes)["v"] == "array<float>" else np.float64
+    bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
+    planes = np.random.default_rng(SEED - 1).normal(size=(width + 1, bits)).astype(np.float32)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros((batch.num_rows, width + 1), np.float64)
+            w = np.zeros((batch.num_rows, width), kind)
             for i, v in enumerate(batch.column(1).to_pylist()):
-                x[i, : len(v)] = v
-            x /= longest
+                w[i, : len(v)] = v
+            x = np.zeros((batch.num_rows, width + 1))
+            x[:, :-1] = w.astype(np.float64) / longest
             x[:, -1] = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["node", "x"])
+            leaf = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.int64()), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in w], pa.binary())], ["name", "leaf", "x", "w"])
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(at, at + batch.num_rows), pa.int64()), batch.column(2), batch.column(3)], ["name", "node", "x", "w"])
+            at += batch.num_rows
 
-    return settled(rows.select("node", "v").mapInArrow(run, "node long, x binary")), width + 1, n
+    packed = classes.select("node", "v").mapInArrow(pack, "name long, leaf long, x binary, w binary")
+    ordered = packed.repartitionByRange(max(1, n >> HOME_BITS), "leaf", "name").sortWithinPartitions("leaf", "name")
+    return settled(ordered.mapInArrow(number, "name long, node long, x binary, w binary")), width + 1, n, kind
 
 
-def first_graph(index: DataFrame, width: int, n: int) -> DataFrame:
+def first_graph(index: DataFrame, width: int, n: int, neighbours: int) -> DataFrame:
+    """The best of the runs that each node is in, in as many orders as there are tables. A run goes on over a leaf's
+    end, so that a vector alone in its leaf has neighbours too."""
     bits = max(0, math.ceil(math.log2(max(1, n / (LEAF // 2)))))
     planes = np.random.default_rng(SEED).normal(size=(TABLES, width, bits)).astype(np.float32)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unpack(batch.column(1), width)
+            x = _floats(batch.column(1), width).astype(np.float32)
             for t in range(TABLES):
                 leaf = ((x @ planes[t] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * TABLES + t), *batch.columns], ["leaf", "node", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int64()), pa.array(leaf, pa.int64()), *batch.columns], ["t", "leaf", "node", "x"])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 1, LEAF):
-            x, names = _unpack(run["x"], width), run["node"].to_numpy()
+            x, names = _floats(run["x"], width).astype(np.float32), run["node"].to_numpy()
             if len(names) < 2:
                 continue
             sims = x @ x.T
             np.fill_diagonal(sims, -9)
-            k = min(NEIGHBOURS, len(names) - 1)
+            k = min(neighbours, len(names) - 1)
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            yield _lists(np.repeat(names, k), names[best].ravel(), np.take_along_axis(sims, best, 1).ravel(), np.ones(best.size, np.uint8), NEIGHBOURS)
+            yield _lists(np.repeat(names, k), names[best].ravel(), np.take_along_axis(sims, best, 1).ravel(), np.ones(best.size, np.uint8), neighbours)
 
     # ranges, not hashes: a leaf that holds very many is spread over several tasks
-    dealt = index.mapInArrow(deal, "leaf long, node long, x binary").withColumn("h", F.xxhash64("node"))
-    return merged(dealt.repartitionByRange("leaf", "h").sortWithinPartitions("leaf", "h").select("leaf", "node", "x").mapInArrow(search, LIST_SCHEMA), NEIGHBOURS)
+    dealt = index.select("node", "x").mapInArrow(deal, "t long, leaf long, node long, x binary").withColumn("h", F.xxhash64("node"))
+    ordered = dealt.repartitionByRange(max(1, TABLES * n // (16 * LEAF)), "t", "leaf", "h").sortWithinPartitions("t", "leaf", "h")
+    return merged(ordered.select("t", "node", "x").mapInArrow(search, LIST_SCHEMA), neighbours)
 
 
-def edges_of(lists: DataFrame) -> DataFrame:
-    """``a, b, fresh`` for every entry b in the list of a."""
+MET_SCHEMA = "a long, met binary, fresh binary"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def meetings(lists: DataFrame) -> DataFrame:
+    """``a, met, fresh`` (packed): who meets at each node: its neighbours, and a sample by hash of the nodes that have it
+    as one."""
+
+    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, ids, _, fresh = _flat(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(ids, pa.int64()), pa.array(fresh > 0)], ["a", "b", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array(fresh > 0)], ["a", "b", "fresh"])
 
-    return lists.mapInArrow(run, "a long, b long, fresh boolean")
+    order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
+    back = lists.mapInArrow(edges, "a long, b long, fresh boolean").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, fresh = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist(), len(a)] if len(a) else [0]
+            yield pa.RecordBatch.from_arrays([pa.array(a[cuts[:-1]], pa.int64()), pa.array([b[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array([fresh[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["a", "met", "fresh"])
+
+    both = lists.select(F.col("node").alias("a"), F.col("ids").alias("met"), "fresh").union(back.select("a", "b", "fresh").mapInArrow(pack, MET_SCHEMA))
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _tables(batches):
+            a = run["a"].to_numpy()
+            cuts = [*np.flatnonzero(np.append(True, a[1:] != a[:-1])).tolist(), len(a)]
+            met, fresh, out = run["met"].to_pylist(), run["fresh"].to_pylist(), ([], [])
+            for i, j in zip(cuts, cuts[1:]):
+                ids, new = np.frombuffer(b"".join(met[i:j]), np.int64), np.frombuffer(b"".join(fresh[i:j]), np.uint8)
+                order = np.lexsort((1 - new, ids))
+                once = np.append(True, ids[order][1:] != ids[order][:-1]) if len(ids) else order
+                out[0].append(ids[order][once].tobytes())
+                out[1].append(new[order][once].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(a[cuts[:-1]], pa.int64()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "met", "fresh"])
+
+    return both.repartition("a").sortWithinPartitions("a").mapInArrow(join, MET_SCHEMA)
+
+
+def _tables(batches: Iterable[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Table]:
+    """Sorted batches in tables of ``most`` rows or a little more, cut between values of the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            table = pa.Table.from_batches(held)
+            a = table.column(0).to_numpy()
+            whole = int(np.searchsorted(a, a[-1]))
+            if whole:
+                yield table.slice(0, whole)
+            held = table.slice(whole).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
-def reverse_of(edges: DataFrame) -> DataFrame:
-    """``a, b, fresh``: for each node a sample, by hash, of the nodes b that have it in their lists."""
-    order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
-    return edges.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE).select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh")
 
+def _needed(met: DataFrame, column: str = "met") -> DataFrame:
+    """``home, b``: the nodes that any node of a home meets, once each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, 1, 1 << 30):
+            b = np.unique(np.frombuffer(b"".join(part[column].to_pylist()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), part["home"][0].as_py()), pa.int64()), pa.array(b)], ["home", "b"])
 
-def descend(lists: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    return met.select("home", column).repartition("home").sortWithinPartitions("home").mapInArrow(run, "home long, b long")
+
+
+def descend(lists: DataFrame, index: DataFrame, width: int, neighbours: int) -> DataFrame:
     """One round: lists improved by comparing the neighbours of every node with each other."""
-    edges = edges_of(lists)
-    meets = edges.union(reverse_of(edges)).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
-    most = NEIGHBOURS + REVERSE
+    met = settled(meetings(lists).withColumn("home", F.shiftright("a", HOME_BITS)))
+    most = neighbours + REVERSE
 
     def bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = [np.frombuffer(s, np.float32) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(s[-1]) if len(s) >= NEIGHBOURS else -9.0 for s in sims], pa.float32())], ["node", "bound"])
-
-    known = index.join(lists.select("node", "sims").mapInArrow(bounds, "node long, bound float").withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "x", F.coalesce("bound", F.lit(-9.0)).cast("float").alias("bound"))
-    groups = meets.join(known, F.col("b") == F.col("node")).select("a", "b", "fresh", "bound", "x")
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def offers(runs: list[pa.Table]) -> pa.RecordBatch:
-            sizes = np.array([r.num_rows for r in runs])
-            table = pa.concat_tables(runs)
-            at = np.repeat(np.arange(len(runs)), sizes), np.concatenate([np.arange(s) for s in sizes])
-            x, names, fresh, bound = np.zeros((len(runs), most, width), np.float32), np.full((len(runs), most), -1), np.zeros((len(runs), most), bool), np.full((len(runs), most), 9, np.float32)
-            x[at], names[at], fresh[at], bound[at] = _unpack(table["x"], width), table["b"].to_numpy(), table["fresh"].to_numpy(), table["bound"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(s[-1]) if len(s) >= neighbours else -9.0 for s in sims], pa.float32())], ["node", "bound"])
+
+    known = index.select("node", "x").join(lists.select("node", "sims").mapInArrow(bounds, "n long, bound float"), F.col("node") == F.col("n"), "left").select("node", "x", F.coalesce("bound", F.lit(-9.0)).cast("float").alias("bound"))
+    sent = _needed(met).join(known, F.col("b") == F.col("node")).select("home", "b", "bound", "x")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([_lists(*(np.empty(0, t) for t in (np.int64, np.int64, np.float32, np.uint8)), neighbours)])
+        names, bound, vectors = right["b"].to_numpy(), right["bound"].to_numpy(), _floats(right["x"], width)
+        order = np.argsort(names)
+        names, bound, vectors = names[order], bound[order], vectors[order]
+        groups = [(np.searchsorted(names, np.frombuffer(m, np.int64)), np.frombuffer(f, bool)) for m, f in zip(left["met"].to_pylist(), left["fresh"].to_pylist()) if any(f)]
+        out: list[tuple[np.ndarray, ...]] = []
+        for lo in range(0, len(groups), 256):
+            part = groups[lo : lo + 256]
+            sizes = np.array([len(m) for m, _ in part])
+            at = np.repeat(np.arange(len(part)), sizes), np.concatenate([np.arange(s) for s in sizes])
+            who, fresh = np.full((len(part), most), -1), np.zeros((len(part), most), bool)
+            who[at], fresh[at] = np.concatenate([m for m, _ in part]), np.concatenate([f for _, f in part])
+            x = vectors[who].astype(np.float32)
             sims = x @ x.transpose(0, 2, 1)
-            use = (names[:, :, None] >= 0) & (names[:, None, :] >= 0) & (fresh[:, :, None] | fresh[:, None, :]) & (sims > bound[:, :, None])
+            use = (who[:, :, None] >= 0) & (who[:, None, :] >= 0) & (fresh[:, :, None] | fresh[:, None, :]) & (sims > bound[who][:, :, None])
             use[:, np.arange(most), np.arange(most)] = False
             sims = np.where(use, sims, -9)
             best = np.argpartition(-sims, OFFERS - 1, axis=2)[:, :, :OFFERS]
             value = np.take_along_axis(sims, best, 2)
             g, i, o = np.nonzero(value > -9)
-            return _lists(names[g, i], names[g, best[g, i, o]], value[g, i, o], np.ones(len(g), np.uint8), NEIGHBOURS)
-
-        held: list[pa.Table] = []
-        for run in _runs(batches, 1, most):
-            held.append(run)
-            if len(held) >= 128:
-                yield offers(held)
-                held = []
-        if held:
-            yield offers(held)
+            out.append((who[g, i], who[g, best[g, i, o]], value[g, i, o]))
+        node, ids, sims = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        return pa.Table.from_batches([_lists(names[node], names[ids], sims, np.ones(len(node), np.uint8), neighbours)])
 
-    found = groups.repartition("a").sortWithinPartitions("a").mapInArrow(compare, LIST_SCHEMA)
+    found = met.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(compare, LIST_SCHEMA)
 
     def aged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([bytes(len(f)) for f in batch.column(3).to_pylist()], pa.binary())], batch.schema.names)
 
-    return merged(lists.mapInArrow(aged, LIST_SCHEMA).union(found), NEIGHBOURS)
+    return merged(lists.mapInArrow(aged, LIST_SCHEMA).union(found), neighbours)
 
 
-def neighbour_graph(index: DataFrame, width: int, n: int) -> DataFrame:
-    """NN-descent from the first graph: ``node, ids, sims, fresh``."""
-    lists = settled(first_graph(index, width, n))
-    if n <= LEAF:
-        return lists  # one leaf: the first graph is exact
-    for _ in range(ROUNDS):
-        lists = settled(descend(lists, index, width))
-        changed = edges_of(lists).filter("fresh").count()
-        if changed < SETTLED_SHARE * n * NEIGHBOURS:
-            break
-    return lists
+def neighbour_graph(index: DataFrame, width: int, n: int, neighbours: int) -> DataFrame:
+    """NN-descent from the first graph: ``node, ids, sims, fresh``. Lists only get better, so the rounds end."""
+    lists = settled(first_graph(index, width, n, neighbours))
+    while True:
+        lists = settled(descend(lists, index, width, neighbours))
+        fresh = lists.select(F.coalesce(F.sum(F.length(F.replace(F.hex("fresh"), F.lit("00"), F.lit("")))), F.lit(0))).first()[0] // 2
+        if fresh <= SETTLED_SHARE * n * neighbours:
+            return lists
 
 
-STATE_SCHEMA = "q long, v array<double>, ids binary, scores binary, followed binary, seen binary"
+STATE_SCHEMA = "home long, q binary, v binary, ids binary, scores binary, followed binary, seen binary"
 
 
-def search(queries: DataFrame, rows: DataFrame, lists: DataFrame, most: int) -> DataFrame:
-    """Greedy search from each query's own place. queries, rows: node, v."""
-    edges = edges_of(lists).select("a", "b")
-    near = settled(edges.union(reverse_of(edges_of(lists)).select("a", "b")).groupBy("a").agg(F.collect_set("b").alias("near")))
-    beam = max(BEAM, most)
+def search(queries: DataFrame, index: DataFrame, lists: DataFrame, width: int, kind: type, most: int) -> DataFrame:
+    """``query_id, id, score``: greedy search from each query's own place. queries: the index's rows that ask."""
+    near = settled(meetings(lists).select("a", "met"))
+    beam = max(BEAM, 4 * most)
 
-    def begin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            none = pa.array([b""] * batch.num_rows, pa.binary())
-            own = pa.array([np.array([q], np.int64).tobytes() for q in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none, none, own], ["q", "v", "ids", "scores", "followed", "seen"])
+    def begin(table: pa.Table) -> pa.Table:
+        q = table["node"].to_numpy()
+        none = np.zeros((len(q), beam))
+        row = (int(_home(q[:1])[0]), q.tobytes(), b"".join(table["w"].to_pylist()), np.full((len(q), beam), -1).tobytes(), (none - np.inf).tobytes(), none.astype(bool).tobytes(), np.sort(q).tobytes())
+        return pa.table({c.split()[0]: pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, (c, x) in enumerate(zip(STATE_SCHEMA.split(", "), row))})
 
-    def advance(state: pa.Table, found: pa.Table) -> pa.Table:
-        """Adds the candidates to a query's state."""
-        if not state.num_rows:
-            return state
-        q, v, ids, scores, followed, seen = (state.column(i)[0].as_py() for i in range(6))
-        ids, scores, followed, seen = np.frombuffer(ids, np.int64), np.frombuffer(scores, np.float64), np.frombuffer(followed, bool), np.frombuffer(seen, np.int64)
-        if found.num_rows:
-            names = found["b"].to_numpy()
-            x = np.frombuffer(b"".join(found["w"].to_pylist()), np.float64).reshape(len(names), -1)[:, : len(v)]
-            y = (x * np.array(v)).sum(1)
-            ids, scores = np.concatenate([ids, names]), np.concatenate([scores, y])
-            followed = np.concatenate([followed, np.zeros(len(names), bool)])
-            seen = np.concatenate([seen, names])
-        order = np.lexsort((ids, -scores))[:beam]
-        ids, scores, followed = ids[order], scores[order], followed[order]
-        return pa.table({"q": [q], "v": pa.array([v], pa.list_(pa.float64())), "ids": [ids.tobytes()], "scores": [scores.tobytes()], "followed": [followed.tobytes()], "seen": [seen.tobytes()]})
+    def opened(row: dict) -> tuple[np.ndarray, ...]:
+        q, seen = np.frombuffer(row["q"], np.int64), np.frombuffer(row["seen"], np.int64)
+        shaped = lambda c, t: np.frombuffer(row[c], t).reshape(len(q), beam)
+        return q, shaped("ids", np.int64), shaped("scores", np.float64), shaped("followed", bool), seen
+
+    def _next(ids: np.ndarray, followed: np.ndarray) -> np.ndarray:
+        """Which entries of the beams (best first) are followed now."""
+        open_ = (ids >= 0) & ~followed
+        return open_ & (np.cumsum(open_, axis=1) <= FOLLOWED)
 
     def front(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best nodes of each query not yet followed; a query that starts follows itself."""
         for batch in batches:
-            qs, nodes = [], []
-            for q, ids, followed in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4))):
-                best = np.frombuffer(ids, np.int64)[~np.frombuffer(followed, bool)][:FOLLOWED] if ids else np.array([q])
-                qs += [q] * len(best)
-                nodes += best.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(nodes, pa.int64())], ["q", "a"])
+            for row in batch.to_pylist():
+                q, ids, _, followed, seen = opened(row)
+                a = q if len(seen) == len(q) and not followed.any() and (ids < 0).all() else np.unique(ids[_next(ids, followed)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["home"]), pa.int64()), pa.array(a, pa.int64())], ["home", "a"])
 
     def unseen(state: pa.Table, met: pa.Table) -> pa.Table:
-        if not state.num_rows or not met.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        new = np.setdiff1d(met["near"].combine_chunks().flatten().to_numpy(), np.frombuffer(state["seen"][0].as_py(), np.int64))
-        return pa.table({"q": np.full(len(new), state["q"][0].as_py()), "b": new})
+        held = [np.frombuffer(m, np.int64) for m in met["met"].to_pylist()] if state.num_rows else []
+        new = np.setdiff1d(np.concatenate(held), np.frombuffer(state["seen"][0].as_py(), np.int64)) if held else np.empty(0, np.int64)
+        return pa.table({"home": np.full(len(new), state["home"][0].as_py() if state.num_rows else 0), "b": new})
 
-    def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks what ``front`` has handed out."""
-        for batch in batches:
-            out = []
-            for f in batch.column(4).to_pylist():
-                f = np.frombuffer(f, bool).copy()
-                f[np.flatnonzero(~f)[:FOLLOWED]] = True
-                out.append(f.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary()), batch.column(5)], batch.schema.names)
-
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors in doubles as bytes, padded to the same width."""
-        for batch in batches:
-            x = np.zeros((batch.num_rows, width))
-            for i, v in enumerate(batch.column(1).to_pylist()):
-                x[i, : len(v)] = v
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["n", "w"])
-
-    vectors = settled(rows.select("node", "v").mapInArrow(pack, "n long, w binary"))
-    state = settled(queries.select("node", F.col("v").cast("array<double>").alias("v")).mapInArrow(begin, STATE_SCHEMA))
-    for _ in range(SEARCH_ROUNDS):
-        fronts = state.mapInArrow(front, "q long, a long")
-        met = settled(fronts.join(near, "a").select("q", "near"))
+    def advance(state: pa.Table, found: pa.Table) -> pa.Table:
+        """Marks what ``front`` has handed out and adds the candidates to the state of every query of the home."""
+        if not state.num_rows:
+            return state
+        row = state.to_pylist()[0]
+        q, ids, scores, followed, seen = opened(row)
+        followed = followed | _next(ids, followed)
+        v, b = _floats(state["v"], width, kind).astype(np.float64), found["b"].to_numpy()
+        x = _floats(found["w"], width, kind).astype(np.float64) if len(b) else np.zeros((0, width))
+        for lo in range(0, len(b), 8192):
+            names = b[lo : lo + 8192]
+            new = v @ x[lo : lo + 8192].T
+            all_ids, all_scores = np.concatenate([ids, np.broadcast_to(names, new.shape)], 1), np.concatenate([scores, new], 1)
+            all_followed = np.concatenate([followed, np.zeros(new.shape, bool)], 1)
+            if all_ids.shape[1] > beam:
+                best = np.argpartition(-all_scores, beam - 1, axis=1)[:, :beam]
+                all_ids, all_scores, all_followed = (np.take_along_axis(z, best, 1) for z in (all_ids, all_scores, all_followed))
+            order = np.lexsort((all_ids, -all_scores), axis=1)
+            ids, scores, followed = (np.take_along_axis(z, order, 1) for z in (all_ids, all_scores, all_followed))
+        # own entries: a query is no candidate of its own, but its home's other queries are
+        row |= {"ids": ids.tobytes(), "scores": scores.tobytes(), "followed": followed.tobytes(), "seen": np.union1d(seen, b).tobytes()}
+        return pa.table({c.split()[0]: pa.array([row[c.split()[0]]], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(STATE_SCHEMA.split(", "))})
+
+    vectors = index.select(F.col("node").alias("n"), "w")
+    state = settled(queries.select("node", "w", F.shiftright("node", HOME_BITS).alias("home")).groupBy("home").applyInArrow(begin, STATE_SCHEMA))
+    asked = queries.select(F.shiftright("node", HOME_BITS).alias("home"), F.col("node").alias("b"))
+    extra = asked  # the first time, a home's queries are candidates of each other
+    while True:
+        met = settled(state.mapInArrow(front, "home long, a long").join(near, "a").select("home", "met"))
         if met.isEmpty():
             break
-        new = state.groupBy("q").cogroup(met.groupBy("q")).applyInArrow(unseen, "q long, b long")
-        found = new.join(vectors, F.col("b") == F.col("n")).select("q", "b", "w")
-        state = settled(state.mapInArrow(follow, STATE_SCHEMA).groupBy("q").cogroup(found.groupBy("q")).applyInArrow(advance, STATE_SCHEMA))
+        new = state.select("home", "seen").groupBy("home").cogroup(met.groupBy("home")).applyInArrow(unseen, "home long, b long")
+        new = new.union(extra) if extra is not None else new
+        extra = None
+        found = new.join(vectors, F.col("b") == F.col("n")).select("home", "b", "w")
+        state = settled(state.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(advance, STATE_SCHEMA))
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(q, r + 1, i, s) for q, ids, scores in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))) for r, (i, s) in enumerate(zip(np.frombuffer(ids, np.int64)[:most].tolist(), np.frombuffer(scores, np.float64)[:most].tolist()))]
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["query_id", "rank", "id", "score"])
+            for row in batch.to_pylist():
+                q, ids, scores, _, _ = opened(row)
+                i, j = np.nonzero((ids >= 0) & (ids != q[:, None]))
+                few = np.arange(len(i)) - np.searchsorted(i, i) < most
+                i, j = i[few], j[few]
+                yield pa.RecordBatch.from_arrays([pa.array(q[i], pa.int64()), pa.array(ids[i, j], pa.int64()), pa.array(scores[i, j], pa.float64())], ["query_id", "id", "score"])
 
-    return state.mapInArrow(answer, "query_id long, rank int, id long, score double")
+    return state.mapInArrow(answer, "query_id long, id long, score double")
 
 
 def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", most: int = 20) -> DataFrame:
@@ -333,9 +405,13 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     rows = df.select(F.col(key).cast("long").alias("node"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("node").isNotNull() & usable("v"))
     rows = settled(rows.groupBy("node").agg(F.min(F.struct("v", "asks")).alias("r")).select("node", "r.v", "r.asks"))
     classes = settled(rows.groupBy("v").agg(F.min("node").alias("node"), F.max("asks").alias("asks")).select("node", "v", "asks"))
-    index, width, n = index_vectors(classes)
-    lists = neighbour_graph(index, width, n)
-    found = search(classes.filter("asks"), classes, lists, most).select("query_id", "id", "score")
+    index, width, n, kind = index_vectors(classes)
+    lists = neighbour_graph(index, width, n, max(NEIGHBOURS, most))
+    asking = classes.filter("asks").select(F.col("node").alias("name"))
+    found = search(index.join(asking, "name", "left_semi"), index, lists, width - 1, kind, most)
+    names = index.select("name", "node")
+    found = settled(found).join(names.select(F.col("node").alias("query_id"), F.col("name").alias("q")), "query_id").join(names.select(F.col("node").alias("id"), F.col("name").alias("i")), "id")
+    found = found.select(F.col("q").alias("query_id"), F.col("i").alias("id"), "score")
 
     def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
