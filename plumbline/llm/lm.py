@@ -22,10 +22,12 @@ Defined results: a null or empty text is the end token alone; rows with a null k
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +65,21 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps."""
-    return planes(np.diff(keys, prepend=keys[:1])) + keys[:1].tobytes() if len(keys) else b""
+    """Sorted keys as their steps, the high bytes of which are coded by how often each value occurs."""
+    if not len(keys):
+        return b""
+    steps = planes(np.diff(keys, prepend=keys[:1]))
+    cut = len(steps) - len(keys)  # the highest plane
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return keys[:1].tobytes() + len(keys).to_bytes(4, "little") + steps[:cut] + coder.compress(steps[cut:]) + coder.flush()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     if not raw:
         return np.empty(0, np.uint64)
-    steps = from_planes(raw[:-8])
-    return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(raw[-8:], np.uint64)
+    n = int.from_bytes(raw[8:12], "little")
+    cut = 13 + (raw[12] - 1) * n
+    return np.cumsum(from_planes(raw[12:cut] + zlib.decompress(raw[cut:], -15)), dtype=np.uint64) + np.frombuffer(raw[:8], np.uint64)
 
 
 def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,11 +118,28 @@ def range_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` (k, t, train, block) with the texts compressed, as ``z``: they are shuffled twice."""
+    kind = dict(docs.dtypes)["k"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for part in slices(batches):
+            texts = [packer.compress(t.encode()) if t else b"" for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()), part.column(2), part.column(3)], ["k", "z", "train", "block"])
+
+    return docs.select("k", "t", "train", "block").mapInArrow(run, f"k {kind}, z binary, train boolean, block int")
+
+
+def text_of(z: bytes) -> str:
+    return zstandard.decompress(z).decode() if z else ""
+
+
 COUNT_SCHEMA = "range int, kind int, block int, keys binary, counts binary"
 
 
 def block_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """Packed counts of each block, by range of the keys' hashes. ``docs``: t, train, block."""
+    """Packed counts of each block, by range of the keys' hashes. ``docs``: z, train, block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -131,7 +156,7 @@ def block_counts(docs: DataFrame, bits: int) -> DataFrame:
 
         for part in slices(batches, 0):
             for t, train, block in zip(*(part.column(i).to_pylist() for i in range(3))):
-                found = tokens(t)
+                found = tokens(text_of(t))
                 own = held.setdefault(block, ([], []))
                 own[0].append(found)
                 own[1].append(train)
@@ -141,7 +166,7 @@ def block_counts(docs: DataFrame, bits: int) -> DataFrame:
                     held, size = {}, 0
         yield from flush()
 
-    return docs.select("t", "train", "block").mapInArrow(run, COUNT_SCHEMA)
+    return docs.select("z", "train", "block").mapInArrow(run, COUNT_SCHEMA)
 
 
 TOTAL_SCHEMA = "block int, range int, kind int, differ binary, totals binary, tokens long, distinct long"
@@ -240,14 +265,14 @@ def lm_scores(df: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BLOCK_CHARS))
     bits = max(0, math.ceil(math.log2(max(1, chars / RANGE_CHARS))))
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
-    docs = docs.withColumn("block", F.pmod(F.hash("k", "t"), F.lit(blocks)))
-    totals = settled(range_totals(block_counts(docs.repartition(blocks, "k", "t"), bits), bits))
+    docs = squeezed(docs.withColumn("block", F.pmod(F.hash("k", "t"), F.lit(blocks))))
+    totals = settled(range_totals(block_counts(docs.repartition(blocks, "block"), bits), bits))
     n, v = totals.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     starts = docs.filter("train").count()
     kind = dict(df.dtypes)[key]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found, trains = [tokens(t) for t in left["t"].to_pylist()], left["train"].to_pylist()
+        found, trains = [tokens(text_of(z)) for z in left["z"].to_pylist()], left["train"].to_pylist()
         grams = ngrams(found, trains)
         cuts = [range_cuts(keys, bits) for keys, _, _ in grams]
         for part, which, differ, totals in zip(*(right[c].to_pylist() for c in ("range", "kind", "differ", "totals"))):
