@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -177,19 +178,15 @@ class Passages:
     def __init__(self, texts: list[str], firsts: list[int], window: int):
         self.window, self.size = window, min(ANCHOR, window)
         split = [words_of(t) for t in texts]
-        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
-        flat, starts, first, anchors, at = [], [], [], [], 0
-        for words, text, f in zip(split, texts, firsts):
-            flat.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-            n = len(words) - window + 1
-            starts.append(np.arange(at, at + n))
-            first.append(np.full(n, f))
-            runs = rolled(word_hashes(text), self.size)
-            span = np.lib.stride_tricks.sliding_window_view(runs, window - self.size + 1)
-            anchors.append(np.unique(np.arange(n) + span.argmin(1)) + at)
-            at += len(words)
-        self.words = np.concatenate(flat)
-        starts, first = np.concatenate(starts), np.concatenate(first)
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        lengths = np.array([len(words) for words in split])
+        ends = np.cumsum(lengths)
+        self.words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]))
+        inside = np.arange(len(self.words)) + window <= np.repeat(ends, lengths)  # a window that ends in its passage
+        starts, first = np.flatnonzero(inside), np.repeat(np.array(firsts), lengths)[inside]
+        runs = rolled(word_hashes(" ".join(texts)), self.size)
+        span = np.lib.stride_tricks.sliding_window_view(runs, window - self.size + 1)
+        anchors = np.unique(starts + span[starts].argmin(1))
         for seed in range(1, 1000):  # until no two unequal windows have one hash
             self.seed = np.uint64(seed)
             hashes = self._hashes(self.words)[starts]
@@ -200,8 +197,7 @@ class Passages:
                 break
         once = np.append(True, ranked[1:] != ranked[:-1])
         self.hashes, self.starts, self.first = ranked[once], at[once], first[order][once]
-        phrases = self.words[np.concatenate(anchors)[:, None] + np.arange(self.size)]
-        self.phrases = np.unique(phrases, axis=0)
+        self.phrases = np.unique(self.words[anchors[:, None] + np.arange(self.size)], axis=0)
 
     def _hashes(self, words: np.ndarray) -> np.ndarray:
         return rolled(words.astype(np.uint64) * np.uint64(2) + self.seed, self.window)
@@ -217,8 +213,9 @@ class Passages:
     def automata(self) -> Iterator[ahocorasick.Automaton]:
         for lo in range(0, len(self.phrases), SHARD_PHRASES):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in self.phrases[lo : lo + SHARD_PHRASES]:
-                automaton.add_word(self.letters(p))
+            written = self.letters(self.phrases[lo : lo + SHARD_PHRASES].ravel())
+            for i in range(0, len(written), 2 * self.size):
+                automaton.add_word(written[i : i + 2 * self.size])
             automaton.make_automaton()
             yield automaton
 
@@ -244,7 +241,7 @@ def _marks(keys: list, texts: list[list[bytes]], held: list[str], firsts: list[i
     streams = []
     for n, (k, words) in enumerate(zip(keys, texts)):
         if k is not None and len(words) >= window:
-            numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             streams.append((n, numbers, known.letters(numbers)))
     for automaton in known.automata():
         for n, numbers, letters in streams:
