@@ -87,3 +87,19 @@ def test_signatures_estimate_similarity():
         b = np.unique(b)
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((minhash.signature(a) == minhash.signature(b)).mean() - true) < 0.25
+
+
+def test_large_groups_by_pivot_and_rest(spark, monkeypatch):
+    """A chain: no member is linked with all, the pivot with few."""
+    monkeypatch.setattr(minhash, "BUCKET_MEMBERS", 5)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 6)
+    words = [f"v{i}" for i in range(400)]
+    docs = {i: " ".join(words[i * 4 : i * 4 + 100]) for i in range(70)} | {500 + i: " ".join([*words[:99], f"x{i}"]) for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {tuple(r) for r in near_duplicates(df, words=2).collect()}
+    assert found == brute(docs, 2) and {c for _, _, c, _ in found} == {0}
+
+
+def test_sizes_travel_with_sketches(spark):
+    df = spark.createDataFrame([(1,), (77_000,), (1 << 40,)], "n long")
+    assert [np.frombuffer(r[0], ">i8")[0] for r in df.select(minhash.size_bytes()).collect()] == [1, 77_000, 1 << 40]
