@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import gridjoin, queries
-from plumbline.llm.gridjoin import interval_join, near_vectors, principal_axes
+from plumbline.llm.gridjoin import interval_join, near_vectors, principal_axes, projected, split_order
 
 
 def brute(rows, least):
@@ -52,9 +52,37 @@ def test_interval_join_is_exact():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    p = x @ principal_axes(x)
-    order = np.lexsort(np.floor(p / 0.374).T[::-1])
+    p = projected(x, principal_axes(x))
+    order = split_order(p)
+    assert sorted(order.tolist()) == list(range(700))
     x, p = x[order], p[order]
-    i, j = interval_join(x, x, p, p, 0.93, True)
+    i, j, compared = interval_join(x, x, p, p, 0.93, True)
     expected = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
-    assert sorted(zip(i.tolist(), j.tolist())) == list(map(tuple, expected.tolist()))
+    assert sorted(zip(i.tolist(), j.tolist())) == list(map(tuple, expected.tolist())) and compared <= 700 * 700
+
+
+def test_one_key_in_two_labels(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 2), (8, [1.0, 0.01], 1), (9, [0.01, 1.0], 2), (5, [0.0, 1.0], 2), (7, [-1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows, 0.93)
+
+
+def test_keys_of_text_and_long_vectors(spark):
+    x = np.random.default_rng(2).normal(size=3000)
+    rows = [("b", x.tolist(), 1), ("a", (2 * x).tolist(), 1), ("c", (-x).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")
+    assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows, 0.93)
+
+
+def test_clusters_are_skipped(spark, monkeypatch):
+    """Report: of clustered vectors most pairs are never compared; links are those of brute force."""
+    monkeypatch.setattr(gridjoin, "BLOCK", 64)
+    monkeypatch.setattr(gridjoin, "LEAF", 8)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 24))
+    rows = [(i, (centres[i % 30] + rng.normal(size=24) * 0.1).tolist(), 1) for i in range(600)]
+    report = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = near_vectors(df, report=report).collect()
+    assert sorted(map(tuple, found)) == brute(rows, 0.93)
+    assert report["possible"] == 600 * 599 / 2 and report["compared"] < report["possible"] / 2
