@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +95,8 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ranked[first], np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(first)), place
 
 
-def ngrams(found: list[np.ndarray], train: list[bool]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts end to end: distinct words, pairs and triples, their counts in texts that train, and the place of the one
+def ngrams(found: list[np.ndarray], train: list[bool], kinds: Sequence[int] = (0, 1, 2)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts end to end: distinct words, pairs and triples (those of ``kinds``), their counts in texts that train, and the place of the one
     that ends at each token. The start is the word before a text's first; the first token ends no triple (its place is
     that of a key of its own, never counted)."""
     sizes = np.array([len(x) for x in found], np.int64)
@@ -104,12 +105,15 @@ def ngrams(found: list[np.ndarray], train: list[bool]) -> list[tuple[np.ndarray,
     before = np.append(START, flat[:-1])[: len(flat)]
     before[starts] = START
     used = np.repeat(np.array(train, bool), sizes)
+    out = [counted(flat, used)] if 0 in kinds else []
     pair = mix64(before * STEP + flat)
-    triple = mix64(np.append(np.uint64(0), pair[:-1])[: len(flat)] * STEP + flat)
-    triple[starts] = 0
-    third = used.copy()
-    third[starts] = False
-    return [counted(flat, used), counted(pair, used), counted(triple, third)]
+    if 1 in kinds:
+        out.append(counted(pair, used))
+    if 2 in kinds:
+        triple = mix64(np.append(np.uint64(0), pair[:-1])[: len(flat)] * STEP + flat)
+        triple[starts], used[starts] = 0, False
+        out.append(counted(triple, used))
+    return out
 
 
 def range_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -138,8 +142,8 @@ def text_of(z: bytes) -> str:
 COUNT_SCHEMA = "range int, kind int, block int, keys binary, counts binary"
 
 
-def block_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """Packed counts of each block, by range of the keys' hashes. ``docs``: z, train, block."""
+def block_counts(docs: DataFrame, bits: int, kinds: Sequence[int]) -> DataFrame:
+    """Packed counts of each block's n-grams of some kinds, by range of the keys' hashes. ``docs``: z, train, block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -148,11 +152,11 @@ def block_counts(docs: DataFrame, bits: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for block, (found, train) in held.items():
                 rows = []
-                for kind, (keys, counts, _) in enumerate(ngrams(found, train)):
+                for kind, (keys, counts, _) in zip(kinds, ngrams(found, train, kinds)):
                     cuts = range_cuts(keys, bits)
                     rows += [(part, kind, block, packed(keys[a:b]), planes(counts[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "kind", "block", "keys", "counts"])
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["range", "kind", "block", "keys", "counts"])
 
         for part in slices(batches, 0):
             for t, train, block in zip(*(part.column(i).to_pylist() for i in range(3))):
@@ -266,7 +270,8 @@ def lm_scores(df: DataFrame, train: Column, key: str = "doc_id", text: str = "te
     bits = max(0, math.ceil(math.log2(max(1, chars / RANGE_CHARS))))
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     docs = squeezed(docs.withColumn("block", F.pmod(F.hash("k", "t"), F.lit(blocks))))
-    totals = settled(range_totals(block_counts(docs.repartition(blocks, "block"), bits), bits))
+    # triples after the rest: what is counted is on the disks once, and triples are as much as words and pairs
+    totals = reduce(DataFrame.union, [settled(range_totals(block_counts(docs.repartition(blocks, "block"), bits, kinds), bits)) for kinds in ((0, 1), (2,))])
     n, v = totals.filter("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     starts = docs.filter("train").count()
     kind = dict(df.dtypes)[key]
