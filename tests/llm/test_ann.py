@@ -69,3 +69,29 @@ def test_large_groups_of_copies(spark, monkeypatch):
     found = nearest(df, F.col("vec_id") % 20 == 0).collect()
     copies = {q: best for q, best in brute(rows, lambda k: k % 20 == 0, 20).items() if q % 3 == 0}
     assert recall([r for r in found if r.query_id in copies], copies) == 1
+
+
+def test_recall_over_20_000_rows(spark):
+    """Half clustered, half spread evenly, norms that differ; measured against the exact inner products."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32))
+    x[::2] = rng.normal(size=(200, 32))[rng.integers(0, 200, 10_000)] + 0.3 * x[::2]
+    x *= rng.uniform(0.8, 1.25, size=(20_000, 1))
+    df = spark.createDataFrame(((i, v) for i, v in enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    sims = x[::20] @ x.T
+    sims[np.arange(1000), np.arange(0, 20_000, 20)] = -np.inf
+    best = np.argsort(-sims, axis=1)[:, :20]
+    recall_ = np.mean([len(found[20 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)])
+    assert len(found) == 1000 and all(len(f) == 20 for f in found.values()) and recall_ >= 0.9
+
+
+def test_a_vector_alone_on_its_side(spark):
+    rng = np.random.default_rng(12)
+    x = np.abs(rng.normal(size=(1500, 8))) + 5
+    x[40] = -x[41]
+    df = spark.createDataFrame(((i, v) for i, v in enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = nearest(df, F.col("vec_id") == 40, most=40).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 41))
