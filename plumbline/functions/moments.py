@@ -1,10 +1,14 @@
-"""Per-metric profiles and outlier bounds, all from one aggregate pass over a wide table."""
+"""Per-metric profiles and outlier bounds, from aggregate passes over all metrics at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.quantiles import exact_quantiles
+
 #: Default cutoffs: literature conventions, but for ``adaptive``, whose default is documented.
 CUTOFFS = {"zscore": 3.0, "modzscore": 3.5, "iqr": 1.5, "adaptive": 3.5}
 #: ``adaptive`` takes the modified z-score of a metric with more skewness or excess kurtosis than this (our choice).
@@ -19,21 +23,28 @@ def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return wide.unpivot(keys, metrics, "metric_name", "metric_value").filter("metric_value is not null")
 
 
-def profile(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row a metric: mean, population std, quartiles, median, median and mean absolute deviation, skewness, excess
-    kurtosis. Two passes over the data, whatever the number of metrics; the result has a row a metric."""
-    first = [
-        f(F.col(m).cast("double")).alias(f"{name}__{m}")
-        for m in metrics
-        for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("q", lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))), ("skew", F.skewness), ("kurt", F.kurtosis))
-    ]
-    one = df.agg(*first)
-    centred = df.select(*(F.col(m).cast("double").alias(m) for m in metrics)).crossJoin(F.broadcast(one))  # one row
-    deviation = lambda m: F.abs(F.col(m) - F.col(f"q__{m}")[1])
-    two = centred.agg(*(F.percentile(deviation(m), F.lit(0.5)).alias(f"mad__{m}") for m in metrics), *(F.avg(deviation(m)).alias(f"mead__{m}") for m in metrics))
-    row = one.crossJoin(F.broadcast(two))
-    entry = lambda m: F.struct(F.lit(m).alias("metric_name"), *(F.col(f"{n}__{m}").alias(n) for n in ("mean", "std", "q", "skew", "kurt", "mad", "mead")))
-    return row.select(F.explode(F.array(*map(entry, metrics))).alias("p")).select("p.*")
+#: What each method compares values with.
+NEEDS = {"zscore": {"moments"}, "modzscore": {"quartiles", "deviation"}, "iqr": {"quartiles"}, "adaptive": {"moments", "quartiles", "deviation"}}
+
+
+def profile(df: DataFrame, metrics: list[str], methods: Iterable[str] = tuple(NEEDS)) -> DataFrame:
+    """One row a metric with what the methods need: mean, population std, skewness, excess kurtosis (one pass); quartiles;
+    median and mean absolute deviation. The rest is null. Values are never sorted in one task."""
+    needs = set().union(*(NEEDS[m] for m in methods))
+    values = unpivot(df, [], metrics)
+    out = df.sparkSession.createDataFrame([(m,) for m in metrics], "metric_name string")
+    v = F.col("metric_value")
+    if "moments" in needs:
+        out = out.join(F.broadcast(values.groupBy("metric_name").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"))), "metric_name", "left")
+    if "quartiles" in needs:
+        quartiles = exact_quantiles(values, "metric_name", "metric_value", [0.25, 0.5, 0.75]).select("metric_name", "q")
+        out = out.join(F.broadcast(quartiles), "metric_name", "left")
+        if "deviation" in needs:
+            off = values.join(F.broadcast(quartiles), "metric_name").select("metric_name", F.abs(v - F.col("q")[1]).alias("off"))
+            mad = exact_quantiles(off, "metric_name", "off", [0.5]).select("metric_name", F.col("q")[0].alias("mad"))
+            out = out.join(F.broadcast(mad), "metric_name", "left").join(F.broadcast(off.groupBy("metric_name").agg(F.avg("off").alias("mead"))), "metric_name", "left")
+    kinds = {"mean": "double", "std": "double", "q": "array<double>", "skew": "double", "kurt": "double", "mad": "double", "mead": "double"}
+    return out.select("metric_name", *(F.col(n) if n in out.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
 
 
 def distance(method: str, value: Column) -> Column:

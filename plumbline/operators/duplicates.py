@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.quantiles import quantile
 from plumbline.operators.neighbors import knn
 
 #: Rounds after which merging is given up (each at least halves long chains).
@@ -22,8 +23,8 @@ def signature_edges(df: DataFrame, key: str, signatures: dict[str, str]) -> Data
 
 def short_edges(df: DataFrame, key: str, vector: str, sensitivity: float = 0.5, k: int = 5) -> DataFrame:
     """Edges of the k-nearest-neighbour graph shorter than ``sensitivity`` times the median nearest-neighbour distance."""
-    near = knn(df, df, key, vector, k)
-    scale = near.filter(F.col("rank") == 1).agg(F.percentile("dist", F.lit(0.5)).alias("scale"))
+    near = knn(df, df, key, vector, k).checkpoint()
+    scale = quantile(near.filter(F.col("rank") == 1), "dist", [0.5]).select(F.col("q")[0].alias("scale"))
     return near.crossJoin(F.broadcast(scale)).filter(F.col("dist") < sensitivity * F.col("scale")).select(F.col(key).alias("a"), F.col("neighbor").alias("b"), F.lit("cluster").alias("method"))
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.ordering import numbered, renumbered
+from plumbline.functions.quantiles import exact_quantiles, quantile
+
 BLOCK = 2048
 
 
@@ -46,8 +49,24 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
     right, n = _blocks(references, key, vector, block)
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last = None
+
+        def nearest() -> pa.RecordBatch:
+            """The best k of a query block over all reference blocks that it met here."""
+            q, n, d = (np.concatenate(z) for z in zip(*held))
+            order = np.lexsort((n, d, q))
+            q, n, d = q[order], n[order], d[order]
+            heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+            keep = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < k
+            return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(d[keep])], ["q", "neighbor", "dist"])
+
         for batch in batches:
-            for qk, qx, rk, rx in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for b, qk, qx, rk, rx in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and (b != last or sum(len(h[0]) for h in held) > 4_000_000):
+                    yield nearest()
+                    held = []
+                last = b
                 qk, rk = np.frombuffer(qk, np.int64), np.frombuffer(rk, np.int64)
                 qx, rx = np.frombuffer(qx, np.float64).reshape(len(qk), -1), np.frombuffer(rx, np.float64).reshape(len(rk), -1)
                 for lo in range(0, len(qk), 512):
@@ -56,7 +75,7 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
                         na, nr = (np.linalg.norm(z, axis=1) for z in (a, rx))
                         d = 1 - a @ rx.T / np.maximum(np.outer(na, nr), 1e-300)
                     else:
-                        d = np.maximum((a * a).sum(1)[:, None] + (rx * rx).sum(1)[None, :] - 2 * a @ rx.T, 0)
+                        d = squared_distances(a, rx)
                     if exclude_self:
                         d[names[:, None] == rk[None, :]] = np.inf
                     m = min(k + 8, len(rk))  # a few more than k: distances are settled below, term by term
@@ -66,10 +85,15 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
                     use = np.isfinite(d[i, j])
                     i, j = i[use], j[use]
                     exact = d[i, j] if metric == "cosine" else np.sqrt(((a[i] - rx[j]) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(rk[j]), pa.array(exact)], ["q", "neighbor", "dist"])
+                    held.append((names[i], rk[j], exact))
+        if held:
+            yield nearest()
 
+    # the reference blocks a query block meets come to few tasks, which hand on k a query each
+    tasks = max(1, math.ceil(math.sqrt(n)))
     meets = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right.select(F.col("b").alias("rb"), F.col("k").alias("rk"), F.col("x").alias("rx")), "rb")
-    found = meets.select("k", "x", "rk", "rx").mapInArrow(best, "q long, neighbor long, dist double")
+    placed = meets.withColumn("t", F.pmod("rb", F.lit(tasks))).repartition("b", "t").sortWithinPartitions("b", "t")
+    found = placed.select("b", "k", "x", "rk", "rx").mapInArrow(best, "q long, neighbor long, dist double")
     order = Window.partitionBy("q").orderBy("dist", "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", "neighbor", "dist")
 
@@ -164,7 +188,7 @@ def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples:
     dist = near[0]
     for other in near[1:]:
         dist = dist.union(other)
-    typical = dist.groupBy("l").agg(F.percentile("dist", F.lit(0.5)).alias("typical"))
+    typical = exact_quantiles(dist, "l", "dist", [0.5]).select("l", F.col("q")[0].alias("typical"))
     close = dist.join(F.broadcast(typical), "l").groupBy("l").agg(F.avg((F.col("dist") < factor * F.col("typical")).cast("double")).alias("near_duplicate_fraction"))
     rows = base.withColumn("l", F.col(label).cast("long")).join(spread, "l", "left").join(close, "l", "left").withColumn("assessable", F.col("n") >= min_samples)
     usual = rows.filter("assessable").agg(F.percentile("dispersion", F.lit(0.5)).alias("ud"), F.percentile("directions", F.lit(0.5)).alias("ui"))
@@ -188,7 +212,7 @@ def ood_knn(test: DataFrame, reference: DataFrame, key: str, vector: str, k: int
     """``key, score, threshold, is_ood``: mean distance to the k nearest references, against a percentile of the
     references' own scores."""
     own = mean_distance(knn(reference, reference, key, vector, k, metric), key)
-    limit = own.agg(F.percentile("score", F.lit(percentile / 100)).alias("threshold"))
+    limit = quantile(own.checkpoint(), "score", [percentile / 100]).select(F.col("q")[0].alias("threshold"))
     scores = mean_distance(knn(test, reference, key, vector, k, metric, exclude_self=False), key)
     return scores.crossJoin(F.broadcast(limit)).withColumn("is_ood", F.col("score") > F.col("threshold"))
 
@@ -221,18 +245,29 @@ def prioritize(scores: DataFrame, key: str, order: str = "hard_first", policy: s
     """``key, score, position`` (from 1). difficulty: by score; stratified: in turn from equally filled score bins;
     class_balanced: in turn from the classes."""
     sign = F.col("score").desc() if order == "hard_first" else F.col("score").asc()
+    hard = order == "hard_first"
+    scores = scores.checkpoint()
     if policy == "difficulty":
-        return scores.withColumn("position", F.row_number().over(Window.orderBy(sign, key)))
+        return numbered(scores, "score", key, "position", hard)
     if policy == "stratified":
-        n = F.count("*").over(Window.partitionBy())
-        group = F.floor((F.row_number().over(Window.orderBy(sign, key)) - 1) * bins / n)
-    elif policy == "class_balanced" and label:
+        # each bin is a run of the order: a row's turn is its place in the bin
+        n = scores.count()
+        at = numbered(scores, "score", key, "__at", hard)
+        first = lambda g: F.ceil(g * n / bins)
+        dealt = at.withColumn("g", F.floor((F.col("__at") - 1) * bins / n)).withColumn("turn", (F.col("__at") - 1 - first(F.col("g"))).cast("long"))
+        # before it: all earlier turns, and the bins before in its own; a bin of m rows has min(m, turn) in earlier turns
+        sizes = [math.ceil((g + 1) * n / bins) - math.ceil(g * n / bins) for g in range(bins)]
+        turns = F.array(*map(F.lit, sizes))
+        earlier = F.aggregate(turns, F.lit(0).cast("long"), lambda t, m: t + F.least(m, F.col("turn")))
+        own = F.size(F.filter(F.slice(turns, F.lit(1), F.col("g").cast("int")), lambda m: m > F.col("turn")))
+        return dealt.withColumn("position", (earlier + own + 1).cast("int")).drop("g", "turn", "__at")
+    if policy == "class_balanced" and label:
         group = F.col(label)
     else:
         raise ValueError(f"unknown policy {policy!r}")
     dealt = scores.withColumn("g", group)
-    dealt = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("g").orderBy(sign, key)))
-    return dealt.withColumn("position", F.row_number().over(Window.orderBy("turn", "g", key))).drop("g", "turn")
+    dealt = dealt.withColumn("turn", (F.row_number().over(Window.partitionBy("g").orderBy(sign, key)) - 1).cast("long"))
+    return renumbered(dealt.withColumn("position", F.col("turn")), "position", then=("g", key), width=1 << 10).withColumn("position", F.col("position") + 1).drop("g", "turn")
 
 
 def fnn_divergence(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:

@@ -14,15 +14,17 @@ def outlier_issues(stats: DataFrame, keys: list[str], metrics: list[str], method
 
     One profile of all metrics (a row each) is broadcast to the values: no shuffle but of partial aggregates.
     """
+    if method not in CUTOFFS:
+        raise ValueError(f"unknown outlier method {method!r}; one of {sorted(CUTOFFS)}")
     cutoff = CUTOFFS[method] if threshold is None else threshold
     values = unpivot(stats, keys, metrics)
-    bounds = F.broadcast(profile(stats, metrics))
+    bounds = F.broadcast(profile(stats, metrics, [method]))
     return values.join(bounds, "metric_name").filter(distance(method, F.col("metric_value")) > cutoff).select(*keys, "metric_name", "metric_value")
 
 
 def outlier_sweep(stats: DataFrame, keys: list[str], metrics: list[str], methods: list[str], thresholds: list[float]) -> DataFrame:
     """``method, threshold, outlier_count`` (distinct keys) of every combination, from one profile and one scan."""
-    values = unpivot(stats, keys, metrics).join(F.broadcast(profile(stats, metrics)), "metric_name")
+    values = unpivot(stats, keys, metrics).join(F.broadcast(profile(stats, metrics, methods)), "metric_name")
     combos = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(float(t)).alias("threshold"), distance(m, F.col("metric_value")).alias("d")) for m in methods for t in thresholds)))
     # the furthest metric of a key decides
     far = values.select(*keys, combos.alias("c")).groupBy(*keys, F.col("c.method").alias("method"), F.col("c.threshold").alias("threshold")).agg(F.max("c.d").alias("d"))

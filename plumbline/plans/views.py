@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.ordering import shuffled
+from plumbline.functions.ordering import numbered, ranked, renumbered, shuffled
 from plumbline.operators.splitting import rebalanced
 
 POSITION = "view_pos"
@@ -17,14 +17,13 @@ MAX_INDICES = 1_000_000
 
 
 def positioned(df: DataFrame, key: str) -> DataFrame:
-    """Adds the position, from 0, in the order of the key."""
+    """Adds the position, from 0, in the order of the key; a key that is no number is ranked in one task (as few datasets
+    have: keys are item indices)."""
+    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return numbered(df, key, key, POSITION).withColumn(POSITION, (F.col(POSITION) - 1).cast("long"))
     return df.withColumn(POSITION, (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
 
 
-def _again(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn(POSITION, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-
-
 def limit(df: DataFrame, size: int) -> DataFrame:
     return df.orderBy(POSITION).limit(size)
 
@@ -44,19 +43,20 @@ def indices(df: DataFrame, indices) -> DataFrame:
 
 
 def class_filter(df: DataFrame, classes: Sequence, label: str = "class_label") -> DataFrame:
-    return _again(df.filter(F.col(label).isin(*classes)), POSITION)
+    return renumbered(df.filter(F.col(label).isin(*classes)), POSITION)
 
 
 def class_balance(df: DataFrame, key: str, method: str = "global", label: str = "class_label", seed: int = 0) -> DataFrame:
-    return _again(rebalanced(df, key, label, method, seed), POSITION)
+    return renumbered(rebalanced(df, key, label, method, seed), POSITION)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    return _again(df.withColumn("__h", shuffled(key, seed)), "__h", key).drop("__h")
+    ordered = ranked(df.drop(POSITION).withColumn("__h", shuffled(key, seed)), [], "__h", key, POSITION)
+    return ordered.drop("__h").withColumn(POSITION, (F.col(POSITION) - 1).cast("long"))
 
 
 def reverse(df: DataFrame) -> DataFrame:
-    return _again(df, F.col(POSITION).desc())
+    return renumbered(df, POSITION, descending=True)
 
 
 def relabel(df: DataFrame, map: dict, label: str = "class_label") -> DataFrame:
@@ -71,7 +71,7 @@ def detection_crops(items: DataFrame, targets: DataFrame, item: str = "item_inde
     counted. Returns the crops and that count."""
     whole = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
     boxes = targets.join(items.select(item, POSITION), item)
-    return _again(boxes.filter(whole), POSITION, "target_index"), boxes.filter(~whole).agg(F.count("*").alias("dropped"))
+    return renumbered(boxes.filter(whole), POSITION, then=("target_index",)), boxes.filter(~whole).agg(F.count("*").alias("dropped"))
 
 
 OPERATIONS = {"Limit": limit, "Indices": indices, "ClassFilter": class_filter, "ClassBalance": class_balance, "Shuffle": shuffle, "Reverse": reverse, "Relabel": relabel}
