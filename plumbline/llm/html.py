@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
-A forgiving tokenizer builds a tree of block elements. Paragraphs pass points for their length and commas to their
-ancestors; a container's points are discounted by its link density; the best container is kept with those siblings that
-read like part of the same article. Markup that never is article text, and boxes whose names say that they are menus,
+A forgiving tokenizer builds a tree of block elements. As the published readability heuristics have it, paragraphs pass
+points for their length and commas to their ancestors (each gets half of what the one below it got), a container's points
+are discounted by its link density, and the best container is kept with those siblings that read like part of the same
+article. Markup that never is article text, and boxes whose names say that they are menus,
 adverts, notices or comments, are left out before scoring.
 
 Defined results: null, empty or tag-only pages give "". White space inside a block becomes one space; blocks are joined
@@ -222,26 +223,24 @@ KIND_POINTS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "td":
 
 
 def score(nodes: list[Node]) -> Node | None:
-    """Passes the paragraphs' points to their ancestors; the best container, or None if no paragraph has points."""
+    """Passes the paragraphs' points to their ancestors, half of what one gets to the next; the best container, or None
+    if no paragraph has points. Children come before their parents, so depth costs nothing."""
     held = []
-    for x in nodes:
-        if x.tag in HEADINGS or x.parent is None:
-            continue
-        text = _own_text(x)
-        if len(text) < MIN_CHARS:
-            continue
-        points = 1 + len(COMMA.findall(text)) + min(len(text) / 100, 3.0)
-        up, level = (x.parent if x.tag in ("p", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "summary") else x), 0
-        while up is not None:
-            if not up.scored:
-                up.scored = True
-                up.points = KIND_POINTS.get(up.tag, 0.0) + (25.0 if up.names & LIKELY else 0.0)
-                held.append(up)
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+    for x in reversed(nodes):
+        if x.tag not in HEADINGS and x.parent is not None:
+            text = _own_text(x)
+            if len(text) >= MIN_CHARS:
+                to = x.parent if x.tag in ("p", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "summary") else x
+                to.points += 1 + len(COMMA.findall(text)) + min(len(text) / 100, 3.0)
+                to.scored = True
+        if x.scored:
+            held.append(x)
+            if x.parent is not None:
+                x.parent.scored = True
+                x.parent.points += x.points / 2
     for x in held:
-        x.points *= 1 - _density(x)
-    return max(held, key=lambda x: x.points, default=None)
+        x.points = (x.points + KIND_POINTS.get(x.tag, 0.0) + (25.0 if x.names & LIKELY else 0.0)) * (1 - _density(x))
+    return max(reversed(held), key=lambda x: x.points, default=None)
 
 
 def _kept_siblings(best: Node) -> list[Node]:

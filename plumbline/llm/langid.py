@@ -6,7 +6,7 @@ each language has a bar for every size of text, from the low tail of what its ow
 reach against centroids that they had no part in.
 
 Learning reads a bounded sample: ``per_label`` texts of every language, those with the smallest hash of their key
-(keys are drawn in two levels, only the sample's texts move). Everything else covers all rows.
+(keys are drawn in three levels, only the sample's texts move). Everything else covers all rows.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected; ties go to the language
 that sorts first; with nothing to learn from, every text is ``und``. Texts are read whole.
@@ -126,9 +126,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     """Learns from rows with a label and a letter. ``per_label``: how many texts of each language are read; this bounds
     what the workers and the driver hold, however large the table."""
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("l")).filter("l is not null and t is not null").filter(F.col("t").rlike(r"\p{L}"))
-    # keys first, without texts, and in two levels: the best of each part of a language's keys, then of these
+    # keys first, without texts, and in levels: the best of each part of a language's keys, of some parts, then of these
     keys = rows.select("l", "k", F.xxhash64(F.lit(SEED), "k").alias("h")).distinct()
-    for by in (["l", F.pmod("h", F.lit(SAMPLE_PARTS))], ["l"]):
+    for by in (["l", F.pmod("h", F.lit(SAMPLE_PARTS))], ["l", F.pmod("h", F.lit(SAMPLE_PARTS // 32))], ["l"]):
         keys = keys.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))).filter(F.col("n") <= per_label).drop("n")
     chosen = keys.select(F.col("l").alias("kl"), F.col("k").alias("kk"))
     order = Window.partitionBy("l").orderBy(F.xxhash64(F.lit(SEED), "k"), "k", F.xxhash64("t"))

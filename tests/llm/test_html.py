@@ -49,7 +49,7 @@ def test_short_article_is_found_without_points():
 
 def test_broken_and_huge_pages_take_linear_time():
     began = time.time()
-    for raw in ("<a " * 200_000, "<!--" * 200_000, "<div>" * 50_000 + LONG, '<a b="' * 100_000, f"<p>{LONG}" * 5_000, "<" * 200_000):
+    for raw in ("<a " * 200_000, "<!--" * 200_000, "<div>" * 50_000 + LONG, '<a b="' * 100_000, f"<p>{LONG}" * 5_000, "<" * 200_000, f"<div><p>{LONG}</p>" * 20_000):
         main_text(raw)
     assert time.time() - began < 30
 
@@ -72,3 +72,16 @@ def test_query_finds_the_articles(spark, sf_dir):
     assert len(rows) == len(pages)
     for r in rows:
         assert (r.url, r.text) == (pages[r.page_id].url, wanted(pages[r.page_id].html)) and r.n_chars == len(r.text)
+
+
+def test_points_decide_where_no_name_helps():
+    """No element or name says what the article is: link density and length do."""
+    linked = f"<div><p><a href=a>{LONG}</a></p><p><a href=b>{MORE} {LONG}</a></p><p><a href=c>{LONG} {MORE}</a></p></div>"
+    assert main_text(page(f"{linked}<div><p>{LONG}</p><p>{MORE}</p></div>")) == f"{LONG}\n{MORE}"
+    deep = f"<div>{linked}<div><div><div><p>{LONG}</p></div><div><p>{MORE}</p></div></div></div></div>"
+    assert main_text(page(deep)) == f"{LONG}\n{MORE}"
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, f"<p>{LONG}</p>", "old", 5, None)], "page_id long, html string, text string, main int, c0 string")
+    assert [r.asDict() for r in extract(df).collect()] == [{"page_id": 1, "html": f"<p>{LONG}</p>", "text": LONG, "main": 5, "c0": None}]

@@ -1,4 +1,5 @@
 import base64
+import math
 import zlib
 
 import numpy as np
@@ -66,3 +67,30 @@ def test_foreign_prose_and_noise_are_rejected_and_documents_stay(spark):
     assert langid.classify(model, [*FOREIGN, base64.b64encode(raw).decode(), letters, raw.hex()])[2] == [True] * 7
     texts = [r.text for r in docs.select("text").limit(3000).collect() if langid.has_letter(r.text)]
     assert sum(langid.classify(model, texts)[2]) <= len(texts) / 1000
+
+
+def plainly(model, text):
+    """The classification from its definition, n-gram by n-gram."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0, True
+    clean = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower())
+    raw = f" {' '.join(x for x in clean.split(' ') if x)} ".encode()
+    seen = {}
+    for n, mark in ((2, 1 << 24), (3, 0)):
+        for i in range(len(raw) - n + 1):
+            at = (int.from_bytes(raw[i : i + n], "big") | mark) * 2654435761 % 2**32 >> 19
+            seen[at] = seen.get(at, 0) + 1
+    x = {at: math.log(1 + c) * model.idf[at] for at, c in seen.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    best = max(((sum(v / norm * c[at] for at, v in x.items()), -i) for i, c in enumerate(model.centroids)))
+    language = model.owner[-best[1]]
+    return model.languages[language], best[0], best[0] < model.reject_below[language][min(13, int(math.log2(len(x))))]
+
+
+def test_classification_from_its_definition(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.select("text").limit(60).collect()] + [None, "", "12", "ñandú Ünïcode 漢字", "a", *FOREIGN]
+    for text, *found in zip(texts, *langid.classify(model, texts)):
+        name, score, rejected = plainly(model, text)
+        assert (found[0], found[2]) == (name, rejected) and abs(found[1] - score) < 1e-5
