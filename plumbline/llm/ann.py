@@ -41,9 +41,9 @@ TABLES, LEAF = 6, 512
 SETTLED_SHARE = 0.02
 BEAM, FOLLOWED = 160, 48
 #: Candidates that a node gets from one group.
-OFFERS = 6
+OFFERS = 4
 #: Nodes at home together, about; a node's number is its home's and, in so many bits, its place there.
-HOME, PLACE_BITS = 2048, 16
+HOME, PLACE_BITS = 4096, 16
 #: A home's number is its leaf's and, in so many bits, which part of a large leaf it is.
 PART_BITS = 20
 SEED = 11
