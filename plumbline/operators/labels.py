@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,6 +136,17 @@ def adjusted_mi(table: list[tuple[str, str, int]]) -> float:
     return 1.0 if abs(mean - expected) < 1e-15 else (mi - expected) / (mean - expected)
 
 
+def adjusted_information(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``x_name, y_name, ami``: mutual information corrected for chance (Vinh et al. 2010), 0 for unrelated columns and 1
+    for copies. Each pair's contingency table (classes x values, a dimension) is one group; rows are only counted."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        value = adjusted_mi(list(rows[["x", "y", "n"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"x_name": [rows["x_name"].iloc[0]], "y_name": [rows["y_name"].iloc[0]], "ami": [round(value, 6)]})
+
+    return pair_tables(df, pairs).groupBy("x_name", "y_name").applyInPandas(run, "x_name string, y_name string, ami double")
+
+
 def classwise_information(df: DataFrame, label: str, factors: list[str]) -> DataFrame:
     """``class_name, factor, mi``: mutual information of each factor with membership in each class."""
     tables = pair_tables(df, [(label, f) for f in factors])

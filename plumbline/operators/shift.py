@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.ordering import numbered
+from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators.neighbors import BLOCK, _blocks, meetings, squared_distances
 
 
@@ -20,13 +22,26 @@ def melted(reference: DataFrame, test: DataFrame, vector: str) -> DataFrame:
     return part(reference, 0).union(part(test, 1))
 
 
+#: Parts that the values of a group are cut into.
+PARTS = 64
+
+
 def pooled(long: DataFrame, by: list[str]) -> DataFrame:
     """Distinct values of each group with counts of both sides, below them and in all: ties are one row, so the windows
-    run over values, not rows."""
+    run over values, not rows. A group's values are cut at approximate quantiles into parts that are summed up first, so
+    no task holds all values of a group."""
     values = long.groupBy(*by, "v").agg(F.sum(F.lit(1) - F.col("is_test")).alias("r"), F.sum("is_test").alias("t"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return values.withColumn("cr", F.sum("r").over(upto)).withColumn("ct", F.sum("t").over(upto)).withColumn("m", F.sum("r").over(whole)).withColumn("n", F.sum("t").over(whole))
+    group = F.struct(*by) if by else F.lit(0)
+    cuts = values.groupBy(group.alias("g")).agg(F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000).alias("cuts"))
+    dealt = values.withColumn("g", group).join(F.broadcast(cuts), "g").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = dealt.groupBy("g", "part").agg(F.sum("r").alias("pr"), F.sum("t").alias("pt"))
+    before, whole = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("g")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select(F.col("g").alias("sg"), F.col("part").alias("sp"), zero(F.sum("pr").over(before)).alias("br"), zero(F.sum("pt").over(before)).alias("bt"), F.sum("pr").over(whole).alias("m"), F.sum("pt").over(whole).alias("n"))
+    upto = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumn("cr", F.sum("r").over(upto)).withColumn("ct", F.sum("t").over(upto))
+    out = inside.join(F.broadcast(sums), (F.col("g") == F.col("sg")) & (F.col("part") == F.col("sp")))
+    return out.select(*by, "v", "r", "t", (F.col("cr") + F.col("br")).alias("cr"), (F.col("ct") + F.col("bt")).alias("ct"), "m", "n")
 
 
 def ks(long: DataFrame, by: list[str]) -> DataFrame:
@@ -37,12 +52,41 @@ def ks(long: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("p_val", F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))))
 
 
+# Upper-tail probabilities of the limit distribution of the Cramer-von Mises statistic (x, p), published
+# by Anderson and Darling (1952) and Csorgo and Faraway (1996).
+CVM_POINTS = ((0.0, 1.0), (0.02480, 0.99), (0.03656, 0.95), (0.04601, 0.90), (0.06222, 0.80), (0.07026, 0.75), (0.11888, 0.50), (0.20939, 0.25), (0.24124, 0.20), (0.28406, 0.15), (0.34730, 0.10), (0.46136, 0.05), (0.58061, 0.025), (0.74346, 0.01), (1.16786, 0.001))
+
+
+def cvm_p(x: str) -> str:
+    """SQL: the upper tail at ``x``, between published points log-linear, beyond the last with its slope."""
+    parts = []
+    for (a, p), (b, q) in zip(CVM_POINTS, CVM_POINTS[1:]):
+        slope = (math.log(q) - math.log(p)) / (b - a)
+        line = f"exp({math.log(p)!r} + {slope!r} * ({x} - {a!r}))"
+        parts.append(f"WHEN {x} < {b!r} THEN {line}" if b != CVM_POINTS[-1][0] else f"ELSE {line}")
+    return f"CASE {' '.join(parts)} END"
+
+
+def ad_p(x: str) -> str:
+    """SQL: the upper tail of the limit distribution of the Anderson-Darling statistic, which that of Baumgartner, Weiss and
+    Schindler shares, by the approximation of Marsaglia and Marsaglia (2004)."""
+    low = f"exp(-1.2337141 / {x}) / sqrt({x}) * (2.00012 + (0.247105 - (0.0649821 - (0.0347962 - (0.0116720 - 0.00168691 * {x}) * {x}) * {x}) * {x}) * {x})"
+    high = f"exp(-exp(1.0776 - (2.30695 - (0.43424 - (0.082433 - (0.008056 - 0.0003146 * {x}) * {x}) * {x}) * {x}) * {x}))"
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} < 2 THEN greatest(0.0, 1 - {low}) ELSE 1 - {high} END"
+
+
+def normal_p(z: str) -> str:
+    """SQL: the two-sided tail of the normal distribution (Abramowitz and Stegun 7.1.26, within 3e-7)."""
+    t = f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2))))"
+    return f"{t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z} / 2)"
+
+
 def cvm(long: DataFrame, by: list[str]) -> DataFrame:
-    """Two-sample Cramer-von Mises statistic T from the pooled distribution functions."""
+    """Two-sample Cramer-von Mises statistic T from the pooled distribution functions, asymptotic p."""
     p = pooled(long, by)
     gap = F.col("cr") / F.col("m") - F.col("ct") / F.col("n")
     out = p.groupBy(*by).agg(F.sum((F.col("r") + F.col("t")) * gap * gap).alias("s"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return out.withColumn("statistic", F.col("s") * F.col("m") * F.col("n") / F.pow(F.col("m") + F.col("n"), 2)).drop("s")
+    return out.withColumn("statistic", F.col("s") * F.col("m") * F.col("n") / F.pow(F.col("m") + F.col("n"), 2)).drop("s").withColumn("p_val", F.expr(cvm_p("statistic")))
 
 
 def mwu(long: DataFrame, by: list[str]) -> DataFrame:
@@ -54,19 +98,11 @@ def mwu(long: DataFrame, by: list[str]) -> DataFrame:
     total = F.col("m") + F.col("n")
     sigma = F.sqrt(F.col("m") * F.col("n") / 12.0 * (total + 1 - F.col("ties") / (total * (total - 1))))
     z = F.when(sigma > 0, (F.col("statistic") - F.col("m") * F.col("n") / 2.0) / sigma).otherwise(F.lit(0.0))
-    return out.withColumn("z", z).withColumn("p_val", 2 * _normal_sf(F.abs("z"))).drop("ties")
-
-
-def _normal_sf(z: Column) -> Column:
-    """Upper tail of the normal distribution (Abramowitz and Stegun 7.1.26, within 1.5e-7)."""
-    x = z / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return 0.5 * poly * F.exp(-x * x)
+    return out.withColumn("z", z).withColumn("p_val", F.expr(normal_p("z"))).drop("ties")
 
 
 def anderson(long: DataFrame, by: list[str]) -> DataFrame:
-    """Two-sample Anderson-Darling statistic (midrank version for ties)."""
+    """Two-sample Anderson-Darling statistic (midrank version for ties), asymptotic p."""
     p = pooled(long, by)
     total = F.col("m") + F.col("n")
     size = F.col("r") + F.col("t")
@@ -75,11 +111,11 @@ def anderson(long: DataFrame, by: list[str]) -> DataFrame:
     weight = below * (total - below) - total * size / 4.0
     terms = F.when(weight > 0, size / total / weight * (term(F.col("cr"), F.col("r"), F.col("m")) + term(F.col("ct"), F.col("t"), F.col("n")))).otherwise(F.lit(0.0))
     out = p.groupBy(*by).agg(F.sum(terms).alias("s"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return out.withColumn("statistic", F.col("s") * (total - 1) / total).drop("s")
+    return out.withColumn("statistic", F.col("s") * (total - 1) / total).drop("s").withColumn("p_val", F.expr(ad_p("statistic")))
 
 
 def bws(long: DataFrame, by: list[str]) -> DataFrame:
-    """Baumgartner-Weiss-Schindler statistic B from the ranks of both sides (mid-ranks for ties)."""
+    """Baumgartner-Weiss-Schindler statistic B from the ranks of both sides (mid-ranks for ties), asymptotic p."""
     p = pooled(long, by)
     total = F.col("m") + F.col("n")
     rank = F.col("cr") + F.col("ct") - (F.col("r") + F.col("t") - 1) / 2.0
@@ -90,7 +126,7 @@ def bws(long: DataFrame, by: list[str]) -> DataFrame:
         return F.sum(F.col(count) * F.pow(rank - total / F.col(own) * i, 2) / (share * (1 - share) * F.col(other) * total / F.col(own))) / F.max(F.col(own))
 
     out = p.groupBy(*by).agg(((side("r", "cr", "m", "n") + side("t", "ct", "n", "m")) / 2).alias("statistic"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return out
+    return out.withColumn("p_val", F.expr(ad_p("statistic")))
 
 
 TESTS = {"ks": ks, "cvm": cvm, "mwu": mwu, "anderson": anderson, "bws": bws}
@@ -223,18 +259,17 @@ def chunks(df: DataFrame, order: str, size: int | None = None, count: int | None
     dropped or appended to the one before."""
     if (size is None) == (count is None):
         raise ValueError("give exactly one of size and count")
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy())
+    if incomplete not in ("keep", "drop", "append"):
+        raise ValueError(f"unknown treatment of incomplete chunks {incomplete!r}")
+    placed = numbered(df, order, order, "__at").withColumn("__at", F.col("__at") - 1).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
     if count is not None:
-        return df.withColumn("chunk", F.floor(at * count / n).cast("long"))
-    out = df.withColumn("__at", at).withColumn("__n", n).withColumn("chunk", F.floor(F.col("__at") / size).cast("long"))
+        return placed.withColumn("chunk", F.floor(F.col("__at") * count / F.col("__n")).cast("long")).drop("__at", "__n")
+    out = placed.withColumn("chunk", F.floor(F.col("__at") / size).cast("long"))
     whole = F.floor(F.col("__n") / size).cast("long")
     if incomplete == "drop":
         out = out.filter(F.col("chunk") < whole)
     elif incomplete == "append":
         out = out.withColumn("chunk", F.when(whole > 0, F.least("chunk", whole - 1)).otherwise(F.col("chunk")))
-    elif incomplete != "keep":
-        raise ValueError(f"unknown treatment of incomplete chunks {incomplete!r}")
     return out.drop("__at", "__n")
 
 
@@ -251,6 +286,16 @@ def classwise(reference: DataFrame, test: DataFrame, label: str, value: str, met
     return TESTS[method](part(reference, 0).union(part(test, 1)), ["class_name"]).filter((F.col("m") >= least) & (F.col("n") >= least))
 
 
+def shift_by_chunk(reference: DataFrame, df: DataFrame, vector: str, size: int | None = None, count: int | None = None, order: str = "item_index") -> DataFrame:
+    """``chunk, value``: how far each chunk's means lie from the reference's, in its standard deviations, on average over
+    the features (our choice of a chunk's statistic)."""
+    long = lambda rows, *keep: rows.filter(F.col(vector).isNotNull()).select(*keep, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"))
+    usual = long(reference).groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    means = long(chunks(df, order, size, count), "chunk").groupBy("chunk", "dim").agg(F.avg("v").alias("v"))
+    off = F.when(F.col("std") > 0, F.abs(F.col("v") - F.col("mean")) / F.col("std")).otherwise(F.when(F.col("v") == F.col("mean"), 0.0).otherwise(F.lit(float("inf"))))
+    return means.join(F.broadcast(usual), "dim").groupBy("chunk").agg(F.avg(off).alias("value"))
+
+
 def domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: str, folds: int = 5, threshold: float = 0.55, seed: int = 1) -> tuple[float, bool, DataFrame]:
     """Cross-validated AUROC of a classifier (logistic regression) that tells test from reference, whether it is over the
     threshold, and every row's out-of-fold probability of being test. Folds are hashes of the key."""
@@ -271,10 +316,11 @@ def domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: s
 
 def factor_deviations(reference: DataFrame, flagged: DataFrame, key: str, factors: list[str]) -> DataFrame:
     """``key, factor, deviation``: robust z of the flagged rows' factors against the reference, largest first a row."""
-    wide = reference.agg(*(F.percentile(F.col(f).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{f}") for f in factors))
-    z = lambda f: F.when(F.col(f"q_{f}")[2] > F.col(f"q_{f}")[0], F.abs(F.col(f) - F.col(f"q_{f}")[1]) / ((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349)).otherwise(F.lit(0.0))
-    rows = flagged.crossJoin(F.broadcast(wide)).select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.round(z(f), 4).alias("deviation")) for f in factors))).alias("d"))
-    return rows.select(key, "d.factor", "d.deviation")
+    long = reference.select(*(F.col(f).cast("double").alias(f) for f in factors)).unpivot([], factors, "factor", "v")
+    usual = exact_quantiles(long, "factor", "v", [0.25, 0.5, 0.75]).select(F.col("factor").alias("f"), "q")
+    rows = flagged.select(key, *(F.col(f).cast("double").alias(f"__{f}") for f in factors)).unpivot([key], [f"__{f}" for f in factors], "factor", "v").withColumn("factor", F.expr("substring(factor, 3)"))
+    z = F.when(F.col("q")[2] > F.col("q")[0], F.abs(F.col("v") - F.col("q")[1]) / ((F.col("q")[2] - F.col("q")[0]) / 1.349)).otherwise(F.lit(0.0))
+    return rows.join(F.broadcast(usual), F.col("factor") == F.col("f")).select(key, "factor", F.round(z, 4).alias("deviation"))
 
 
 def factor_predictors(df: DataFrame, flag: str, factors: list[str], bins: int = 10) -> DataFrame:

@@ -125,10 +125,10 @@ def label_stats(spark, sf_dir):
     return labels.label_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "quality")
 
 
-@register("SELECT n_name AS class_name, count(s_suppkey) AS n, count(s_suppkey) = 0 AS missing FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name")
+@register("SELECT n_name AS class_name, count(s_suppkey) AS n, count(s_suppkey) = 0 AS missing FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
 def label_distribution_missing(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return labels.distribution(table(spark, sf_dir, "supplier").filter("s_acctbal > 5000"), nation, "s_nationkey", "n_name")
+    return labels.distribution(table(spark, sf_dir, "supplier"), nation, "s_nationkey", "n_name")
 
 
 @register("SELECT round(max(n) / min(n), 1) AS imbalance_ratio FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY lang)")
@@ -136,12 +136,12 @@ def imbalance_ratio(spark, sf_dir):
     return labels.imbalance(labels.label_counts(table(spark, sf_dir, "documents"), "lang"))
 
 
-@register("""WITH a AS (SELECT lang AS c, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT lang AS c, count(*) AS n FROM documents WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1)
+@register("""WITH a AS (SELECT lang AS c, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT lang AS c, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
 SELECT coalesce(a.c, b.c) AS class_name, CASE WHEN a.n IS NULL THEN 'b_only' WHEN b.n IS NULL THEN 'a_only' ELSE 'shared' END AS presence, round(coalesce(a.n * 1.0 / (SELECT sum(n) FROM a), 0), 4) AS p_a, round(coalesce(b.n * 1.0 / (SELECT sum(n) FROM b), 0), 4) AS p_b,
 round(abs(a.n * 1.0 / (SELECT sum(n) FROM a) - b.n * 1.0 / (SELECT sum(n) FROM b)), 4) AS diff FROM a FULL JOIN b ON a.c = b.c""")
 def label_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return labels.overlap(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1 and lang <> 'es'"), "lang")
+    return labels.overlap(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "lang")
 
 
 @register("""WITH o AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1), e AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
@@ -225,6 +225,11 @@ def balance_factor_pairs(spark, sf_dir):
     return labels.mutual_information(labels.pair_tables(table(spark, sf_dir, "part"), FACTOR_PAIRS))
 
 
+@register()
+def balance_adjusted(spark, sf_dir):
+    return labels.adjusted_information(table(spark, sf_dir, "part"), FACTOR_PAIRS)
+
+
 @register("""WITH l AS (SELECT DISTINCT lang AS class_name FROM documents), d AS (SELECT class_name, lang = class_name AS m, source AS y, count(*) AS n FROM documents, l GROUP BY 1, 2, 3),
 t AS (SELECT class_name, n / sum(n) OVER (PARTITION BY class_name) AS p, sum(n) OVER (PARTITION BY class_name, m) / sum(n) OVER (PARTITION BY class_name) AS pm, sum(n) OVER (PARTITION BY class_name, y) / sum(n) OVER (PARTITION BY class_name) AS py FROM d)
 SELECT class_name, 'source' AS factor, round(greatest(sum(p * ln(p / (pm * py))), 0), 6) AS mi FROM t GROUP BY 1""")
@@ -390,26 +395,34 @@ p AS (SELECT dim, v, r, t, sum(r) OVER w AS cr, sum(t) OVER w AS ct, sum(r) OVER
 
 def _test(spark, sf_dir, name):
     out = shift.TESTS[name](shift.melted(*_populations(spark, sf_dir), "embedding"), ["dim"])
-    return out.select(F.col("dim").cast("long").alias("dim"), F.round("statistic", 6).alias("statistic"))
+    return out.select(F.col("dim").cast("long").alias("dim"), F.round("statistic", 6).alias("statistic"), F.round("p_val", 6).alias("p_val"))
+
+
+def _with_p(sql: str, p: str) -> str:
+    """SQL of ``dim, x`` (the statistic) and what p needs, with both rounded."""
+    return f"SELECT dim, round(x, 6) AS statistic, round({p}, 6) AS p_val FROM ({sql})"
+
 
+KS_P = """CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda j: CASE j % 2 WHEN 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * lam * lam))))) END"""
 
-@register(f"WITH {POOL} SELECT CAST(dim AS BIGINT) AS dim, round(max(abs(cr / m - ct / n)), 6) AS statistic FROM p GROUP BY 1")
+
+@register(f"WITH {POOL} " + _with_p("SELECT CAST(dim AS BIGINT) AS dim, max(abs(cr / m - ct / n)) AS x, max(abs(cr / m - ct / n)) * sqrt(max(m) * max(n) / (max(m) + max(n))) AS lam FROM p GROUP BY 1", KS_P))
 def drift_ks(spark, sf_dir):
     return _test(spark, sf_dir, "ks")
 
 
-@register(f"WITH {POOL} SELECT CAST(dim AS BIGINT) AS dim, round(sum((r + t) * (cr / m - ct / n) * (cr / m - ct / n)) * max(m) * max(n) / ((max(m) + max(n)) * (max(m) + max(n))), 6) AS statistic FROM p GROUP BY 1")
+@register(f"WITH {POOL} " + _with_p("SELECT CAST(dim AS BIGINT) AS dim, sum((r + t) * (cr / m - ct / n) * (cr / m - ct / n)) * max(m) * max(n) / ((max(m) + max(n)) * (max(m) + max(n))) AS x FROM p GROUP BY 1", shift.cvm_p("x")))
 def drift_cvm(spark, sf_dir):
     return _test(spark, sf_dir, "cvm")
 
 
-@register(f"WITH {POOL} SELECT CAST(dim AS BIGINT) AS dim, round(sum(t * (cr - r + r / 2.0)), 6) AS statistic FROM p GROUP BY 1")
+@register(f"WITH {POOL}, u AS (SELECT CAST(dim AS BIGINT) AS dim, sum(t * (cr - r + r / 2.0)) AS x, max(m) AS m, max(n) AS n, sum(power(r + t, 3) - (r + t)) AS ties FROM p GROUP BY 1), z AS (SELECT dim, x, (x - m * n / 2.0) / sqrt(m * n / 12.0 * (m + n + 1 - ties / ((m + n) * (m + n - 1)))) AS z FROM u) " + _with_p("SELECT * FROM z", shift.normal_p("z")))
 def drift_mwu(spark, sf_dir):
     return _test(spark, sf_dir, "mwu")
 
 
 @register(f"""WITH {POOL}, q AS (SELECT *, m + n AS tt, r + t AS sz, cr + ct - (r + t) / 2.0 AS b FROM p)
-SELECT CAST(dim AS BIGINT) AS dim, round(sum(CASE WHEN b * (tt - b) - tt * sz / 4.0 > 0 THEN sz / tt / (b * (tt - b) - tt * sz / 4.0) * (power(tt * (cr - r / 2.0) - m * b, 2) / m + power(tt * (ct - t / 2.0) - n * b, 2) / n) ELSE 0 END) * (max(tt) - 1) / max(tt), 6) AS statistic FROM q GROUP BY 1""")
+""" + _with_p("""SELECT CAST(dim AS BIGINT) AS dim, sum(CASE WHEN b * (tt - b) - tt * sz / 4.0 > 0 THEN sz / tt / (b * (tt - b) - tt * sz / 4.0) * (power(tt * (cr - r / 2.0) - m * b, 2) / m + power(tt * (ct - t / 2.0) - n * b, 2) / n) ELSE 0 END) * (max(tt) - 1) / max(tt) AS x FROM q GROUP BY 1""", shift.ad_p("x")))
 def drift_anderson(spark, sf_dir):
     return _test(spark, sf_dir, "anderson")
 
@@ -506,11 +519,11 @@ def sweep_outlier_threshold(spark, sf_dir):
 def _hierarchy(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     edges = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
-    counts = table(spark, sf_dir, "supplier").filter("s_nationkey % 5 in (1, 2)").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("class_name")).agg(F.count("*").alias("n"))
+    counts = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("class_name")).agg(F.count("*").alias("n"))
     return edges.union(region.select("r_name", F.lit("WORLD"))).union(spark.createDataFrame([("WORLD", None)], "child string, parent string")), counts
 
 
-LABELED = "c AS (SELECT n_nationkey, n_regionkey, n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_nationkey % 5 IN (1, 2) GROUP BY 1, 2, 3)"
+LABELED = "c AS (SELECT n_nationkey, n_regionkey, n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)"
 
 
 @register(f"WITH {LABELED}, g AS (SELECT sum(n) / count(*) AS target FROM c) SELECT n_name AS node, n, round(target, 3) AS target, round(target - n, 3) AS shortfall, CASE WHEN n = 0 THEN 'acquire' ELSE 'augment' END AS action FROM c, g WHERE n < target")
@@ -553,7 +566,15 @@ def factor_deviations(spark, sf_dir):
     return found.select("at.*", "factor", "deviation")
 
 
-@register()
+def _coded(metric: str) -> str:
+    """SQL: the decile code of a metric; repeated edges are one."""
+    return f"(SELECT 1 + count(DISTINCT e) FROM unnest(q_{metric}[2:10]) t(e) WHERE e > q_{metric}[1] AND e < q_{metric}[11] AND {metric} >= e)"
+
+
+PREDICTED = f"(SELECT CASE WHEN l_discount > 0.08 THEN 'true' ELSE 'false' END AS flag, {', '.join(f'{_coded(m)} AS {m}' for m in METRICS)} FROM lineitem, (SELECT {', '.join(f'quantile_cont({m}, [{chr(44).join(str(i / 10) for i in range(11))}]) AS q_{m}' for m in METRICS)} FROM lineitem))"
+
+
+@register(f"SELECT y_name AS factor, round(mi / ln(2), 4) AS mi_bits FROM ({_mi_sql([('flag', m) for m in METRICS], 'coded').replace('WITH c AS', f'WITH coded AS MATERIALIZED {PREDICTED}, c AS')})")
 def factor_predictors(spark, sf_dir):
     return shift.factor_predictors(table(spark, sf_dir, "lineitem").withColumn("flag", F.col("l_discount") > 0.08), "flag", METRICS)
 
@@ -563,16 +584,16 @@ def shuffle_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shuffled("doc_id", 1).alias("h"))
 
 
-SIGNATURES = "s AS (SELECT doc_id, sha256(lower(text)) AS folded, sha256(substr(text, 1, 200)) AS opening FROM documents WHERE text IS NOT NULL)"
+SIGNATURES = "s AS (SELECT doc_id, sha256(lower(text)) AS folded, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS bare FROM documents WHERE text IS NOT NULL)"
 
 
 def _signature_edges(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    signed = docs.select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("folded"), F.sha2(F.substring("text", 1, 200).cast("binary"), 256).alias("opening"))
-    return duplicates.signature_edges(signed, "doc_id", {"folded": "folded", "opening": "opening"})
+    signed = docs.select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("folded"), F.sha2(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), " ").cast("binary"), 256).alias("bare"))
+    return duplicates.signature_edges(signed, "doc_id", {"folded": "folded", "bare": "bare"})
 
 
-@register(f"""WITH RECURSIVE {SIGNATURES}, e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON (a.folded = b.folded OR a.opening = b.opening) AND a.doc_id <> b.doc_id),
+@register(f"""WITH RECURSIVE {SIGNATURES}, e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON (a.folded = b.folded OR a.bare = b.bare) AND a.doc_id <> b.doc_id),
 r(node, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y) SELECT node AS key, min(root) AS group_id FROM r GROUP BY 1""")
 def near_duplicates_merged(spark, sf_dir):
     return duplicates.merged_groups(_signature_edges(spark, sf_dir))
@@ -594,7 +615,7 @@ def prioritize_kmeans(spark, sf_dir):
     return neighbors.prioritize(neighbors.kmeans_scores(test, reference, "vec_id", "embedding", 10, "kmeans_complexity"), "vec_id")
 
 
-@register(f"""WITH {POOL} SELECT CAST(dim AS BIGINT) AS dim, round((sum(r * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / m * (cr - (r - 1) / 2.0), 2) / ((cr - (r - 1) / 2.0) / (m + 1) * (1 - (cr - (r - 1) / 2.0) / (m + 1)) * n * (m + n) / m)) / max(m)
- + sum(t * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / n * (ct - (t - 1) / 2.0), 2) / ((ct - (t - 1) / 2.0) / (n + 1) * (1 - (ct - (t - 1) / 2.0) / (n + 1)) * m * (m + n) / n)) / max(n)) / 2, 6) AS statistic FROM p GROUP BY 1""")
+@register(f"WITH {POOL} " + _with_p("""SELECT CAST(dim AS BIGINT) AS dim, (sum(r * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / m * (cr - (r - 1) / 2.0), 2) / ((cr - (r - 1) / 2.0) / (m + 1) * (1 - (cr - (r - 1) / 2.0) / (m + 1)) * n * (m + n) / m)) / max(m)
+ + sum(t * power(cr + ct - (r + t - 1) / 2.0 - (m + n) / n * (ct - (t - 1) / 2.0), 2) / ((ct - (t - 1) / 2.0) / (n + 1) * (1 - (ct - (t - 1) / 2.0) / (n + 1)) * m * (m + n) / n)) / max(n)) / 2 AS x FROM p GROUP BY 1""", shift.ad_p("x")))
 def drift_bws(spark, sf_dir):
     return _test(spark, sf_dir, "bws")
