@@ -40,13 +40,15 @@ def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str | None =
     return dealt.groupBy("b").applyInArrow(pack, "b int, k binary, x binary" + ", s binary" * bool(side)), count
 
 
-def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
+def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """``key, rank, neighbor, dist``: the k nearest references of every query, ties to the smaller key. ``metric``:
-    euclidean or cosine (1 - cosine; a zero vector is at distance 1 from all)."""
+    euclidean or cosine (1 - cosine; a zero vector is at distance 1 from all). ``within``: only rows of the same value of
+    this column are neighbours (by its hash)."""
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    left, _ = _blocks(queries, key, vector, block)
-    right, n = _blocks(references, key, vector, block)
+    group = F.xxhash64(F.col(within).cast("string")) if within else F.lit(0).cast("long")
+    left, _ = _blocks(queries.withColumn("__s", group), key, vector, block, "__s")
+    right, n = _blocks(references.withColumn("__s", group), key, vector, block, "__s")
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -62,12 +64,12 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
             return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(d[keep])], ["q", "neighbor", "dist"])
 
         for batch in batches:
-            for b, qk, qx, rk, rx in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for b, qk, qx, rk, rx, qs, rs in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if held and (b != last or sum(len(h[0]) for h in held) > 4_000_000):
                     yield nearest()
                     held = []
                 last = b
-                qk, rk = np.frombuffer(qk, np.int64), np.frombuffer(rk, np.int64)
+                qk, rk, qs, rs = (np.frombuffer(z, np.int64) for z in (qk, rk, qs, rs))
                 qx, rx = np.frombuffer(qx, np.float64).reshape(len(qk), -1), np.frombuffer(rx, np.float64).reshape(len(rk), -1)
                 for lo in range(0, len(qk), 512):
                     a, names = qx[lo : lo + 512], qk[lo : lo + 512]
@@ -78,6 +80,8 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
                         d = squared_distances(a, rx)
                     if exclude_self:
                         d[names[:, None] == rk[None, :]] = np.inf
+                    if within:
+                        d[qs[lo : lo + 512][:, None] != rs[None, :]] = np.inf
                     m = min(k + 8, len(rk))  # a few more than k: distances are settled below, term by term
                     at = np.argpartition(d, m - 1, axis=1)[:, :m]
                     i = np.repeat(np.arange(len(names)), m)
@@ -91,9 +95,9 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
 
     # the reference blocks a query block meets come to few tasks, which hand on k a query each
     tasks = max(1, math.ceil(math.sqrt(n)))
-    meets = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right.select(F.col("b").alias("rb"), F.col("k").alias("rk"), F.col("x").alias("rx")), "rb")
+    meets = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right.select(F.col("b").alias("rb"), F.col("k").alias("rk"), F.col("x").alias("rx"), F.col("s").alias("rs")), "rb")
     placed = meets.withColumn("t", F.pmod("rb", F.lit(tasks))).repartition("b", "t").sortWithinPartitions("b", "t")
-    found = placed.select("b", "k", "x", "rk", "rx").mapInArrow(best, "q long, neighbor long, dist double")
+    found = placed.select("b", "k", "x", "rk", "rx", "s", "rs").mapInArrow(best, "q long, neighbor long, dist double")
     order = Window.partitionBy("q").orderBy("dist", "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", "neighbor", "dist")
 
@@ -170,27 +174,22 @@ def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples:
                 n, s, q = held.get(l, (0, 0, 0))
                 held[l] = n + 1, s + x, q + np.outer(x, x)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tolist() for h in held.values()]), pa.array([h[2].ravel().tolist() for h in held.values()])], ["l", "n", "s", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tolist() for h in held.values()]), pa.array([h[2].ravel().tolist() for h in held.values()])], ["l", "n", "s", "q"])
 
     def ratio(table: pa.Table) -> pa.Table:
         n = sum(table["n"].to_pylist())
         s, q = (np.sum([np.array(v) for v in table[c].to_pylist()], axis=0) for c in ("s", "q"))
         values = np.maximum(np.linalg.eigvalsh(q.reshape(len(s), len(s)) / n - np.outer(s / n, s / n)), 0)
         whole = n > max(len(s), isotropy_min or 0)
-        return pa.table({"l": pa.array([table["l"][0].as_py()], pa.int64()), "directions": pa.array([float(values.sum() ** 2 / (values**2).sum()) if whole and values.any() else None], pa.float64())})
+        return pa.table({"l": pa.array([table["l"][0].as_py()], pa.string()), "directions": pa.array([float(values.sum() ** 2 / (values**2).sum()) if whole and values.any() else None], pa.float64())})
 
     rows = df.filter(F.col(vector).isNotNull() & F.col(label).isNotNull())
-    spread = rows.select(F.col(label).cast("long").alias("l"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(moments, "l long, n long, s array<double>, q array<double>").groupBy("l").applyInArrow(ratio, "l long, directions double")
-    near = []
-    for (value,) in base.select(label).collect():  # a class at a time: neighbours are those of the class
-        part = rows.filter(F.col(label) == value)
-        near.append(knn(part, part, key, vector, 1).select(F.lit(value).cast("long").alias("l"), "dist"))
-    dist = near[0]
-    for other in near[1:]:
-        dist = dist.union(other)
+    spread = rows.select(F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(moments, "l string, n long, s array<double>, q array<double>").groupBy("l").applyInArrow(ratio, "l string, directions double")
+    near = knn(rows, rows, key, vector, 1, within=label)  # neighbours are those of the class
+    dist = near.join(rows.select(key, F.col(label).cast("string").alias("l")), key).select("l", "dist").checkpoint()
     typical = exact_quantiles(dist, "l", "dist", [0.5]).select("l", F.col("q")[0].alias("typical"))
-    close = dist.join(F.broadcast(typical), "l").groupBy("l").agg(F.avg((F.col("dist") < factor * F.col("typical")).cast("double")).alias("near_duplicate_fraction"))
-    rows = base.withColumn("l", F.col(label).cast("long")).join(spread, "l", "left").join(close, "l", "left").withColumn("assessable", F.col("n") >= min_samples)
+    close = dist.join(typical, "l").groupBy("l").agg(F.avg((F.col("dist") < factor * F.col("typical")).cast("double")).alias("near_duplicate_fraction"))
+    rows = base.withColumn("l", F.col(label).cast("string")).join(spread, "l", "left").join(close, "l", "left").withColumn("assessable", F.col("n") >= min_samples)
     usual = rows.filter("assessable").agg(F.percentile("dispersion", F.lit(0.5)).alias("ud"), F.percentile("directions", F.lit(0.5)).alias("ui"))
     return rows.crossJoin(F.broadcast(usual)).select(label, "n", (F.col("dispersion") / F.col("ud")).alias("dispersion"), (F.col("directions") / F.col("ui")).alias("isotropy"), F.coalesce("near_duplicate_fraction", F.lit(0.0)).alias("near_duplicate_fraction"), "assessable").orderBy("dispersion")
 

@@ -30,19 +30,23 @@ def from_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(local("s").alias("child"), local("o").alias("parent"))
 
 
+def flat(names: DataFrame, root: str = "classes") -> DataFrame:
+    """The hierarchy of classes without one: all below a root."""
+    return names.select(F.col(names.columns[0]).alias("child"), F.lit(root).alias("parent")).union(names.sparkSession.createDataFrame([(root, None)], "child string, parent string"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """``node, ancestor, depth`` (shortest; a node is its own at 0). A hierarchy is a dimension: joined level by level."""
+    """``node, ancestor, depth`` (shortest; a node is its own at 0). A hierarchy is a dimension: joined level by level, each a checkpoint."""
     known = edges.filter("parent is not null").select("child", "parent").distinct()
     nodes = edges.select(F.col("child").alias("node")).union(known.select("parent")).distinct()
     out = level = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     for depth in range(1, MAX_DEPTH + 1):
-        level = level.join(F.broadcast(known), F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        rows = level.collect()
-        if not rows:
+        level = level.join(known, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct().checkpoint()
+        n, cycles = level.agg(F.count("*"), F.count(F.when(F.col("node") == F.col("ancestor"), 1))).first()
+        if not n:
             return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        if any(r.node == r.ancestor for r in rows):
+        if cycles:
             raise ValueError("the hierarchy has a cycle")
-        level = edges.sparkSession.createDataFrame(rows, "node string, ancestor string, depth int")
         out = out.union(level)
     raise ValueError(f"the hierarchy is deeper than {MAX_DEPTH}")
 
@@ -78,15 +82,21 @@ def dark_branches(edges: DataFrame, counts: DataFrame) -> DataFrame:
     return dark.join(above.union(roots).distinct(), "node", "left_semi").distinct()
 
 
-def resolve(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``class_name, matches, verdict``: one, none or ambiguous, by concept label."""
-    nodes = edges.select(F.col("child").alias("class_name")).union(edges.filter("parent is not null").select("parent")).distinct()
-    found = names.join(nodes.withColumn("hit", F.lit(1)), "class_name", "left").groupBy("class_name").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("matches"))
+def resolve(names: DataFrame, edges: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """``class_name, matches, verdict``: how many concepts have the name as their label: one, none or ambiguous. ``concepts``
+    (concept, label) tells concepts from their labels; without it a node's name is its label, and a node that stands under
+    two parents is one concept."""
+    if concepts is None:
+        nodes = edges.select(F.col("child").alias("concept")).union(edges.filter("parent is not null").select("parent")).distinct()
+        concepts = nodes.withColumn("label", F.col("concept"))
+    known = concepts.filter("label is not null").groupBy(F.col("label").alias("class_name")).agg(F.count_distinct("concept").alias("hits"))
+    found = names.select("class_name").distinct().join(known, "class_name", "left").select("class_name", F.coalesce("hits", F.lit(0)).alias("matches"))
     return found.withColumn("verdict", F.when(F.col("matches") == 0, "none").when(F.col("matches") == 1, "one").otherwise("ambiguous"))
 
 
 def lint(edges: DataFrame, pattern: str | None = None) -> DataFrame:
-    """``finding, node``: roots, isolated nodes, redundant edges, unary parents, labels that collide but for case, names
+    """``finding, node``: roots, isolated nodes, redundant edges, unary parents, siblings of their own ancestors, ancestors
+    that are no node of their own, labels that collide but for case, names
     that miss the pattern."""
     known = edges.filter("parent is not null").select("child", "parent").distinct()
     nodes = edges.select(F.col("child").alias("node")).union(known.select("parent")).distinct()
@@ -97,8 +107,13 @@ def lint(edges: DataFrame, pattern: str | None = None) -> DataFrame:
     other = known.select(F.col("child").alias("c"), F.col("parent").alias("via"))
     redundant = known.join(other, F.col("child") == F.col("c")).filter("parent <> via").join(far.select(F.col("node").alias("via"), F.col("ancestor").alias("parent")), ["via", "parent"], "left_semi").select(F.col("child").alias("node"))
     unary = known.groupBy("parent").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("parent").alias("node"))
+    # siblings one of which is above the other
+    pair = known.select(F.col("child").alias("low"), "parent").join(known.select(F.col("child").alias("high"), "parent"), "parent").filter("low <> high")
+    sibling = pair.join(far.select(F.col("node").alias("low"), F.col("ancestor").alias("high")), ["low", "high"], "left_semi").select(F.col("high").alias("node"))
+    # parents that are named nowhere as a node of their own
+    external = known.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     collide = nodes.groupBy(F.lower("node").alias("low")).agg(F.collect_set("node").alias("all")).filter(F.size("all") > 1).select(F.explode("all").alias("node"))
-    found = [("root", roots), ("isolated", isolated), ("redundant_edge", redundant), ("unary_parent", unary), ("label_collision", collide)]
+    found = [("root", roots), ("isolated", isolated), ("redundant_edge", redundant), ("unary_parent", unary), ("ancestor_sibling", sibling), ("external_ancestor", external), ("label_collision", collide)]
     if pattern:
         found.append(("pattern", nodes.filter(~F.col("node").rlike(pattern))))
     out = None

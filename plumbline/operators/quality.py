@@ -55,6 +55,13 @@ def classwise_pivot(issues: DataFrame, labels: DataFrame, keys: list[str], label
     return rows.union(total).select("class_name", F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"), F.round(100.0 * F.col("outlier_count") / F.col("n"), 1).alias("pct"))
 
 
+def duplicate_members(df: DataFrame, key: str, content: str) -> DataFrame:
+    """``group_id, key``: the members of each exact group as rows, however many, without gathering any group."""
+    digest = df.filter(F.col(content).isNotNull()).select(key, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min(key).alias("group_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return digest.join(first, "digest").select("group_id", key)
+
+
 def exact_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
     """``group_id, item_indices, n_items``: rows with equal content (SHA-256), members sorted, groups numbered from
     their smallest member. A group's list is its result; counts are partial aggregates."""
@@ -79,6 +86,13 @@ def leakage(df: DataFrame, key: str, content: str, split: str) -> DataFrame:
     return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("groups"), F.sum("n_a").alias("members_a"), F.sum("n_b").alias("members_b"))
 
 
+def leaked_members(df: DataFrame, key: str, content: str, split: str) -> DataFrame:
+    """``digest, split, key`` of every row whose content stands in two splits or more."""
+    digest = df.filter(F.col(content).isNotNull()).select(F.sha2(F.col(content).cast("binary"), 256).alias("digest"), F.col(split).alias("split"), key)
+    shared = digest.groupBy("digest").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b").select("digest")
+    return digest.join(shared, "digest")
+
+
 def clean_rows(df: DataFrame, key: str, *flagged: DataFrame) -> DataFrame:
     """The keys that no flagged set holds."""
     return df.select(key).distinct().join(flagged[0].select(key) if len(flagged) == 1 else _union(key, flagged), key, "left_anti")
@@ -100,20 +114,29 @@ def _union(key: str, frames: tuple[DataFrame, ...]) -> DataFrame:
     return out.distinct()
 
 
-def cluster_outliers(df: DataFrame, key: str, vector: str, clusters: int, threshold: float, seed: int = 1) -> DataFrame:
-    """Rows whose distance to their cluster's centre is over ``threshold`` population standard deviations above the
-    cluster's mean distance (k-means)."""
-    from pyspark.ml.clustering import KMeans
+def cluster_distances(df: DataFrame, key: str, vector: str, clusters: int, seed: int = 1, algorithm: str = "kmeans") -> DataFrame:
+    """``key, metric_value, cluster_id, deviations``: the distance to the cluster's centre (k-means or bisecting k-means), and
+    how many population standard deviations it lies above the cluster's mean distance."""
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
+    kinds = {"kmeans": KMeans, "bisecting": BisectingKMeans}
+    if algorithm not in kinds:
+        raise ValueError(f"unknown cluster algorithm {algorithm!r}; one of {sorted(kinds)}")
     data = df.select(key, F.col(vector).cast("array<double>").alias("x")).filter("x is not null").withColumn("features", array_to_vector("x"))
-    model = KMeans(k=clusters, seed=seed).fit(data)
+    model = kinds[algorithm](k=clusters, seed=seed).fit(data)
     centres = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in model.clusterCenters()))
     placed = model.transform(data).withColumn("centre", centres[F.col("prediction")])
     d = F.sqrt(F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))
     placed = placed.select(key, F.col("prediction").alias("cluster_id"), d.alias("metric_value"))
-    bounds = placed.groupBy("cluster_id").agg((F.avg("metric_value") + threshold * F.stddev_pop("metric_value")).alias("bound"))
-    return placed.join(F.broadcast(bounds), "cluster_id").filter("metric_value > bound").select(key, F.lit("cluster_distance").alias("metric_name"), "metric_value", "cluster_id")
+    usual = placed.groupBy("cluster_id").agg(F.avg("metric_value").alias("mean"), F.stddev_pop("metric_value").alias("std"))
+    return placed.join(F.broadcast(usual), "cluster_id").select(key, "metric_value", "cluster_id", F.when(F.col("std") > 0, (F.col("metric_value") - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0)).alias("deviations"))
+
+
+def cluster_outliers(df: DataFrame, key: str, vector: str, clusters: int, threshold: float, seed: int = 1, algorithm: str = "kmeans") -> DataFrame:
+    """Rows more than ``threshold`` standard deviations farther from their cluster's centre than its rows on average."""
+    far = cluster_distances(df, key, vector, clusters, seed, algorithm).filter(F.col("deviations") > threshold)
+    return far.select(key, F.lit("cluster_distance").alias("metric_name"), "metric_value", "cluster_id")
 
 
 def longest_run(df: DataFrame, order: str, flag: str, partition: list[str] | None = None) -> DataFrame:

@@ -16,9 +16,9 @@ from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators.neighbors import BLOCK, _blocks, meetings, squared_distances
 
 
-def melted(reference: DataFrame, test: DataFrame, vector: str) -> DataFrame:
-    """``dim, v, is_test``: the features of both populations."""
-    part = lambda df, t: df.filter(F.col(vector).isNotNull()).select(F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"), F.lit(t).alias("is_test"))
+def melted(reference: DataFrame, test: DataFrame, vector: str, *keep: str) -> DataFrame:
+    """``keep, dim, v, is_test``: the features of both populations."""
+    part = lambda df, t: df.filter(F.col(vector).isNotNull()).select(*keep, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"), F.lit(t).alias("is_test"))
     return part(reference, 0).union(part(test, 1))
 
 
@@ -134,6 +134,8 @@ TESTS = {"ks": ks, "cvm": cvm, "mwu": mwu, "anderson": anderson, "bws": bws}
 
 def corrected(tests: DataFrame, p_val: float = 0.05, correction: str = "bonferroni") -> DataFrame:
     """Adds ``drifted`` a feature: bonferroni compares with p over the features, fdr by Benjamini and Hochberg's step."""
+    if "p_val" not in tests.columns:
+        raise ValueError("a test without p-values can't say whether anything drifted")
     d = F.count("*").over(Window.partitionBy())
     if correction == "bonferroni":
         return tests.withColumn("drifted", F.col("p_val") < p_val / d)

@@ -19,6 +19,7 @@ class Dataset(Strict):
     format: Literal["huggingface", "image_folder", "coco", "yolo", "parquet"] = "huggingface"
     path: str
     options: dict[str, Any] = Field(default_factory=dict)
+    image_stats: bool = False  # metrics and hashes of the images become columns of the items
 
 
 class View(Strict):
@@ -40,13 +41,15 @@ class MetadataPolicy(Strict):
     strict: bool = False
     auto_bin_method: Literal["uniform_width", "uniform_count", "clusters"] = "uniform_width"
     factor_source: Literal["coded", "values", "auto"] = "coded"
+    reference_split: str | None = None
+    encoding: str | None = None  # a descriptor file; declared encodings go before its own
 
     @model_validator(mode="after")
     def declared_once(self) -> MetadataPolicy:
         twice = set(self.factor_levels) & set(self.continuous_factor_bins)
         if twice:
             raise ValueError(f"declared twice: {sorted(twice)}")
-        if self.strict and not (self.factor_levels or self.continuous_factor_bins):
+        if self.strict and not (self.factor_levels or self.continuous_factor_bins or self.encoding):
             raise ValueError("a strict policy needs declared encodings")
         return self
 
@@ -56,32 +59,60 @@ class Base(Strict):
     mode: Literal["advisory", "preparatory"] = "advisory"
 
 
+# Names and defaults of the workflows' parameters are the documented public surface: fixed values.
 Method = Literal["adaptive", "zscore", "modzscore", "iqr"]
+Algorithm = Literal["kmeans", "bisecting"]
 
 
-class Cleaning(Base):
+class Duplicates(Strict):
+    """What marks duplicates: equal content, equal signatures (hash columns), short edges between embeddings."""
+
+    content: str | None = None
+    near_signatures: list[str] = Field(default_factory=list)
+    duplicate_merge_near: bool = True
+    duplicate_cluster_sensitivity: float | None = Field(None, gt=0)
+
+
+class Cleaning(Base, Duplicates):
     type: Literal["data-cleaning"]
     outlier_method: Method
     metrics: list[str] = Field(min_length=1)
     outlier_threshold: float | None = Field(None, ge=0)
-    content: str | None = None
+    target_metrics: list[str] = Field(default_factory=list)
+    embedding: str | None = None
+    outlier_cluster_threshold: float | None = Field(None, gt=0)
+    outlier_cluster_algorithm: Algorithm = "kmeans"
+    outlier_n_clusters: int = Field(10, ge=2)
     exact_warning: float = 0
     near_warning: float = 5
     outlier_warning: float = 3
+    target_warning: float = 3
+    classwise_warning: float = 3
     imbalance_warning: float = 5
 
+    @model_validator(mode="after")
+    def clusters_need_vectors(self) -> Cleaning:
+        if self.embedding is None and (self.outlier_cluster_threshold or self.duplicate_cluster_sensitivity):
+            raise ValueError("cluster parameters need an embedding")
+        return self
 
-class Analysis(Base):
+
+class Analysis(Base, Duplicates):
     type: Literal["data-analysis"]
     outlier_method: Method
     metrics: list[str] = Field(min_length=1)
     outlier_threshold: float | None = Field(None, ge=0)
-    content: str | None = None
     factors: list[str] = Field(default_factory=list)
     balance: bool = False
+    include_metrics: bool = False  # metrics are factors too
     diversity_method: Literal["simpson", "shannon"] | None = None
+    embedding: str | None = None
+    divergence_method: Literal["mst", "fnn"] | None = None
     outlier_warning: float = 3
+    exact_warning: float = 0
+    near_warning: float = 5
     imbalance_warning: float = 5
+    shift_warning: float = 0.5
 
 
 class Coverage(Base):
@@ -91,10 +122,34 @@ class Coverage(Base):
     coverage_method: Literal["adaptive", "naive"] = "adaptive"
     coverage_percent: float = Field(0.01, gt=0, le=1)
     num_observations: int = Field(50, ge=1)
+    min_class_samples: int = Field(20, ge=1)
+    isotropy_min_samples: int | None = None
+    near_duplicate_factor: float = Field(0.5, gt=0)
+    run_completeness: bool = True
+    balance: bool = True
+    diversity_method: Literal["simpson", "shannon"] | None = "simpson"
+    run_gap_analysis: bool = True
     gap_mi_threshold: float = 0.1
     gap_min_representation: int = 5
+    ontology: dict[str, Any] | str | None = None
+    ontology_expected: dict[str, float] = Field(default_factory=dict)
+    ontology_label_pattern: str | None = None
     uncovered_warning: float = 10
+    completeness_warning: float = 0.5
+    imbalance_warning: float = 5
     gap_warning: int = 3
+    dispersion_warning: float = 0.5
+    isotropy_warning: float = 0.5
+    near_duplicate_warning: float = 0.1
+    leaf_warning: float = 0.9
+    dark_warning: int = 0
+    unmatched_warning: int = 0
+
+    @model_validator(mode="after")
+    def shares(self) -> Coverage:
+        if any(not 0 <= v <= 1 for v in self.ontology_expected.values()):
+            raise ValueError("expected shares lie in [0, 1]")
+        return self
 
 
 class Splitting(Base):
@@ -106,42 +161,69 @@ class Splitting(Base):
     split_on: str | None = None
     rebalance_method: Literal["global", "interclass"] | None = None
     seed: int = 0
+    embedding: str | None = None
+    coverage_percent: float = Field(0.01, gt=0, le=1)
+    num_observations: int = Field(50, ge=1)
 
 
 class Drift(Base):
     type: Literal["drift-monitoring"]
     embedding: str = "embedding"
     detectors: list[dict[str, Any]] = Field(min_length=1)
+    drift_warning: bool = True
     chunk_warning: float = 10
     run_warning: int = 3
+    classwise_warning: bool = True
 
 
 class Ood(Base):
     type: Literal["ood-detection"]
     embedding: str = "embedding"
-    k: int = Field(10, ge=1)
-    metric: Literal["cosine", "euclidean"] = "cosine"
-    threshold_perc: float = Field(95, gt=0, le=100)
+    detectors: list[dict[str, Any]] = Field(default_factory=lambda: [{"method": "knn"}], min_length=1)
+    factors: list[str] = Field(default_factory=list)
+    metadata_insights: bool = True
+    max_ood_insights: int = Field(50, ge=0)
     ood_warning: float = 10
     ood_info: float = 1
 
 
+class PriorCleaning(Strict):
+    """Rows that leave before ranking: outliers of every source, and duplicates over all of them."""
+
+    outlier_method: Method = "adaptive"
+    metrics: list[str] = Field(default_factory=list)
+    outlier_threshold: float | None = Field(None, ge=0)
+    content: str | None = None
+    near_signatures: list[str] = Field(default_factory=list)
+    duplicate_exact_only: bool = False
+
+
 class Prioritization(Base):
     type: Literal["data-prioritization"]
     embedding: str = "embedding"
-    k: int | None = None
+    method: Literal["knn", "kmeans_distance", "kmeans_complexity"] = "knn"
+    k: int | None = Field(None, ge=1)
+    c: int | None = Field(None, ge=2)
     order: Literal["hard_first", "easy_first"] = "hard_first"
     policy: Literal["difficulty", "stratified", "class_balanced"] = "difficulty"
-    num_bins: int = 50
-    content: str | None = None
+    num_bins: int = Field(50, ge=1)
+    cleaning: PriorCleaning | None = None
     removed_warning: float = 20
 
 
 class Sweep(Base):
     type: Literal["parameter-sweep"]
     metrics: list[str] = Field(min_length=1)
+    embedding: str | None = None
     outlier_method: list[Method] = Field(default_factory=lambda: ["adaptive"])
-    outlier_threshold: list[float] = Field(default_factory=lambda: [3.5])
+    outlier_threshold: list[float | None] = Field(default_factory=lambda: [None])
+    outlier_cluster_threshold: list[float] = Field(default_factory=list)
+    outlier_cluster_algorithm: list[Algorithm] = Field(default_factory=lambda: ["kmeans"])
+    outlier_n_clusters: int = Field(10, ge=2)
+    content: str | None = None
+    near_signatures: list[str] = Field(default_factory=list)
+    duplicate_cluster_sensitivity: list[float] = Field(default_factory=list)
+    duplicate_merge_near: list[bool] = Field(default_factory=lambda: [True])
 
 
 Workflow = Cleaning | Analysis | Coverage | Splitting | Drift | Ood | Prioritization | Sweep

@@ -11,18 +11,22 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline import __version__
-from plumbline.operators import encoding, labels, neighbors, quality, shift, splitting
+from plumbline.functions.moments import CUTOFFS
+from plumbline.operators import duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
 from plumbline.sources.datasets import SourceFrames, load_dataset
+from plumbline.sources.images import image_stats
 
 KEY, LABEL = "item_index", "class_label"
 
@@ -45,6 +49,7 @@ class Result:
     findings: list[Finding] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
     envelope: dict[str, Any] = field(default_factory=dict)
+    descriptor: str | None = None
 
     def to_dict(self) -> dict:
         return {"name": self.name, "success": self.success, "metadata": self.envelope, "scalars": self.scalars, "findings": [vars(f) for f in self.findings], "errors": self.errors, "tables": {n: df.columns for n, df in self.tables.items()}}
@@ -74,6 +79,9 @@ class Result:
         if detailed:
             for f in self.findings:
                 lines += ["", f.title, "-" * len(f.title), *([f.description] if f.description else []), *(f"  {k}: {v}" for k, v in (f.data.items() if isinstance(f.data, dict) else enumerate(f.data)))]
+            for title, held in (("METADATA FACTORS", self.envelope.get("metadata")), ("CONFIGURATION", self.envelope.get("resolved_config"))):
+                if held:
+                    lines += ["", title, "-" * len(title), *(f"  {k}: {v}" for k, v in held.items())]
         return "\n".join(lines)
 
 
@@ -81,47 +89,117 @@ def graded(value: float, warning: float, info: float = 0.0) -> str:
     return "warning" if value > warning else "info" if value > info else "ok"
 
 
-def _rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    """A small result, for a report."""
-    return [r.asDict() for r in df.limit(most).collect()]
+def _rows(df: DataFrame) -> list[dict]:
+    """A result of classes, splits or parameters (dimensions), whole, for a report."""
+    return [r.asDict() for r in df.collect()]
 
 
 def _percent(n: int, of: int) -> float:
     return round(100.0 * n / of, 1) if of else 0.0
 
 
-def _label_finding(items: DataFrame, limit: float) -> list[Finding]:
-    if LABEL not in items.columns:
+def _label_counts(s: SourceFrames) -> DataFrame | None:
+    """``class_name, n, missing`` of the declared classes, or of those that occur."""
+    labelled = s.targets if s.targets is not None and LABEL in s.targets.columns else s.items
+    if LABEL not in labelled.columns:
+        return None
+    if s.classes is not None and {LABEL, "class_name"} <= set(s.classes.columns):
+        return labels.distribution(labelled, s.classes, LABEL, "class_name")
+    return labels.label_counts(labelled, LABEL).select(F.col(LABEL).cast("string").alias("class_name"), "n", F.lit(False).alias("missing"))
+
+
+def _label_finding(s: SourceFrames, limit: float, info: float | None = None, title: str = "Label Distribution") -> list[Finding]:
+    counts = _label_counts(s)
+    if counts is None:
         return []
-    counts = labels.label_counts(items, LABEL)
-    ratio = labels.imbalance(counts).first()[0]
-    return [Finding("Label Distribution", "warning" if ratio > limit else "ok", "table", {"counts": {str(r[LABEL]): r["n"] for r in _rows(counts)}, "imbalance_ratio": ratio})]
+    ratio = labels.imbalance(counts, positive_only=True).first()[0]
+    found = _rows(counts)
+    empty = sorted(r["class_name"] for r in found if r["missing"])
+    severity = "warning" if empty or ratio > limit else "info" if info is not None and ratio > info else "ok"
+    return [Finding(title, severity, "table", {"counts": {r["class_name"]: r["n"] for r in found}, "missing": empty, "imbalance_ratio": ratio})]
+
+
+def _near_groups(items: DataFrame, p: c.Duplicates | c.PriorCleaning, embedding: str | None = None) -> DataFrame | None:
+    """``key, group_id`` of near duplicates over all methods asked for; without merging, ``method`` too: groups by it."""
+    edges = []
+    if p.near_signatures:
+        edges.append(duplicates.signature_edges(items, KEY, {x: x for x in p.near_signatures}))
+    if embedding and getattr(p, "duplicate_cluster_sensitivity", None):
+        edges.append(duplicates.short_edges(items, KEY, embedding, p.duplicate_cluster_sensitivity))
+    if not edges:
+        return None
+    every = reduce(DataFrame.unionByName, edges)
+    if getattr(p, "duplicate_merge_near", True):
+        return duplicates.merged_groups(every)
+    parts = [duplicates.merged_groups(every.filter(F.col("method") == m)).withColumn("method", F.lit(m)) for (m,) in every.select("method").distinct().collect()]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _duplicates(items: DataFrame, n: int, p: Any, prefix: str, title: str, out: Result) -> DataFrame:
+    """Tables and finding of exact and near duplicates; returns the copies that the flag policy removes."""
+    copies = items.select(KEY).limit(0)
+    exact = near = 0
+    if p.content:
+        out.tables[f"{prefix}duplicates"] = quality.exact_duplicates(items, KEY, p.content)
+        copies = quality.flagged_copies(items, KEY, p.content)
+        exact = copies.count()
+    groups = _near_groups(items, p, getattr(p, "embedding", None))
+    if groups is not None:
+        out.tables[f"{prefix}near_duplicates"] = groups
+        more = groups.filter(F.col("key") != F.col("group_id")).select(F.col("key").alias(KEY)).distinct()
+        near = more.count()
+        copies = copies.union(more).distinct()
+    if exact or near:
+        shares = {"exact_percent": _percent(exact, n), "near_percent": _percent(near, n)}
+        warn = shares["exact_percent"] > p.exact_warning or shares["near_percent"] > p.near_warning
+        out.findings.append(Finding(title, "warning" if warn else "info", "key_value", shares))
+    return copies
 
 
 def cleaning(sources: dict[str, SourceFrames], p: c.Cleaning, out: Result) -> None:
-    items = next(iter(sources.values())).items
+    source = next(iter(sources.values()))
+    items = source.items
     n = items.count()
     issues = quality.outlier_issues(items, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
+    if p.outlier_cluster_threshold:
+        far = quality.cluster_outliers(items, KEY, p.embedding, p.outlier_n_clusters, p.outlier_cluster_threshold, algorithm=p.outlier_cluster_algorithm)
+        issues = issues.unionByName(far.drop("cluster_id")).dropDuplicates([KEY, "metric_name"])
     out.tables |= {"outliers": issues, "outlier_summary": quality.summary_by_metric(issues, [KEY])}
     flagged = issues.select(KEY).distinct()
     count = flagged.count()
-    out.findings.append(Finding("Image Outliers", graded(_percent(count, n), p.outlier_warning), "pivot_table", {"count": count, "percent": _percent(count, n)}))
-    copies = flagged.limit(0)
-    if p.content:
-        groups = quality.exact_duplicates(items, KEY, p.content)
-        copies = quality.flagged_copies(items, KEY, p.content)
-        share = _percent(copies.count(), n)
-        out.tables |= {"duplicates": groups}
-        if share:
-            out.findings.append(Finding("Duplicates", "warning" if share > p.exact_warning else "info", "key_value", {"exact_percent": share}))
+    out.findings.append(Finding("Image Outliers", graded(_percent(count, n), p.outlier_warning), "pivot_table", {"count": count, "percent": _percent(count, n), "by_metric": {r["metric_name"]: r["outlier_count"] for r in _rows(out.tables["outlier_summary"])}}))
+    if p.target_metrics and source.targets is not None:
+        found = quality.outlier_issues(source.targets, [KEY, "target_index"], p.target_metrics, p.outlier_method, p.outlier_threshold)
+        out.tables["target_outliers"] = found
+        hits, of = found.select(KEY, "target_index").distinct().count(), source.targets.count()
+        if hits:
+            out.findings.append(Finding("Target Outliers", graded(_percent(hits, of), p.target_warning), "key_value", {"count": hits, "percent": _percent(hits, of)}))
+    copies = _duplicates(items, n, p, "", "Duplicates", out)
     if LABEL in items.columns:
-        out.tables["classwise_outliers"] = quality.classwise_pivot(issues, items, [KEY], LABEL)
-    out.findings += _label_finding(items, p.imbalance_warning)
+        pivot = quality.classwise_pivot(issues, items, [KEY], LABEL)
+        out.tables["classwise_outliers"] = pivot
+        found = _rows(pivot)
+        total = next((r["pct"] for r in found if r["class_name"] == "Total"), None) or 0.0
+        worst = max((r for r in found if r["class_name"] != "Total"), key=lambda r: r["pct"] or 0.0, default=None)
+        out.findings.append(Finding("Classwise Outliers", graded(total, p.classwise_warning), "pivot_table", {"total_percent": total, "worst_class": worst and worst["class_name"], "worst_percent": worst and worst["pct"]}))
+    out.findings += _label_finding(source, p.imbalance_warning)
     out.scalars |= quality.cleaning_summary(items, KEY, issues, copies).first().asDict()
     if p.mode == "preparatory":
         out.tables |= {"clean_indices": quality.clean_rows(items, KEY, issues, copies)}
 
 
+def _numeric(df: DataFrame, among: list[str] | None = None) -> list[str]:
+    """Columns that can be factors: numbers and booleans, no hashes, keys or vectors."""
+    kinds = dict(df.dtypes)
+    return [n for n in (among or df.columns) if n in kinds and n not in (KEY, LABEL) and kinds[n].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")]
+
+
+def _factors(items: DataFrame, p: c.Analysis) -> tuple[DataFrame, list[str]]:
+    """Factors as they are, and metrics (if asked for) as decile codes."""
+    extra = [m for m in _numeric(items, p.metrics) if m not in p.factors] if p.include_metrics else []
+    return items.withColumns({m: encoding.uniform_count(items, m, 10).code(F.col(m)) for m in extra}) if extra else items, [*p.factors, *extra]
+
+
 def analysis(sources: dict[str, SourceFrames], p: c.Analysis, out: Result) -> None:
     for name, s in sources.items():
         n = s.items.count()
@@ -129,31 +207,48 @@ def analysis(sources: dict[str, SourceFrames], p: c.Analysis, out: Result) -> No
         out.tables[f"{name}.outliers"] = issues
         rate = _percent(issues.select(KEY).distinct().count(), n)
         out.findings.append(Finding(f"Image Quality: {name}", graded(rate, p.outlier_warning), "key_value", {"num_samples": n, "outlier_rate": rate}))
-        out.findings += _label_finding(s.items, p.imbalance_warning)
-        if p.content:
-            out.tables[f"{name}.duplicates"] = quality.exact_duplicates(s.items, KEY, p.content)
-        if p.factors and p.balance and LABEL in s.items.columns:
-            out.tables[f"{name}.balance"] = labels.mutual_information(labels.pair_tables(s.items, [(LABEL, f) for f in p.factors]))
-        if p.factors and p.diversity_method:
-            out.tables[f"{name}.diversity"] = labels.diversity(s.items, p.factors, p.diversity_method)
+        out.findings += _label_finding(s, p.imbalance_warning, title=f"Label Balance: {name}")
+        _duplicates(s.items, n, p, f"{name}.", f"Redundancy: {name}", out)
+        coded, factors = _factors(s.items, p)
+        if factors and p.balance and LABEL in s.items.columns:
+            pairs = [(LABEL, f) for f in factors] + [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+            told = labels.adjusted_information(coded, pairs)
+            out.tables |= {f"{name}.balance": told, f"{name}.classwise_balance": labels.classwise_information(coded, LABEL, factors)}
+            high = {r["y_name"]: r["ami"] for r in _rows(told) if r["x_name"] == LABEL and r["ami"] > 0.5}
+            out.findings.append(Finding(f"Bias: {name}", "warning" if high else "ok", "table", {"factors_told_by_label": high}))
+        if factors and p.diversity_method:
+            out.tables[f"{name}.diversity"] = labels.diversity(coded, factors, p.diversity_method)
     names = list(sources)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            x, y = sources[a].items, sources[b].items
-            if LABEL in x.columns and LABEL in y.columns:
-                out.tables[f"{a}_vs_{b}.label_overlap"] = labels.overlap(x, y, LABEL)
-                chi2, dof = labels.parity(y, x, LABEL).first()
-                value = labels.chi2_sf(chi2, dof)
-                out.findings.append(Finding(f"Label Parity: {a} vs {b}", "warning" if value < 0.05 else "ok", "key_value", {"chi2": chi2, "p_value": value}))
-            if p.content:
-                both = x.select(KEY, p.content, F.lit(a).alias("split")).union(y.select(KEY, p.content, F.lit(b).alias("split")))
-                leaked = quality.leakage(both, KEY, p.content, "split")
-                out.tables[f"{a}_vs_{b}.leakage"] = leaked
-                out.findings.append(Finding(f"Leakage: {a} vs {b}", "ok" if leaked.isEmpty() else "warning", "key_value", {"rows": _rows(leaked)}))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    kind = "key_value" if len(pairs) == 1 else "pivot_table"
+    for a, b in pairs:
+        x, y = sources[a].items, sources[b].items
+        if LABEL in x.columns and LABEL in y.columns:
+            shared = labels.overlap(x, y, LABEL)
+            out.tables[f"{a}_vs_{b}.label_overlap"] = shared
+            only = {r["class_name"]: r["presence"] for r in _rows(shared) if r["presence"] != "shared"}
+            out.findings.append(Finding(f"Label Overlap: {a} vs {b}", "warning" if only else "ok", kind, {"only_in_one": only}))
+            chi2, dof = labels.parity(y, x, LABEL).first()
+            value = labels.chi2_sf(chi2, dof)
+            out.tables[f"{a}_vs_{b}.label_parity"] = x.sparkSession.createDataFrame([(float(chi2), float(value), value < 0.05)], "chi2 double, p_val double, significant boolean")
+            out.findings.append(Finding(f"Label Parity: {a} vs {b}", "warning" if value < 0.05 else "ok", kind, {"chi2": chi2, "p_value": value, "significant": value < 0.05}))
+        if p.content:
+            both = x.select(KEY, p.content, F.lit(a).alias("split")).union(y.select(KEY, p.content, F.lit(b).alias("split")))
+            leaked = quality.leakage(both, KEY, p.content, "split")
+            out.tables |= {f"{a}_vs_{b}.leakage": leaked, f"{a}_vs_{b}.leaked_items": quality.leaked_members(both, KEY, p.content, "split")}
+            found = _rows(leaked)
+            out.findings.append(Finding(f"Leakage: {a} vs {b}", "warning" if found else "ok", kind, {"rows": found}))
+        if p.embedding and p.divergence_method:
+            # keys are those of their sources: made unique over both
+            one, two = (d.select((F.col(KEY) * 2 + i).alias(KEY), p.embedding) for i, d in enumerate((x, y)))
+            value = neighbors.mst_divergence(one, two, KEY, p.embedding) if p.divergence_method == "mst" else neighbors.fnn_divergence(one, two, KEY, p.embedding).first()[0]
+            level = "high" if value > p.shift_warning else "moderate" if value > 0.4 * p.shift_warning else "low"
+            out.findings.append(Finding(f"Shift: {a} vs {b}", "warning" if level == "high" else "info" if level == "moderate" else "ok", kind, {"divergence": round(value, 6), "level": level}))
 
 
 def coverage(sources: dict[str, SourceFrames], p: c.Coverage, out: Result) -> None:
-    items = next(iter(sources.values())).items
+    source = next(iter(sources.values()))
+    items = source.items
     n = items.count()
     scaled = neighbors.min_max(items, KEY, p.embedding)
     uncovered, how = neighbors.coverage(scaled, KEY, "x", p.coverage_method, p.coverage_percent, p.num_observations)
@@ -161,19 +256,73 @@ def coverage(sources: dict[str, SourceFrames], p: c.Coverage, out: Result) -> No
     if uncovered is not None:
         out.tables["uncovered"] = uncovered
         rate = _percent(uncovered.count(), n)
-        out.findings.append(Finding("Embedding Coverage", "warning" if how == "naive" and rate > p.uncovered_warning else "info" if rate else "ok", "key_value", {"uncovered_rate": rate}))
-    score = neighbors.completeness(items, p.embedding)
-    out.findings.append(Finding("Completeness", "warning" if score < 0.5 else "info" if score < 0.8 else "ok", "scalar", {"score": round(score, 4)}))
+        out.scalars["uncovered_rate"] = rate
+    else:
+        rate = 0.0
+    poor: dict[str, list[str]] = {}
     if LABEL in items.columns:
-        out.tables["class_dispersion"] = neighbors.dispersion(items, LABEL, p.embedding)
-        if p.factors:
-            told = labels.mutual_information(labels.pair_tables(items, [(LABEL, f) for f in p.factors])).filter(F.col("nmi") >= p.gap_mi_threshold)
-            useful = [r.y_name for r in told.collect()]
-            if useful:
-                gaps = labels.metadata_gaps(items, LABEL, useful, p.gap_min_representation)
+        profile = neighbors.class_profile(items, KEY, LABEL, p.embedding, p.min_class_samples, p.isotropy_min_samples, p.near_duplicate_factor)
+        out.tables["class_profile"] = profile
+        able = [r for r in _rows(profile) if r["assessable"]]
+        poor = {
+            "clustered": [str(r[LABEL]) for r in able if r["dispersion"] is not None and r["dispersion"] < p.dispersion_warning],
+            "flat": [str(r[LABEL]) for r in able if r["isotropy"] is not None and r["isotropy"] < p.isotropy_warning],
+            "padded": [str(r[LABEL]) for r in able if r["near_duplicate_fraction"] > p.near_duplicate_warning],
+        }
+    if uncovered is not None:
+        warn = any(poor.values()) or (how == "naive" and rate > p.uncovered_warning)
+        out.findings.append(Finding("Embedding Coverage", "warning" if warn else "info" if rate else "ok", "key_value", {"uncovered_rate": rate, **poor}))
+    if p.run_completeness:
+        score = neighbors.completeness(items, p.embedding)
+        out.tables["nearest_pairs"] = neighbors.knn(items, items, KEY, p.embedding, 1).orderBy("dist", KEY)
+        out.findings.append(Finding("Completeness", "warning" if score < p.completeness_warning else "info" if score < 0.8 else "ok", "scalar", {"score": round(score, 4)}))
+    out.findings += _label_finding(source, p.imbalance_warning, 2)
+    if p.factors and p.diversity_method:
+        out.tables |= {"diversity": labels.diversity(items, p.factors, p.diversity_method)}
+    if LABEL in items.columns and p.factors:
+        told = labels.adjusted_information(items, [(LABEL, f) for f in p.factors])
+        if p.balance:
+            out.tables["balance"] = told
+        if p.run_gap_analysis:
+            useful = [r["y_name"] for r in _rows(told.filter(F.col("ami") >= p.gap_mi_threshold))]
+            gaps = labels.metadata_gaps(items, LABEL, useful or p.factors[:0], p.gap_min_representation) if useful else None
+            count = gaps.count() if gaps is not None else 0
+            if gaps is not None:
                 out.tables["metadata_gaps"] = gaps
-                count = gaps.count()
-                out.findings.append(Finding("Metadata Gaps", "warning" if count >= p.gap_warning else "info" if count else "ok", "table", {"count": count}))
+            out.findings.append(Finding("Metadata Gaps", "warning" if count >= p.gap_warning else "info" if count else "ok", "table", {"count": count, "factors": useful}))
+    counts = _label_counts(source)
+    if counts is not None:
+        try:
+            _label_space(counts, p, out)
+        except Exception as e:  # a hierarchy that can't be read is skipped, with the reason
+            out.scalars["ontology_skipped"] = str(e)
+
+
+def _label_space(counts: DataFrame, p: c.Coverage, out: Result) -> None:
+    """Where the labels stand in a configured hierarchy; without one, against an even share of the classes."""
+    spark = counts.sparkSession
+    if p.ontology is None:
+        edges = ontology.flat(counts.select("class_name"))
+    else:
+        edges = ontology.from_ntriples(spark, p.ontology) if isinstance(p.ontology, str) else ontology.from_mapping(spark, p.ontology)
+    edges = edges.checkpoint()
+    seen = counts.select("class_name", "n")
+    work = ontology.worklist(edges, seen, p.ontology_expected or None)
+    out.tables["label_worklist"] = work
+    todo = _rows(work)
+    if p.ontology is None:
+        out.findings.append(Finding("Class Balance", "warning" if any(r["action"] == "acquire" for r in todo) else "info" if todo else "ok", "table", {"worklist": todo}))
+        return
+    covered = ontology.leaf_coverage(edges, seen).first().asDict()
+    dark = _rows(ontology.dark_branches(edges, seen))
+    out.tables |= {"dark_branches": ontology.dark_branches(edges, seen), "label_names": ontology.resolve(seen.select("class_name"), edges), "ontology_lint": ontology.lint(edges, p.ontology_label_pattern)}
+    warn = covered["leaf_coverage"] < p.leaf_warning or len(dark) > p.dark_warning
+    out.findings.append(Finding("Label Space", "warning" if warn else "info" if todo else "ok", "table", {**covered, "dark_branches": [r["node"] for r in dark], "worklist": todo}))
+    wrong = [r for r in _rows(out.tables["label_names"]) if r["verdict"] != "one"]
+    out.findings.append(Finding("Conformance", "warning" if len(wrong) > p.unmatched_warning else "ok", "table", {"unmatched": wrong}))
+    lint = _rows(out.tables["ontology_lint"].groupBy("finding").agg(F.count("*").alias("n")))
+    found = {r["finding"]: r["n"] for r in lint}
+    out.findings.append(Finding("Structure", "warning" if "label_collision" in found else "info" if set(found) - {"root"} else "ok", "table", {**found, "max_depth": ontology.closure(edges).agg(F.max("depth")).first()[0]}))
 
 
 def splits(sources: dict[str, SourceFrames], p: c.Splitting, out: Result) -> None:
@@ -189,10 +338,19 @@ def splits(sources: dict[str, SourceFrames], p: c.Splitting, out: Result) -> Non
         assigned = assigned.filter("split <> 'train'").unionByName(train)
     out.tables["splits"] = assigned
     if LABEL in assigned.columns:
+        counts = assigned.groupBy("split", LABEL).agg(F.count("*").alias("n"))
+        out.tables["class_distribution"] = counts
+        ratios = {r["split"]: round(r["ratio"], 1) for r in _rows(counts.groupBy("split").agg((F.max("n") / F.min("n")).alias("ratio")))}
+        out.findings.append(Finding("Class Distribution", "warning" if any(r > 10 for r in ratios.values()) else "ok", "key_value", {"imbalance_ratio": ratios}))
         worst = splitting.deviation(assigned, LABEL)
-        top = max((r.deviation for r in worst.collect()), default=0.0)
+        top = max((r["deviation"] for r in _rows(worst)), default=0.0)
         out.tables["deviation"] = worst
         out.findings.append(Finding("Stratification", "ok" if top <= 2 else "info" if top <= 10 else "warning", "key_value", {"max_deviation_pp": top}))
+    if p.embedding:
+        train = items.join(assigned.filter("split = 'train'").select(KEY), KEY, "left_semi")
+        found, how = neighbors.coverage(neighbors.min_max(train, KEY, p.embedding), KEY, "x", "adaptive", p.coverage_percent, p.num_observations)
+        rate = _percent(found.count(), train.count()) if found is not None else 0.0
+        out.findings.append(Finding("Coverage", "warning" if rate > 5 else "ok", "key_value", {"uncovered_rate": rate, "method": how}))
 
 
 def _two(sources: dict[str, SourceFrames]) -> tuple[DataFrame, DataFrame]:
@@ -206,57 +364,151 @@ def _two(sources: dict[str, SourceFrames]) -> tuple[DataFrame, DataFrame]:
     return frames[0], rest
 
 
+def _detector_names(detectors: list[dict], default: str) -> list[str]:
+    """``method``, or ``method_1, method_2`` where a method comes more than once."""
+    methods = [d.get("method", default) for d in detectors]
+    return [m if methods.count(m) == 1 else f"{m}_{methods[: i + 1].count(m)}" for i, m in enumerate(methods)]
+
+
+def detect_drift(reference: DataFrame, test: DataFrame, d: dict, vector: str) -> tuple[DataFrame, bool, dict]:
+    """A detector's table, whether it sees drift, and what the finding says."""
+    method, level = d.get("method", "univariate"), d.get("p_val", 0.05)
+    if method == "univariate":
+        name = d.get("test", "ks")
+        if name not in shift.TESTS:
+            raise ValueError(f"unknown test {name!r}; one of {sorted(shift.TESTS)}")
+        found = shift.corrected(shift.TESTS[name](shift.melted(reference, test, vector), ["dim"]), level, d.get("correction", "bonferroni")).checkpoint()
+        count = found.filter("drifted").count()
+        return found, count > 0, {"drifted_features": count, "min_p": found.agg(F.min("p_val")).first()[0]}
+    if method == "mmd":
+        found = shift.drift_mmd(reference, test, KEY, vector, permutations=d.get("n_permutations", 100))
+        row = found.first()
+        return found, row.p_val < level, {"mmd2": row.mmd2, "p_val": row.p_val}
+    if method == "knn":
+        k = d.get("k", 10)
+        own = neighbors.mean_distance(neighbors.knn(reference, reference, KEY, vector, k), KEY)
+        new = neighbors.mean_distance(neighbors.knn(test, reference, KEY, vector, k, exclude_self=False), KEY)
+        found = shift.mwu(own.select(F.col("score").alias("v"), F.lit(0).alias("is_test")).union(new.select("score", F.lit(1))), []).checkpoint()
+        row = found.first()
+        return found, row.z > 0 and row.p_val / 2 < level, {"z": row.z, "p_val": row.p_val / 2 if row.z > 0 else 1 - row.p_val / 2}
+    if method == "domain_classifier":
+        auroc, drifted, found = shift.domain_classifier(reference, test, KEY, vector, d.get("n_folds", 5), d.get("threshold", 0.55))
+        return found, drifted, {"auroc": auroc}
+    raise ValueError(f"unknown drift detector {method!r}")
+
+
 def drift(sources: dict[str, SourceFrames], p: c.Drift, out: Result) -> None:
     reference, test = _two(sources)
-    for n, d in enumerate(p.detectors, 1):
-        method = d.get("method", "univariate")
-        name = method if [x.get("method", "univariate") for x in p.detectors].count(method) == 1 else f"{method}_{n}"
+    for name, d in zip(_detector_names(p.detectors, "univariate"), p.detectors):
         try:
-            if method == "univariate":
-                found = shift.TESTS[d.get("test", "ks")](shift.melted(reference, test, p.embedding), ["dim"])
-                found = shift.corrected(found, d.get("p_val", 0.05), d.get("correction", "bonferroni")) if "p_val" in found.columns else found
-                drifted = bool(found.filter("drifted").count()) if "drifted" in found.columns else False
-            elif method == "mmd":
-                found = shift.drift_mmd(reference, test, KEY, p.embedding, permutations=d.get("n_permutations", 100))
-                drifted = found.first().drifted
-            elif method == "knn":
-                k = d.get("k", 10)
-                own = neighbors.mean_distance(neighbors.knn(reference, reference, KEY, p.embedding, k), KEY)
-                new = neighbors.mean_distance(neighbors.knn(test, reference, KEY, p.embedding, k, exclude_self=False), KEY)
-                found = shift.mwu(own.select(F.col("score").alias("v"), F.lit(0).alias("is_test")).union(new.select("score", F.lit(1))), [])
-                row = found.first()
-                drifted = row.z > 0 and row.p_val / 2 < d.get("p_val", 0.05)
-            elif method == "domain_classifier":
-                auroc, drifted, found = shift.domain_classifier(reference, test, KEY, p.embedding, d.get("n_folds", 5), d.get("threshold", 0.55))
-                out.scalars[f"{name}.auroc"] = auroc
-            else:
-                raise ValueError(f"unknown drift detector {method!r}")
+            found, drifted, said = detect_drift(reference, test, d, p.embedding)
             out.tables[name] = found
-            out.findings.append(Finding(f"Drift: {name}", "warning" if drifted else "ok", "key_value", {"drifted": bool(drifted)}))
+            out.findings.append(Finding(f"Drift: {name}", ("warning" if p.drift_warning else "info") if drifted else "ok", "key_value", {"drifted": bool(drifted), **said}))
+            if d.get("chunking"):
+                _drift_chunks(reference, test, name, d["chunking"], p, out)
+            if d.get("classwise"):
+                _drift_classes(reference, test, name, d, p, out)
         except Exception as e:  # a failing detector doesn't fail the task
             out.errors.append(f"{name}: {e}")
 
 
+def _drift_chunks(reference: DataFrame, test: DataFrame, name: str, spec: dict, p: c.Drift, out: Result) -> None:
+    size, count = spec.get("chunk_size"), spec.get("chunk_count")
+    known = shift.shift_by_chunk(reference, reference, p.embedding, size, count, KEY)
+    found = shift.chunk_drift(known, shift.shift_by_chunk(reference, test, p.embedding, size, count, KEY), spec.get("threshold_multiplier", 3.0)).checkpoint()
+    out.tables[f"{name}.chunks"] = found
+    row = quality.longest_run(found, "chunk", "drifted").first()
+    share, run = (row.pct_drifted or 0.0, row.longest_run) if row else (0.0, 0)
+    warn = share >= p.chunk_warning or run >= p.run_warning
+    out.findings.append(Finding(f"Chunked Drift: {name}", "warning" if warn else "info" if share else "ok", "key_value", {"percent_drifted": share, "longest_run": run}))
+
+
+def _drift_classes(reference: DataFrame, test: DataFrame, name: str, d: dict, p: c.Drift, out: Result) -> None:
+    """The detector in each class that has two rows on both sides. Classes are a dimension: one after the other, but for
+    univariate tests, which take them all at once."""
+    if LABEL not in reference.columns or LABEL not in test.columns:
+        raise ValueError("classwise drift needs labels")
+    sizes = {}
+    for side, df in enumerate((reference, test)):
+        for label, n in labels.label_counts(df, LABEL).collect():
+            sizes.setdefault(label, [0, 0])[side] = n
+    able = sorted((x for x, (a, b) in sizes.items() if a >= 2 and b >= 2), key=str)
+    drifted: dict[str, bool] = {}
+    if d.get("method", "univariate") == "univariate" and able:
+        long = shift.melted(reference, test, p.embedding, LABEL).filter(F.col(LABEL).isin(able))
+        found = shift.TESTS[d.get("test", "ks")](long, [LABEL, "dim"])
+        dims = F.count("*").over(Window.partitionBy(LABEL))
+        found = found.withColumn("drifted", F.col("p_val") < d.get("p_val", 0.05) / dims).checkpoint()
+        out.tables[f"{name}.classwise"] = found
+        drifted = {str(r[0]): r[1] for r in found.groupBy(LABEL).agg(F.max("drifted")).collect()}
+    else:
+        for label in able:
+            try:
+                drifted[str(label)] = bool(detect_drift(reference.filter(F.col(LABEL) == label), test.filter(F.col(LABEL) == label), d, p.embedding)[1])
+            except Exception as e:  # a class that can't be tested is skipped
+                out.errors.append(f"{name}, class {label}: {e}")
+        out.tables[f"{name}.classwise"] = reference.sparkSession.createDataFrame(list(drifted.items()), "class_name string, drifted boolean")
+    hit = sorted(x for x, y in drifted.items() if y)
+    skipped = sorted(str(x) for x in sizes if x not in able)
+    out.findings.append(Finding(f"Classwise Drift: {name}", ("warning" if p.classwise_warning else "info") if hit else "ok", "table", {"drifted": hit, "skipped": skipped}))
+
+
+def detect_ood(reference: DataFrame, test: DataFrame, d: dict, vector: str) -> DataFrame:
+    """``key, score, threshold, is_ood`` of a detector."""
+    method = d.get("method", "knn")
+    if method == "knn":
+        return neighbors.ood_knn(test, reference, KEY, vector, d.get("k", 10), d.get("metric", "cosine"), d.get("threshold_perc", 95.0))
+    if method == "domain_classifier":
+        return shift.ood_domain_classifier(reference, test, KEY, vector, d.get("n_folds", 5), d.get("n_repeats", 5), d.get("n_std", 2.0))
+    raise ValueError(f"unknown OOD detector {method!r}")
+
+
 def ood(sources: dict[str, SourceFrames], p: c.Ood, out: Result) -> None:
     reference, test = _two(sources)
-    scores = neighbors.ood_knn(test, reference, KEY, p.embedding, p.k, p.metric, p.threshold_perc)
-    row = neighbors.ood_summary(scores).first().asDict()
-    out.tables |= {"scores": scores, "histogram": neighbors.histogram(scores, "score")}
+    found: dict[str, DataFrame] = {}
+    for name, d in zip(_detector_names(p.detectors, "knn"), p.detectors):
+        scores = detect_ood(reference, test, d, p.embedding).checkpoint()
+        found[name] = scores
+        out.tables |= {f"{name}.scores": scores, f"{name}.histogram": neighbors.histogram(scores, "score")}
+        out.scalars |= {f"{name}.{k}": v for k, v in neighbors.ood_summary(scores).first().asDict().items()}
+    union = neighbors.ood_consensus(found, KEY).checkpoint()
+    out.tables["consensus"] = union
+    n, hits = union.count(), union.filter("any_ood").count()
+    share = 100.0 * hits / n if n else 0.0
+    row = {"ood_count": hits, "total_count": n, "ood_percentage": round(share, 2)}
     out.scalars |= row
-    share = row["ood_percentage"] or 0.0
-    out.findings.append(Finding("Out of Distribution", "warning" if share >= p.ood_warning else "info" if share >= p.ood_info else "ok", "key_value", row))
+    out.findings.append(Finding("Out of Distribution", "warning" if share >= p.ood_warning else "info" if share >= p.ood_info else "ok", "key_value", {**row, "detectors": {k: out.scalars[f"{k}.ood_percentage"] for k in found}}))
+    factors = usable_factors(reference, test, p.factors or None) if p.metadata_insights else []
+    if factors and hits:
+        flagged = union.filter("any_ood").orderBy(F.col("consensus").desc(), KEY).limit(p.max_ood_insights)
+        out.tables["factor_deviations"] = shift.factor_deviations(reference, test.join(flagged.select(KEY), KEY, "left_semi"), KEY, factors)
+        marked = test.join(union.select(KEY, F.col("any_ood").alias("is_ood")), KEY)
+        out.tables["factor_predictors"] = shift.factor_predictors(marked, "is_ood", factors).orderBy(F.col("mi_bits").desc(), "factor")
+
+
+def usable_factors(reference: DataFrame, test: DataFrame, among: list[str] | None = None) -> list[str]:
+    """Numeric columns of both that are finite throughout and not constant in the test: one pass each."""
+    common = [f for f in _numeric(reference, among) if f in _numeric(test, among)]
+    if not common:
+        return []
+    good = lambda f: (F.count(F.when(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")), 1)) == 0).alias(f)
+    a = reference.agg(*map(good, common)).first()
+    b = test.agg(*map(good, common), *(F.coalesce(F.stddev_pop(F.col(f).cast("double")), F.lit(0.0)).alias(f"std_{f}") for f in common)).first()
+    return [f for f in common if a[f] and b[f] and b[f"std_{f}"] > 0]
 
 
 def prioritization(sources: dict[str, SourceFrames], p: c.Prioritization, out: Result) -> None:
     reference, pool = _two(sources)
     n = pool.count()
-    if p.content:
-        known = reference.select(F.sha2(F.col(p.content).cast("binary"), 256).alias("d")).distinct()
-        pool = pool.withColumn("d", F.sha2(F.col(p.content).cast("binary"), 256)).join(known, "d", "left_anti").drop("d")
-        pool = pool.join(quality.flagged_copies(pool, KEY, p.content), KEY, "left_anti")
+    if p.cleaning:
+        reference, pool = _cleaned(reference, pool, p.cleaning, out)
     kept = pool.count()
-    k = p.k or max(1, round(reference.count() ** 0.5))
-    scores = neighbors.mean_distance(neighbors.knn(pool, reference, KEY, p.embedding, k, exclude_self=False), KEY)
+    size = reference.count()
+    if p.method == "knn":
+        k = p.k or max(1, round(size**0.5))
+        scores = neighbors.mean_distance(neighbors.knn(pool, reference, KEY, p.embedding, k, exclude_self=False), KEY)
+    else:
+        scores = neighbors.kmeans_scores(pool, reference, KEY, p.embedding, p.c or max(2, round(size**0.5)), p.method)
     if p.policy == "class_balanced":
         scores = scores.join(pool.select(KEY, LABEL), KEY)
     out.tables["prioritized"] = neighbors.prioritize(scores, KEY, p.order, p.policy, p.num_bins, LABEL)
@@ -264,11 +516,54 @@ def prioritization(sources: dict[str, SourceFrames], p: c.Prioritization, out: R
     out.findings.append(Finding("Pruning", "warning" if removed >= p.removed_warning else "info" if removed else "ok", "key_value", {"original_size": n, "cleaned_size": kept, "removed_percent": removed}))
 
 
+def _cleaned(reference: DataFrame, pool: DataFrame, p: c.PriorCleaning, out: Result) -> tuple[DataFrame, DataFrame]:
+    """Both without the outliers of each and without copies; of a group over both, the reference's first row stays."""
+    kept = []
+    for name, df in (("reference", reference), ("pool", pool)):
+        if p.metrics:
+            issues = quality.outlier_issues(df, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
+            out.tables[f"{name}.outliers"] = issues
+            df = df.join(issues.select(KEY).distinct(), KEY, "left_anti")
+        kept.append(df)
+    signed = {"content": p.content} if p.content else {}
+    signed |= {} if p.duplicate_exact_only else {s: s for s in p.near_signatures}
+    for column in signed.values():
+        digest = F.when(F.col(column).isNotNull() & (F.col(column).cast("string") != ""), F.sha2(F.col(column).cast("binary"), 256))
+        known = kept[0].select(digest.alias("d")).filter("d is not null").distinct()
+        fresh = kept[1].withColumn("d", digest).join(known, "d", "left_anti").drop("d")
+        kept = [df.join(quality.flagged_copies(df.filter(digest.isNotNull()), KEY, column), KEY, "left_anti") for df in (kept[0], fresh)]
+    return kept[0].checkpoint(), kept[1].checkpoint()
+
+
 def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
+    """Counts of every combination of the swept lists: statistics once, embeddings' neighbours and clusters once each."""
     items = next(iter(sources.values())).items
-    counts = quality.outlier_sweep(items, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
+    own = [t for t in p.outlier_threshold if t is not None]
+    parts = []
+    if own:
+        parts.append(quality.outlier_sweep(items, [KEY], p.metrics, p.outlier_method, own).select(F.lit("outliers").alias("kind"), "method", "threshold", F.col("outlier_count").alias("n")))
+    if None in p.outlier_threshold:  # each method's own cutoff
+        for m in p.outlier_method:
+            parts.append(quality.outlier_sweep(items, [KEY], p.metrics, [m], [CUTOFFS[m]]).select(F.lit("outliers").alias("kind"), "method", F.lit(None).cast("double").alias("threshold"), F.col("outlier_count").alias("n")))
+    if p.embedding and p.outlier_cluster_threshold:
+        for algorithm in p.outlier_cluster_algorithm:
+            far = quality.cluster_distances(items, KEY, p.embedding, p.outlier_n_clusters, algorithm=algorithm).checkpoint()
+            for t in p.outlier_cluster_threshold:
+                parts.append(far.filter(F.col("deviations") > t).agg(F.count("*").alias("n")).select(F.lit("cluster_outliers").alias("kind"), F.lit(algorithm).alias("method"), F.lit(float(t)).alias("threshold"), "n"))
+    signatures = {x: x for x in p.near_signatures}
+    if p.content:
+        parts.append(quality.flagged_copies(items, KEY, p.content).agg(F.count("*").alias("n")).select(F.lit("exact_duplicates").alias("kind"), F.lit("content").alias("method"), F.lit(None).cast("double").alias("threshold"), "n"))
+    for sensitivity in p.duplicate_cluster_sensitivity if p.embedding else [None] if signatures else []:
+        edges = [duplicates.signature_edges(items, KEY, signatures)] if signatures else []
+        edges += [duplicates.short_edges(items, KEY, p.embedding, sensitivity)] if sensitivity else []
+        every = reduce(DataFrame.unionByName, edges).checkpoint()
+        for merge in p.duplicate_merge_near:
+            chosen = [every] if merge else [every.filter(F.col("method") == m) for (m,) in every.select("method").distinct().collect()]
+            n = sum(duplicates.merged_groups(e).filter("key <> group_id").count() for e in chosen)
+            parts.append(items.sparkSession.createDataFrame([("near_duplicates", "merged" if merge else "by method", sensitivity, n)], "kind string, method string, threshold double, n long"))
+    counts = reduce(DataFrame.unionByName, parts).checkpoint()
     out.tables["results"] = counts
-    out.findings.append(Finding("Sweep", "ok", "table", _rows(counts.orderBy("method", "threshold"))))
+    out.findings.append(Finding("Sweep", "ok", "table", _rows(counts.orderBy("kind", "method", "threshold"))))
 
 
 WORKFLOWS: dict[str, Callable[[dict[str, SourceFrames], Any, Result], None]] = {
@@ -280,38 +575,63 @@ def list_workflows() -> list[str]:
     return list(WORKFLOWS)
 
 
-def policy_of(p: c.MetadataPolicy, df: DataFrame) -> encoding.Policy:
-    """Declared encodings; a bin count is fitted to the data by the policy's method."""
+def policy_of(p: c.MetadataPolicy, df: DataFrame, root: str = ".") -> encoding.Policy:
+    """Declared encodings, after those of a descriptor file; a bin count is fitted to the data by the policy's method."""
     fit = {"uniform_width": encoding.uniform_width, "uniform_count": encoding.uniform_count, "clusters": encoding.cluster_bins}[p.auto_bin_method]
-    encodings: dict = {f: encoding.Levels(tuple(v)) for f, v in p.factor_levels.items()}
+    encodings: dict = dict(encoding.from_descriptor(Path(c.resolve_path(p.encoding, root)).read_text()).encodings) if p.encoding else {}
+    encodings |= {f: encoding.Levels(tuple(v)) for f, v in p.factor_levels.items()}
     encodings |= {f: fit(df, f, v) if isinstance(v, int) else encoding.Bins(tuple(v)) for f, v in p.continuous_factor_bins.items()}
     return encoding.Policy(encodings, tuple(p.exclude), p.strict, p.auto_bin_method, p.factor_source)
 
 
-def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str) -> dict[str, SourceFrames]:
-    out = {}
+def with_image_stats(spark: SparkSession, frames: SourceFrames) -> SourceFrames:
+    """Items with the metrics and hashes of their images, joined by path."""
+    files = [r.path for r in frames.items.select(F.regexp_replace("path", "[^/]+$", "").alias("path")).distinct().collect()]  # folders
+    stats = image_stats(spark.read.format("image").load(files)).withColumnRenamed("path", "__path")
+    bare = lambda col: F.regexp_replace(col, "^[a-z]+:/*", "/")
+    frames.items = frames.items.join(stats, bare(F.col("path")) == bare(F.col("__path")), "left").drop("__path")
+    return frames
+
+
+def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
+    """The task's sources and the policy that they share: fitted on the reference split (else each source's own; then the
+    first one's is returned)."""
+    out, shared = {}, None
+    policy = config.get("metadata", task.metadata) if task.metadata else None
+    if policy and policy.reference_split and policy.reference_split not in task.names:
+        raise ValueError(f"reference split {policy.reference_split!r} is none of the sources {task.names}")
     for name in task.names:
         source = config.get("sources", name)
         dataset = config.get("datasets", source.dataset)
         frames = load_dataset(spark, c.resolve_path(dataset.path, root), dataset.format, **dataset.options)
+        if dataset.image_stats:
+            frames = with_image_stats(spark, frames)
         if source.view:
             frames.items = build_view(frames.items, config.get("views", source.view).operations, KEY)
-        if task.metadata:
-            frames.items = policy_of(config.get("metadata", task.metadata), frames.items).apply(frames.items)
         out[name] = frames
-    return out
+    if policy:
+        first = policy.reference_split or task.names[0]
+        shared = policy_of(policy, out[first].items, root)
+        for name, frames in out.items():
+            frames.items = (shared if policy.reference_split or name == first else policy_of(policy, frames.items, root)).apply(frames.items)
+    return out, shared
 
 
 def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".") -> Result:
     params = config.get("workflows", task.workflow)
     out = Result(task.name)
     began = time.time()
+    metadata: dict = {}
     try:
-        WORKFLOWS[params.type](bind(spark, task, config, root), params, out)
+        sources, policy = bind(spark, task, config, root)
+        if policy:
+            out.descriptor = encoding.descriptor(policy)
+            metadata = {f: type(e).__name__.lower() for f, e in policy.encodings.items()}
+        WORKFLOWS[params.type](sources, params, out)
     except Exception as e:
         out.success = False
         out.errors.append(f"{type(e).__name__}: {e}")
-    out.envelope = {"version": __version__, "timestamp": datetime.now(UTC).isoformat(), "workflow": params.type, "sources": task.names, "seed": config.seed, "resolved_config": params.model_dump(), "execution_time_s": round(time.time() - began, 3)}
+    out.envelope = {"version": __version__, "timestamp": datetime.now(UTC).isoformat(), "workflow": params.type, "sources": task.names, "seed": config.seed, "metadata": metadata, "resolved_config": params.model_dump(), "execution_time_s": round(time.time() - began, 3)}
     return out
 
 
