@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``; where that is unset a local one, which only a
+    local master can use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
@@ -60,6 +64,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE
         for lo, hi in zip(cuts, cuts[1:]):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+        give_back()
+
+
+_LIBRARY = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hands memory that arrays no longer need back to the system, where the C library can: workers live on between
+    tasks, and what they keep is lost to the executor."""
+    if hasattr(_LIBRARY, "malloc_trim"):
+        _LIBRARY.malloc_trim(0)
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, settled, slices, text_bytes, word_hashes
+from plumbline.llm.common import give_back, mix64, settled, slices, text_bytes, word_hashes
 
 PRIOR = 5.0
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -200,6 +200,7 @@ def range_totals(counts: DataFrame, bits: int) -> DataFrame:
             out.append((-1, part, 0, b"", b"", int(sums.sum()), int((sums > 0).sum())))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         names = [c.split()[0] for c in TOTAL_SCHEMA.split(", ")]
+        give_back()
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
     return counts.groupBy("range", "kind").applyInArrow(total, TOTAL_SCHEMA)
@@ -287,6 +288,7 @@ def lm_scores(df: DataFrame, train: Column, key: str = "doc_id", text: str = "te
         out = {"k": left["k"], "held_out": pa.array([not x for x in trains], pa.bool_()), "n_tokens": pa.array([len(x) for x in found], pa.int64())}
         known, base, score = Automaton(found, grams, n, v, starts, prior).scores() if found else (np.empty(0),) * 3
         out |= {"n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(found), n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())}
+        give_back()
         return pa.table(out)
 
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, settled, shingle_set, slices
+from plumbline.llm.common import give_back, mix64, settled, shingle_set, slices
 from plumbline.llm.graph import components
 
 BINS, ROWS = 128, 4
 #: A pair of similarity 0.8 agrees in fewer bins with a probability below 1e-17.
 SKETCH_AGREES = 56
 #: Members of a bucket that are compared by their sketches; of a block whose full sets are, and its shingles.
-BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400, 1_000_000
+BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400, 500_000
 #: Columns of a membership matrix multiplied at once.
 MATRIX_COLUMNS = 8192
 SEED = np.uint64(0x5851F42D4C957F2D)
@@ -153,6 +153,7 @@ def group_links(rows: DataFrame, most: int, weight: int, linked: Callable[[list,
                 if len(edges) > 50_000:
                     yield _edge_batch(edges)
                     edges = []
+            give_back()
             yield _edge_batch(edges)
 
         return run

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import rolled, settled, slices, text_bytes, word_hashes, words_of
+from plumbline.llm.common import give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
 
 ANCHOR = 5
 BLOCK_CHARS = 8 << 20
@@ -133,6 +133,7 @@ def recurring_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
         cuts = [*np.flatnonzero(np.append(True, source[1:] != source[:-1])).tolist(), len(source)] if len(source) else [0]
         out = [(int(source[a]), w[later[a:b]].tobytes(), first[a:b].tobytes(), block[later[a:b]].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
         columns = list(zip(*out)) if out else [[]] * 4
+        give_back()
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("source", "w", "first", "block"), columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
     both = docs.repartition(blocks, "k").join(lists.withColumnRenamed("k", "lk").repartition(blocks, "lk"), F.col("k") == F.col("lk"))
@@ -161,6 +162,7 @@ def passages(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
                 turns = np.flatnonzero(held[1:] != held[:-1])
                 out += [(int(block[a + lo]), k, b" ".join(words[i : j + window - 1]).decode()) for i, j in zip(turns[0::2].tolist(), turns[1::2].tolist())]
         columns = list(zip(*out)) if out else [[]] * 3
+        give_back()
         return pa.table({"to": pa.array(columns[0], pa.int32()), "first": pa.array(columns[1], pa.int64()), "passage": pa.array(columns[2], pa.string())})
 
     return docs.select("block", "k", "t").groupBy("block").cogroup(recurring.groupBy("source")).applyInArrow(run, "to int, first long, passage string")
@@ -276,6 +278,7 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
         keys, texts = left["k"].to_pylist(), [words_of(t) for t in left["t"].to_pylist()]
         marks = _marks(keys, texts, right["passage"].to_pylist(), right["first"].to_pylist(), window)
         kept = [b" ".join([w for w, m in zip(words, mark.tolist()) if not m]).decode() if mark.any() else b" ".join(words).decode() for words, mark in zip(texts, marks)]
+        give_back()
         return pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     out = docs.groupBy("block").cogroup(held.groupBy("to")).applyInArrow(run, "k long, n_words long, n_removed long, kept_text string")
