@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
 from pathlib import Path
@@ -587,13 +587,13 @@ def policy_of(p: c.MetadataPolicy, df: DataFrame, root: str = ".") -> encoding.P
 def with_image_stats(spark: SparkSession, frames: SourceFrames) -> SourceFrames:
     """Items with the metrics and hashes of their images, joined by path."""
     files = [r.path for r in frames.items.select(F.regexp_replace("path", "[^/]+$", "").alias("path")).distinct().collect()]  # folders
-    stats = image_stats(spark.read.format("image").load(files)).withColumnRenamed("path", "__path")
+    stats = image_stats(spark.read.format("image").load(files)).drop("target_index").withColumnRenamed("path", "__path")
     bare = lambda col: F.regexp_replace(col, "^[a-z]+:/*", "/")
     frames.items = frames.items.join(stats, bare(F.col("path")) == bare(F.col("__path")), "left").drop("__path")
     return frames
 
 
-def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
+def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frames_of: dict[str, SourceFrames] | None = None) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
     """The task's sources and the policy that they share: fitted on the reference split (else each source's own; then the
     first one's is returned)."""
     out, shared = {}, None
@@ -603,7 +603,8 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str) -> tu
     for name in task.names:
         source = config.get("sources", name)
         dataset = config.get("datasets", source.dataset)
-        frames = load_dataset(spark, c.resolve_path(dataset.path, root), dataset.format, **dataset.options)
+        held = (frames_of or {}).get(source.dataset)
+        frames = replace(held) if held else load_dataset(spark, c.resolve_path(dataset.path, root), dataset.format, **dataset.options)
         if dataset.image_stats:
             frames = with_image_stats(spark, frames)
         if source.view:
@@ -617,13 +618,14 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str) -> tu
     return out, shared
 
 
-def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".") -> Result:
+def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".", frames: dict[str, SourceFrames] | None = None) -> Result:
+    """``frames``: datasets that are in memory, by name; they are not read from their paths."""
     params = config.get("workflows", task.workflow)
     out = Result(task.name)
     began = time.time()
     metadata: dict = {}
     try:
-        sources, policy = bind(spark, task, config, root)
+        sources, policy = bind(spark, task, config, root, frames)
         if policy:
             out.descriptor = encoding.descriptor(policy)
             metadata = {f: type(e).__name__.lower() for f, e in policy.encodings.items()}
@@ -635,7 +637,7 @@ def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str =
     return out
 
 
-def run_tasks(spark: SparkSession, config: c.Pipeline, root: str = ".", only: list[str] | None = None) -> list[Result]:
+def run_tasks(spark: SparkSession, config: c.Pipeline, root: str = ".", only: list[str] | None = None, frames: dict[str, SourceFrames] | None = None) -> list[Result]:
     """All enabled tasks in order, or those named; each result belongs to its own task."""
     chosen = [config.get("tasks", n) for n in only] if only else [t for t in config.tasks if t.enabled]
-    return [run_task(spark, t, config, root) for t in chosen]
+    return [run_task(spark, t, config, root, frames) for t in chosen]

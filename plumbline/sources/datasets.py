@@ -34,9 +34,22 @@ def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length")
 
 
-def image_folder(spark: SparkSession, path: str, recursive: bool = False, infer_labels: bool = False) -> SourceFrames:
+def decoded(spark: SparkSession, items: DataFrame) -> DataFrame:
+    """Items with ``image`` (Spark's struct of height, width, channels and bytes) of the file at their path."""
+    folders = [r.folder for r in items.select(F.regexp_replace("path", "[^/]+$", "").alias("folder")).distinct().collect()]
+    pixels = spark.read.format("image").load(folders).select(F.col("image.origin").alias("__path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
+    bare = lambda col: F.regexp_replace(col, "^[a-z]+:/*", "/")
+    return items.join(pixels, bare(F.col("path")) == bare(F.col("__path")), "left").drop("__path")
+
+
+def image_folder(spark: SparkSession, path: str, recursive: bool = False, infer_labels: bool = False, decode: bool = False) -> SourceFrames:
     """Images of a folder in path order. ``infer_labels``: the folders directly below are the classes, numbered by name;
-    empty ones don't count, images beside them are left out."""
+    empty ones don't count, images beside them are left out. ``decode``: items carry their pixels, for pixel operations
+    of views."""
+    if decode:
+        frames = image_folder(spark, path, recursive, infer_labels)
+        frames.items = decoded(spark, frames.items)
+        return frames
     if not infer_labels:
         return SourceFrames(_numbered(_files(spark, path, recursive)).withColumn("class_label", F.lit(None).cast("int")))
     root = path.rstrip("/").rsplit("/", 1)[-1]
@@ -63,30 +76,50 @@ def coco(spark: SparkSession, path: str, annotations_file: str = "annotations.js
     return SourceFrames(items, targets, classes.select("class_label", "class_name"), "annotations")
 
 
-def yolo(spark: SparkSession, path: str, split: str | None = None, yaml_file: str = "data.yaml", ann_dir: str = "labels") -> SourceFrames:
+def yolo(spark: SparkSession, path: str, split: str | None = None, yaml_file: str = "data.yaml", ann_dir: str = "labels", images_dir: str = "images") -> SourceFrames:
     """A YOLO folder: ``<ann_dir>/<split>/<image>.txt`` with class and relative centre, width and height a line. A split
-    that matches nothing selects nothing; none selects all. Boxes stay relative (0 to 1)."""
+    that matches nothing selects nothing; none selects all. Boxes stay relative (0 to 1).
+
+    Items are the images and the label files by their names without suffix: an image without labels (no file, or an empty
+    one) is an item without targets. Where the YAML file names the splits' image folders, those are the splits."""
     import yaml
 
     text = "\n".join(r.value for r in spark.read.text(f"{path}/{yaml_file}").withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect())
-    names = (yaml.safe_load(text) or {}).get("names", [])
+    raw = yaml.safe_load(text) or {}
+    names = raw.get("names", [])
     pairs = sorted(names.items()) if isinstance(names, dict) else list(enumerate(names))
     classes = spark.createDataFrame([(int(i), str(n)) for i, n in pairs], "class_label int, class_name string")
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(f"{path}/{ann_dir}").select("value", F.col("_metadata.file_path").alias("path"))
-    lines = lines.withColumn("split", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
+    folder, stem = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    lines = lines.withColumn("split", folder).withColumn("stem", stem)
+    labelled = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/{ann_dir}").select("path").withColumn("split", folder).withColumn("stem", stem)
+    # splits that the YAML file gives by their image folders
+    named = {k: str(raw[k]).rstrip("/").rsplit("/", 1)[-1] for k in ("train", "val", "test") if isinstance(raw.get(k), str)}
+    try:
+        images = _files(spark, f"{path}/{images_dir}", True).select("path").withColumn("split", folder).withColumn("stem", stem)
+        images = images.select("split", "stem", F.col("path").alias("image"))
+    except Exception as e:  # labels alone are a dataset too
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        images = spark.createDataFrame([], "split string, stem string, image string")
+    found = labelled.select("split", "stem", "path").join(images, ["split", "stem"], "full").select("split", "stem", F.coalesce("image", "path").alias("path"))
     if split is not None:
-        lines = lines.filter(F.col("split") == SPLIT_ALIASES.get(split, split))
-    items = _numbered(lines.select("path", "split").distinct())
+        wanted = SPLIT_ALIASES.get(split, split)
+        found = found.filter(F.col("split") == named.get(wanted, wanted))
+    items = _numbered(found)
     parts = F.split(F.trim("value"), r"\s+")
     number = lambda i: parts[i].cast("double")
-    rows = lines.filter(F.trim("value") != "").withColumn("n", F.monotonically_increasing_id()).select("path", "n", parts[0].cast("int").alias("class_label"), (number(1) - number(3) / 2).alias("x0"), (number(2) - number(4) / 2).alias("y0"), (number(1) + number(3) / 2).alias("x1"), (number(2) + number(4) / 2).alias("y1"))
-    targets = rows.join(items.select("path", "item_index"), "path").withColumn("target_index", (F.row_number().over(Window.partitionBy("item_index").orderBy("n")) - 1).cast("long"))
-    return SourceFrames(items, targets.select("item_index", "target_index", "x0", "y0", "x1", "y1", "class_label"), classes, "annotations")
+    rows = lines.filter(F.trim("value") != "").withColumn("n", F.monotonically_increasing_id()).select("split", "stem", "n", parts[0].cast("int").alias("class_label"), (number(1) - number(3) / 2).alias("x0"), (number(2) - number(4) / 2).alias("y0"), (number(1) + number(3) / 2).alias("x1"), (number(2) + number(4) / 2).alias("y1"))
+    targets = rows.join(items.select("split", "stem", "item_index"), ["split", "stem"]).withColumn("target_index", (F.row_number().over(Window.partitionBy("item_index").orderBy("n")) - 1).cast("long"))
+    return SourceFrames(items.drop("stem"), targets.select("item_index", "target_index", "x0", "y0", "x1", "y1", "class_label"), classes, "annotations")
 
 
-def huggingface(spark: SparkSession, path: str, split: str | None = None) -> SourceFrames:
+def huggingface(spark: SparkSession, path: str, split: str | None = None, task: str = "classification") -> SourceFrames:
     """A local folder of a dataset hub: class folders, or a ``metadata`` file (csv, jsonl, parquet) beside the images.
-    ``split``: a subfolder."""
+    ``split``: a subfolder. ``task``: classification, or detection, where the metadata's ``objects`` (bbox: x, y, width,
+    height; category) are the targets. Dumps of Arrow files are refused."""
+    if task not in ("classification", "detection"):
+        raise ValueError(f"unknown task {task!r}; classification or detection")
     at = f"{path}/{SPLIT_ALIASES.get(split, split)}" if split else path
     for suffix, kind, options in (("parquet", "parquet", {}), ("jsonl", "json", {}), ("csv", "csv", {"header": "true", "inferSchema": "true"})):
         try:
@@ -95,9 +128,25 @@ def huggingface(spark: SparkSession, path: str, split: str | None = None) -> Sou
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
+        if task == "detection":
+            if "objects" not in rows.columns:
+                raise ValueError("detection needs a column 'objects' in the metadata")
+            items = _numbered(rows.withColumn("path", F.concat(F.lit(f"{at}/"), F.col("file_name"))))
+            boxes = items.select("item_index", F.posexplode(F.arrays_zip(F.col("objects.bbox").alias("b"), F.col("objects.category").alias("c"))).alias("i", "o"))
+            corner = lambda k: F.col("o.b")[k].cast("double")
+            targets = boxes.select("item_index", F.col("i").cast("long").alias("target_index"), corner(0).alias("x0"), corner(1).alias("y0"), (corner(0) + corner(2)).alias("x1"), (corner(1) + corner(3)).alias("y1"), F.col("o.c").cast("int").alias("class_label"))
+            return SourceFrames(items.drop("objects"), targets, None, "metadata")
         name = "label" if "label" in rows.columns else None
         items = _numbered(rows.withColumn("path", F.concat(F.lit(f"{at}/"), F.col("file_name"))))
         return SourceFrames(items.withColumn("class_label", F.col(name).cast("int")) if name else items, None, None, "metadata")
+    try:
+        dump = not spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").option("recursiveFileLookup", "true").load(at).select("path").isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        dump = False
+    if dump:
+        raise ValueError(f"{at!r} is a dump of Arrow files; export it as image folders or with a metadata file")
     return image_folder(spark, at, infer_labels=True)
 
 
