@@ -80,8 +80,8 @@ def yolo(spark: SparkSession, path: str, split: str | None = None, yaml_file: st
     """A YOLO folder: ``<ann_dir>/<split>/<image>.txt`` with class and relative centre, width and height a line. A split
     that matches nothing selects nothing; none selects all. Boxes stay relative (0 to 1).
 
-    Items are the images and the label files by their names without suffix: an image without labels (no file, or an empty
-    one) is an item without targets. Where the YAML file names the splits' image folders, those are the splits."""
+    Items are the images, and label files that have lines, by their names without suffix: an image without labels (no file,
+    or an empty one) is an item without targets. Where the YAML file names the splits' image folders, those are the splits."""
     import yaml
 
     text = "\n".join(r.value for r in spark.read.text(f"{path}/{yaml_file}").withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect())

@@ -78,7 +78,7 @@ def image_stats(images: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     (``target_index`` null). With ``boxes`` (path, target_index, x0, y0, x1, y1 in pixels) also a row a box: of the pixels
     inside, which for a box that is invalid are none (its pixel metrics are null)."""
     if boxes is not None:
-        held = boxes.groupBy("path").agg(F.collect_list(F.struct(F.col("target_index").cast("long"), *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))).alias("boxes"))
+        held = boxes.groupBy("path").agg(F.collect_list(F.struct(F.col("target_index").cast("long").alias("target_index"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("boxes"))
         rows = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data").join(held, "path", "left")
     else:
         rows = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data", F.lit(None).cast("array<struct<target_index:bigint,x0:double,y0:double,x1:double,y1:double>>").alias("boxes"))

@@ -2,12 +2,15 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.plans import config as c
+from plumbline.plans.views import build_view
 from plumbline.plans.workflows import list_workflows, run_tasks
 from plumbline.sources.datasets import coco, fingerprint, huggingface, image_folder, load_dataset, yolo
-from plumbline.sources.images import image_stats
+from plumbline.sources.images import difference_hash, image_stats, oriented
 from plumbline.streaming.scoring import flag_outliers
 
 
@@ -42,6 +45,47 @@ def test_image_stats(spark, images):
     assert len(rows) == 4 and {(r.width, r.height, r.channels) for r in rows} == {(8, 8, 3)} and len({r.xxhash for r in rows}) == 2
 
 
+def test_stats_of_boxes_and_turned_images(spark, images):
+    pixels = spark.read.format("image").load(str(images / "class_a"))
+    path = pixels.select("image.origin").first()[0]
+    boxes = spark.createDataFrame([(path, 0, 2.0, 2.0, 6.0, 4.0), (path, 1, 5.0, 5.0, 3.0, 9.0)], "path string, target_index long, x0 double, y0 double, x1 double, y1 double")
+    rows = {r.target_index: r for r in image_stats(pixels, boxes).filter(F.col("path") == path).collect()}
+    assert set(rows) == {None, 0, 1} and (rows[0].width, rows[0].height, rows[0].offset_x, rows[0].invalid_box) == (4, 2, 2, 0) and rows[0].center == [4.0, 3.0]
+    assert rows[1].invalid_box == 1 and rows[1].mean is None and rows[None].distance_edge == 0 and sum(rows[None].histogram) == 8 * 8 * 3
+    x = np.random.default_rng(1).integers(0, 255, (40, 40, 3), dtype=np.uint8)
+    assert {oriented(np.rot90(y, k), difference_hash) for y in (x, x[::-1]) for k in range(4)} == {oriented(x, difference_hash)} != {difference_hash(x)}
+
+
+def test_pixel_operations_in_views(spark, images):
+    frames = image_folder(spark, str(images), infer_labels=True, decode=True)
+    view = build_view(frames.items, [{"type": "Crop", "params": {"top": 1, "left": 2, "height": 4, "width": 3}}, {"type": "SelectChannels", "params": {"channels": [0]}}, {"type": "ToRGB"}, {"type": "Resize", "params": {"height": 2, "width": 6}}, {"type": "Limit", "params": {"size": 3}}], "item_index")
+    rows = view.orderBy("view_pos").collect()
+    assert [(r.image.height, r.image.width, r.image.nChannels, len(r.image.data)) for r in rows] == [(2, 6, 3, 36)] * 3 and [r.class_label for r in rows] == [0, 0, 0]
+    with pytest.raises(ValueError, match="decode"):
+        build_view(spark.range(3).withColumnRenamed("id", "item_index"), [{"type": "Resize", "params": {"height": 2, "width": 2}}], "item_index")
+
+
+def test_hub_folders_with_boxes_and_arrow_dumps(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "metadata.jsonl").write_text(json.dumps({"file_name": "a.png", "objects": {"bbox": [[1.0, 2.0, 3.0, 4.0], [0.0, 0.0, 1.0, 1.0]], "category": [1, 0]}}) + "\n")
+    frames = huggingface(spark, str(tmp_path / "d"), task="detection")
+    assert [tuple(r) for r in frames.targets.orderBy("target_index").collect()] == [(0, 0, 1.0, 2.0, 4.0, 6.0, 1), (0, 1, 0.0, 0.0, 1.0, 1.0, 0)]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "data.arrow").write_bytes(b"x")
+    with pytest.raises(ValueError, match="Arrow"):
+        huggingface(spark, str(tmp_path / "e"))
+
+
+def test_image_stats_become_metrics(spark, images):
+    raw = {
+        "datasets": [{"name": "d", "format": "image_folder", "path": images.name, "options": {"infer_labels": True}, "image_stats": True}], "sources": [{"name": "s", "dataset": "d"}], "tasks": [{"name": "t", "workflow": "w", "sources": "s"}],
+        "workflows": [{"name": "w", "type": "data-cleaning", "outlier_method": "zscore", "metrics": ["mean", "entropy"], "content": "xxhash", "near_signatures": ["phash", "dhash"]}],
+    }
+    (result,) = run_tasks(spark, c.Pipeline.model_validate(raw), str(images.parent))
+    assert result.success, result.errors
+    assert {f.title: f for f in result.findings}["Duplicates"].data["exact_percent"] == 50.0
+
+
 def test_coco(spark, tmp_path):
     raw = {"images": [{"id": 7, "file_name": "a.png"}, {"id": 3, "file_name": "b.png"}], "categories": [{"id": 1, "name": "car"}, {"id": 5, "name": "cat"}], "annotations": [{"id": 1, "image_id": 7, "category_id": 5, "bbox": [1.0, 2.0, 3.0, 4.0]}, {"id": 2, "image_id": 7, "category_id": 1, "bbox": [0.0, 0.0, 1.0, 1.0]}]}
     (tmp_path / "annotations.json").write_text(json.dumps(raw))
@@ -55,6 +99,11 @@ def test_yolo(spark, tmp_path):
         (tmp_path / "labels" / split).mkdir(parents=True)
         (tmp_path / "labels" / split / "x.txt").write_text(line)
     assert yolo(spark, str(tmp_path)).targets.count() == 3 and yolo(spark, str(tmp_path), "validation").targets.count() == 1 and yolo(spark, str(tmp_path), "test").items.count() == 0
+    png(tmp_path / "images" / "train" / "x.png", 5)
+    png(tmp_path / "images" / "train" / "bare.png", 5)
+    png(tmp_path / "images" / "train" / "empty.png", 5)
+    (tmp_path / "labels" / "train" / "empty.txt").write_text("")
+    assert yolo(spark, str(tmp_path), "train").items.count() == 3 and yolo(spark, str(tmp_path)).items.count() == 4 and yolo(spark, str(tmp_path)).targets.count() == 3
     row = yolo(spark, str(tmp_path), "train").targets.orderBy("target_index").first()
     assert (round(row.x0, 6), round(row.y1, 6), row.class_label) == (0.4, 0.7, 1)
 
