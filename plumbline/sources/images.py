@@ -85,7 +85,7 @@ def image_stats(images: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def measured(path: str, target: int | None, x: np.ndarray, place: dict) -> dict:
-        row = {"path": path, "target_index": target, **place}
+        row = dict.fromkeys(names) | {"path": path, "target_index": target, **place}
         if not x.size or place["invalid_box"]:
             return row
         grey = x.mean(2)
