@@ -25,7 +25,8 @@ from plumbline.functions.moments import CUTOFFS
 from plumbline.operators import duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
-from plumbline.sources.datasets import SourceFrames, load_dataset
+from plumbline.sources.cache import TableCache, lineage_key
+from plumbline.sources.datasets import SourceFrames, fingerprint, load_dataset
 from plumbline.sources.images import image_stats
 
 KEY, LABEL = "item_index", "class_label"
@@ -584,16 +585,22 @@ def policy_of(p: c.MetadataPolicy, df: DataFrame, root: str = ".") -> encoding.P
     return encoding.Policy(encodings, tuple(p.exclude), p.strict, p.auto_bin_method, p.factor_source)
 
 
-def with_image_stats(spark: SparkSession, frames: SourceFrames) -> SourceFrames:
-    """Items with the metrics and hashes of their images, joined by path."""
+def with_image_stats(spark: SparkSession, frames: SourceFrames, cache: str | None = None) -> SourceFrames:
+    """Items with the metrics and hashes of their images, joined by path; kept in ``cache`` under what the items are."""
     files = [r.path for r in frames.items.select(F.regexp_replace("path", "[^/]+$", "").alias("path")).distinct().collect()]  # folders
-    stats = image_stats(spark.read.format("image").load(files)).drop("target_index").withColumnRenamed("path", "__path")
+    compute = lambda: image_stats(spark.read.format("image").load(files)).drop("target_index")
+    if cache:
+        sized = [c for c in ("path", "length", "modificationTime") if c in frames.items.columns]
+        stats = TableCache(spark, cache).table(lineage_key(fingerprint(frames.items, sized), "image_stats"), "image_stats", compute)
+    else:
+        stats = compute()
+    stats = stats.withColumnRenamed("path", "__path")
     bare = lambda col: F.regexp_replace(col, "^[a-z]+:/*", "/")
     frames.items = frames.items.join(stats, bare(F.col("path")) == bare(F.col("__path")), "left").drop("__path")
     return frames
 
 
-def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frames_of: dict[str, SourceFrames] | None = None) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
+def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frames_of: dict[str, SourceFrames] | None = None, cache: str | None = None) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
     """The task's sources and the policy that they share: fitted on the reference split (else each source's own; then the
     first one's is returned)."""
     out, shared = {}, None
@@ -606,7 +613,7 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
         held = (frames_of or {}).get(source.dataset)
         frames = replace(held) if held else load_dataset(spark, c.resolve_path(dataset.path, root), dataset.format, **dataset.options)
         if dataset.image_stats:
-            frames = with_image_stats(spark, frames)
+            frames = with_image_stats(spark, frames, cache)
         if source.view:
             frames.items = build_view(frames.items, config.get("views", source.view).operations, KEY)
         out[name] = frames
@@ -618,14 +625,14 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
     return out, shared
 
 
-def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".", frames: dict[str, SourceFrames] | None = None) -> Result:
+def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".", frames: dict[str, SourceFrames] | None = None, cache: str | None = None) -> Result:
     """``frames``: datasets that are in memory, by name; they are not read from their paths."""
     params = config.get("workflows", task.workflow)
     out = Result(task.name)
     began = time.time()
     metadata: dict = {}
     try:
-        sources, policy = bind(spark, task, config, root, frames)
+        sources, policy = bind(spark, task, config, root, frames, cache)
         if policy:
             out.descriptor = encoding.descriptor(policy)
             metadata = {f: type(e).__name__.lower() for f, e in policy.encodings.items()}
@@ -637,7 +644,7 @@ def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str =
     return out
 
 
-def run_tasks(spark: SparkSession, config: c.Pipeline, root: str = ".", only: list[str] | None = None, frames: dict[str, SourceFrames] | None = None) -> list[Result]:
+def run_tasks(spark: SparkSession, config: c.Pipeline, root: str = ".", only: list[str] | None = None, frames: dict[str, SourceFrames] | None = None, cache: str | None = None) -> list[Result]:
     """All enabled tasks in order, or those named; each result belongs to its own task."""
     chosen = [config.get("tasks", n) for n in only] if only else [t for t in config.tasks if t.enabled]
-    return [run_task(spark, t, config, root, frames) for t in chosen]
+    return [run_task(spark, t, config, root, frames, cache) for t in chosen]

@@ -157,6 +157,32 @@ def table_source(spark: SparkSession, path: str, key: str | None = None, label:
     return SourceFrames(items.withColumn("class_label", F.col(label)) if label else items, None, None, "column" if label else None)
 
 
+def from_samples(spark: SparkSession, dataset, classes: list[str] | None = None) -> SourceFrames:
+    """A dataset of Python objects by index (as vision libraries have them), for what fits in the driver: ``dataset[i]`` is an
+    image (height x width x channels; channels first, if floats) and a label: a class number, its one-hot vector, or a mapping
+    with boxes (x0, y0, x1, y1) and labels."""
+    import numpy as np
+
+    items, targets = [], []
+    for i in range(len(dataset)):
+        pixels, label = dataset[i][:2]
+        x = np.asarray(pixels)
+        x = x[:, :, None] if x.ndim == 2 else np.moveaxis(x, 0, 2) if x.shape[0] in (1, 3) and (x.dtype.kind == "f" or x.shape[2] not in (1, 3, 4)) else x
+        x = np.ascontiguousarray((x * 255).round() if x.dtype.kind == "f" and x.size and x.max() <= 1 else x).astype(np.uint8)
+        own = None
+        if isinstance(label, dict):
+            for t, (box, c) in enumerate(zip(label["boxes"], label["labels"])):
+                targets.append((i, t, *map(float, box), int(c)))
+        else:
+            flat = np.asarray(label).ravel()
+            own = int(flat.argmax()) if flat.size > 1 else int(flat[0])
+        items.append((i, (x.shape[0], x.shape[1], x.shape[2], x.tobytes()), own))
+    frame = spark.createDataFrame(items, "item_index long, image struct<height:int,width:int,nChannels:int,data:binary>, class_label int")
+    boxes = spark.createDataFrame(targets, "item_index long, target_index long, x0 double, y0 double, x1 double, y1 double, class_label int") if targets else None
+    names = spark.createDataFrame(list(enumerate(classes)), "class_label int, class_name string") if classes else None
+    return SourceFrames(frame.drop("class_label") if targets else frame, boxes, names, "samples")
+
+
 FORMATS = {"image_folder": image_folder, "coco": coco, "yolo": yolo, "huggingface": huggingface, "parquet": table_source}
 
 

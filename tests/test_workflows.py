@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.__main__ import main
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
 from plumbline.plans.workflows import list_workflows, run_tasks
-from plumbline.sources.datasets import coco, fingerprint, huggingface, image_folder, load_dataset, yolo
+from plumbline.sources.datasets import coco, fingerprint, from_samples, huggingface, image_folder, load_dataset, yolo
 from plumbline.sources.images import difference_hash, image_stats, oriented
 from plumbline.streaming.scoring import flag_outliers
 
@@ -168,3 +169,25 @@ def test_stream_scoring(spark, sf_dir, tmp_path):
     query = flag_outliers(stream, events, ["event_id"], "value").writeStream.format("memory").queryName("flagged").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("flagged").count() == flag_outliers(events, events, ["event_id"], "value").count() > 0
+
+
+def test_samples_of_python_objects(spark):
+    rng = np.random.default_rng(2)
+    frames = from_samples(spark, [(rng.random((3, 5, 4)), [0, 1, 0]), (rng.integers(0, 255, (5, 4)), 2)], ["a", "b", "c"])
+    assert [(r.class_label, r.image.height, r.image.width, r.image.nChannels) for r in frames.items.orderBy("item_index").collect()] == [(1, 5, 4, 3), (2, 5, 4, 1)]
+    frames = from_samples(spark, [(rng.random((3, 5, 4)), {"boxes": [[0, 1, 2, 3]], "labels": [1]})])
+    assert [tuple(r) for r in frames.targets.collect()] == [(0, 0, 0.0, 1.0, 2.0, 3.0, 1)] and "class_label" not in frames.items.columns
+
+
+def test_command_line_with_cache_and_encoding(spark, images, tmp_path):
+    raw = {
+        "datasets": [{"name": "d", "format": "image_folder", "path": images.name, "options": {"infer_labels": True}, "image_stats": True}], "sources": [{"name": "s", "dataset": "d"}], "metadata": [{"name": "m", "continuous_factor_bins": {"mean": 2}}],
+        "workflows": [{"name": "w", "type": "data-cleaning", "outlier_method": "zscore", "metrics": ["mean"]}], "tasks": [{"name": "t", "workflow": "w", "sources": "s", "metadata": "m"}],
+    }
+    (tmp_path / "c.json").write_text(json.dumps(raw))
+    common = ["-c", str(tmp_path / "c.json"), "-d", str(images.parent), "-k", str(tmp_path / "kept")]
+    for _ in range(2):  # the second run finds the metrics kept
+        assert main([*common, "-o", str(tmp_path / "out")]) == 0
+    assert len(list((tmp_path / "kept" / "v1").iterdir())) == 1 and (tmp_path / "out" / "t" / "result.json").exists()
+    assert main(["encoding", *common, "-t", "t", "-o", str(tmp_path / "e.json")]) == 0
+    assert (tmp_path / "e.json").read_text() == (tmp_path / "out" / "encoding.json").read_text()
