@@ -63,6 +63,8 @@ def load_model(path: str) -> PieceModel:
     by_score = sorted(normal.values(), key=lambda i: (-sp.get_score(i), i))
     rank = {i: r for r, i in enumerate(by_score)}
     found = {normal[p[:k]] * n + normal[p[k:]]: i for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
+    if 2 * len(found) > 1 << SLOT_BITS:
+        raise ValueError(f"{len(found)} pairs are more than half of the table's slots")
     slots = np.full(1 << SLOT_BITS, -1, np.int64)
     for key in found:
         at = int(_slot(np.array([key]))[0])
@@ -75,7 +77,7 @@ def load_model(path: str) -> PieceModel:
         if len(p) == 1:
             char_ids[ord(p)] = i
     outs = [bytes([int(p[3:5], 16)]) if byte[i] else b"" if silent[i] else " ⁇ ".encode() if unk[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    return PieceModel(
+    model = PieceModel(
         size=n,
         end=sp.eos_id(),
         unk=sp.unk_id(),
@@ -90,6 +92,11 @@ def load_model(path: str) -> PieceModel:
         silent=np.array(silent),
         spaced=np.array([p.startswith(SPACE) for p in pieces]) & ~np.array(silent) & ~np.array(byte),
     )
+    probes = ["", "a", "  two  spaces ", "x\ty\nz", "\ufb01 \u00c5 A\u030a \u00bd \uff21", "\u00a0n\u3000w\u200b", "The end."]
+    for text, ids in zip(probes, Encoder(model).encode(probes)):
+        if ids.tolist() != sp.encode(text, add_eos=True) or decode(model, ids) != sp.decode(ids.tolist()):
+            raise ValueError(f"the model normalizes or prefixes texts in another way than this encoder: {text!r}")
+    return model
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:

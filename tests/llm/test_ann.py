@@ -95,3 +95,11 @@ def test_a_vector_alone_on_its_side(spark):
     df = spark.createDataFrame(((i, v) for i, v in enumerate(x.tolist())), "vec_id long, embedding array<double>")
     found = nearest(df, F.col("vec_id") == 40, most=40).collect()
     assert sorted(r["rank"] for r in found) == list(range(1, 41))
+
+
+def test_very_long_vectors_and_clashing_names(spark):
+    x = np.random.default_rng(13).normal(size=(40, 4000))
+    df = spark.createDataFrame(((i, v, 1, 2, 3.0) for i, v in enumerate(x.tolist())), "vec_id long, embedding array<double>, node int, home int, score double")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = nearest(df, F.col("vec_id") % 20 == 0, most=5).collect()
+    assert recall(found, brute(rows, lambda k: k % 20 == 0, 5)) == 1

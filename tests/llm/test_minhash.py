@@ -103,3 +103,9 @@ def test_large_groups_by_pivot_and_rest(spark, monkeypatch):
 def test_sizes_travel_with_sketches(spark):
     df = spark.createDataFrame([(1,), (77_000,), (1 << 40,)], "n long")
     assert [np.frombuffer(r[0], ">i8")[0] for r in df.select(minhash.size_bytes()).collect()] == [1, 77_000, 1 << 40]
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 50_021}x{i % 7}" for i in range(300_000)]
+    df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(words[:270_000])), (3, " ".join(words[:100_000]))], "doc_id long, text string")
+    assert [tuple(r)[2:] for r in near_duplicates(df).orderBy("doc_id").collect()] == [(1, True), (1, False), (3, True)]

@@ -62,3 +62,31 @@ def test_null_and_repeated_ids(spark):
     cut = [*clean[:-1], (7, words(500, 30))]
     found = p.substring_dedup(spark, near, "").collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=key) == sorted(cut, key=key)
+
+
+def test_odd_rows_pass_every_stage(spark, sf_dir):
+    """Nulls in any column, junk, empty and very long texts, ties, repeated rows: a defined result at each stage."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*p.COLUMNS)
+    schema = real.schema
+    good = [tuple(r) for r in real.filter("n_chars > 200").limit(60).collect()]
+    junk = [(900_001, "0x3f 1234 {} ;; 77", None, "web", 18), (900_002, "Привет, как дела сегодня вечером", None, None, 32), (900_003, None, None, None, None), (900_004, "", "en", "", 0), (900_005, "\u200b \u3000", None, "a", 3)]
+    long_one = " ".join(good[0][1].split()[::-1] * 400)
+    odd = [(None, good[3][1], None, None, None), (good[5][0], good[5][1], "en", None, 1), good[7], good[7], (900_010, long_one, "en", "long", len(long_one)), (900_011, "a", "en", "web", 1)]
+    docs = spark.createDataFrame([*good, *junk, *odd], schema)
+    kept = p.language_id(spark, docs, sf_dir)
+    after = kept.collect()
+    assert {r.doc_id for r in after} & {900_001, 900_002, 900_003, 900_004, 900_005} == set()  # planted junk goes
+    assert sum(r.doc_id in {g[0] for g in good} for r in after) >= 0.9 * len(good) and any(r.doc_id == 900_010 for r in after)
+    for _, stage in p.STAGES[1:]:
+        kept = stage(spark, spark.createDataFrame(kept.collect(), kept.schema), sf_dir)
+    rows = kept.collect()
+    assert rows and all(len(r.ids) == r.n_tokens for r in rows)
+    texts = [r.decoded for r in rows]
+    assert max(map(texts.count, texts)) <= 2  # copies are gone, a mix takes no text more than twice
+
+
+def test_empty_table_passes_every_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0

@@ -55,3 +55,27 @@ def test_query_holds_over_the_whole_table(spark, sf_dir):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(RAW.decode(ids).encode()).hexdigest()
+
+
+def test_a_model_that_normalizes_otherwise_is_refused(monkeypatch):
+    class Other:
+        """The library's model, as if it lower-cased."""
+
+        def __init__(self, model_file):
+            pass
+
+        def __getattr__(self, name):
+            return getattr(RAW, name)
+
+        def encode(self, text, **options):
+            return RAW.encode(text.lower(), **options)
+
+    monkeypatch.setattr(library, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="normalizes"):
+        load_model(queries.PIECE_MODEL)
+
+
+def test_a_vocabulary_that_the_table_cannot_hold_is_refused(monkeypatch):
+    monkeypatch.setattr("plumbline.llm.sentencepiece.SLOT_BITS", 10)
+    with pytest.raises(ValueError, match="slots"):
+        load_model(queries.PIECE_MODEL)
