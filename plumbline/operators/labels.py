@@ -25,7 +25,7 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 def distribution(labels: DataFrame, classes: DataFrame, label: str, name: str) -> DataFrame:
     """Counts of all declared classes, absent ones at 0 and marked missing. ``classes``: label, name (a dimension)."""
     counts = label_counts(labels, label)
-    return F.broadcast(classes).join(counts, label, "left").select(F.coalesce(F.col(name), F.col(label).cast("string")).alias("class_name"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
+    return classes.join(counts, label, "left").select(F.coalesce(F.col(name), F.col(label).cast("string")).alias("class_name"), F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
 
 
 def imbalance(counts: DataFrame, positive_only: bool = False) -> DataFrame:

@@ -155,7 +155,7 @@ def dispersion(df: DataFrame, label: str, vector: str) -> DataFrame:
     rows = df.filter(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("x"))
     centres = rows.select("l", F.posexplode("x").alias("dim", "v")).groupBy("l", "dim").agg(F.avg("v").alias("c")).groupBy("l").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("c"))
     d = F.sqrt(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))
-    return rows.join(F.broadcast(centres), "l").groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.avg(d).alias("dispersion"))
+    return rows.join(centres, "l").groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.avg(d).alias("dispersion"))
 
 
 def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples: int = 20, isotropy_min: int | None = None, factor: float = 0.5) -> DataFrame:

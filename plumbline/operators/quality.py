@@ -55,19 +55,12 @@ def classwise_pivot(issues: DataFrame, labels: DataFrame, keys: list[str], label
     return rows.union(total).select("class_name", F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"), F.round(100.0 * F.col("outlier_count") / F.col("n"), 1).alias("pct"))
 
 
-def duplicate_members(df: DataFrame, key: str, content: str) -> DataFrame:
-    """``group_id, key``: the members of each exact group as rows, however many, without gathering any group."""
-    digest = df.filter(F.col(content).isNotNull()).select(key, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
-    first = digest.groupBy("digest").agg(F.min(key).alias("group_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return digest.join(first, "digest").select("group_id", key)
-
-
 def exact_duplicates(df: DataFrame, key: str, content: str) -> DataFrame:
-    """``group_id, item_indices, n_items``: rows with equal content (SHA-256), members sorted, groups numbered from
-    their smallest member. A group's list is its result; counts are partial aggregates."""
+    """``group_id, key, n_items``: the members of every group of rows with equal content (SHA-256) as rows, so that no group is
+    gathered, however large; groups are named by their smallest member."""
     digest = df.filter(F.col(content).isNotNull()).select(key, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
-    groups = digest.groupBy("digest").agg(F.sort_array(F.collect_list(key)).alias("item_indices"), F.count("*").alias("n_items")).filter("n_items > 1")
-    return groups.select(F.col("item_indices")[0].alias("group_id"), "item_indices", "n_items")
+    groups = digest.groupBy("digest").agg(F.min(key).alias("group_id"), F.count("*").alias("n_items")).filter("n_items > 1")
+    return digest.join(groups, "digest").select("group_id", key, "n_items")
 
 
 def flagged_copies(df: DataFrame, key: str, content: str) -> DataFrame:

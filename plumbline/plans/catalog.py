@@ -86,9 +86,9 @@ def classwise_outlier_pivot(spark, sf_dir):
 GROUPS = "SELECT sha256(text) AS h, min(doc_id) AS first, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
 
 
-@register("SELECT min(doc_id) AS group_id, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members, count(*) AS n_items FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")
+@register(f"SELECT first AS group_id, doc_id, n AS n_items FROM documents d JOIN ({GROUPS}) g ON sha256(d.text) = g.h")
 def exact_duplicate_groups(spark, sf_dir):
-    return quality.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text").select("group_id", F.array_join(F.transform("item_indices", lambda x: x.cast("string")), ",").alias("members"), "n_items")
+    return quality.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @register(f"SELECT doc_id FROM documents d JOIN ({GROUPS}) g ON sha256(d.text) = g.h WHERE doc_id > first")

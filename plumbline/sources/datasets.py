@@ -56,7 +56,7 @@ def image_folder(spark: SparkSession, path: str, recursive: bool = False, infer_
     files = _files(spark, path, True).withColumn("class_name", F.regexp_extract("path", rf"/{_quoted(root)}/([^/]+)/[^/]+$", 1)).filter("class_name <> ''")
     names = files.select("class_name").distinct()
     classes = names.withColumn("class_label", (F.row_number().over(Window.orderBy("class_name")) - 1).cast("int"))
-    return SourceFrames(_numbered(files.join(F.broadcast(classes), "class_name")), None, classes, "folder")
+    return SourceFrames(_numbered(files.join(classes, "class_name")), None, classes, "folder")
 
 
 def _quoted(text: str) -> str:
@@ -71,7 +71,7 @@ def coco(spark: SparkSession, path: str, annotations_file: str = "annotations.js
     names = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").cast("long").alias("category_id"), F.col("c.name").alias("class_name"))
     classes = names.withColumn("class_label", (F.row_number().over(Window.orderBy("category_id")) - 1).cast("int"))
     boxes = raw.select(F.explode("annotations").alias("a")).select(F.col("a.id").cast("long").alias("box_id"), F.col("a.image_id").cast("long").alias("image_id"), F.col("a.category_id").cast("long").alias("category_id"), F.col("a.bbox").alias("b"))
-    placed = boxes.join(items.select("image_id", "item_index"), "image_id").join(F.broadcast(classes), "category_id")
+    placed = boxes.join(items.select("image_id", "item_index"), "image_id").join(classes, "category_id")
     targets = placed.select("item_index", (F.row_number().over(Window.partitionBy("item_index").orderBy("box_id")) - 1).cast("long").alias("target_index"), F.col("b")[0].alias("x0"), F.col("b")[1].alias("y0"), (F.col("b")[0] + F.col("b")[2]).alias("x1"), (F.col("b")[1] + F.col("b")[3]).alias("y1"), "class_label")
     return SourceFrames(items, targets, classes.select("class_label", "class_name"), "annotations")
 
