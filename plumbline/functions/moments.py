@@ -32,17 +32,23 @@ def profile(df: DataFrame, metrics: list[str], methods: Iterable[str] = tuple(NE
     median and mean absolute deviation. The rest is null. Values are never sorted in one task."""
     needs = set().union(*(NEEDS[m] for m in methods))
     values = unpivot(df, [], metrics)
-    out = df.sparkSession.createDataFrame([(m,) for m in metrics], "metric_name string")
+    spark = df.sparkSession
+    held = lambda part: spark.createDataFrame(part.collect(), part.schema)  # noqa: E731  a row a metric, computed once
     v = F.col("metric_value")
+    parts: list[DataFrame] = []
     if "moments" in needs:
-        out = out.join(F.broadcast(values.groupBy("metric_name").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"))), "metric_name", "left")
+        parts.append(values.groupBy("metric_name").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")))
     if "quartiles" in needs:
-        quartiles = exact_quantiles(values, "metric_name", "metric_value", [0.25, 0.5, 0.75]).select("metric_name", "q")
-        out = out.join(F.broadcast(quartiles), "metric_name", "left")
+        quartiles = held(exact_quantiles(values, "metric_name", "metric_value", [0.25, 0.5, 0.75]).select("metric_name", "q"))
+        parts.append(quartiles)
         if "deviation" in needs:
             off = values.join(F.broadcast(quartiles), "metric_name").select("metric_name", F.abs(v - F.col("q")[1]).alias("off"))
-            mad = exact_quantiles(off, "metric_name", "off", [0.5]).select("metric_name", F.col("q")[0].alias("mad"))
-            out = out.join(F.broadcast(mad), "metric_name", "left").join(F.broadcast(off.groupBy("metric_name").agg(F.avg("off").alias("mead"))), "metric_name", "left")
+            parts.append(exact_quantiles(off, "metric_name", "off", [0.5]).select("metric_name", F.col("q")[0].alias("mad")))
+            parts.append(off.groupBy("metric_name").agg(F.avg("off").alias("mead")))
+    out = spark.createDataFrame([(m,) for m in metrics], "metric_name string")
+    for part in parts:
+        out = out.join(F.broadcast(part), "metric_name", "left")
+    out = held(out)
     kinds = {"mean": "double", "std": "double", "q": "array<double>", "skew": "double", "kurt": "double", "mad": "double", "mead": "double"}
     return out.select("metric_name", *(F.col(n) if n in out.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
 
