@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import give_back, mix64, settled, slices, text_bytes, word_hashes
 
-PRIOR = 5.0
+#: Chosen on held-out documents: log10 probability a token is -3.93 with 5, -3.76 with 20.
+PRIOR = 20.0
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BLOCK_CHARS, RANGE_CHARS = 8 << 20, 12 << 20
 #: Tokens counted at once in a task.
