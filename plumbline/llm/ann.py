@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import mix64, settled
+from plumbline.llm.common import give_back, mix64, settled
 from plumbline.llm.vectors import usable
 
 NEIGHBOURS, REVERSE = 24, 16
@@ -167,6 +167,7 @@ def merged(lists: DataFrame, offers: DataFrame, neighbours: int) -> DataFrame:
         at = node - nodes[0], np.arange(len(node)) - np.searchsorted(node, node)
         out = np.full((m, neighbours), -1), np.full((m, neighbours), -9, np.float32), np.zeros((m, neighbours), np.uint8)
         out[0][at], out[1][at], out[2][at] = ids, sims, fresh
+        give_back()
         return _table(LIST_SCHEMA, [(home, *(x.tobytes() for x in out), int(fresh.sum()))])
 
     return lists.select("home", "m", "ids", "sims").groupBy("home").cogroup(offers.groupBy("home")).applyInArrow(run, LIST_SCHEMA)
@@ -323,6 +324,7 @@ def descend(lists: DataFrame, index: DataFrame, width: int, neighbours: int) ->
         order = np.lexsort((ids, node))  # a pair met at several nodes is one offer
         node, ids, sims = node[order], ids[order], sims[order]
         once = np.append(True, (node[1:] != node[:-1]) | (ids[1:] != ids[:-1]))
+        give_back()
         return _offers(names[node[once]], names[ids[once]], sims[once])
 
     found = met.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(compare, OFFER_SCHEMA)
@@ -410,6 +412,7 @@ def search(asking: DataFrame, index: DataFrame, lists: DataFrame, width: int, ne
             ids, scores, followed = (np.take_along_axis(z, best, 1) for z in (ids, scores, followed))
             order = np.lexsort((ids, -scores), axis=1)
             ids, scores, followed = (np.take_along_axis(z, order, 1) for z in (ids, scores, followed))
+        give_back()
         row |= {"ids": ids.tobytes(), "scores": scores.tobytes(), "followed": followed.tobytes(), "seen": np.union1d(seen, b).tobytes(), "open": int(turn(ids, followed).sum())}
         return state_of(row)
 
