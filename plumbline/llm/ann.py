@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import give_back, mix64, settled
+from plumbline.llm.common import discard, give_back, mix64, settled
 from plumbline.llm.vectors import usable
 
 NEIGHBOURS, REVERSE = 24, 16
@@ -127,7 +127,9 @@ def index_vectors(classes: DataFrame) -> tuple[DataFrame, int, int, type]:
         return _table("home long, names binary, x binary, w binary", [(rows["home"][0].as_py(), rows["name"].to_numpy().tobytes(), b"".join(rows["x"].to_pylist()), b"".join(rows["w"].to_pylist()))])
 
     at_home = packed.join(parts, F.col("leaf") == F.col("l")).select(home.alias("home"), "name", "x", "w").groupBy("home")
-    return settled(at_home.applyInArrow(gather, "home long, names binary, x binary, w binary")), width + 1, n, kind
+    index = settled(at_home.applyInArrow(gather, "home long, names binary, x binary, w binary"))
+    discard(packed)
+    return index, width + 1, n, kind
 
 
 def _leaves(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
@@ -271,7 +273,7 @@ def answered(asked: DataFrame, owners: DataFrame, columns: dict[str, int]) -> Da
 
 
 def descend(lists: DataFrame, index: DataFrame, width: int, neighbours: int) -> DataFrame:
-    """One round: lists improved by comparing the neighbours of every node with each other."""
+    """One round: lists improved by comparing the neighbours of every node with each other; those before are deleted."""
     met = settled(meetings(lists, neighbours))
     most = neighbours + REVERSE
 
@@ -328,14 +330,17 @@ def descend(lists: DataFrame, index: DataFrame, width: int, neighbours: int) ->
         return _offers(names[node[once]], names[ids[once]], sims[once])
 
     found = met.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(compare, OFFER_SCHEMA)
-    return merged(_with_sizes(lists, neighbours), found, neighbours)
+    better = settled(merged(_with_sizes(lists, neighbours), found, neighbours))
+    discard(met)
+    discard(lists)
+    return better
 
 
 def neighbour_graph(index: DataFrame, width: int, n: int, neighbours: int) -> DataFrame:
     """NN-descent from the first graph. Lists only get better, so the rounds end."""
     lists = settled(first_graph(index, width, n, neighbours))
     while True:
-        lists = settled(descend(lists, index, width, neighbours))
+        lists = descend(lists, index, width, neighbours)
         if (lists.agg(F.sum("n_fresh")).first()[0] or 0) <= SETTLED_SHARE * n * neighbours:
             return lists
 
@@ -422,7 +427,8 @@ def search(asking: DataFrame, index: DataFrame, lists: DataFrame, width: int, ne
         met = asked.groupBy("owner").cogroup(near.groupBy("home")).applyInArrow(neighbours_of, "home long, ids binary")
         new = state.select("home", "seen").groupBy("home").cogroup(met.groupBy("home")).applyInArrow(unseen, ASKED_SCHEMA)
         found = answered(new, index, {"w": size})
-        state = settled(state.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(advance, STATE_SCHEMA))
+        before, state = state, settled(state.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(advance, STATE_SCHEMA))
+        discard(before)
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,18 @@ def settled(df: DataFrame, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     delete_at_exit(spark, path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a ``settled`` frame that nothing still to be computed reads; the others go when the session
+    ends."""
+    spark, path = df.sparkSession, getattr(df, "_settled_at", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import settled
+from plumbline.llm.common import discard, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(points)
         ends = left.join(points.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("b", "x")
         ends = ends.join(points.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        left = settled(ends.filter("a <> b").distinct())
+        before, left = left, settled(ends.filter("a <> b").distinct())
+        discard(before)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = rounds[0].select("node", F.col("to").alias("root"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
+from plumbline.llm.common import discard, give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
 
 ANCHOR = 5
 BLOCK_CHARS = 8 << 20
@@ -272,7 +272,9 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     lists = settled(shared_anchors(keyed, window))
     bits = max(0, math.ceil(math.log2(max(1, blocks * BLOCK_CHARS / RANGE_CHARS))))
     recurring = settled(recurring_windows(keyed, lists, window, blocks, bits))
+    discard(lists)
     held = settled(passages(keyed, recurring, window))
+    discard(recurring)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = left["k"].to_pylist(), [words_of(t) for t in left["t"].to_pylist()]

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -31,3 +32,12 @@ def test_rolled_names_runs():
     hashes = word_hashes("a b a b a c b a")
     assert len(set(rolled(hashes, 2).tolist())) == 4
     assert rolled(hashes, 2)[0] == rolled(hashes, 2)[2] and len(rolled(hashes, 9)) == 0
+
+
+def test_a_discarded_table_is_gone(spark):
+    df = common.settled(spark.range(5))
+    path = df._settled_at
+    assert df.count() == 5 and os.path.exists(path)
+    common.discard(df)
+    common.discard(spark.range(3))  # never settled: nothing to delete
+    assert not os.path.exists(path)
