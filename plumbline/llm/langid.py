@@ -40,6 +40,8 @@ EXCERPTS = (12, 24, 48, 96, 192, 384, 768)
 #: Sizes: powers of two of distinct n-grams.
 SIZES = 14
 SEED = 23
+#: Texts classified at once: short ones are many in a slice, and each has a vector of WIDTH.
+TEXTS = 256
 #: Parts that a language's keys are dealt into before the sample is drawn.
 SAMPLE_PARTS = 256
 
@@ -162,12 +164,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
 def classify(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     names, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     at = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-    if at:
-        x = np.stack([vector(texts[i], model.idf) for i in at])
+    for lo in range(0, len(at), TEXTS):
+        part = at[lo : lo + TEXTS]
+        x = np.stack([vector(texts[i], model.idf) for i in part])
         cosines = x @ model.centroids.T
         by_language = np.stack([cosines[:, model.owner == j].max(1) for j in range(len(model.languages))], 1)
         best = by_language.argmax(1)
-        for i, j, c, bar in zip(at, best.tolist(), np.clip(by_language.max(1), 0, 1).tolist(), model.reject_below[best, sizes(x)].tolist()):
+        for i, j, c, bar in zip(part, best.tolist(), np.clip(by_language.max(1), 0, 1).tolist(), model.reject_below[best, sizes(x)].tolist()):
             names[i], scores[i], rejected[i] = model.languages[j], c, c < bar
     return names, scores, rejected
 
