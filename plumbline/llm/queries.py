@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
+from plumbline.llm import ann, fim, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
@@ -96,6 +96,17 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", most=20)
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digests(cut):
+        back = fim.restore(cut["output"], cut["form"])
+        hashes = [pa.array([sha(x.as_buffer()) for x in column], pa.string()) for column in (cut["output"], back)]
+        return [*fim.fim_columns(cut)[:4], *hashes]
+
+    schema = "n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string"
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text", derive=digests, schema=schema)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
