@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, fim, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
+from plumbline.llm import ann, conversations, fim, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
@@ -107,6 +107,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"), "doc_id", "text", derive=digests, schema=schema)
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.Repair(rows, gone="gone").summaries()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
