@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, conversations, fim, gridjoin, html, langid, lm, minhash, mixing, oracles, sentencepiece, substrings, warc
+from plumbline.llm import ann, conversations, fim, gridjoin, html, langid, lm, minhash, mixing, oracles, quality, sentencepiece, substrings, warc
 from plumbline.llm.common import delete_at_exit, scratch_dir, settled
 from plumbline.session import table
 
@@ -113,6 +113,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.Repair(rows, gone="gone").summaries()
 
 
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = langid.held_out("doc_id", 4, 2)
+    model = quality.fit(docs.filter(~out), labels.filter(~out), "doc_id", "text", "quality")
+    return quality.score(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
