@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,38 +105,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_POWERS: list[np.ndarray] = []
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0xD1342543DE82EF95
-        size = 1 << max(12, n.bit_length())
-        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+def fold64(x: np.ndarray) -> np.ndarray:
+    """A shorter bijective scramble, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One hash for each run of ``n`` consecutive words; none if there are fewer. A polynomial modulo 2**64 by prefix
-    sums, scrambled."""
-    m = len(hashes) - n + 1
-    if m <= 0:
+    """One hash for each run of ``n`` consecutive words; none if there are fewer.
+
+    Hashes of runs of 1, 2, 4, ... words are scrambled together from two of half the length, and those that ``n`` is the
+    sum of are put one behind the other: no sum of powers, so that no pattern of words cancels out."""
+    if len(hashes) < n:
         return np.empty(0, np.uint64)
-    up, down = _powers(len(hashes) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(mix64(hashes) * up[: len(hashes)], dtype=np.uint64))
-    return mix64((sums[n:] - sums[:m]) * down[:m])
+    power, size, out, span = hashes, 1, None, 0
+    while True:
+        if n & size:
+            out = power if out is None else fold64(out[: len(power) - span] * STEP + power[span:])
+            span += size
+        if span == n:
+            return mix64(out)
+        power = fold64(power[:-size] * STEP + power[size:])
+        size *= 2
 
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-BYTE_VALUES = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Keeps the first bytes of eight, by how many.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 #: Texts are hashed in pieces of about so many bytes, cut between words.
 PIECE_BYTES = 1 << 20
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of a text (those of ``words_of``), by prefix sums over its bytes."""
+    """A 64-bit hash of each word of a text (those of ``words_of``): eight bytes of all words at a time are scrambled into
+    what came before; long words have their XXH3."""
     raw = (text or "").encode()
     raw = np.frombuffer(raw.lower() if lower else raw, np.uint8)
     if len(raw) <= PIECE_BYTES:
@@ -150,10 +161,22 @@ def _piece_hashes(raw: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     space = SPACES[raw]
     edges = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1], [not space[-1]]]))
-    starts, ends = edges[0::2], edges[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64))
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    starts, left = edges[0::2], edges[1::2] - edges[0::2]
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    long = np.flatnonzero(left > LONG_WORD)
+    out = fold64(left.astype(np.uint64) * STEP ^ (eight[starts] & FIRST_BYTES[np.minimum(left, 8)]))
+    on = np.flatnonzero((left > 8) & (left <= LONG_WORD))
+    at, left, part = starts[on] + 8, left[on] - 8, out[on]
+    while len(on):
+        part = fold64(part * STEP ^ (eight[at] & FIRST_BYTES[np.minimum(left, 8)]))
+        out[on] = part
+        more = left > 8
+        on, at, left, part = on[more], at[more] + 8, left[more] - 8, part[more]
+    out = mix64(out)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : edges[2 * i + 1]])
+    return out
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:

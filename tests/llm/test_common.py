@@ -28,6 +28,31 @@ def test_hashes_name_words(monkeypatch):
     assert len(word_hashes("x" * 500 + " y")) == 2
 
 
+def thue_morse(n, letters=("a", "b")):
+    """A word and its complement, which sums of powers modulo a power of two can't tell apart from some length on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return ["".join(letters[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_words_and_runs_that_sums_of_powers_confuse_are_told_apart():
+    for n in (8, 64, 512, 1024, 2048, 4096):
+        one, two = thue_morse(n)
+        assert word_hashes(one)[0] != word_hashes(two)[0]
+        assert rolled(word_hashes(" ".join(one)), n)[0] != rolled(word_hashes(" ".join(two)), n)[0]
+    sizes = ["x" * k for k in range(1, 200)] + ["x" * k + "y" for k in range(200)]
+    assert len(set(word_hashes(" ".join(sizes)).tolist())) == len(set(sizes))
+
+
+def test_rolled_is_one_hash_a_run():
+    random.seed(6)
+    hashes = word_hashes(" ".join(random.choice("abc") for _ in range(3000)))
+    for n in (1, 2, 3, 5, 7, 13, 16, 50):
+        runs = [tuple(hashes[i : i + n].tolist()) for i in range(len(hashes) - n + 1)]
+        found = rolled(hashes, n)
+        assert len(found) == len(runs) and len(set(found.tolist())) == len(set(runs)) == len(set(zip(runs, found.tolist())))
+        assert np.array_equal(rolled(hashes[5 : 5 + n], n), found[5:6])
+
+
 def test_rolled_names_runs():
     hashes = word_hashes("a b a b a c b a")
     assert len(set(rolled(hashes, 2).tolist())) == 4
