@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.functions.quantiles import quantile
 from plumbline.operators.neighbors import knn
 
-#: Rounds after which merging is given up (each at least halves long chains).
-MAX_ROUNDS = 40
-
 
 def signature_edges(df: DataFrame, key: str, signatures: dict[str, str]) -> DataFrame:
     """``a, b, method``: members of each group with an equal signature, as a star around the smallest: a group of n has
@@ -36,14 +33,13 @@ def merged_groups(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("group_id")).checkpoint()
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(labels.select(F.col("key").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("key")).agg(F.min("group_id").alias("m"))
         moved = labels.join(near, "key").select("key", F.least("group_id", "m").alias("g"), F.col("group_id").alias("was"))
         jumped = moved.join(moved.select(F.col("key").alias("g"), F.col("g").alias("further")), "g").select("key", F.least("g", "further").alias("group_id"), "was").checkpoint()
         labels = jumped.select("key", "group_id")
         if jumped.filter("group_id <> was").isEmpty():
             return labels
-    raise RuntimeError(f"groups still change after {MAX_ROUNDS} rounds")
 
 
 def near_groups(edges: DataFrame) -> DataFrame:

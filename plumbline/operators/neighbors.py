@@ -336,19 +336,23 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = lambda end: parents.select(F.col("c").alias(end), F.col("p").alias(f"{end}r"))
     moved = edges.join(roots("a"), "a").join(roots("b"), "b").filter("ar <> br")
     left = moved.groupBy(F.least("ar", "br").alias("a"), F.greatest("ar", "br").alias("b")).agg(F.min(F.struct("d", "ka", "kb")).alias("e")).select("a", "b", "e.*").checkpoint()
-    return least.select("ka", "kb").distinct(), left
+    return least.select("ka", "kb", "d").distinct(), left
 
 
-def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """``a, b``: a Euclidean minimum spanning tree of any number of vectors; keys are unique, a < b.
+def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK, core: str | None = None) -> DataFrame:
+    """``a, b, d``: a Euclidean minimum spanning tree of any number of vectors and its lengths; keys are unique, a < b.
+    ``core``: a column of distances that edges of a row are no shorter than (the larger of both ends: mutual reachability).
 
     Equal vectors hang on the smallest key among them. Every two blocks of the distinct vectors give the minimum spanning
     tree of both; an edge that is in none of these closes a cycle of shorter ones, so the tree is among theirs. Boruvka
     rounds contract these edges until the driver can take the rest.
     """
-    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(F.col(vector).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("x")).checkpoint()
+    # the core distance travels as a component in front of the others
+    x = F.transform(F.col(vector).cast("array<double>"), lambda v: v + F.lit(0.0))
+    x = F.concat(F.array(F.col(core).cast("double") if core else F.lit(0.0)), x)
+    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), x.alias("x")).checkpoint()
     firsts = rows.groupBy("x").agg(F.min("k").alias("k")).checkpoint()
-    copies = rows.join(firsts.select("x", F.col("k").alias("a")), "x").filter("k <> a").select("a", F.col("k").alias("b"))
+    copies = rows.join(firsts.select("x", F.col("k").alias("a")), "x").filter("k <> a").select("a", F.col("k").alias("b"), F.col("x")[0].alias("d"))
     blocks, n = _blocks(firsts, "k", "x", block)
 
     def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,16 +364,20 @@ def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> D
                     k2 = np.frombuffer(k2, np.int64)
                     k, x = np.concatenate([k, k2]), np.concatenate([x, np.frombuffer(x2, np.float64).reshape(len(k2), -1)])
                 if len(k) > 1:
-                    a, b = _tree(squared_distances(x, x))
-                    d = ((x[a] - x[b]) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b])), pa.array(d)], ["a", "b", "d"])
+                    least, x = x[:, 0] ** 2, x[:, 1:]
+                    d = squared_distances(x, x)
+                    np.maximum(d, least[:, None], out=d)
+                    np.maximum(d, least[None, :], out=d)
+                    a, b = _tree(d)
+                    d = np.maximum(((x[a] - x[b]) ** 2).sum(1), np.maximum(least[a], least[b]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b])), pa.array(np.sqrt(d))], ["a", "b", "d"])
 
     met = meetings(blocks, n).filter((F.col("b") != F.col("b2")) | F.lit(n == 1))
     edges = met.select("b", "b2", "k", "x", "k2", "x2").mapInArrow(trees, "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ka"), F.col("b").alias("kb")).checkpoint()
     tree = copies
     while edges.count() > DRIVER_EDGES:
         chosen, edges = _contracted(edges)
-        tree = tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+        tree = tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "d"))
     rest = edges.toArrow()
     a, b, d, ka, kb = (rest[c].to_numpy() for c in ("a", "b", "d", "ka", "kb"))
     names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -386,7 +394,7 @@ def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK) -> D
         if u != v:
             root[v] = u
             used.append(at)
-    last = pa.table({"a": pa.array(ka[used], pa.int64()), "b": pa.array(kb[used], pa.int64())})
+    last = pa.table({"a": pa.array(ka[used], pa.int64()), "b": pa.array(kb[used], pa.int64()), "d": pa.array(d[used], pa.float64())})
     return tree.union(df.sparkSession.createDataFrame(last))
 
 
@@ -394,7 +402,7 @@ def mst_divergence(a: DataFrame, b: DataFrame, key: str, vector: str, block: int
     """The same from a Euclidean minimum spanning tree of all rows."""
     both = a.select(key, vector, F.lit(0).alias("side")).union(b.select(key, vector, F.lit(1).alias("side"))).filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
     side = both.select(F.col(key).cast("long").alias("a"), F.col("side").alias("sa"))
-    edges = spanning_tree(both, key, vector, block).join(side, "a").join(side.toDF("b", "sb"), "b")
+    edges = spanning_tree(both, key, vector, block).drop("d").join(side, "a").join(side.toDF("b", "sb"), "b")
     crossing = edges.filter("sa <> sb").count()
     n, m = both.agg(F.sum("side"), F.count("*") - F.sum("side")).first()
     return max(0.0, 1 - crossing * (m + n) / (2 * m * n))

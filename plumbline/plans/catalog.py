@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import shuffled
-from plumbline.operators import duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
+from plumbline.operators import density, duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import views
 from plumbline.session import table
 
@@ -552,6 +552,34 @@ def cluster_outliers(spark, sf_dir):
     return quality.cluster_outliers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, 1.5)
 
 
+@register()
+def hdbscan_clusters(spark, sf_dir):
+    return density.hdbscan(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("membership", F.round("membership", 6))
+
+
+@register(f"WITH {KNN} SELECT vec_id, round(max(dist), 6) AS core FROM k WHERE rank <= 4 GROUP BY 1")
+def core_distances(spark, sf_dir):
+    return density.core_distances(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("core", 6).alias("core"))
+
+
+@register()
+def cluster_outliers_hdbscan(spark, sf_dir):
+    far = density.density_distances(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").filter("deviations > 1.5")
+    return far.select("vec_id", F.lit("cluster_distance").alias("metric_name"), F.round("metric_value", 6).alias("metric_value"), "cluster_id")
+
+
+@register()
+def cluster_duplicates(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return density.cluster_duplicates(vectors, "vec_id", "embedding", 0.5, density.hdbscan(vectors, "vec_id", "embedding"))
+
+
+@register()
+def prioritize_hdbscan(spark, sf_dir):
+    reference, test = _populations(spark, sf_dir)
+    return neighbors.prioritize(density.hdbscan_scores(test, reference, "vec_id", "embedding", "hdbscan_complexity"), "vec_id")
+
+
 @register()
 def domain_classifier_drift(spark, sf_dir):
     auroc, drifted, _ = shift.domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding", folds=3)

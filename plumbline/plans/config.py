@@ -61,7 +61,8 @@ class Base(Strict):
 
 # Names and defaults of the workflows' parameters are the documented public surface: fixed values.
 Method = Literal["adaptive", "zscore", "modzscore", "iqr"]
-Algorithm = Literal["kmeans", "bisecting"]
+#: None: k-means where a number of clusters is given, else density clusters.
+Algorithm = Literal["hdbscan", "kmeans", "bisecting"] | None
 
 
 class Duplicates(Strict):
@@ -71,6 +72,10 @@ class Duplicates(Strict):
     near_signatures: list[str] = Field(default_factory=list)
     duplicate_merge_near: bool = True
     duplicate_cluster_sensitivity: float | None = Field(None, gt=0)
+    #: neighbors: short edges of the nearest-neighbour graph, merged with the signatures' groups; the others cut the tree of
+    #: each cluster, and their groups stand beside those of the signatures.
+    duplicate_cluster_algorithm: Literal["neighbors", "hdbscan", "kmeans", "bisecting"] | None = None
+    duplicate_n_clusters: int | None = Field(None, ge=2)
 
 
 class Cleaning(Base, Duplicates):
@@ -81,8 +86,8 @@ class Cleaning(Base, Duplicates):
     target_metrics: list[str] = Field(default_factory=list)
     embedding: str | None = None
     outlier_cluster_threshold: float | None = Field(None, gt=0)
-    outlier_cluster_algorithm: Algorithm = "kmeans"
-    outlier_n_clusters: int = Field(10, ge=2)
+    outlier_cluster_algorithm: Algorithm = None
+    outlier_n_clusters: int | None = Field(None, ge=2)
     exact_warning: float = 0
     near_warning: float = 5
     outlier_warning: float = 3
@@ -201,9 +206,10 @@ class PriorCleaning(Strict):
 class Prioritization(Base):
     type: Literal["data-prioritization"]
     embedding: str = "embedding"
-    method: Literal["knn", "kmeans_distance", "kmeans_complexity"] = "knn"
+    method: Literal["knn", "kmeans_distance", "kmeans_complexity", "hdbscan_distance", "hdbscan_complexity"] = "knn"
     k: int | None = Field(None, ge=1)
     c: int | None = Field(None, ge=2)
+    min_cluster_size: int = Field(5, ge=2)
     order: Literal["hard_first", "easy_first"] = "hard_first"
     policy: Literal["difficulty", "stratified", "class_balanced"] = "difficulty"
     num_bins: int = Field(50, ge=1)
@@ -218,11 +224,13 @@ class Sweep(Base):
     outlier_method: list[Method] = Field(default_factory=lambda: ["adaptive"])
     outlier_threshold: list[float | None] = Field(default_factory=lambda: [None])
     outlier_cluster_threshold: list[float] = Field(default_factory=list)
-    outlier_cluster_algorithm: list[Algorithm] = Field(default_factory=lambda: ["kmeans"])
-    outlier_n_clusters: int = Field(10, ge=2)
+    outlier_cluster_algorithm: list[Algorithm] = Field(default_factory=lambda: [None])
+    outlier_n_clusters: int | None = Field(None, ge=2)
     content: str | None = None
     near_signatures: list[str] = Field(default_factory=list)
     duplicate_cluster_sensitivity: list[float] = Field(default_factory=list)
+    duplicate_cluster_algorithm: list[Literal["neighbors", "hdbscan", "kmeans", "bisecting"] | None] = Field(default_factory=lambda: [None])
+    duplicate_n_clusters: int | None = Field(None, ge=2)
     duplicate_merge_near: list[bool] = Field(default_factory=lambda: [True])
 
 

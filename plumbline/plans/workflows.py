@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from plumbline import __version__
 from plumbline.functions.moments import CUTOFFS
-from plumbline.operators import duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
+from plumbline.operators import density, duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
 from plumbline.sources.cache import TableCache, lineage_key
@@ -120,19 +120,47 @@ def _label_finding(s: SourceFrames, limit: float, info: float | None = None, tit
     return [Finding(title, severity, "table", {"counts": {r["class_name"]: r["n"] for r in found}, "missing": empty, "imbalance_ratio": ratio})]
 
 
+def _algorithm(name: str | None, clusters: int | None) -> str:
+    return name or ("kmeans" if clusters else "hdbscan")
+
+
+def _cluster_distances(items: DataFrame, embedding: str, name: str | None, clusters: int | None) -> DataFrame:
+    """``key, metric_value, cluster_id, deviations`` by the algorithm asked for."""
+    algorithm = _algorithm(name, clusters)
+    if algorithm == "hdbscan":
+        return density.density_distances(items, KEY, embedding)
+    return quality.cluster_distances(items, KEY, embedding, clusters or 10, algorithm=algorithm)
+
+
+def _cluster_groups(items: DataFrame, embedding: str, sensitivity: float, name: str | None, clusters: int | None) -> DataFrame:
+    """``key, group_id`` of what hangs together below the cut in the tree of each cluster."""
+    algorithm = _algorithm(name, clusters)
+    placed = density.hdbscan(items, KEY, embedding) if algorithm == "hdbscan" else quality.cluster_distances(items, KEY, embedding, clusters or 10, algorithm=algorithm)
+    return density.cluster_duplicates(items, KEY, embedding, sensitivity, placed.select(KEY, F.col("cluster_id").cast("long").alias("cluster_id"))).select(F.col(KEY).alias("key"), "group_id")
+
+
 def _near_groups(items: DataFrame, p: c.Duplicates | c.PriorCleaning, embedding: str | None = None) -> DataFrame | None:
-    """``key, group_id`` of near duplicates over all methods asked for; without merging, ``method`` too: groups by it."""
-    edges = []
+    """``key, group_id, first`` (the group's smallest member) of near duplicates over all methods asked for; without merging,
+    ``method`` too: groups by it. Groups of clusters come after the others, numbered behind them."""
+    edges, wanted = [], getattr(p, "duplicate_cluster_sensitivity", None) if embedding else None
+    by_tree = bool(wanted) and p.duplicate_cluster_algorithm != "neighbors"
     if p.near_signatures:
         edges.append(duplicates.signature_edges(items, KEY, {x: x for x in p.near_signatures}))
-    if embedding and getattr(p, "duplicate_cluster_sensitivity", None):
-        edges.append(duplicates.short_edges(items, KEY, embedding, p.duplicate_cluster_sensitivity))
-    if not edges:
-        return None
-    every = reduce(DataFrame.unionByName, edges)
-    if getattr(p, "duplicate_merge_near", True):
-        return duplicates.merged_groups(every)
-    parts = [duplicates.merged_groups(every.filter(F.col("method") == m)).withColumn("method", F.lit(m)) for (m,) in every.select("method").distinct().collect()]
+    if wanted and not by_tree:
+        edges.append(duplicates.short_edges(items, KEY, embedding, wanted))
+    parts = []
+    if edges:
+        every = reduce(DataFrame.unionByName, edges)
+        if getattr(p, "duplicate_merge_near", True):
+            parts = [duplicates.merged_groups(every)]
+        else:
+            parts = [duplicates.merged_groups(every.filter(F.col("method") == m)).withColumn("method", F.lit(m)) for (m,) in every.select("method").distinct().collect()]
+        parts = [g.withColumn("first", F.col("group_id")) for g in parts]
+    if by_tree:
+        before = max((g.agg(F.max("group_id")).first()[0] for g in parts), default=None)
+        groups = _cluster_groups(items, embedding, wanted, p.duplicate_cluster_algorithm, p.duplicate_n_clusters)
+        groups = groups.select("key", (F.col("group_id") + F.lit(0 if before is None else before + 1)).alias("group_id"), F.col("group_id").alias("first"))
+        parts.append(groups if getattr(p, "duplicate_merge_near", True) else groups.withColumn("method", F.lit("cluster")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -147,7 +175,7 @@ def _duplicates(items: DataFrame, n: int, p: Any, prefix: str, title: str, out:
     groups = _near_groups(items, p, getattr(p, "embedding", None))
     if groups is not None:
         out.tables[f"{prefix}near_duplicates"] = groups
-        more = groups.filter(F.col("key") != F.col("group_id")).select(F.col("key").alias(KEY)).distinct()
+        more = groups.filter(F.col("key") != F.col("first")).select(F.col("key").alias(KEY)).distinct()
         near = more.count()
         copies = copies.union(more).distinct()
     if exact or near:
@@ -163,8 +191,8 @@ def cleaning(sources: dict[str, SourceFrames], p: c.Cleaning, out: Result) -> No
     n = items.count()
     issues = quality.outlier_issues(items, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
     if p.outlier_cluster_threshold:
-        far = quality.cluster_outliers(items, KEY, p.embedding, p.outlier_n_clusters, p.outlier_cluster_threshold, algorithm=p.outlier_cluster_algorithm)
-        issues = issues.unionByName(far.drop("cluster_id")).dropDuplicates([KEY, "metric_name"])
+        far = _cluster_distances(items, p.embedding, p.outlier_cluster_algorithm, p.outlier_n_clusters).filter(F.col("deviations") > p.outlier_cluster_threshold)
+        issues = issues.unionByName(far.select(KEY, F.lit("cluster_distance").alias("metric_name"), "metric_value")).dropDuplicates([KEY, "metric_name"])
     out.tables |= {"outliers": issues, "outlier_summary": quality.summary_by_metric(issues, [KEY])}
     flagged = issues.select(KEY).distinct()
     count = flagged.count()
@@ -508,6 +536,8 @@ def prioritization(sources: dict[str, SourceFrames], p: c.Prioritization, out: R
     if p.method == "knn":
         k = p.k or max(1, round(size**0.5))
         scores = neighbors.mean_distance(neighbors.knn(pool, reference, KEY, p.embedding, k, exclude_self=False), KEY)
+    elif p.method.startswith("hdbscan"):
+        scores = density.hdbscan_scores(pool, reference, KEY, p.embedding, p.method, p.min_cluster_size)
     else:
         scores = neighbors.kmeans_scores(pool, reference, KEY, p.embedding, p.c or max(2, round(size**0.5)), p.method)
     if p.policy == "class_balanced":
@@ -547,21 +577,29 @@ def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
         for m in p.outlier_method:
             parts.append(quality.outlier_sweep(items, [KEY], p.metrics, [m], [CUTOFFS[m]]).select(F.lit("outliers").alias("kind"), "method", F.lit(None).cast("double").alias("threshold"), F.col("outlier_count").alias("n")))
     if p.embedding and p.outlier_cluster_threshold:
-        for algorithm in p.outlier_cluster_algorithm:
-            far = quality.cluster_distances(items, KEY, p.embedding, p.outlier_n_clusters, algorithm=algorithm).checkpoint()
+        for algorithm in p.outlier_cluster_algorithm:  # clusters once for each
+            far = _cluster_distances(items, p.embedding, algorithm, p.outlier_n_clusters).checkpoint()
+            algorithm = _algorithm(algorithm, p.outlier_n_clusters)
             for t in p.outlier_cluster_threshold:
                 parts.append(far.filter(F.col("deviations") > t).agg(F.count("*").alias("n")).select(F.lit("cluster_outliers").alias("kind"), F.lit(algorithm).alias("method"), F.lit(float(t)).alias("threshold"), "n"))
     signatures = {x: x for x in p.near_signatures}
     if p.content:
         parts.append(quality.flagged_copies(items, KEY, p.content).agg(F.count("*").alias("n")).select(F.lit("exact_duplicates").alias("kind"), F.lit("content").alias("method"), F.lit(None).cast("double").alias("threshold"), "n"))
-    for sensitivity in p.duplicate_cluster_sensitivity if p.embedding else [None] if signatures else []:
-        edges = [duplicates.signature_edges(items, KEY, signatures)] if signatures else []
-        edges += [duplicates.short_edges(items, KEY, p.embedding, sensitivity)] if sensitivity else []
-        every = reduce(DataFrame.unionByName, edges).checkpoint()
+    signed = [duplicates.signature_edges(items, KEY, signatures)] if signatures else []
+    wanted = [(t, a) for t in p.duplicate_cluster_sensitivity for a in p.duplicate_cluster_algorithm] if p.embedding else []
+    for sensitivity, name in wanted or ([(None, "neighbors")] if signatures else []):
+        edges = signed + ([duplicates.short_edges(items, KEY, p.embedding, sensitivity)] if sensitivity and name == "neighbors" else [])
+        every = reduce(DataFrame.unionByName, edges).checkpoint() if edges else None
+        more = None
+        if name != "neighbors":
+            groups = _cluster_groups(items, p.embedding, sensitivity, name, p.duplicate_n_clusters).checkpoint()
+            more, name = groups.filter("key <> group_id").select("key"), _algorithm(name, p.duplicate_n_clusters)
         for merge in p.duplicate_merge_near:
-            chosen = [every] if merge else [every.filter(F.col("method") == m) for (m,) in every.select("method").distinct().collect()]
-            n = sum(duplicates.merged_groups(e).filter("key <> group_id").count() for e in chosen)
-            parts.append(items.sparkSession.createDataFrame([("near_duplicates", "merged" if merge else "by method", sensitivity, n)], "kind string, method string, threshold double, n long"))
+            chosen = [] if every is None else [every] if merge else [every.filter(F.col("method") == m) for (m,) in every.select("method").distinct().collect()]
+            found = [duplicates.merged_groups(e).filter("key <> group_id").select("key") for e in chosen] + ([more] if more is not None else [])
+            n = reduce(DataFrame.union, found).distinct().count() if merge else sum(f.count() for f in found)
+            method = "merged" if merge else "by method"
+            parts.append(items.sparkSession.createDataFrame([("near_duplicates", method if name in ("neighbors", _algorithm(None, p.duplicate_n_clusters)) else f"{method}, {name}", sensitivity, n)], "kind string, method string, threshold double, n long"))
     counts = reduce(DataFrame.unionByName, parts).checkpoint()
     out.tables["results"] = counts
     out.findings.append(Finding("Sweep", "ok", "table", _rows(counts.orderBy("kind", "method", "threshold"))))

@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that SQL can't state; each is checked against its own definition below.
-UNSTATED = {"drift_mmd", "divergence_mst", "cluster_outliers", "domain_classifier_drift", "ood_domain_classifier", "prioritize_kmeans", "balance_adjusted"}
+UNSTATED = {"drift_mmd", "divergence_mst", "cluster_outliers", "domain_classifier_drift", "ood_domain_classifier", "prioritize_kmeans", "balance_adjusted",
+            "hdbscan_clusters", "cluster_outliers_hdbscan", "cluster_duplicates", "prioritize_hdbscan"}  # these in tests/test_density.py
 
 
 @pytest.fixture(scope="module")
