@@ -237,10 +237,31 @@ class Sweep(Base):
 Workflow = Cleaning | Analysis | Coverage | Splitting | Drift | Ood | Prioritization | Sweep
 
 
+class Step(Strict):
+    step: str
+    params: dict[str, Any] = Field(default_factory=dict)
+
+
+class Preprocessor(Strict):
+    name: str
+    steps: list[Step]
+
+
+class Extractor(Strict):
+    """Makes the column ``embedding`` of decoded images; a vocabulary is fitted on a task's first source."""
+
+    name: str
+    model: Literal["flatten", "bovw"]
+    preprocessor: str | None = None
+    vocab_size: int = Field(2048, ge=256, le=4096)
+    seed: int = 0
+
+
 class Task(Strict):
     name: str
     workflow: str
     sources: str | list[str]
+    extractor: str | None = None
     metadata: str | None = None
     enabled: bool = True
 
@@ -252,6 +273,8 @@ class Task(Strict):
 class Pipeline(Strict):
     seed: int | None = None
     datasets: list[Dataset] = Field(default_factory=list)
+    preprocessors: list[Preprocessor] = Field(default_factory=list)
+    extractors: list[Extractor] = Field(default_factory=list)
     views: list[View] = Field(default_factory=list)
     sources: list[Source] = Field(default_factory=list)
     metadata: list[MetadataPolicy] = Field(default_factory=list)
@@ -260,7 +283,7 @@ class Pipeline(Strict):
 
     @model_validator(mode="after")
     def names_once(self) -> Pipeline:
-        for pool in ("datasets", "views", "sources", "metadata", "workflows", "tasks"):
+        for pool in ("datasets", "preprocessors", "extractors", "views", "sources", "metadata", "workflows", "tasks"):
             names = [x.name for x in getattr(self, pool)]
             if len(names) != len(set(names)):
                 raise ValueError(f"names in {pool} must be unique")

@@ -6,14 +6,14 @@ import hashlib
 from collections.abc import Sequence
 from functools import partial, reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.ordering import numbered, ranked, renumbered, shuffled
+from plumbline.operators.embedding import transformed
 from plumbline.operators.splitting import rebalanced
+from plumbline.sources.transforms import STEPS
 
 POSITION = "view_pos"
 MAX_INDICES = 1_000_000
@@ -79,25 +79,7 @@ def detection_crops(items: DataFrame, targets: DataFrame, item: str = "item_inde
 
 def pixels(df: DataFrame, step: str, **params) -> DataFrame:
     """The pixels (``image``) of every item after a step of the image transforms; other columns stay."""
-    from pyspark.sql.functions import pandas_udf
-
-    from plumbline.sources.images import STEPS
-
-    if "image" not in df.columns:
-        raise ValueError(f"{step} needs decoded items (dataset option decode)")
-
-    @pandas_udf("height int, width int, nChannels int, data binary")
-    def apply(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for height, width, channels, raw in zip(h, w, c, data):
-            if raw is None:
-                rows.append((None,) * 4)
-                continue
-            x = STEPS[step](np.frombuffer(raw, np.uint8).reshape(int(height), int(width), int(channels)), **params)
-            rows.append((*x.shape, np.ascontiguousarray(x).tobytes()))
-        return pd.DataFrame(rows, columns=["height", "width", "nChannels", "data"])
-
-    return df.withColumn("image", apply("image.height", "image.width", "image.nChannels", "image.data"))
+    return transformed(df, [{"type": step, "params": params}])
 
 
 def selection_key(df: DataFrame, key: str) -> str:
@@ -107,7 +89,7 @@ def selection_key(df: DataFrame, key: str) -> str:
     return f"sel:n={n}:{hashlib.sha256(f'{n},{a},{b}'.encode()).hexdigest()[:16]}"
 
 
-OPERATIONS = {"Limit": limit, "Indices": indices, "ClassFilter": class_filter, "ClassBalance": class_balance, "Shuffle": shuffle, "Reverse": reverse, "Relabel": relabel, **{step: partial(pixels, step=step) for step in ("Crop", "Resize", "SelectChannels", "ToRGB")}}
+OPERATIONS = {"Limit": limit, "Indices": indices, "ClassFilter": class_filter, "ClassBalance": class_balance, "Shuffle": shuffle, "Reverse": reverse, "Relabel": relabel, **{step: partial(pixels, step=step) for step in STEPS}}
 
 
 def build_view(df: DataFrame, operations: Sequence[dict], key: str, label: str = "class_label") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from plumbline import __version__
 from plumbline.functions.moments import CUTOFFS
-from plumbline.operators import density, duplicates, encoding, labels, neighbors, ontology, quality, shift, splitting
+from plumbline.operators import density, duplicates, embedding, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
 from plumbline.sources.cache import TableCache, lineage_key
@@ -587,19 +587,19 @@ def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
         parts.append(quality.flagged_copies(items, KEY, p.content).agg(F.count("*").alias("n")).select(F.lit("exact_duplicates").alias("kind"), F.lit("content").alias("method"), F.lit(None).cast("double").alias("threshold"), "n"))
     signed = [duplicates.signature_edges(items, KEY, signatures)] if signatures else []
     wanted = [(t, a) for t in p.duplicate_cluster_sensitivity for a in p.duplicate_cluster_algorithm] if p.embedding else []
-    for sensitivity, name in wanted or ([(None, "neighbors")] if signatures else []):
-        edges = signed + ([duplicates.short_edges(items, KEY, p.embedding, sensitivity)] if sensitivity and name == "neighbors" else [])
+    for sensitivity, asked in wanted or ([(None, None)] if signatures else []):
+        by_edges = sensitivity is not None and asked == "neighbors"
+        edges = signed + ([duplicates.short_edges(items, KEY, p.embedding, sensitivity)] if by_edges else [])
         every = reduce(DataFrame.unionByName, edges).checkpoint() if edges else None
         more = None
-        if name != "neighbors":
-            groups = _cluster_groups(items, p.embedding, sensitivity, name, p.duplicate_n_clusters).checkpoint()
-            more, name = groups.filter("key <> group_id").select("key"), _algorithm(name, p.duplicate_n_clusters)
+        if sensitivity is not None and not by_edges:
+            more = _cluster_groups(items, p.embedding, sensitivity, asked, p.duplicate_n_clusters).filter("key <> group_id").select("key").checkpoint()
         for merge in p.duplicate_merge_near:
             chosen = [] if every is None else [every] if merge else [every.filter(F.col("method") == m) for (m,) in every.select("method").distinct().collect()]
             found = [duplicates.merged_groups(e).filter("key <> group_id").select("key") for e in chosen] + ([more] if more is not None else [])
             n = reduce(DataFrame.union, found).distinct().count() if merge else sum(f.count() for f in found)
-            method = "merged" if merge else "by method"
-            parts.append(items.sparkSession.createDataFrame([("near_duplicates", method if name in ("neighbors", _algorithm(None, p.duplicate_n_clusters)) else f"{method}, {name}", sensitivity, n)], "kind string, method string, threshold double, n long"))
+            method = ("merged" if merge else "by method") + (f", {asked}" if asked else "")
+            parts.append(items.sparkSession.createDataFrame([("near_duplicates", method, sensitivity, n)], "kind string, method string, threshold double, n long"))
     counts = reduce(DataFrame.unionByName, parts).checkpoint()
     out.tables["results"] = counts
     out.findings.append(Finding("Sweep", "ok", "table", _rows(counts.orderBy("kind", "method", "threshold"))))
@@ -638,6 +638,21 @@ def with_image_stats(spark: SparkSession, frames: SourceFrames, cache: str | Non
     return frames
 
 
+def with_embeddings(sources: dict[str, SourceFrames], e: c.Extractor, config: c.Pipeline) -> None:
+    """Items with ``embedding`` of their pixels, after the extractor's preprocessing; all sources share a vocabulary."""
+    steps = [s.model_dump() for s in config.get("preprocessors", e.preprocessor).steps] if e.preprocessor else []
+    words = None
+    for frames in sources.values():
+        items = frames.items
+        if "image" not in items.columns:
+            raise ValueError(f"extractor {e.name!r} needs decoded items (dataset option decode)")
+        ready = embedding.transformed(items, steps) if steps else items
+        if e.model == "bovw" and words is None:
+            words = embedding.vocabulary(ready, e.vocab_size, seed=e.seed)
+        made = embedding.flattened(ready) if e.model == "flatten" else embedding.bag_of_words(ready, words, e.vocab_size)
+        frames.items = made.drop("image").checkpoint()
+
+
 def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frames_of: dict[str, SourceFrames] | None = None, cache: str | None = None) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
     """The task's sources and the policy that they share: fitted on the reference split (else each source's own; then the
     first one's is returned)."""
@@ -655,6 +670,8 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
         if source.view:
             frames.items = build_view(frames.items, config.get("views", source.view).operations, KEY)
         out[name] = frames
+    if task.extractor:
+        with_embeddings(out, config.get("extractors", task.extractor), config)
     if policy:
         first = policy.reference_split or task.names[0]
         shared = policy_of(policy, out[first].items, root)

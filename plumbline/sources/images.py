@@ -114,57 +114,3 @@ def xxh64(data: bytes) -> str:
     import xxhash
 
     return xxhash.xxh64_hexdigest(data)
-
-
-IMAGE = "path string, height int, width int, channels int, data binary"
-
-
-def to_rgb(x: np.ndarray) -> np.ndarray:
-    """One channel is repeated, a fourth dropped."""
-    return np.repeat(x, 3, axis=2) if x.shape[2] == 1 else x[:, :, :3]
-
-
-def resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Nearest neighbour."""
-    rows, cols = (np.minimum((np.arange(n) + 0.5) * m / n, m - 1).astype(int) for n, m in ((height, x.shape[0]), (width, x.shape[1])))
-    return x[rows][:, cols]
-
-
-def crop(x: np.ndarray, top: int, left: int, height: int, width: int) -> np.ndarray:
-    return x[top : top + height, left : left + width]
-
-
-def select_channels(x: np.ndarray, channels: list[int]) -> np.ndarray:
-    return x[:, :, channels]
-
-
-STEPS = {"ToRGB": to_rgb, "Resize": resize, "Crop": crop, "SelectChannels": select_channels}
-
-
-def transformed(images: DataFrame, steps: list[dict]) -> DataFrame:
-    """Rows of the image source after ``[{type, params}]`` in order, channels red, green, blue."""
-    for s in steps:
-        if s["type"] not in STEPS:
-            raise ValueError(f"unknown step {s['type']!r}; one of {sorted(STEPS)}")
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for origin, h, w, c, data in part.itertuples(index=False):
-                x = np.frombuffer(data, np.uint8).reshape(h, w, c)
-                x = x[:, :, [2, 1, 0, *range(3, c)]] if c >= 3 else x
-                for s in steps:
-                    x = STEPS[s["type"]](x, **s.get("params", {}))
-                rows.append((origin, *x.shape, np.ascontiguousarray(x).tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "channels", "data"])
-
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, IMAGE)
-
-
-def flattened(images: DataFrame) -> DataFrame:
-    """``path, embedding``: pixels in rows, scaled to [0, 1] (the flatten extractor)."""
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"path": part["path"], "embedding": [(np.frombuffer(d, np.uint8) / 255).astype(np.float32) for d in part["data"]]})
-
-    return images.select("path", "data").mapInPandas(run, "path string, embedding array<float>")
