@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.ordering import numbered
 from plumbline.functions.quantiles import exact_quantiles
-from plumbline.operators.neighbors import BLOCK, _blocks, meetings, squared_distances
+from plumbline.operators.boosting import auroc, out_of_fold
+from plumbline.operators.neighbors import BLOCK, _blocks, knn, mean_distance, meetings, squared_distances
 
 
 def melted(reference: DataFrame, test: DataFrame, vector: str, *keep: str) -> DataFrame:
@@ -44,10 +45,15 @@ def pooled(long: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "v", "r", "t", (F.col("cr") + F.col("br")).alias("cr"), (F.col("ct") + F.col("bt")).alias("ct"), "m", "n")
 
 
-def ks(long: DataFrame, by: list[str]) -> DataFrame:
-    """``by, statistic, p_val``: Kolmogorov-Smirnov, asymptotic p."""
-    out = pooled(long, by).groupBy(*by).agg(F.max(F.abs(F.col("cr") / F.col("m") - F.col("ct") / F.col("n"))).alias("statistic"), F.first("m").alias("m"), F.first("n").alias("n"))
+def ks(long: DataFrame, by: list[str], alternative: str = "two-sided") -> DataFrame:
+    """``by, statistic, p_val``: Kolmogorov-Smirnov, asymptotic p. One-sided: ``greater`` if the reference's distribution
+    function lies above the test's (its values are smaller), ``less`` if below."""
+    gap = F.col("cr") / F.col("m") - F.col("ct") / F.col("n")
+    over = {"two-sided": F.abs(gap), "greater": gap, "less": -gap}[alternative]
+    out = pooled(long, by).groupBy(*by).agg(F.greatest(F.max(over), F.lit(0.0)).alias("statistic"), F.first("m").alias("m"), F.first("n").alias("n"))
     lam = F.col("statistic") * F.sqrt(F.col("m") * F.col("n") / (F.col("m") + F.col("n")))
+    if alternative != "two-sided":
+        return out.withColumn("p_val", F.exp(-2.0 * lam * lam))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, j: t + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam * lam))
     return out.withColumn("p_val", F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))))
 
@@ -89,8 +95,9 @@ def cvm(long: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("statistic", F.col("s") * F.col("m") * F.col("n") / F.pow(F.col("m") + F.col("n"), 2)).drop("s").withColumn("p_val", F.expr(cvm_p("statistic")))
 
 
-def mwu(long: DataFrame, by: list[str]) -> DataFrame:
-    """Mann-Whitney U of the test side, z with tie correction, two-sided normal p."""
+def mwu(long: DataFrame, by: list[str], alternative: str = "two-sided") -> DataFrame:
+    """Mann-Whitney U of the test side, z with tie correction, normal p. One-sided: ``less`` if the reference's values are
+    smaller, ``greater`` if they are larger."""
     p = pooled(long, by)
     u = F.sum(F.col("t") * (F.col("cr") - F.col("r") + F.col("r") / 2.0))
     ties = F.sum(F.pow(F.col("r") + F.col("t"), 3) - (F.col("r") + F.col("t")))
@@ -98,7 +105,11 @@ def mwu(long: DataFrame, by: list[str]) -> DataFrame:
     total = F.col("m") + F.col("n")
     sigma = F.sqrt(F.col("m") * F.col("n") / 12.0 * (total + 1 - F.col("ties") / (total * (total - 1))))
     z = F.when(sigma > 0, (F.col("statistic") - F.col("m") * F.col("n") / 2.0) / sigma).otherwise(F.lit(0.0))
-    return out.withColumn("z", z).withColumn("p_val", F.expr(normal_p("z"))).drop("ties")
+    out = out.withColumn("z", z).withColumn("p_val", F.expr(normal_p("z"))).drop("ties")
+    if alternative == "two-sided":
+        return out
+    found = F.col("z") > 0 if alternative == "less" else F.col("z") < 0
+    return out.withColumn("p_val", F.when(found, F.col("p_val") / 2).otherwise(1 - F.col("p_val") / 2))
 
 
 def anderson(long: DataFrame, by: list[str]) -> DataFrame:
@@ -132,18 +143,37 @@ def bws(long: DataFrame, by: list[str]) -> DataFrame:
 TESTS = {"ks": ks, "cvm": cvm, "mwu": mwu, "anderson": anderson, "bws": bws}
 
 
-def corrected(tests: DataFrame, p_val: float = 0.05, correction: str = "bonferroni") -> DataFrame:
-    """Adds ``drifted`` a feature: bonferroni compares with p over the features, fdr by Benjamini and Hochberg's step."""
+#: Tests that have one-sided forms.
+ONE_SIDED = ("ks", "mwu")
+
+
+def univariate(long: DataFrame, by: list[str], test: str = "ks", alternative: str = "two-sided") -> DataFrame:
+    """A test by name in each group."""
+    if test not in TESTS:
+        raise ValueError(f"unknown test {test!r}; one of {sorted(TESTS)}")
+    if alternative == "two-sided":
+        return TESTS[test](long, by)
+    if alternative not in ("less", "greater"):
+        raise ValueError(f"unknown alternative {alternative!r}; one of two-sided, less, greater")
+    if test not in ONE_SIDED:
+        raise ValueError(f"{test} has no one-sided form; {', '.join(ONE_SIDED)} have")
+    return TESTS[test](long, by, alternative)
+
+
+def corrected(tests: DataFrame, p_val: float = 0.05, correction: str = "bonferroni", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``drifted`` a feature, in each group of ``by``: bonferroni compares with p over the features, fdr by Benjamini
+    and Hochberg's step."""
     if "p_val" not in tests.columns:
         raise ValueError("a test without p-values can't say whether anything drifted")
-    d = F.count("*").over(Window.partitionBy())
+    whole = Window.partitionBy(*by)
+    d = F.count("*").over(whole)
     if correction == "bonferroni":
         return tests.withColumn("drifted", F.col("p_val") < p_val / d)
     if correction != "fdr":
         raise ValueError(f"unknown correction {correction!r}")
-    rank = F.row_number().over(Window.orderBy("p_val"))
+    rank = F.row_number().over(whole.orderBy("p_val"))
     passed = tests.withColumn("rank", rank).withColumn("ok", F.when(F.col("p_val") <= p_val * rank / d, F.col("rank")))
-    return passed.withColumn("drifted", F.col("rank") <= F.coalesce(F.max("ok").over(Window.partitionBy()), F.lit(0))).drop("rank", "ok")
+    return passed.withColumn("drifted", F.col("rank") <= F.coalesce(F.max("ok").over(whole), F.lit(0))).drop("rank", "ok")
 
 
 def mmd2(x: np.ndarray, y: np.ndarray, permutations: int = 0, seed: int = 1, block: int = 1024) -> tuple[float, float]:
@@ -288,32 +318,133 @@ def classwise(reference: DataFrame, test: DataFrame, label: str, value: str, met
     return TESTS[method](part(reference, 0).union(part(test, 1)), ["class_name"]).filter((F.col("m") >= least) & (F.col("n") >= least))
 
 
-def shift_by_chunk(reference: DataFrame, df: DataFrame, vector: str, size: int | None = None, count: int | None = None, order: str = "item_index") -> DataFrame:
-    """``chunk, value``: how far each chunk's means lie from the reference's, in its standard deviations, on average over
-    the features (our choice of a chunk's statistic)."""
-    long = lambda rows, *keep: rows.filter(F.col(vector).isNotNull()).select(*keep, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"))
-    usual = long(reference).groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    means = long(chunks(df, order, size, count), "chunk").groupBy("chunk", "dim").agg(F.avg("v").alias("v"))
-    off = F.when(F.col("std") > 0, F.abs(F.col("v") - F.col("mean")) / F.col("std")).otherwise(F.when(F.col("v") == F.col("mean"), 0.0).otherwise(F.lit(float("inf"))))
-    return means.join(F.broadcast(usual), "dim").groupBy("chunk").agg(F.avg(off).alias("value"))
-
+def in_chunks(reference: DataFrame, test: DataFrame, vector: str, order: str, size: int | None = None, count: int | None = None, incomplete: str = "keep") -> DataFrame:
+    """The rows of both sides that lie in a chunk: ``chunk`` (the test's from 0 on, the reference's from -1 down),
+    ``position`` (in its side, from 0), ``order``, ``vector``."""
+    sides = []
+    for df, sign in ((reference, -1), (test, 1)):
+        rows = df.filter(F.col(vector).isNotNull() & F.col(order).isNotNull()).select(order, F.col(vector).cast("array<double>").alias(vector))
+        placed = numbered(chunks(rows, order, size, count, incomplete), order, order, "position").withColumn("position", F.col("position") - 1)
+        sides.append(placed.withColumn("chunk", F.col("chunk") if sign > 0 else -1 - F.col("chunk")))
+    return sides[0].unionByName(sides[1])
+
+
+def chunk_spans(rows: DataFrame) -> DataFrame:
+    """``chunk, start_index, end_index`` (the first row and the one behind the last)."""
+    return rows.groupBy("chunk").agg(F.min("position").alias("start_index"), (F.max("position") + 1).alias("end_index"))
+
+
+def univariate_chunks(reference: DataFrame, rows: DataFrame, vector: str, test: str = "ks") -> DataFrame:
+    """``chunk, value``: a chunk's test statistic against the whole reference (of mwu the size of z), on average over the
+    features. ks and mwu need of the reference only how many of its values lie below each value of a chunk: its values are
+    ranked once for all chunks. The others weigh every value of the reference by the chunk's: it is met by each."""
+    long = lambda df, *keep: df.filter(F.col(vector).isNotNull()).select(*keep, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "v"))
+    if test not in ("ks", "mwu"):
+        each = rows.select("chunk").distinct()
+        both = long(reference).crossJoin(F.broadcast(each)).select("chunk", "dim", "v", F.lit(0).alias("is_test")).union(long(rows, "chunk").withColumn("is_test", F.lit(1)))
+        return univariate(both, ["chunk", "dim"], test).groupBy("chunk").agg(F.avg("statistic").alias("value"))
+    known = pooled(long(reference).withColumn("is_test", F.lit(0)).unionByName(long(rows).withColumn("is_test", F.lit(1))), ["dim"])
+    own = pooled(long(rows, "chunk").withColumn("is_test", F.lit(1)), ["chunk", "dim"]).select("chunk", "dim", "v", "t", "ct", F.col("n").alias("n"))
+    met = own.join(known.filter("t > 0").select("dim", "v", "r", "cr", "m"), ["dim", "v"])
+    if test == "ks":
+        after = F.abs(F.col("ct") / F.col("n") - F.col("cr") / F.col("m"))
+        before = F.abs((F.col("ct") - F.col("t")) / F.col("n") - (F.col("cr") - F.col("r")) / F.col("m"))
+        by_dim = met.groupBy("chunk", "dim").agg(F.max(F.greatest(after, before)).alias("s"))
+        return by_dim.groupBy("chunk").agg(F.avg("s").alias("value"))
+    cube = lambda c: c * c * c - c
+    tied = known.groupBy("dim").agg(F.sum(cube(F.col("r").cast("double"))).alias("ties"))
+    sums = met.groupBy("chunk", "dim").agg(F.sum(F.col("t") * (F.col("cr") - F.col("r") / 2.0)).alias("u"), F.sum(cube((F.col("r") + F.col("t")).cast("double")) - cube(F.col("r").cast("double"))).alias("more"), F.first("m").alias("m"), F.first("n").alias("n"))
+    total = F.col("m") + F.col("n")
+    sigma = F.sqrt(F.col("m") * F.col("n") / 12.0 * (total + 1 - (F.col("ties") + F.col("more")) / (total * (total - 1))))
+    z = F.when(sigma > 0, F.abs(F.col("u") - F.col("m") * F.col("n") / 2.0) / sigma).otherwise(F.lit(0.0))
+    return sums.join(tied, "dim").groupBy("chunk").agg(F.avg(z).alias("value"))
+
+
+def mmd_chunks(reference: DataFrame, rows: DataFrame, vector: str, block: int = BLOCK) -> DataFrame:
+    """``chunk, value``: unbiased MMD^2 of each chunk and the whole reference, of which the reference's chunks are parts. One
+    meeting of all blocks gives every chunk's kernel sums; the bandwidth is the median over all rows."""
+    if "chunk" not in rows.columns:
+        raise ValueError("rows without chunks")
+    # those of the reference that are in no chunk take part as reference: they have a chunk of their own
+    none = -(1 << 40)
+    kept = rows.filter("chunk < 0").select("position")
+    order = rows.columns[0]
+    rest = numbered(reference.filter(F.col(vector).isNotNull() & F.col(order).isNotNull()), order, order, "position").withColumn("position", F.col("position") - 1)
+    rest = rest.join(kept, "position", "left_anti").select(F.col("position"), F.col(vector).cast("array<double>").alias(vector), F.lit(none).alias("chunk"))
+    every = rows.select("position", vector, "chunk").unionByName(rest)
+    # a row's name: its place in its side
+    every = every.withColumn("name", F.when(F.col("chunk") < 0, -1 - F.col("position")).otherwise(F.col("position"))).checkpoint()
+    square = F.aggregate(F.col(vector), F.lit(0.0), lambda t, v: t + v * v)
+    n, longest = every.agg(F.count("*"), F.max(square)).first()
+    blocks, count = _blocks(every, "name", vector, block, "chunk")
+    met = meetings(blocks.checkpoint(), count).select("b", "x", "s", "b2", "x2", "s2")
+    sigma2 = (_median_distance(met, 4 * longest, n * (n - 1) // 2) if longest else 0.0) or 1.0
 
-def domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: str, folds: int = 5, threshold: float = 0.55, seed: int = 1) -> tuple[float, bool, DataFrame]:
-    """Cross-validated AUROC of a classifier (logistic regression) that tells test from reference, whether it is over the
-    threshold, and every row's out-of-fold probability of being test. Folds are hashes of the key."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    def by_chunk(values: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[int, float]]:
+        names, at = np.unique(chunk, return_inverse=True)
+        yield from zip(names.tolist(), np.bincount(at, values, len(names)).tolist())
 
-    part = lambda df, t: df.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.lit(float(t)).alias("label"))
-    data = part(reference, 0).union(part(test, 1)).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)))
-    scored = None
-    for fold in range(folds):
-        model = LogisticRegression(regParam=0.01, maxIter=50).fit(data.filter(F.col("fold") != fold))
-        out = model.transform(data.filter(F.col("fold") == fold)).select(key, "label", "rawPrediction", vector_to_array("probability")[1].alias("probability"))
-        scored = out if scored is None else scored.union(out)
-    auroc = BinaryClassificationEvaluator().evaluate(scored)
-    return auroc, auroc > threshold, scored.select(key, "label", "probability")
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, float] = {}
+        cross: dict[int, float] = {}
+        for batch in batches:
+            for i, s, j, s2, k in _met(batch):
+                k /= -2 * sigma2
+                np.exp(k, out=k)
+                if i == j:
+                    np.fill_diagonal(k, 0)
+                times = 1 + (i != j)
+                for c, v in by_chunk(k @ (s2 < 0).astype(float), s):
+                    cross[c] = cross.get(c, 0.0) + v
+                if i != j:
+                    for c, v in by_chunk((s < 0).astype(float) @ k, s2):
+                        cross[c] = cross.get(c, 0.0) + v
+                same = np.where(s[:, None] == s2[None, :], k, 0.0).sum(1)
+                for c, v in by_chunk(same, s):
+                    own[c] = own.get(c, 0.0) + times * v
+        names = sorted({*own, *cross})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([own.get(c, 0.0) for c in names], pa.float64()), pa.array([cross.get(c, 0.0) for c in names], pa.float64())], ["chunk", "own", "crossed"])
+
+    found = met.mapInArrow(sums, "chunk long, own double, crossed double").groupBy("chunk").agg(F.sum("own").alias("own"), F.sum("crossed").alias("crossed"))
+    sizes = every.groupBy("chunk").agg(F.count("*").alias("size")).join(found, "chunk", "left").checkpoint()
+    # all pairs of the reference: what its chunks have with it; a chunk of it meets its own rows, one of which is itself
+    m, inside = sizes.filter("chunk < 0").agg(F.sum("size"), F.sum("crossed")).first()
+    with_itself = F.when(F.col("chunk") < 0, F.col("size")).otherwise(0)
+    value = F.lit(inside / (m * (m - 1.0))) + F.col("own") / (F.col("size") * (F.col("size") - 1.0)) - 2 * (F.col("crossed") + with_itself) / (F.col("size") * float(m))
+    return sizes.filter((F.col("chunk") != none) & (F.col("size") > 1)).select("chunk", value.alias("value"))
+
+
+def knn_chunks(reference: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """``chunk, value``: the mean distance of a chunk's rows to their k nearest of the reference (themselves left out)."""
+    known = reference.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
+    out = None
+    for side, itself in ((rows.filter("chunk < 0"), True), (rows.filter("chunk >= 0"), False)):
+        near = mean_distance(knn(side.select(key, vector), known, key, vector, k, exclude_self=itself), key)
+        part = near.join(side.select(key, "chunk"), key).groupBy("chunk").agg(F.avg("score").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def classifier_chunks(scored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``chunk, value``: the AUROC at which the out-of-fold probabilities of ``domain_classifier`` tell a chunk's rows from
+    the whole reference."""
+    side = F.when(F.col("chunk") < 0, 0.0).otherwise(1.0)
+    tagged = rows.select(F.col(key).alias("k"), "chunk", side.alias("side"))
+    own = scored.join(tagged, (F.col(key) == F.col("k")) & (F.col("label") == F.col("side"))).select("chunk", F.array("probability").alias("p"))
+    known = scored.filter("label = 0").select(F.array("probability").alias("p"))
+    long = lambda df, *keep: df.select(*keep, F.posexplode("p").alias("dim", "v"))
+    ranks = pooled(long(known).withColumn("is_test", F.lit(0)).unionByName(long(own).withColumn("is_test", F.lit(1))), ["dim"]).filter("t > 0")
+    met = long(own, "chunk").groupBy("chunk", "v").agg(F.count("*").alias("t")).join(ranks.select("v", "r", "cr", "m"), "v")
+    return met.groupBy("chunk").agg((F.sum(F.col("t") * (F.col("cr") - F.col("r") / 2.0)) / F.sum(F.col("t") * F.col("m"))).alias("value"))
+
+
+def domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: str, folds: int = 5, threshold: float = 0.55, repeats: int = 1) -> tuple[float, bool, DataFrame]:
+    """Cross-validated AUROC of boosted trees that tell test from reference, whether it is over the threshold, and every
+    row's out-of-fold probability of being test (``label`` 1). Folds are hashes of the key; all are grown together."""
+    part = lambda df, t: df.select(key, vector, F.lit(t).alias("label"))
+    scored = out_of_fold(part(reference, 0).union(part(test, 1)), key, vector, "label", folds, repeats).checkpoint()
+    found = auroc(scored, "label", "probability")
+    return found, found > threshold, scored
 
 
 def factor_deviations(reference: DataFrame, flagged: DataFrame, key: str, factors: list[str]) -> DataFrame:
@@ -338,10 +469,6 @@ def factor_predictors(df: DataFrame, flag: str, factors: list[str], bins: int =
 def ood_domain_classifier(reference: DataFrame, test: DataFrame, key: str, vector: str, folds: int = 5, repeats: int = 5, n_std: float = 2.0) -> DataFrame:
     """``key, score, threshold, is_ood``: mean out-of-fold probability of being test over repeated folds, against mean +
     n_std * std of the reference's own."""
-    rounds = None
-    for seed in range(1, repeats + 1):
-        part = domain_classifier(reference, test, key, vector, folds, seed=seed)[2]
-        rounds = part if rounds is None else rounds.union(part)
-    mean = rounds.groupBy(key, "label").agg(F.avg("probability").alias("score"))
+    mean = domain_classifier(reference, test, key, vector, folds, repeats=repeats)[2].withColumnRenamed("probability", "score")
     limit = mean.filter("label = 0").agg((F.avg("score") + n_std * F.stddev_pop("score")).alias("threshold"))
     return mean.filter("label = 1").crossJoin(F.broadcast(limit)).select(key, "score", "threshold", (F.col("score") > F.col("threshold")).alias("is_ood"))

@@ -449,6 +449,51 @@ def drift_chunk_runs(spark, sf_dir):
     return quality.longest_run(_chunks(spark, sf_dir), "chunk", "drifted")
 
 
+def _event_chunks(spark, sf_dir):
+    """Even events are the reference, odd ones the test, in chunks of 500 each."""
+    events = table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.array("value").alias("x"))
+    reference, test = events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")
+    return reference, shift.in_chunks(reference, test, "x", "event_id", size=500).checkpoint()
+
+
+EVENT_CHUNKS = """g AS (SELECT value AS v, (row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1) // 500 AS c, event_id % 2 AS side FROM events WHERE value IS NOT NULL), h AS (SELECT v, CASE side WHEN 0 THEN -1 - c ELSE c END AS chunk FROM g),
+rv AS (SELECT v, count(*) AS r, sum(count(*)) OVER (ORDER BY v) AS cr, sum(count(*)) OVER () AS m FROM h WHERE chunk < 0 GROUP BY 1), o AS (SELECT chunk, v, count(*) AS t FROM h GROUP BY 1, 2),
+w AS (SELECT chunk, o.v, t, sum(t) OVER (PARTITION BY chunk ORDER BY o.v) AS ct, sum(t) OVER (PARTITION BY chunk) AS n, coalesce(rv.cr, 0) AS cr, CASE WHEN rv.v = o.v THEN rv.r ELSE 0 END AS r, (SELECT max(m) FROM rv) AS m FROM o ASOF LEFT JOIN rv ON o.v >= rv.v)"""
+
+
+@register(f"WITH {EVENT_CHUNKS} SELECT chunk, round(max(greatest(abs(ct / n - cr / m), abs((ct - t) / n - (cr - r) / m))), 6) AS value FROM w GROUP BY 1")
+def drift_chunks_ks(spark, sf_dir):
+    return shift.univariate_chunks(*_event_chunks(spark, sf_dir), "x", "ks").select("chunk", F.round("value", 6).alias("value"))
+
+
+@register(f"""WITH {EVENT_CHUNKS}, k AS (SELECT sum(power(r, 3) - r) AS ties FROM rv), u AS (SELECT chunk, sum(t * (cr - r / 2.0)) AS u, sum(power(r + t, 3) - (r + t) - power(r, 3) + r) AS more, max(m) AS m, max(n) AS n FROM w GROUP BY 1)
+SELECT chunk, round(abs(u - m * n / 2.0) / sqrt(m * n / 12.0 * (m + n + 1 - (ties + more) / ((m + n) * (m + n - 1)))), 6) AS value FROM u, k""")
+def drift_chunks_mwu(spark, sf_dir):
+    return shift.univariate_chunks(*_event_chunks(spark, sf_dir), "x", "mwu").select("chunk", F.round("value", 6).alias("value"))
+
+
+VECTOR_CHUNKS = f"""{EMB}, g AS (SELECT *, (row_number() OVER (PARTITION BY vec_id % 4 = 0 ORDER BY vec_id) - 1) // 25 AS c FROM e), h AS (SELECT vec_id, x, CASE WHEN vec_id % 4 = 0 THEN c ELSE -1 - c END AS chunk FROM g)"""
+
+
+def _vector_chunks(spark, sf_dir):
+    reference, test = _populations(spark, sf_dir)
+    return reference, shift.in_chunks(reference, test, "embedding", "vec_id", size=25).checkpoint()
+
+
+@register(f"""WITH {VECTOR_CHUNKS}, d AS (SELECT a.chunk, a.vec_id, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS k FROM h a JOIN h b ON b.chunk < 0 AND a.vec_id <> b.vec_id)
+SELECT chunk, round(avg(s), 6) AS value FROM (SELECT chunk, vec_id, avg(d) AS s FROM d WHERE k <= 10 GROUP BY 1, 2) GROUP BY 1""")
+def drift_chunks_knn(spark, sf_dir):
+    return shift.knn_chunks(*_vector_chunks(spark, sf_dir), "vec_id", "embedding").select("chunk", F.round("value", 6).alias("value"))
+
+
+@register(f"""WITH {VECTOR_CHUNKS}, d AS MATERIALIZED (SELECT a.chunk AS ca, b.chunk AS cb, a.vec_id AS i, b.vec_id AS j, power(list_distance(a.x, b.x), 2) AS d FROM h a JOIN h b ON true), s AS (SELECT quantile_cont(d, 0.5) AS s FROM d WHERE i < j),
+k AS (SELECT ca, cb, i, j, exp(-d / (2 * s)) AS k FROM d, s), n AS (SELECT chunk, count(*) AS n FROM h GROUP BY 1), m AS (SELECT count(*) AS m FROM h WHERE chunk < 0), rr AS (SELECT sum(k) / (max(m) * (max(m) - 1)) AS rr FROM k, m WHERE ca < 0 AND cb < 0 AND i <> j),
+own AS (SELECT ca AS chunk, sum(k) AS o FROM k WHERE ca = cb AND i <> j GROUP BY 1), crossed AS (SELECT ca AS chunk, sum(k) AS x FROM k WHERE cb < 0 GROUP BY 1)
+SELECT chunk, round(rr + coalesce(o, 0) / (n * (n - 1)) - 2 * x / (n * m), 5) AS value FROM n JOIN crossed USING (chunk) LEFT JOIN own USING (chunk), m, rr WHERE n > 1""")
+def drift_chunks_mmd(spark, sf_dir):
+    return shift.mmd_chunks(*_vector_chunks(spark, sf_dir), "embedding").select("chunk", F.round("value", 5).alias("value"))
+
+
 @register("""WITH c AS (SELECT event_type AS class_name, value AS v, sum((event_id % 3 <> 0)::INT) AS r, sum((event_id % 3 = 0)::INT) AS t FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT class_name, sum(r) OVER w AS cr, sum(t) OVER w AS ct, sum(r) OVER (PARTITION BY class_name) AS m, sum(t) OVER (PARTITION BY class_name) AS n FROM c WINDOW w AS (PARTITION BY class_name ORDER BY v))
 SELECT class_name, round(max(abs(cr / m - ct / n)), 6) AS statistic, CAST(max(m) AS BIGINT) AS m, CAST(max(n) AS BIGINT) AS n FROM p WHERE m >= 2 AND n >= 2 GROUP BY 1""")
@@ -469,7 +514,7 @@ def drift_knn(spark, sf_dir):
 @register()
 def drift_mmd(spark, sf_dir):
     reference, test = _populations(spark, sf_dir)
-    return shift.drift_mmd(reference, test, "vec_id", "embedding", permutations=50)
+    return shift.drift_mmd(reference, test, "vec_id", "embedding")
 
 
 @register(f"""WITH {KNN}, m AS (SELECT count(*) FILTER (vec_id % 4 <> 0) AS m, count(*) FILTER (vec_id % 4 = 0) AS n FROM e), c AS (SELECT count(*) FILTER ((vec_id % 4 = 0) <> (neighbor % 4 = 0)) AS crossing FROM k WHERE rank = 1)
@@ -582,7 +627,7 @@ def prioritize_hdbscan(spark, sf_dir):
 
 @register()
 def domain_classifier_drift(spark, sf_dir):
-    auroc, drifted, _ = shift.domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding", folds=3)
+    auroc, drifted, _ = shift.domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding")
     return spark.createDataFrame([(auroc, drifted)], "auroc double, drifted boolean")
 
 
@@ -634,7 +679,7 @@ def cluster_duplicate_edges(spark, sf_dir):
 
 @register()
 def ood_domain_classifier(spark, sf_dir):
-    return shift.ood_domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding", folds=2, repeats=1)
+    return shift.ood_domain_classifier(*_populations(spark, sf_dir), "vec_id", "embedding")
 
 
 @register()

@@ -18,7 +18,6 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline import __version__
 from plumbline.functions.moments import CUTOFFS
@@ -403,10 +402,11 @@ def detect_drift(reference: DataFrame, test: DataFrame, d: dict, vector: str) ->
     """A detector's table, whether it sees drift, and what the finding says."""
     method, level = d.get("method", "univariate"), d.get("p_val", 0.05)
     if method == "univariate":
-        name = d.get("test", "ks")
-        if name not in shift.TESTS:
-            raise ValueError(f"unknown test {name!r}; one of {sorted(shift.TESTS)}")
-        found = shift.corrected(shift.TESTS[name](shift.melted(reference, test, vector), ["dim"]), level, d.get("correction", "bonferroni")).checkpoint()
+        tests = shift.univariate(shift.melted(reference, test, vector), ["dim"], d.get("test", "ks"), d.get("alternative", "two-sided"))
+        found = shift.corrected(tests, level, d.get("correction", "bonferroni")).checkpoint()
+        features = found.count()
+        if d.get("n_features") not in (None, features):
+            raise ValueError(f"expected {d['n_features']} features, found {features}")
         count = found.filter("drifted").count()
         return found, count > 0, {"drifted_features": count, "min_p": found.agg(F.min("p_val")).first()[0]}
     if method == "mmd":
@@ -434,17 +434,28 @@ def drift(sources: dict[str, SourceFrames], p: c.Drift, out: Result) -> None:
             out.tables[name] = found
             out.findings.append(Finding(f"Drift: {name}", ("warning" if p.drift_warning else "info") if drifted else "ok", "key_value", {"drifted": bool(drifted), **said}))
             if d.get("chunking"):
-                _drift_chunks(reference, test, name, d["chunking"], p, out)
+                _drift_chunks(reference, test, name, d, found, p, out)
             if d.get("classwise"):
                 _drift_classes(reference, test, name, d, p, out)
         except Exception as e:  # a failing detector doesn't fail the task
             out.errors.append(f"{name}: {e}")
 
 
-def _drift_chunks(reference: DataFrame, test: DataFrame, name: str, spec: dict, p: c.Drift, out: Result) -> None:
-    size, count = spec.get("chunk_size"), spec.get("chunk_count")
-    known = shift.shift_by_chunk(reference, reference, p.embedding, size, count, KEY)
-    found = shift.chunk_drift(known, shift.shift_by_chunk(reference, test, p.embedding, size, count, KEY), spec.get("threshold_multiplier", 3.0)).checkpoint()
+def _drift_chunks(reference: DataFrame, test: DataFrame, name: str, d: dict, scored: DataFrame, p: c.Drift, out: Result) -> None:
+    """The detector's own statistic of each chunk, against a band around those of the reference's chunks."""
+    spec, method = d["chunking"], d.get("method", "univariate")
+    rows = shift.in_chunks(reference, test, p.embedding, KEY, spec.get("chunk_size"), spec.get("chunk_count"), spec.get("incomplete", "keep")).checkpoint()
+    if method == "univariate":
+        values = shift.univariate_chunks(reference, rows, p.embedding, d.get("test", "ks"))
+    elif method == "mmd":
+        values = shift.mmd_chunks(reference, rows, p.embedding)
+    elif method == "knn":
+        values = shift.knn_chunks(reference, rows, KEY, p.embedding, d.get("k", 10))
+    else:  # what detect_drift has scored
+        values = shift.classifier_chunks(scored, rows, KEY)
+    values = values.checkpoint()
+    found = shift.chunk_drift(values.filter("chunk < 0"), values.filter("chunk >= 0"), spec.get("threshold_multiplier", 3.0)).join(shift.chunk_spans(rows), "chunk")
+    found = found.withColumn("key", F.concat(F.lit("["), "start_index", F.lit(":"), "end_index", F.lit("]"))).checkpoint()
     out.tables[f"{name}.chunks"] = found
     row = quality.longest_run(found, "chunk", "drifted").first()
     share, run = (row.pct_drifted or 0.0, row.longest_run) if row else (0.0, 0)
@@ -465,9 +476,8 @@ def _drift_classes(reference: DataFrame, test: DataFrame, name: str, d: dict, p:
     drifted: dict[str, bool] = {}
     if d.get("method", "univariate") == "univariate" and able:
         long = shift.melted(reference, test, p.embedding, LABEL).filter(F.col(LABEL).isin(able))
-        found = shift.TESTS[d.get("test", "ks")](long, [LABEL, "dim"])
-        dims = F.count("*").over(Window.partitionBy(LABEL))
-        found = found.withColumn("drifted", F.col("p_val") < d.get("p_val", 0.05) / dims).checkpoint()
+        found = shift.univariate(long, [LABEL, "dim"], d.get("test", "ks"), d.get("alternative", "two-sided"))
+        found = shift.corrected(found, d.get("p_val", 0.05), d.get("correction", "bonferroni"), (LABEL,)).checkpoint()
         out.tables[f"{name}.classwise"] = found
         drifted = {str(r[0]): r[1] for r in found.groupBy(LABEL).agg(F.max("drifted")).collect()}
     else:

@@ -88,14 +88,14 @@ def test_domain_classifiers(spark, sf_dir, vectors):
     """AUROC and thresholds from the out-of-fold probabilities, which only rows of other folds gave."""
     ids, _ = vectors
     reference, test = catalog._populations(spark, sf_dir)
-    auroc, _, scored = shift.domain_classifier(reference, test, "vec_id", "embedding", folds=3)
+    auroc, _, scored = shift.domain_classifier(reference, test, "vec_id", "embedding")
     rows = scored.collect()
     p, y = np.array([r.probability for r in rows]), np.array([r.label for r in rows]) == 1
     assert sorted(r.vec_id for r in rows) == ids.tolist() and (y == (np.array([r.vec_id for r in rows]) % 4 == 0)).all()
     pairs = (p[y][:, None] > p[~y][None, :]).mean() + (p[y][:, None] == p[~y][None, :]).mean() / 2
     row = catalog.QUERIES["domain_classifier_drift"](spark, sf_dir).first()
     assert row.auroc == pytest.approx(auroc) == pytest.approx(pairs, abs=1e-6) and row.drifted == (row.auroc > 0.55)
-    two = {r.vec_id: (r.label, r.probability) for r in shift.domain_classifier(reference, test, "vec_id", "embedding", folds=2, seed=1)[2].collect()}
+    two = {r.vec_id: (r.label, r.probability) for r in shift.domain_classifier(reference, test, "vec_id", "embedding", folds=5, repeats=5)[2].collect()}
     own = np.array([q for label, q in two.values() if label == 0])
     found = catalog.QUERIES["ood_domain_classifier"](spark, sf_dir).collect()
     assert {r.vec_id for r in found} == {k for k, (label, _) in two.items() if label == 1}
