@@ -3,8 +3,9 @@
 A forgiving tokenizer builds a tree of block elements. As the published readability heuristics have it, paragraphs pass
 points for their length and commas to their ancestors (each gets half of what the one below it got), a container's points
 are discounted by its link density, and the best container is kept with those siblings that read like part of the same
-article. Markup that never is article text, and boxes whose names say that they are menus,
-adverts, notices or comments, are left out before scoring.
+article. Markup that never is article text is left out before scoring. So are boxes whose names say nothing but that they
+are menus, adverts, notices or comments, unless they hold the article, or all there is; a name that says more (a
+layout that has a sidebar, the price of a share) only halves a box's points.
 
 Defined results: null, empty or tag-only pages give "". White space inside a block becomes one space; blocks are joined
 in page order by one line end. Nothing is capped.
@@ -38,6 +39,10 @@ UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side header masthead footer foot notice notices cookie cookies consent gdpr alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social related recommended widget widgets toolbar pagination pager copyright disclaimer skip search complementary contentinfo legal".split()
 )
 LIKELY = frozenset("article content main body post entry story text".split())
+# Words of names that say where or how a box is, those of boxes around everything, and those that turn a word.
+NEUTRAL = frozenset("area bar bars block blocks body bottom box boxes btn button buttons card center col column container content desktop entry fixed form global group head heading holder icon icons inner item items left line link links list main message mobile module outer pane panel post posts primary region right row secondary section site slot small stories sticky story text thread title top unit wrap wrapper zone".split())
+WRAPPERS = frozenset("app container layout page root site wrap wrapper".split())
+TURNED = frozenset("has have with without no not is in".split())
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
@@ -51,32 +56,41 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "points", "scored", "order", "size", "linked")
+    __slots__ = ("tag", "names", "parent", "parts", "points", "scored", "order", "size", "linked", "raw", "doubt")
 
     def __init__(self, tag: str, names: frozenset[str], parent: Node | None):
         self.tag, self.names, self.parent, self.parts, self.points, self.scored = tag, names, parent, [], 0.0, False
-        self.size = self.linked = 0
+        self.size = self.linked = self.doubt = 0
+        self.raw = 0.0
 
 
-def _names(attributes: str) -> tuple[frozenset[str], bool]:
-    """The words in class, id and role, and whether the element is hidden."""
+#: How far an element's names tell against it.
+DOUBTED, NAMED = 1, 2
+
+
+def _names(attributes: str) -> tuple[frozenset[str], bool, int]:
+    """The words in class, id and role, whether the element is hidden, and what its names say."""
     words: set[str] = set()
-    hidden = False
+    hidden, doubt, around = False, 0, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in NAME_PARTS.findall(unescape(value)))
+            for token in unescape(value).split():
+                parts = [w.lower() for w in NAME_PARTS.findall(token)]
+                words.update(parts)
+                around |= bool(parts) and WRAPPERS.issuperset(parts)
+                if not (UNLIKELY | COMMENTS).isdisjoint(parts):
+                    more = [w for w in parts if len(w) > 1 and w not in UNLIKELY and w not in COMMENTS and w not in NEUTRAL]
+                    doubt = max(doubt, DOUBTED if more or parts[0] in TURNED else NAMED)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
             hidden = True
-    return frozenset(words), hidden
+    if words & LIKELY and not words & COMMENTS:
+        doubt = 0
+    return frozenset(words), hidden, min(doubt, DOUBTED) if around else doubt
 
 
-def _left_out(tag: str, names: frozenset[str], in_article: bool) -> bool:
-    if tag in SKIPPED or names & COMMENTS:
-        return True
-    if tag == "header" and not in_article:
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(names & UNLIKELY) and not names & LIKELY
+def _left_out(tag: str, in_article: bool) -> bool:
+    return tag in SKIPPED or (tag == "header" and not in_article)
 
 
 def tree(page: str) -> Node:
@@ -157,8 +171,8 @@ def tree(page: str) -> Node:
             continue
         if tag not in BLOCKS:
             if attributes and ("hidden" in attributes or "class" in attributes or "id" in attributes or "style" in attributes or "role" in attributes):
-                names, hidden = _names(attributes)
-                if hidden or (names & COMMENTS) or (names & UNLIKELY and not names & LIKELY):
+                names, hidden, doubt = _names(attributes)
+                if hidden or doubt == NAMED:
                     out, depth = Node(tag, names, node), 1
             continue
         if tag in CLOSES_P:
@@ -175,9 +189,10 @@ def tree(page: str) -> Node:
                 found = up if up.tag in kinds else found
                 up = up.parent
             node = found.parent if found is not None else node
-        names, hidden = _names(attributes) if attributes else (frozenset(), False)
+        names, hidden, doubt = _names(attributes) if attributes else (frozenset(), False, 0)
         child = Node(tag, names, node)
-        if hidden or _left_out(tag, names, articles > 0):
+        child.doubt = 0 if tag in ("article", "main") and not names & COMMENTS else doubt
+        if hidden or _left_out(tag, articles > 0):
             node.parts.append(("\n", False))
             if not attributes.endswith("/"):
                 out, depth = child, 1
@@ -197,6 +212,25 @@ def _walk(root: Node) -> list[Node]:
     return found
 
 
+def _without_named(nodes: list[Node]) -> list[tuple[Node, int]]:
+    """Takes boxes that are named as no part of the article out of the tree, but for those that hold an article; returns
+    them with their places."""
+    holding: set[int] = set()
+    for x in nodes:
+        if x.tag in ("article", "main") and not x.doubt:
+            up = x.parent
+            while up is not None and id(up) not in holding:
+                holding.add(id(up))
+                up = up.parent
+    taken = []
+    for x in nodes:
+        for i, p in enumerate(x.parts):
+            if isinstance(p, Node) and p.doubt == NAMED and id(p) not in holding:
+                taken.append((p, i))
+                x.parts[i] = ("\n", False)
+    return taken
+
+
 def _own_text(node: Node) -> str:
     return " ".join("".join(p[0] for p in node.parts if not isinstance(p, Node)).split())
 
@@ -204,6 +238,7 @@ def _own_text(node: Node) -> str:
 def _measure(nodes: list[Node]) -> None:
     """Characters of text, and of linked text, below every node."""
     for x in reversed(nodes):
+        x.size = x.linked = 0
         for p in x.parts:
             if isinstance(p, Node):
                 x.size += p.size
@@ -239,7 +274,8 @@ def score(nodes: list[Node]) -> Node | None:
                 x.parent.scored = True
                 x.parent.points += x.points / 2
     for x in held:
-        x.points = (x.points + KIND_POINTS.get(x.tag, 0.0) + (25.0 if x.names & LIKELY else 0.0)) * (1 - _density(x))
+        x.raw = x.points * (1 - _density(x))
+        x.points = (x.points + KIND_POINTS.get(x.tag, 0.0) + (25.0 if x.names & LIKELY else 0.0)) * (1 - _density(x)) * (0.5 if x.doubt else 1.0)
     return max(reversed(held), key=lambda x: x.points, default=None)
 
 
@@ -247,13 +283,13 @@ def _kept_siblings(best: Node) -> list[Node]:
     """The best container and the siblings that belong to its article, in page order."""
     if best.parent is None:
         return [best]
-    least = SIBLING_SHARE * best.points
+    least = SIBLING_SHARE * best.raw
     kept = []
     for x in best.parent.parts:
         if not isinstance(x, Node):
             continue
         text = _own_text(x) if x.tag == "p" else ""
-        if x is best or (x.scored and x.points + (SIBLING_SHARE * best.points if x.names and x.names == best.names else 0) >= least) or (text and (len(text) > 80 and _density(x) < 0.25 or len(text) <= 80 and _density(x) == 0 and text.endswith((".", "!", "?", "。")))) or (x.tag == "h1" and _density(x) < 0.5):
+        if x is best or (x.scored and x.raw + (least if x.names and x.names == best.names else 0) >= least) or (text and (len(text) > 80 and _density(x) < 0.25 or len(text) <= 80 and _density(x) == 0 and text.endswith((".", "!", "?", "。")))) or (x.tag == "h1" and _density(x) < 0.5):
             kept.append(x)
     return kept
 
@@ -286,10 +322,18 @@ def _blocks(node: Node, found: list[str]) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = _walk(root := tree(page))
+    root = tree(page)
+    taken = _without_named(_walk(root))
+    nodes = _walk(root)
     _measure(nodes)
     best = score(nodes)
-    while best is not None and best.parent is not None and best.parent.tag in ("article", "main"):
+    if not root.size and taken:  # there is nothing else
+        for x, i in taken:
+            x.parent.parts[i] = x
+        nodes = _walk(root)
+        _measure(nodes)
+        best = score(nodes)
+    while best is not None and best.parent is not None and best.parent.tag == "article":
         best = best.parent  # the article is the whole of what its parts belong to
     if best is None:
         best = max((x for x in nodes if x.tag in ("article", "main")), key=lambda x: x.size, default=root)

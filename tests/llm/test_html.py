@@ -32,6 +32,36 @@ def test_article_is_kept_and_the_rest_left_out(body):
     assert main_text(page(body)).split("\n") == [LONG, MORE]
 
 
+SIX = [f"Part {i}. {LONG if i % 2 else MORE}" for i in range(6)]
+PARTS = "".join(f"<p>{p}</p>" for p in SIX)
+COOKIES = "<div class=x1><p>We use cookies, many cookies, for all the purposes you like, and more.</p></div>"
+OTHERS = "<div class=q7><p>You may also like this, and that, and one more thing today.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='has-sidebar'>{PARTS}</div>", f"<div class='layout sidebar-right' id='page'>{PARTS}</div>", f"<div class='social-science'>{PARTS}</div>", f"<div class='with-banner'><article>{PARTS}</article></div>",
+        f"<div class='comments'><main>{PARTS}</main><div class='comments'><p>{LONG}</p></div></div>", f"<div class='sidebar'>{PARTS}</div>", f"<div class='no-comments ad-free'>{PARTS}</div>", f"<div id='banner-layout' class='wrapper'>{PARTS}</div><div class='ad-slot'><p>{LONG}</p></div>",
+    ],
+)
+def test_names_that_mislead_lose_nothing(body):
+    assert main_text(page(body)).split("\n") == SIX
+
+
+def test_a_paragraph_stays_whatever_it_is_called():
+    price = "The share price was 12 today, up from ten."
+    assert main_text(page(f"<article>{PARTS}<p class='share-price'>{price}</p></article>")).split("\n") == [*SIX, price]
+
+
+@pytest.mark.parametrize("around", ["main", "div"])
+@pytest.mark.parametrize("inner", ["article", "div class=z", "section"])
+def test_boxes_without_names_go_by_their_points(around, inner):
+    """Notices and adverts beside the article, below one container, with names that say nothing."""
+    body = f"<{around}>{COOKIES}<{inner}>{PARTS}</{inner.split()[0]}>{OTHERS}</{around}>"
+    assert main_text(page(body)).split("\n") == SIX
+
+
 def test_blocks_references_and_white_space():
     got = main_text(page(f"<article><h1>A &amp; B</h1><p>  {LONG}\n\t x&nbsp;y &lt;b&gt; <b>bold</b>ly</p><p></p><p>Short.</p><ul><li>one</li><li>two</li></ul></article>"))
     assert got == f"A & B\n{LONG} x y <b> boldly\nShort.\none\ntwo"
