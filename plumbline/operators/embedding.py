@@ -66,6 +66,47 @@ def _struct(df: DataFrame, image: str):
     return F.struct(*(F.col(f"{image}.{f}").alias(f) for f in names))
 
 
+def box_crops():
+    """The table function of crops: for an item's pixels and boxes, a row a box with its place, label and pixels, in order.
+    Boxes without any area inside the image give none; items without pixels give boxes without."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="target_index bigint, x0 double, y0 double, x1 double, y1 double, class_label int, height int, width int, nChannels int, data binary, dtype string")
+    class Crops:
+        def eval(self, image, boxes):
+            x = None
+            if image is not None and image["data"] is not None:
+                frame = pd.DataFrame([image.asDict()])
+                x = pixels_of(frame)[0]
+            for b in boxes or ():
+                x0, y0, x1, y1 = b["x0"], b["y0"], b["x1"], b["y1"]
+                if None in (x0, y0, x1, y1) or not (x1 > x0 and y1 > y0):
+                    continue
+                found = (None,) * 5
+                if x is not None:
+                    part = x[max(0, round(y0)) : max(0, round(y1)), max(0, round(x0)) : max(0, round(x1))]
+                    if not part.size:
+                        continue
+                    found = (*part.shape, np.ascontiguousarray(part).tobytes(), part.dtype.name)
+                yield b["target_index"], x0, y0, x1, y1, b["class_label"], *found
+
+    return Crops
+
+
+def detection_crops(items: DataFrame, targets: DataFrame, item: str = "item_index", label: str = "class_label") -> DataFrame:
+    """Each box of ``targets`` as a row: its item's columns, with the box, its label and, of decoded items, its pixels. A
+    lateral join: an item's boxes meet its pixels in one row, and leave as rows."""
+    marks = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    box = F.struct(F.col("target_index").cast("long").alias("target_index"), *marks, F.col(label).cast("int").alias("class_label"))
+    held = targets.groupBy(item).agg(F.sort_array(F.collect_list(box)).alias("__boxes"))
+    pixels = "image" in items.columns
+    rest = [c for c in items.columns if c not in ("image", label, "target_index", "x0", "y0", "x1", "y1")]
+    rows = items.join(held, item).select(*rest, "__boxes", (_struct(items, "image") if pixels else F.lit(None).cast(f"struct<{PIXELS.replace(' ', ':').replace(',:', ',')}>")).alias("__image"))
+    found = rows.lateralJoin(box_crops()(F.col("__image").outer(), F.col("__boxes").outer()))
+    image = [F.struct("height", "width", "nChannels", "data", "dtype").alias("image")] if pixels else []
+    return found.select(*rest, "target_index", "x0", "y0", "x1", "y1", F.col("class_label").alias(label), *image)
+
+
 def flattened(df: DataFrame, image: str = "image", into: str = "embedding") -> DataFrame:
     """Pixels row by row, channels innermost, as they are."""
     from pyspark.sql.functions import pandas_udf

@@ -158,6 +158,10 @@ def dispersion(df: DataFrame, label: str, vector: str) -> DataFrame:
     return rows.join(centres, "l").groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.avg(d).alias("dispersion"))
 
 
+#: Classes whose Gram matrices a task holds at once.
+GRAM_CLASSES = 64
+
+
 def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples: int = 20, isotropy_min: int | None = None, factor: float = 0.5) -> DataFrame:
     """Per class: n, dispersion and isotropy relative to the typical (median assessable) class, near-duplicate fraction
     (nearest neighbour of the class nearer than ``factor`` times the class's median), and whether it is assessable.
@@ -167,14 +171,28 @@ def class_profile(df: DataFrame, key: str, label: str, vector: str, min_samples:
     base = dispersion(df, label, vector)
 
     def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows, sums and Gram matrices of classes: a product of matrices for each class of a batch. No more than
+        ``GRAM_CLASSES`` are held at once; the rest is summed up behind the shuffle."""
         held: dict = {}
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tolist() for h in held.values()]), pa.array([h[2].ravel().tolist() for h in held.values()])], ["l", "n", "s", "q"])
+
         for batch in batches:
-            for l, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array(x)
-                n, s, q = held.get(l, (0, 0, 0))
-                held[l] = n + 1, s + x, q + np.outer(x, x)
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            order = np.argsort(codes.indices.to_numpy(), kind="stable")
+            ends = np.cumsum(np.bincount(codes.indices.to_numpy(), minlength=len(codes.dictionary)))
+            for l, rows in zip(codes.dictionary.to_pylist(), np.split(x[order], ends[:-1])):
+                n, s, q = held.get(l, (0, 0.0, 0.0))
+                held[l] = n + len(rows), s + rows.sum(0), q + rows.T @ rows
+                if len(held) > GRAM_CLASSES:
+                    yield given()
+                    held.clear()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([h[0] for h in held.values()], pa.int64()), pa.array([h[1].tolist() for h in held.values()]), pa.array([h[2].ravel().tolist() for h in held.values()])], ["l", "n", "s", "q"])
+            yield given()
 
     def ratio(table: pa.Table) -> pa.Table:
         n = sum(table["n"].to_pylist())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 from typing import Any, Literal
@@ -53,6 +54,12 @@ class MetadataPolicy(Strict):
             raise ValueError("a strict policy needs declared encodings")
         return self
 
+    def cache_key(self) -> str:
+        """What names the encoded factors: all that changes them, so neither the policy's name nor which of codes and values
+        a statistic reads nor which split was encoded first."""
+        said = self.model_dump(exclude={"name", "factor_source", "reference_split"})
+        return hashlib.sha256(json.dumps(said, sort_keys=True).encode()).hexdigest()[:16]
+
 
 class Base(Strict):
     name: str
@@ -78,10 +85,38 @@ class Duplicates(Strict):
     duplicate_n_clusters: int | None = Field(None, ge=2)
 
 
-class Cleaning(Base, Duplicates):
+# Names of the groups and their metrics: fixed values.
+GROUPS = {
+    "pixel": ("mean", "std", "var", "skew", "kurtosis", "entropy", "missing", "zeros"),
+    "visual": ("brightness", "contrast", "darkness", "sharpness"),
+    "dimension": ("offset_x", "offset_y", "width", "height", "channels", "size", "aspect_ratio", "depth", "distance_center", "distance_edge", "invalid_box"),
+}
+Group = Literal["dimension", "pixel", "visual"]
+
+
+class Outliers(Strict):
+    """The metrics that are looked at: those named, and those of whole groups that the items have."""
+
+    metrics: list[str] = Field(default_factory=list)
+    outlier_flags: list[Group] = Field(default_factory=list)
+
+    @model_validator(mode="after")
+    def some_metric(self):
+        if not (self.metrics or self.outlier_flags):
+            raise ValueError("name metrics or outlier_flags")
+        return self
+
+    def chosen(self, columns: list[str]) -> list[str]:
+        grouped = [m for g in self.outlier_flags for m in GROUPS[g] if m in columns]
+        found = list(dict.fromkeys([*self.metrics, *grouped]))
+        if not found:
+            raise ValueError(f"the items have no metrics of {self.outlier_flags}; dataset option image_stats makes them")
+        return found
+
+
+class Cleaning(Base, Duplicates, Outliers):
     type: Literal["data-cleaning"]
     outlier_method: Method
-    metrics: list[str] = Field(min_length=1)
     outlier_threshold: float | None = Field(None, ge=0)
     target_metrics: list[str] = Field(default_factory=list)
     embedding: str | None = None
@@ -102,10 +137,9 @@ class Cleaning(Base, Duplicates):
         return self
 
 
-class Analysis(Base, Duplicates):
+class Analysis(Base, Duplicates, Outliers):
     type: Literal["data-analysis"]
     outlier_method: Method
-    metrics: list[str] = Field(min_length=1)
     outlier_threshold: float | None = Field(None, ge=0)
     factors: list[str] = Field(default_factory=list)
     balance: bool = False
@@ -217,9 +251,8 @@ class Prioritization(Base):
     removed_warning: float = 20
 
 
-class Sweep(Base):
+class Sweep(Base, Outliers):
     type: Literal["parameter-sweep"]
-    metrics: list[str] = Field(min_length=1)
     embedding: str | None = None
     outlier_method: list[Method] = Field(default_factory=lambda: ["adaptive"])
     outlier_threshold: list[float | None] = Field(default_factory=lambda: [None])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.ordering import numbered, ranked, renumbered, shuffled
+from plumbline.operators import embedding
 from plumbline.operators.embedding import transformed
 from plumbline.operators.splitting import rebalanced
 from plumbline.sources.transforms import STEPS
@@ -69,12 +70,21 @@ def relabel(df: DataFrame, map: dict, label: str = "class_label") -> DataFrame:
     return df.withColumn(label, F.coalesce(F.try_element_at(table, F.col(label)), F.col(label)))
 
 
-def detection_crops(items: DataFrame, targets: DataFrame, item: str = "item_index") -> tuple[DataFrame, DataFrame]:
-    """Each ground-truth box as an item of its own, in the order of items, then boxes; degenerate boxes are dropped and
-    counted. Returns the crops and that count."""
-    whole = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    boxes = targets.join(items.select(item, POSITION), item)
-    return renumbered(boxes.filter(whole), POSITION, then=("target_index",)), boxes.filter(~whole).agg(F.count("*").alias("dropped"))
+def detection_crops(items: DataFrame, targets: DataFrame, item: str = "item_index", label: str = "class_label") -> tuple[DataFrame, DataFrame]:
+    """Each ground-truth box as an item of its own (with its pixels, if items are decoded), in the order of items, then boxes;
+    degenerate boxes are dropped and counted. Returns the crops and that count."""
+    targets = targets if label in targets.columns else targets.withColumn(label, F.lit(None).cast("int"))
+    crops = renumbered(embedding.detection_crops(items, targets, item, label), POSITION, then=("target_index",))
+    here = targets.join(items.select(item), item, "left_semi").agg(F.count("*").alias("n"))
+    return crops, here.crossJoin(F.broadcast(crops.agg(F.count("*").alias("m")))).select((F.col("n") - F.col("m")).alias("dropped"))
+
+
+def crops_as_items(items: DataFrame, targets: DataFrame | None, key: str, label: str = "class_label") -> DataFrame:
+    """A view's items after DetectionCrops: their key is the crop's position, ``source_item`` that of their item."""
+    if targets is None:
+        raise ValueError("DetectionCrops needs targets")
+    crops, _ = detection_crops(items, targets, key, label)
+    return crops.withColumnRenamed(key, "source_item").withColumn(key, F.col(POSITION))
 
 
 def pixels(df: DataFrame, step: str, **params) -> DataFrame:
@@ -89,11 +99,12 @@ def selection_key(df: DataFrame, key: str) -> str:
     return f"sel:n={n}:{hashlib.sha256(f'{n},{a},{b}'.encode()).hexdigest()[:16]}"
 
 
-OPERATIONS = {"Limit": limit, "Indices": indices, "ClassFilter": class_filter, "ClassBalance": class_balance, "Shuffle": shuffle, "Reverse": reverse, "Relabel": relabel, **{step: partial(pixels, step=step) for step in STEPS}}
+OPERATIONS = {"Limit": limit, "Indices": indices, "ClassFilter": class_filter, "ClassBalance": class_balance, "Shuffle": shuffle, "Reverse": reverse, "Relabel": relabel, "DetectionCrops": crops_as_items, **{step: partial(pixels, step=step) for step in STEPS}}
 
 
-def build_view(df: DataFrame, operations: Sequence[dict], key: str, label: str = "class_label") -> DataFrame:
-    """Applies ``[{type, params}]`` in order; an unknown type is an error that lists the known."""
+def build_view(df: DataFrame, operations: Sequence[dict], key: str, label: str = "class_label", targets: DataFrame | None = None) -> DataFrame:
+    """Applies ``[{type, params}]`` in order; an unknown type is an error that lists the known. ``targets``: the boxes that
+    DetectionCrops makes items of."""
 
     def step(rows: DataFrame, op: dict) -> DataFrame:
         if op["type"] not in OPERATIONS:
@@ -101,6 +112,8 @@ def build_view(df: DataFrame, operations: Sequence[dict], key: str, label: str =
         params = dict(op.get("params") or {})
         if op["type"] in ("ClassFilter", "ClassBalance", "Relabel"):
             params.setdefault("label", label)
+        if op["type"] == "DetectionCrops":
+            params |= {"targets": targets, "key": key, "label": label}
         if op["type"] in ("ClassBalance", "Shuffle"):
             params.setdefault("key", key)
         return OPERATIONS[op["type"]](rows, **params)

@@ -188,7 +188,7 @@ def cleaning(sources: dict[str, SourceFrames], p: c.Cleaning, out: Result) -> No
     source = next(iter(sources.values()))
     items = source.items
     n = items.count()
-    issues = quality.outlier_issues(items, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
+    issues = quality.outlier_issues(items, [KEY], p.chosen(items.columns), p.outlier_method, p.outlier_threshold)
     if p.outlier_cluster_threshold:
         far = _cluster_distances(items, p.embedding, p.outlier_cluster_algorithm, p.outlier_n_clusters).filter(F.col("deviations") > p.outlier_cluster_threshold)
         issues = issues.unionByName(far.select(KEY, F.lit("cluster_distance").alias("metric_name"), "metric_value")).dropDuplicates([KEY, "metric_name"])
@@ -224,14 +224,14 @@ def _numeric(df: DataFrame, among: list[str] | None = None) -> list[str]:
 
 def _factors(items: DataFrame, p: c.Analysis) -> tuple[DataFrame, list[str]]:
     """Factors as they are, and metrics (if asked for) as decile codes."""
-    extra = [m for m in _numeric(items, p.metrics) if m not in p.factors] if p.include_metrics else []
+    extra = [m for m in _numeric(items, p.chosen(items.columns)) if m not in p.factors] if p.include_metrics else []
     return items.withColumns({m: encoding.uniform_count(items, m, 10).code(F.col(m)) for m in extra}) if extra else items, [*p.factors, *extra]
 
 
 def analysis(sources: dict[str, SourceFrames], p: c.Analysis, out: Result) -> None:
     for name, s in sources.items():
         n = s.items.count()
-        issues = quality.outlier_issues(s.items, [KEY], p.metrics, p.outlier_method, p.outlier_threshold)
+        issues = quality.outlier_issues(s.items, [KEY], p.chosen(s.items.columns), p.outlier_method, p.outlier_threshold)
         out.tables[f"{name}.outliers"] = issues
         rate = _percent(issues.select(KEY).distinct().count(), n)
         out.findings.append(Finding(f"Image Quality: {name}", graded(rate, p.outlier_warning), "key_value", {"num_samples": n, "outlier_rate": rate}))
@@ -580,12 +580,13 @@ def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
     """Counts of every combination of the swept lists: statistics once, embeddings' neighbours and clusters once each."""
     items = next(iter(sources.values())).items
     own = [t for t in p.outlier_threshold if t is not None]
+    metrics = p.chosen(items.columns)
     parts = []
     if own:
-        parts.append(quality.outlier_sweep(items, [KEY], p.metrics, p.outlier_method, own).select(F.lit("outliers").alias("kind"), "method", "threshold", F.col("outlier_count").alias("n")))
+        parts.append(quality.outlier_sweep(items, [KEY], metrics, p.outlier_method, own).select(F.lit("outliers").alias("kind"), "method", "threshold", F.col("outlier_count").alias("n")))
     if None in p.outlier_threshold:  # each method's own cutoff
         for m in p.outlier_method:
-            parts.append(quality.outlier_sweep(items, [KEY], p.metrics, [m], [CUTOFFS[m]]).select(F.lit("outliers").alias("kind"), "method", F.lit(None).cast("double").alias("threshold"), F.col("outlier_count").alias("n")))
+            parts.append(quality.outlier_sweep(items, [KEY], metrics, [m], [CUTOFFS[m]]).select(F.lit("outliers").alias("kind"), "method", F.lit(None).cast("double").alias("threshold"), F.col("outlier_count").alias("n")))
     if p.embedding and p.outlier_cluster_threshold:
         for algorithm in p.outlier_cluster_algorithm:  # clusters once for each
             far = _cluster_distances(items, p.embedding, algorithm, p.outlier_n_clusters).checkpoint()
@@ -678,7 +679,10 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
         if dataset.image_stats:
             frames = with_image_stats(spark, frames, cache)
         if source.view:
-            frames.items = build_view(frames.items, config.get("views", source.view).operations, KEY)
+            operations = config.get("views", source.view).operations
+            frames.items = build_view(frames.items, operations, KEY, targets=frames.targets)
+            if any(o["type"] == "DetectionCrops" for o in operations):
+                frames.targets = None  # they are the items now
         out[name] = frames
     if task.extractor:
         with_embeddings(out, config.get("extractors", task.extractor), config)
