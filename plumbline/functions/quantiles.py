@@ -43,7 +43,7 @@ def exact_quantiles(values: DataFrame, by: str, value: str, probabilities: list[
     values_upto = Window.partitionBy("g", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.withColumn("start", F.min("start").over(Window.partitionBy("g", "i"))).withColumn("before", F.col("start") + F.sum("m").over(values_upto) - F.col("m"))
     ends = placed.groupBy("g", "i", "n", "f").agg(F.max(F.when(met(F.col("k")), F.col("v"))).alias("x"), F.max(F.when(met(last), F.col("v"))).alias("y"))
-    value_ = F.when(F.col("f") == 0, F.col("x")).otherwise(F.col("x") * (1 - F.col("f")) + F.col("y") * F.col("f"))
+    value_ = F.when((F.col("f") == 0) | (F.col("x") == F.col("y")), F.col("x")).otherwise(F.col("x") * (1 - F.col("f")) + F.col("y") * F.col("f"))
     return ends.groupBy(F.col("g").alias(by)).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", value_.alias("v")))), lambda s: s["v"]).alias("q"))
 
 

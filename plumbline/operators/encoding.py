@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.quantiles import exact_quantiles
+
 
 @dataclass(frozen=True)
 class Bins:
@@ -109,17 +111,30 @@ def opened(edges: list[float]) -> tuple[float, ...]:
     return (-math.inf, *inner, math.inf)
 
 
-def uniform_width(df: DataFrame, factor: str, count: int) -> Bins:
-    lo, hi = df.agg(F.min(F.col(factor).cast("double")), F.max(F.col(factor).cast("double"))).first()
-    if lo is None or lo == hi or count < 2:
+def measured(df: DataFrame, factors: list[str]) -> DataFrame:
+    """``factor, v``: the values of numeric factors, a row a value; null and NaN are missing."""
+    long = df.select(*(F.col(f).cast("double").alias(f) for f in factors)).unpivot([], factors, "factor", "v")
+    return long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def equal_widths(lo: float | None, hi: float | None, count: int) -> Bins:
+    if lo is None or lo == hi or count < 2 or not math.isfinite(hi - lo):
         return Bins((-math.inf, math.inf), "derived", "uniform_width")
     return Bins(opened([lo + (hi - lo) * i / count for i in range(count + 1)]), "derived", "uniform_width")
 
 
+def uniform_width(df: DataFrame, factor: str, count: int) -> Bins:
+    return equal_widths(*df.agg(F.min(F.col(factor).cast("double")), F.max(F.col(factor).cast("double"))).first(), count)
+
+
+def uniform_counts(df: DataFrame, factors: list[str], count: int) -> dict[str, Bins]:
+    """Edges at exact quantiles, of all factors at once: tied values are never torn apart."""
+    found = {r.factor: r.q for r in exact_quantiles(measured(df, factors), "factor", "v", [i / count for i in range(count + 1)]).collect()}
+    return {f: Bins(opened(found[f]) if f in found else (-math.inf, math.inf), "derived", "uniform_count") for f in factors}
+
+
 def uniform_count(df: DataFrame, factor: str, count: int) -> Bins:
-    """Edges at exact percentiles: tied values are never torn apart."""
-    edges = df.agg(F.percentile(F.col(factor).cast("double"), F.array(*(F.lit(i / count) for i in range(count + 1))))).first()[0]
-    return Bins(opened(edges), "derived", "uniform_count") if edges else Bins((-math.inf, math.inf), "derived", "uniform_count")
+    return uniform_counts(df, [factor], count)[factor]
 
 
 def cluster_bins(df: DataFrame, factor: str, count: int, seed: int = 1) -> Bins:
@@ -132,16 +147,64 @@ def cluster_bins(df: DataFrame, factor: str, count: int, seed: int = 1) -> Bins:
     return Bins((-math.inf, *((a + b) / 2 for a, b in zip(centres, centres[1:])), math.inf), "derived", "clusters")
 
 
-def bin_count(df: DataFrame, factor: str) -> int:
-    """Freedman-Diaconis, 2 to 64."""
-    n, lo, hi, q = df.agg(F.count(factor), F.min(factor), F.max(factor), F.percentile(F.col(factor).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).first()
-    width = 2 * (q[1] - q[0]) / n ** (1 / 3) if n else 0
-    return max(2, min(64, math.ceil((hi - lo) / width))) if width else 2
-
-
-def derived_levels(df: DataFrame, factor: str) -> Levels:
-    """The distinct values in order: a dimension."""
-    return Levels(tuple(r[0] for r in df.select(F.col(factor).cast("string")).distinct().filter(F.col(factor).isNotNull()).orderBy(factor).collect()), "derived")
+#: Least and most bins that a count is derived to.
+LEAST_BINS, MOST_BINS = 2, 64
+
+
+def derived_count(n: int, lo: float, q1: float, q3: float, hi: float) -> int:
+    """Freedman and Diaconis's number of bins; Sturges's if the middle half is one value."""
+    if not n or not math.isfinite(hi - lo):
+        return LEAST_BINS
+    width = 2 * (q3 - q1) / n ** (1 / 3)
+    return max(LEAST_BINS, min(MOST_BINS, math.ceil((hi - lo) / width) if width else math.ceil(math.log2(n)) + 1))
+
+
+def auto_bins(df: DataFrame, factors: list[str], method: str = "uniform_width") -> dict[str, Bins]:
+    """Bins of factors that nobody has declared. Numbers of bins and edges of all factors come from shared quantile passes
+    (one, and one more for each number of bins with ``uniform_count``); ``clusters`` fits factor by factor."""
+    if not factors:
+        return {}
+    if method not in ("uniform_width", "uniform_count", "clusters"):
+        raise ValueError(f"unknown auto_bin_method {method!r}")
+    seen = {r.factor: (r.n, *r.q) for r in exact_quantiles(measured(df, factors), "factor", "v", [0.0, 0.25, 0.75, 1.0]).collect()}
+    counts = {f: derived_count(*seen[f]) for f in factors if f in seen}
+    out = {f: Bins((-math.inf, math.inf), "derived", method) for f in factors}
+    for f, k in counts.items():
+        if method == "uniform_width":
+            out[f] = equal_widths(seen[f][1], seen[f][4], k)
+        elif method == "clusters":
+            out[f] = cluster_bins(df, f, k)
+    if method == "uniform_count":
+        for k in sorted(set(counts.values())):
+            out |= uniform_counts(df, [f for f, n in counts.items() if n == k], k)
+    return out
+
+
+def binning_record(df: DataFrame, policy: Policy, requested: dict[str, int | list[float]] | None = None) -> dict:
+    """How each factor was encoded and how that fits the rows (``fit``: rows by code, with the smallest and largest value of
+    bins; one pass over all factors), what was asked for, what names no factor, what nobody has reviewed, and what can't be a
+    factor."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    used = {f: e for f, e in policy.encodings.items() if f in kinds and f not in policy.exclude}
+    cells = [F.struct(F.lit(f).alias("factor"), e.code(F.col(f)).cast("int").alias("code"), (F.col(f).cast("double") if isinstance(e, Bins) else F.lit(None).cast("double")).alias("v")) for f, e in used.items()]
+    fits: dict[str, dict] = {f: {} for f in used}
+    if cells:
+        for r in df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.factor", "c.code").agg(F.count("*").alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi")).collect():
+            fits[r.factor][r.code] = (r.n, r.lo, r.hi)
+    shown = json.loads(descriptor(policy))["factors"]
+    factors = {}
+    for f, e in used.items():
+        codes = range(1, e.count + 1) if isinstance(e, Bins) else range(len(e.levels))
+        names = e.names() if isinstance(e, Bins) else list(e.levels)
+        fit = [{"code": k, "name": name, "count": fits[f].get(k, (0,))[0]} | (dict(zip(("min", "max"), fits[f][k][1:])) if isinstance(e, Bins) and k in fits[f] else {}) for k, name in zip(codes, names)]
+        other = {"below": 0, "above": e.count + 1, "missing": e.count + 2} if isinstance(e, Bins) else {"missing": None}
+        factors[f] = {"encoding": shown[f], "fit": fit, **{name: fits[f].get(k, (0,))[0] for name, k in other.items()}}
+    out = {
+        "auto_bin_method": policy.auto_bin_method, "encoding_digest": policy.digest(), "descriptor_version": 1, "factor_source": policy.factor_source, "requested_bins": dict(requested or {}), "excluded": sorted(policy.exclude),
+        "factors": factors, "unreviewed": sorted(f for f, e in used.items() if e.provenance == "derived"), "dropped": {f: [k] for f, k in kinds.items() if k.startswith(("array", "struct", "map", "binary")) and f not in policy.exclude},
+    }
+    unmatched = sorted(set(requested or {}) - set(kinds))
+    return out | ({"unmatched_bin_requests": unmatched} if unmatched else {})
 
 
 def bin_fit(df: DataFrame, factor: str, bins: Bins) -> DataFrame:

@@ -458,10 +458,11 @@ def factor_deviations(reference: DataFrame, flagged: DataFrame, key: str, factor
 
 def factor_predictors(df: DataFrame, flag: str, factors: list[str], bins: int = 10) -> DataFrame:
     """``factor, mi_bits``: mutual information of each factor's quantile code with the flag, in bits (4 decimals)."""
-    from plumbline.operators.encoding import uniform_count
+    from plumbline.operators.encoding import uniform_counts
     from plumbline.operators.labels import mutual_information, pair_tables
 
-    coded = df.select(F.col(flag).cast("string").alias("flag"), *(uniform_count(df, f, bins).code(F.col(f)).alias(f) for f in factors))
+    cut = uniform_counts(df, factors, bins)
+    coded = df.select(F.col(flag).cast("string").alias("flag"), *(cut[f].code(F.col(f)).alias(f) for f in factors))
     out = mutual_information(pair_tables(coded, [("flag", f) for f in factors]))
     return out.select(F.col("y_name").alias("factor"), F.round(F.col("mi") / math.log(2), 4).alias("mi_bits"))
 

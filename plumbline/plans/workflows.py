@@ -225,7 +225,7 @@ def _numeric(df: DataFrame, among: list[str] | None = None) -> list[str]:
 def _factors(items: DataFrame, p: c.Analysis) -> tuple[DataFrame, list[str]]:
     """Factors as they are, and metrics (if asked for) as decile codes."""
     extra = [m for m in _numeric(items, p.chosen(items.columns)) if m not in p.factors] if p.include_metrics else []
-    return items.withColumns({m: encoding.uniform_count(items, m, 10).code(F.col(m)) for m in extra}) if extra else items, [*p.factors, *extra]
+    return items.withColumns({m: b.code(F.col(m)) for m, b in encoding.uniform_counts(items, extra, 10).items()}) if extra else items, [*p.factors, *extra]
 
 
 def analysis(sources: dict[str, SourceFrames], p: c.Analysis, out: Result) -> None:
@@ -625,12 +625,16 @@ def list_workflows() -> list[str]:
     return list(WORKFLOWS)
 
 
-def policy_of(p: c.MetadataPolicy, df: DataFrame, root: str = ".") -> encoding.Policy:
-    """Declared encodings, after those of a descriptor file; a bin count is fitted to the data by the policy's method."""
+def policy_of(p: c.MetadataPolicy, df: DataFrame, root: str = ".", factors: tuple[str, ...] = ()) -> encoding.Policy:
+    """Declared encodings, after those of a descriptor file; a bin count is fitted to the data by the policy's method. Of the
+    ``factors`` that a workflow reads, continuous ones that nothing declares are binned, unless the policy is strict."""
     fit = {"uniform_width": encoding.uniform_width, "uniform_count": encoding.uniform_count, "clusters": encoding.cluster_bins}[p.auto_bin_method]
     encodings: dict = dict(encoding.from_descriptor(Path(c.resolve_path(p.encoding, root)).read_text()).encodings) if p.encoding else {}
     encodings |= {f: encoding.Levels(tuple(v)) for f, v in p.factor_levels.items()}
     encodings |= {f: fit(df, f, v) if isinstance(v, int) else encoding.Bins(tuple(v)) for f, v in p.continuous_factor_bins.items()}
+    if not p.strict:
+        continuous = {f for f, kind in df.dtypes if kind in ("float", "double")}
+        encodings |= encoding.auto_bins(df, [f for f in factors if f in continuous and f not in encodings and f not in p.exclude], p.auto_bin_method)
     return encoding.Policy(encodings, tuple(p.exclude), p.strict, p.auto_bin_method, p.factor_source)
 
 
@@ -688,9 +692,10 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
         with_embeddings(out, config.get("extractors", task.extractor), config)
     if policy:
         first = policy.reference_split or task.names[0]
-        shared = policy_of(policy, out[first].items, root)
+        factors = tuple(getattr(config.get("workflows", task.workflow), "factors", ()))
+        shared = policy_of(policy, out[first].items, root, factors)
         for name, frames in out.items():
-            frames.items = (shared if policy.reference_split or name == first else policy_of(policy, frames.items, root)).apply(frames.items)
+            frames.items = (shared if policy.reference_split or name == first else policy_of(policy, frames.items, root, factors)).apply(frames.items)
     return out, shared
 
 
@@ -700,16 +705,19 @@ def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str =
     out = Result(task.name)
     began = time.time()
     metadata: dict = {}
+    binning: dict = {}
     try:
         sources, policy = bind(spark, task, config, root, frames, cache)
         if policy:
             out.descriptor = encoding.descriptor(policy)
             metadata = {f: type(e).__name__.lower() for f, e in policy.encodings.items()}
+            asked = config.get("metadata", task.metadata)
+            binning = encoding.binning_record(sources[asked.reference_split or task.names[0]].items, policy, asked.continuous_factor_bins)
         WORKFLOWS[params.type](sources, params, out)
     except Exception as e:
         out.success = False
         out.errors.append(f"{type(e).__name__}: {e}")
-    out.envelope = {"version": __version__, "timestamp": datetime.now(UTC).isoformat(), "workflow": params.type, "sources": task.names, "seed": config.seed, "metadata": metadata, "resolved_config": params.model_dump(), "execution_time_s": round(time.time() - began, 3)}
+    out.envelope = {"version": __version__, "timestamp": datetime.now(UTC).isoformat(), "workflow": params.type, "sources": task.names, "seed": config.seed, "metadata": metadata, "metadata_binning": binning, "resolved_config": params.model_dump(), "execution_time_s": round(time.time() - began, 3)}
     return out
 
 
