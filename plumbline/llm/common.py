@@ -83,8 +83,9 @@ _LIBRARY = ctypes.CDLL(None)
 
 
 def give_back() -> None:
-    """Hands memory that arrays no longer need back to the system, where the C library can: workers live on between
-    tasks, and what they keep is lost to the executor."""
+    """Hands memory that arrays no longer need back to the system, Arrow's pool and the C library's where it can: workers
+    live on between tasks, and what they keep is lost to the executor."""
+    pa.default_memory_pool().release_unused()
     if hasattr(_LIBRARY, "malloc_trim"):
         _LIBRARY.malloc_trim(0)
 

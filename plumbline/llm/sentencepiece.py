@@ -25,9 +25,9 @@ NO_RANK = np.iinfo(np.int32).max
 #: The pair table has 2 ** SLOT_BITS slots.
 SLOT_BITS = 19
 #: Words a worker keeps encoded before it empties its cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Characters of new words encoded at once.
-ROUND_CHARS = 1 << 20
+ROUND_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
