@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Steps after which a hierarchy that still grows is refused as cyclic.
-MAX_DEPTH = 64
-
 
 def from_mapping(spark: SparkSession, tree: dict, root: str | None = None) -> DataFrame:
     """Edges ``child, parent`` of nested mappings and lists of names (None or an empty mapping: a leaf)."""
@@ -30,6 +27,13 @@ def from_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(local("s").alias("child"), local("o").alias("parent"))
 
 
+def by_concept(counts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``class_name, n`` with names that are the label of just one concept replaced by it."""
+    one = concepts.filter("label is not null").groupBy("label").agg(F.min("concept").alias("concept"), F.count_distinct("concept").alias("hits")).filter("hits = 1")
+    found = counts.join(one, F.col("class_name") == F.col("label"), "left").select(F.coalesce("concept", "class_name").alias("class_name"), "n")
+    return found.groupBy("class_name").agg(F.sum("n").alias("n"))
+
+
 def flat(names: DataFrame, root: str = "classes") -> DataFrame:
     """The hierarchy of classes without one: all below a root."""
     return names.select(F.col(names.columns[0]).alias("child"), F.lit(root).alias("parent")).union(names.sparkSession.createDataFrame([(root, None)], "child string, parent string"))
@@ -40,7 +44,9 @@ def closure(edges: DataFrame) -> DataFrame:
     known = edges.filter("parent is not null").select("child", "parent").distinct()
     nodes = edges.select(F.col("child").alias("node")).union(known.select("parent")).distinct()
     out = level = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    for depth in range(1, MAX_DEPTH + 1):
+    depth = 0
+    while True:  # a cycle brings a node back to itself, else a level is empty at last
+        depth += 1
         level = level.join(known, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct().checkpoint()
         n, cycles = level.agg(F.count("*"), F.count(F.when(F.col("node") == F.col("ancestor"), 1))).first()
         if not n:
@@ -48,7 +54,6 @@ def closure(edges: DataFrame) -> DataFrame:
         if cycles:
             raise ValueError("the hierarchy has a cycle")
         out = out.union(level)
-    raise ValueError(f"the hierarchy is deeper than {MAX_DEPTH}")
 
 
 def leaves(edges: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from plumbline.functions.moments import CUTOFFS
 from plumbline.operators import density, duplicates, embedding, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
 from plumbline.plans.views import build_view
+from plumbline.sources import rdf
 from plumbline.sources.cache import TableCache, lineage_key
 from plumbline.sources.datasets import SourceFrames, fingerprint, load_dataset
 from plumbline.sources.images import image_stats
@@ -328,13 +329,14 @@ def coverage(sources: dict[str, SourceFrames], p: c.Coverage, out: Result) -> No
 
 def _label_space(counts: DataFrame, p: c.Coverage, out: Result) -> None:
     """Where the labels stand in a configured hierarchy; without one, against an even share of the classes."""
-    spark = counts.sparkSession
+    spark, concepts = counts.sparkSession, None
     if p.ontology is None:
         edges = ontology.flat(counts.select("class_name"))
     else:
-        edges = ontology.from_ntriples(spark, p.ontology) if isinstance(p.ontology, str) else ontology.from_mapping(spark, p.ontology)
+        edges, concepts = rdf.hierarchy(spark, p.ontology) if isinstance(p.ontology, str) else (ontology.from_mapping(spark, p.ontology), None)
     edges = edges.checkpoint()
-    seen = counts.select("class_name", "n")
+    named = counts.select("class_name", "n")
+    seen = named if concepts is None else ontology.by_concept(named, concepts).checkpoint()
     work = ontology.worklist(edges, seen, p.ontology_expected or None)
     out.tables["label_worklist"] = work
     todo = _rows(work)
@@ -343,7 +345,7 @@ def _label_space(counts: DataFrame, p: c.Coverage, out: Result) -> None:
         return
     covered = ontology.leaf_coverage(edges, seen).first().asDict()
     dark = _rows(ontology.dark_branches(edges, seen))
-    out.tables |= {"dark_branches": ontology.dark_branches(edges, seen), "label_names": ontology.resolve(seen.select("class_name"), edges), "ontology_lint": ontology.lint(edges, p.ontology_label_pattern)}
+    out.tables |= {"dark_branches": ontology.dark_branches(edges, seen), "label_names": ontology.resolve(named.select("class_name"), edges, concepts), "ontology_lint": ontology.lint(edges, p.ontology_label_pattern)}
     warn = covered["leaf_coverage"] < p.leaf_warning or len(dark) > p.dark_warning
     out.findings.append(Finding("Label Space", "warning" if warn else "info" if todo else "ok", "table", {**covered, "dark_branches": [r["node"] for r in dark], "worklist": todo}))
     wrong = [r for r in _rows(out.tables["label_names"]) if r["verdict"] != "one"]
