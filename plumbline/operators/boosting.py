@@ -56,10 +56,11 @@ def best_splits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     score = lambda s: s[..., 0] ** 2 / (s[..., 1] + PRIOR)
     gain = score(left) + score(right) - score(whole)
     gain[:, :, -1] = 0.0
+    gain = np.round(gain, 8)  # sums come in any order: what differs by that alone is equally good
     flat = gain.reshape(len(gain), -1)
     best = flat.argmax(1)
     feature, code = np.divmod(best, gain.shape[2])
-    none = flat[np.arange(len(flat)), best] <= 1e-12
+    none = flat[np.arange(len(flat)), best] <= 0
     code = np.where(none, gain.shape[2] - 1, code)  # all codes are at most that
     feature = np.where(none, 0, feature)
     node = np.arange(len(flat))
