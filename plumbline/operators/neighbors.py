@@ -1,7 +1,8 @@
 """Exact k nearest neighbours in blocks, and what rests on them: coverage, dispersion, OOD scores, prioritization.
 
-Both sides are packed into blocks of ``BLOCK`` vectors; every block of queries meets every block of references by block
-number, a product of matrices gives the block's best k, and a partial top-k goes on. No pair is ever a row. The result
+Both sides are packed into blocks of ``BLOCK`` vectors and sent to the cells of a grid, queries along its rows, references
+along its columns: each block moves about sqrt(n) times, not once for each block that it meets. In a cell a product of
+matrices gives each query's best k over the cell's references, and this partial top-k goes on. No pair is ever a row. The result
 is exact and costs queries times references; for approximate search at scale an index belongs in front. Spanning trees
 are exact too, from the trees of every two blocks.
 """
@@ -21,6 +22,8 @@ from plumbline.functions.ordering import numbered, renumbered
 from plumbline.functions.quantiles import exact_quantiles, quantile
 
 BLOCK = 2048
+#: Blocks of references that a task holds.
+HELD = 64
 
 
 def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str | None = None) -> tuple[DataFrame, int]:
@@ -47,61 +50,81 @@ def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     group = F.xxhash64(F.col(within).cast("string")) if within else F.lit(0).cast("long")
-    left, _ = _blocks(queries.withColumn("__s", group), key, vector, block, "__s")
-    right, n = _blocks(references.withColumn("__s", group), key, vector, block, "__s")
+    left, asking = _blocks(queries.withColumn("__s", group), key, vector, block, "__s")
+    right, asked = _blocks(references.withColumn("__s", group), key, vector, block, "__s")
+
+    def opened(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, vectors and groups of a block."""
+        k, x, s = row
+        names = np.frombuffer(k, np.int64)
+        return names, np.frombuffer(x, np.float64).reshape(len(names), -1), np.frombuffer(s, np.int64)
+
+    def near(queried: tuple, known: tuple) -> Iterator[tuple[np.ndarray, ...]]:
+        (qk, qx, qs), (rk, rx, rs) = queried, known
+        for lo in range(0, len(qk), 512):
+            a, names = qx[lo : lo + 512], qk[lo : lo + 512]
+            if metric == "cosine":
+                na, nr = (np.linalg.norm(z, axis=1) for z in (a, rx))
+                d = 1 - a @ rx.T / np.maximum(np.outer(na, nr), 1e-300)
+            else:
+                d = squared_distances(a, rx)
+            if exclude_self:
+                d[names[:, None] == rk[None, :]] = np.inf
+            if within:
+                d[qs[lo : lo + 512][:, None] != rs[None, :]] = np.inf
+            m = min(k + 8, len(rk))  # a few more than k: distances are settled below, term by term
+            at = np.argpartition(d, m - 1, axis=1)[:, :m]
+            i = np.repeat(np.arange(len(names)), m)
+            j = at.ravel()
+            use = np.isfinite(d[i, j])
+            i, j = i[use], j[use]
+            exact = d[i, j] if metric == "cosine" else np.sqrt(((a[i] - rx[j]) ** 2).sum(1))
+            yield names[i], rk[j], exact
+
+    def nearest(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """The best k of a query block over all reference blocks that it met here."""
+        q, n, d = (np.concatenate(z) for z in zip(*found))
+        order = np.lexsort((n, d, q))
+        q, n, d = q[order], n[order], d[order]
+        heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        keep = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < k
+        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(d[keep])], ["q", "neighbor", "dist"])
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        last = None
-
-        def nearest() -> pa.RecordBatch:
-            """The best k of a query block over all reference blocks that it met here."""
-            q, n, d = (np.concatenate(z) for z in zip(*held))
-            order = np.lexsort((n, d, q))
-            q, n, d = q[order], n[order], d[order]
-            heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-            keep = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < k
-            return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(d[keep])], ["q", "neighbor", "dist"])
-
+        """Cell by cell: its reference blocks come first and are held, then its query blocks, one at a time."""
+        cell, known = None, []
         for batch in batches:
-            for b, qk, qx, rk, rx, qs, rs in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if held and (b != last or sum(len(h[0]) for h in held) > 4_000_000):
-                    yield nearest()
-                    held = []
-                last = b
-                qk, rk, qs, rs = (np.frombuffer(z, np.int64) for z in (qk, rk, qs, rs))
-                qx, rx = np.frombuffer(qx, np.float64).reshape(len(qk), -1), np.frombuffer(rx, np.float64).reshape(len(rk), -1)
-                for lo in range(0, len(qk), 512):
-                    a, names = qx[lo : lo + 512], qk[lo : lo + 512]
-                    if metric == "cosine":
-                        na, nr = (np.linalg.norm(z, axis=1) for z in (a, rx))
-                        d = 1 - a @ rx.T / np.maximum(np.outer(na, nr), 1e-300)
-                    else:
-                        d = squared_distances(a, rx)
-                    if exclude_self:
-                        d[names[:, None] == rk[None, :]] = np.inf
-                    if within:
-                        d[qs[lo : lo + 512][:, None] != rs[None, :]] = np.inf
-                    m = min(k + 8, len(rk))  # a few more than k: distances are settled below, term by term
-                    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    i = np.repeat(np.arange(len(names)), m)
-                    j = at.ravel()
-                    use = np.isfinite(d[i, j])
-                    i, j = i[use], j[use]
-                    exact = d[i, j] if metric == "cosine" else np.sqrt(((a[i] - rx[j]) ** 2).sum(1))
-                    held.append((names[i], rk[j], exact))
-        if held:
-            yield nearest()
-
-    # the reference blocks a query block meets come to few tasks, which hand on k a query each
-    tasks = max(1, math.ceil(math.sqrt(n)))
-    meets = left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right.select(F.col("b").alias("rb"), F.col("k").alias("rk"), F.col("x").alias("rx"), F.col("s").alias("rs")), "rb")
-    placed = meets.withColumn("t", F.pmod("rb", F.lit(tasks))).repartition("b", "t").sortWithinPartitions("b", "t")
-    found = placed.select("b", "k", "x", "rk", "rx", "s", "rs").mapInArrow(best, "q long, neighbor long, dist double")
+            for i, j, side, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if (i, j) != cell:
+                    cell, known = (i, j), []
+                if side == 0:
+                    known.append(opened(row))
+                elif known:
+                    queried, found = opened(row), []
+                    for r in known:
+                        found.extend(near(queried, r))
+                        if sum(len(q) for q, _, _ in found) > 4_000_000:
+                            yield nearest(found)
+                            found = []
+                    if found:
+                        yield nearest(found)
+
+    # a grid of cells: a block goes to one row or column of it, so n blocks move sqrt(n) times each
+    rows, columns = _sides(asking), _sides(asked)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = right.select(upto(rows).alias("i"), F.pmod("b", F.lit(columns)).alias("j"), F.lit(0).alias("side"), "k", "x", "s")
+    ask = left.select(F.pmod("b", F.lit(rows)).alias("i"), upto(columns).alias("j"), F.lit(1).alias("side"), "k", "x", "s")
+    cells = met.unionByName(ask).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    found = cells.mapInArrow(best, "q long, neighbor long, dist double")
     order = Window.partitionBy("q").orderBy("dist", "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", "neighbor", "dist")
 
 
+def _sides(blocks: int) -> int:
+    """Parts that so many blocks are dealt into: about their square root, all of few, and none of more than ``HELD``."""
+    return max(min(blocks, 8), math.ceil(math.sqrt(blocks)), math.ceil(blocks / HELD))
+
+
 def mean_distance(neighbours: DataFrame, key: str) -> DataFrame:
     return neighbours.groupBy(key).agg(F.avg("dist").alias("score"))
 
@@ -123,9 +146,9 @@ def kth_distance(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 def coverage_adaptive(radii: DataFrame, key: str, percent: float = 0.01) -> DataFrame:
     """The sparsest share of the rows: the ceil(percent * n) largest radii, ties to the smaller key."""
-    n = radii.count()
-    most = math.ceil(percent * n)
-    return radii.orderBy(F.col("radius").desc(), key).limit(most)
+    radii = radii.checkpoint()
+    most = math.ceil(percent * radii.count())
+    return numbered(radii, "radius", key, "__n", descending=True).filter(F.col("__n") <= most).drop("__n")
 
 
 def ball_radius(n: int, k: int, dims: int) -> float:

@@ -205,6 +205,13 @@ class Splitting(Base):
     num_observations: int = Field(50, ge=1)
 
 
+class UpdateStrategy(Strict):
+    """How the reference goes on after a run: the last ``n`` rows, or a uniform sample of all."""
+
+    type: Literal["last_seen", "reservoir_sampling"]
+    n: int = Field(gt=0)
+
+
 class Drift(Base):
     type: Literal["drift-monitoring"]
     embedding: str = "embedding"
@@ -213,6 +220,8 @@ class Drift(Base):
     chunk_warning: float = 10
     run_warning: int = 3
     classwise_warning: bool = True
+    update_strategy: UpdateStrategy | None = None
+    seed: int = 0
 
 
 class Ood(Base):

@@ -28,6 +28,7 @@ from plumbline.sources import rdf
 from plumbline.sources.cache import TableCache, lineage_key
 from plumbline.sources.datasets import SourceFrames, fingerprint, load_dataset
 from plumbline.sources.images import image_stats
+from plumbline.streaming import references
 
 KEY, LABEL = "item_index", "class_label"
 
@@ -441,6 +442,8 @@ def drift(sources: dict[str, SourceFrames], p: c.Drift, out: Result) -> None:
                 _drift_classes(reference, test, name, d, p, out)
         except Exception as e:  # a failing detector doesn't fail the task
             out.errors.append(f"{name}: {e}")
+    if p.update_strategy:
+        out.tables["updated_reference"] = references.updated(reference, test, KEY, p.update_strategy.n, p.update_strategy.type, seed=p.seed)
 
 
 def _drift_chunks(reference: DataFrame, test: DataFrame, name: str, d: dict, scored: DataFrame, p: c.Drift, out: Result) -> None:
