@@ -23,7 +23,7 @@ from plumbline import __version__
 from plumbline.functions.moments import CUTOFFS
 from plumbline.operators import density, duplicates, embedding, encoding, labels, neighbors, ontology, quality, shift, splitting
 from plumbline.plans import config as c
-from plumbline.plans.views import build_view
+from plumbline.plans.views import STEPS, build_view
 from plumbline.sources import rdf
 from plumbline.sources.cache import TableCache, lineage_key
 from plumbline.sources.datasets import SourceFrames, fingerprint, load_dataset
@@ -52,6 +52,7 @@ class Result:
     errors: list[str] = field(default_factory=list)
     envelope: dict[str, Any] = field(default_factory=dict)
     descriptor: str | None = None
+    cache: TableCache | None = field(default=None, repr=False)  # where the task's embeddings and clusters are kept
 
     def to_dict(self) -> dict:
         return {"name": self.name, "success": self.success, "metadata": self.envelope, "scalars": self.scalars, "findings": [vars(f) for f in self.findings], "errors": self.errors, "tables": {n: df.columns for n, df in self.tables.items()}}
@@ -125,22 +126,37 @@ def _algorithm(name: str | None, clusters: int | None) -> str:
     return name or ("kmeans" if clusters else "hdbscan")
 
 
-def _cluster_distances(items: DataFrame, embedding: str, name: str | None, clusters: int | None) -> DataFrame:
+def _kept(cache: TableCache | None, name: str, said: list, inputs: list[tuple[DataFrame, list[str]]], compute: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is computed once for what it is made of: these columns of these inputs, whatever rows a view or a filter
+    has left of them, and ``said``, the parameters."""
+    if cache is None:
+        return compute()
+    return cache.table(lineage_key(name, said, *(fingerprint(df.select(*columns)) for df, columns in inputs)), name, compute)
+
+
+def _cluster_distances(items: DataFrame, embedding: str, name: str | None, clusters: int | None, cache: TableCache | None = None) -> DataFrame:
     """``key, metric_value, cluster_id, deviations`` by the algorithm asked for."""
     algorithm = _algorithm(name, clusters)
     if algorithm == "hdbscan":
-        return density.density_distances(items, KEY, embedding)
-    return quality.cluster_distances(items, KEY, embedding, clusters or 10, algorithm=algorithm)
+        return _kept(cache, "clusters", [algorithm], [(items, [KEY, embedding])], lambda: density.density_distances(items, KEY, embedding))
+    return _kept(cache, "clusters", [algorithm, clusters or 10], [(items, [KEY, embedding])], lambda: quality.cluster_distances(items, KEY, embedding, clusters or 10, algorithm=algorithm))
 
 
-def _cluster_groups(items: DataFrame, embedding: str, sensitivity: float, name: str | None, clusters: int | None) -> DataFrame:
+def _cluster_groups(items: DataFrame, embedding: str, sensitivity: float, name: str | None, clusters: int | None, cache: TableCache | None = None) -> DataFrame:
     """``key, group_id`` of what hangs together below the cut in the tree of each cluster."""
-    algorithm = _algorithm(name, clusters)
-    placed = density.hdbscan(items, KEY, embedding) if algorithm == "hdbscan" else quality.cluster_distances(items, KEY, embedding, clusters or 10, algorithm=algorithm)
-    return density.cluster_duplicates(items, KEY, embedding, sensitivity, placed.select(KEY, F.col("cluster_id").cast("long").alias("cluster_id"))).select(F.col(KEY).alias("key"), "group_id")
+    algorithm, of = _algorithm(name, clusters), [(items, [KEY, embedding])]
+
+    def compute() -> DataFrame:
+        if algorithm == "hdbscan":
+            placed = _kept(cache, "members", [algorithm], of, lambda: density.hdbscan(items, KEY, embedding))
+        else:
+            placed = _cluster_distances(items, embedding, name, clusters, cache)
+        return density.cluster_duplicates(items, KEY, embedding, sensitivity, placed.select(KEY, F.col("cluster_id").cast("long").alias("cluster_id"))).select(F.col(KEY).alias("key"), "group_id")
+
+    return _kept(cache, "cluster_groups", [algorithm, clusters, sensitivity], of, compute)
 
 
-def _near_groups(items: DataFrame, p: c.Duplicates | c.PriorCleaning, embedding: str | None = None) -> DataFrame | None:
+def _near_groups(items: DataFrame, p: c.Duplicates | c.PriorCleaning, embedding: str | None = None, cache: TableCache | None = None) -> DataFrame | None:
     """``key, group_id, first`` (the group's smallest member) of near duplicates over all methods asked for; without merging,
     ``method`` too: groups by it. Groups of clusters come after the others, numbered behind them."""
     edges, wanted = [], getattr(p, "duplicate_cluster_sensitivity", None) if embedding else None
@@ -159,7 +175,7 @@ def _near_groups(items: DataFrame, p: c.Duplicates | c.PriorCleaning, embedding:
         parts = [g.withColumn("first", F.col("group_id")) for g in parts]
     if by_tree:
         before = max((g.agg(F.max("group_id")).first()[0] for g in parts), default=None)
-        groups = _cluster_groups(items, embedding, wanted, p.duplicate_cluster_algorithm, p.duplicate_n_clusters)
+        groups = _cluster_groups(items, embedding, wanted, p.duplicate_cluster_algorithm, p.duplicate_n_clusters, cache)
         groups = groups.select("key", (F.col("group_id") + F.lit(0 if before is None else before + 1)).alias("group_id"), F.col("group_id").alias("first"))
         parts.append(groups if getattr(p, "duplicate_merge_near", True) else groups.withColumn("method", F.lit("cluster")))
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -173,7 +189,7 @@ def _duplicates(items: DataFrame, n: int, p: Any, prefix: str, title: str, out:
         out.tables[f"{prefix}duplicates"] = quality.exact_duplicates(items, KEY, p.content)
         copies = quality.flagged_copies(items, KEY, p.content)
         exact = copies.count()
-    groups = _near_groups(items, p, getattr(p, "embedding", None))
+    groups = _near_groups(items, p, getattr(p, "embedding", None), out.cache)
     if groups is not None:
         out.tables[f"{prefix}near_duplicates"] = groups
         more = groups.filter(F.col("key") != F.col("first")).select(F.col("key").alias(KEY)).distinct()
@@ -192,7 +208,7 @@ def cleaning(sources: dict[str, SourceFrames], p: c.Cleaning, out: Result) -> No
     n = items.count()
     issues = quality.outlier_issues(items, [KEY], p.chosen(items.columns), p.outlier_method, p.outlier_threshold)
     if p.outlier_cluster_threshold:
-        far = _cluster_distances(items, p.embedding, p.outlier_cluster_algorithm, p.outlier_n_clusters).filter(F.col("deviations") > p.outlier_cluster_threshold)
+        far = _cluster_distances(items, p.embedding, p.outlier_cluster_algorithm, p.outlier_n_clusters, out.cache).filter(F.col("deviations") > p.outlier_cluster_threshold)
         issues = issues.unionByName(far.select(KEY, F.lit("cluster_distance").alias("metric_name"), "metric_value")).dropDuplicates([KEY, "metric_name"])
     out.tables |= {"outliers": issues, "outlier_summary": quality.summary_by_metric(issues, [KEY])}
     flagged = issues.select(KEY).distinct()
@@ -552,7 +568,9 @@ def prioritization(sources: dict[str, SourceFrames], p: c.Prioritization, out: R
         k = p.k or max(1, round(size**0.5))
         scores = neighbors.mean_distance(neighbors.knn(pool, reference, KEY, p.embedding, k, exclude_self=False), KEY)
     elif p.method.startswith("hdbscan"):
-        scores = density.hdbscan_scores(pool, reference, KEY, p.embedding, p.method, p.min_cluster_size)
+        compute = lambda: density.hdbscan_scores(pool, reference, KEY, p.embedding, p.method, p.min_cluster_size)
+        sides = [(df, [KEY, p.embedding]) for df in (pool, reference) if df is not None]
+        scores = _kept(out.cache, "scores", [p.method, p.min_cluster_size], sides, compute)
     else:
         scores = neighbors.kmeans_scores(pool, reference, KEY, p.embedding, p.c or max(2, round(size**0.5)), p.method)
     if p.policy == "class_balanced":
@@ -594,7 +612,7 @@ def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
             parts.append(quality.outlier_sweep(items, [KEY], metrics, [m], [CUTOFFS[m]]).select(F.lit("outliers").alias("kind"), "method", F.lit(None).cast("double").alias("threshold"), F.col("outlier_count").alias("n")))
     if p.embedding and p.outlier_cluster_threshold:
         for algorithm in p.outlier_cluster_algorithm:  # clusters once for each
-            far = _cluster_distances(items, p.embedding, algorithm, p.outlier_n_clusters).checkpoint()
+            far = _cluster_distances(items, p.embedding, algorithm, p.outlier_n_clusters, out.cache).checkpoint()
             algorithm = _algorithm(algorithm, p.outlier_n_clusters)
             for t in p.outlier_cluster_threshold:
                 parts.append(far.filter(F.col("deviations") > t).agg(F.count("*").alias("n")).select(F.lit("cluster_outliers").alias("kind"), F.lit(algorithm).alias("method"), F.lit(float(t)).alias("threshold"), "n"))
@@ -609,7 +627,7 @@ def sweep(sources: dict[str, SourceFrames], p: c.Sweep, out: Result) -> None:
         every = reduce(DataFrame.unionByName, edges).checkpoint() if edges else None
         more = None
         if sensitivity is not None and not by_edges:
-            more = _cluster_groups(items, p.embedding, sensitivity, asked, p.duplicate_n_clusters).filter("key <> group_id").select("key").checkpoint()
+            more = _cluster_groups(items, p.embedding, sensitivity, asked, p.duplicate_n_clusters, out.cache).filter("key <> group_id").select("key").checkpoint()
         for merge in p.duplicate_merge_near:
             chosen = [] if every is None else [every] if merge else [every.filter(F.col("method") == m) for (m,) in every.select("method").distinct().collect()]
             found = [duplicates.merged_groups(e).filter("key <> group_id").select("key") for e in chosen] + ([more] if more is not None else [])
@@ -658,19 +676,39 @@ def with_image_stats(spark: SparkSession, frames: SourceFrames, cache: str | Non
     return frames
 
 
-def with_embeddings(sources: dict[str, SourceFrames], e: c.Extractor, config: c.Pipeline) -> None:
-    """Items with ``embedding`` of their pixels, after the extractor's preprocessing; all sources share a vocabulary."""
+def with_embeddings(sources: dict[str, SourceFrames], e: c.Extractor, config: c.Pipeline, cache: TableCache | None = None) -> None:
+    """Items with ``embedding`` of their pixels, after the extractor's preprocessing; all sources share the vocabulary of the
+    first. Kept in ``cache`` under the items' files (pixels, where items are no whole files), the views' steps, which ``lineage``
+    names, and the extractor's; labels and factors don't count."""
     steps = [s.model_dump() for s in config.get("preprocessors", e.preprocessor).steps] if e.preprocessor else []
-    words = None
-    for frames in sources.values():
-        items = frames.items
-        if "image" not in items.columns:
+    ready: dict[str, DataFrame] = {}
+    made_of: dict[str, tuple[DataFrame, list[str]]] = {}
+    for name, frames in sources.items():
+        if "image" not in frames.items.columns:
             raise ValueError(f"extractor {e.name!r} needs decoded items (dataset option decode)")
-        ready = embedding.transformed(items, steps) if steps else items
-        if e.model == "bovw" and words is None:
-            words = embedding.vocabulary(ready, e.vocab_size, seed=e.seed)
-        made = embedding.flattened(ready) if e.model == "flatten" else embedding.bag_of_words(ready, words, e.vocab_size)
-        frames.items = made.drop("image").checkpoint()
+        ready[name] = embedding.transformed(frames.items, steps) if steps else frames.items
+        files = ("path", "length", "modificationTime")
+        whole = set(files) <= set(frames.items.columns) and not any(o["type"] == "DetectionCrops" for o in frames.lineage or [])
+        made_of[name] = (frames.items, [KEY, *(files if whole else ["image"])])
+    first = next(iter(sources))
+    words: list = []
+
+    def compute(name: str) -> DataFrame:
+        if e.model == "flatten":
+            made = embedding.flattened(ready[name])
+        else:
+            if not words:  # only if an embedding isn't kept
+                words.append(embedding.vocabulary(ready[first], e.vocab_size, seed=e.seed))
+            made = embedding.bag_of_words(ready[name], words[0], e.vocab_size)
+        return made.select(KEY, "embedding")
+
+    said = [e.model_dump(exclude={"name", "preprocessor"}), steps]
+    for name, frames in sources.items():
+        inputs = [made_of[name]] if e.model == "flatten" else [made_of[name], made_of[first]]
+        steps_of = [sources[n].lineage for n in ([name] if e.model == "flatten" else [name, first])]
+        made = _kept(cache, "embeddings", [*said, steps_of], inputs, lambda name=name: compute(name))
+        made = made if cache else made.checkpoint()
+        frames.items = frames.items.drop("image", "embedding").join(made, KEY, "left")
 
 
 def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frames_of: dict[str, SourceFrames] | None = None, cache: str | None = None) -> tuple[dict[str, SourceFrames], encoding.Policy | None]:
@@ -690,11 +728,12 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
         if source.view:
             operations = config.get("views", source.view).operations
             frames.items = build_view(frames.items, operations, KEY, targets=frames.targets)
+            frames.lineage = [o for o in operations if o["type"] in STEPS or o["type"] == "DetectionCrops"]  # what the items' rows don't show
             if any(o["type"] == "DetectionCrops" for o in operations):
                 frames.targets = None  # they are the items now
         out[name] = frames
     if task.extractor:
-        with_embeddings(out, config.get("extractors", task.extractor), config)
+        with_embeddings(out, config.get("extractors", task.extractor), config, TableCache(spark, cache) if cache else None)
     if policy:
         first = policy.reference_split or task.names[0]
         factors = tuple(getattr(config.get("workflows", task.workflow), "factors", ()))
@@ -707,7 +746,7 @@ def bind(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str, frame
 def run_task(spark: SparkSession, task: c.Task, config: c.Pipeline, root: str = ".", frames: dict[str, SourceFrames] | None = None, cache: str | None = None) -> Result:
     """``frames``: datasets that are in memory, by name; they are not read from their paths."""
     params = config.get("workflows", task.workflow)
-    out = Result(task.name)
+    out = Result(task.name, cache=TableCache(spark, cache) if cache else None)
     began = time.time()
     metadata: dict = {}
     binning: dict = {}

@@ -22,6 +22,7 @@ class SourceFrames:
     targets: DataFrame | None = None
     classes: DataFrame | None = None
     label_source: str | None = None
+    lineage: list | None = None  # steps that changed the items' pixels
 
 
 def _numbered(df: DataFrame, order: str = "path") -> DataFrame:
