@@ -53,20 +53,22 @@ def profile(df: DataFrame, metrics: list[str], methods: Iterable[str] = tuple(NE
     return out.select("metric_name", *(F.col(n) if n in out.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
 
 
-def distance(method: str, value: Column) -> Column:
-    """How far a value lies from its metric's profile, in the method's own units (compare with its cutoff)."""
-    z = F.when(F.col("std") > 0, F.abs(value - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0))
-    off = F.abs(value - F.col("q")[1])
-    modified = F.when(F.col("mad") > 0, F.lit(MAD_SCALE) * off / F.col("mad")).when(F.col("mead") > 0, off / (F.lit(MEAN_AD_SCALE) * F.col("mead"))).otherwise(F.lit(0.0))
+def distance(method: str, value: Column, profile: str = "") -> Column:
+    """How far a value lies from its metric's profile (columns, or fields of the column ``profile``), in the method's own
+    units (compare with its cutoff)."""
+    of = lambda name: F.col(f"{profile}.{name}" if profile else name)
+    z = F.when(of("std") > 0, F.abs(value - of("mean")) / of("std")).otherwise(F.lit(0.0))
+    off = F.abs(value - of("q")[1])
+    modified = F.when(of("mad") > 0, F.lit(MAD_SCALE) * off / of("mad")).when(of("mead") > 0, off / (F.lit(MEAN_AD_SCALE) * of("mead"))).otherwise(F.lit(0.0))
     if method == "zscore":
         return z
     if method == "modzscore":
         return modified
     if method == "iqr":
-        spread = F.col("q")[2] - F.col("q")[0]
-        beyond = F.greatest(F.col("q")[0] - value, value - F.col("q")[2], F.lit(0.0))
+        spread = of("q")[2] - of("q")[0]
+        beyond = F.greatest(of("q")[0] - value, value - of("q")[2], F.lit(0.0))
         return F.when(beyond == 0, F.lit(0.0)).when(spread > 0, beyond / spread).otherwise(F.lit(float("inf")))
     if method == "adaptive":
-        heavy = (F.abs("skew") > SKEW_LIMIT) | (F.col("kurt") > KURTOSIS_LIMIT)
+        heavy = (F.abs(of("skew")) > SKEW_LIMIT) | (of("kurt") > KURTOSIS_LIMIT)
         return F.when(heavy, modified).otherwise(z)
     raise ValueError(f"unknown outlier method {method!r}; one of {sorted(CUTOFFS)}")

@@ -23,12 +23,22 @@ def outlier_issues(stats: DataFrame, keys: list[str], metrics: list[str], method
 
 
 def outlier_sweep(stats: DataFrame, keys: list[str], metrics: list[str], methods: list[str], thresholds: list[float]) -> DataFrame:
-    """``method, threshold, outlier_count`` (distinct keys) of every combination, from one profile and one scan."""
-    values = unpivot(stats, keys, metrics).join(F.broadcast(profile(stats, metrics, methods)), "metric_name")
-    combos = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(float(t)).alias("threshold"), distance(m, F.col("metric_value")).alias("d")) for m in methods for t in thresholds)))
+    """``method, threshold, outlier_count`` (distinct keys) of every combination, from one profile and one scan. Only keys of
+    rows beyond the least threshold are shuffled, one row each."""
+    bounds = profile(stats, metrics, methods)
+    fields = [c for c in bounds.columns if c != "metric_name"]
+    if bounds.dropna("all", subset=fields).isEmpty():
+        return stats.sparkSession.createDataFrame([], "method string, threshold double, outlier_count long")  # no values
+    wide = stats.select(*keys, *(F.col(m).cast("double").alias(f"__v{i}") for i, m in enumerate(metrics)))
+    one = bounds.agg(*(F.max_by(F.struct(*fields), F.col("metric_name") == m).alias(f"__p{i}") for i, m in enumerate(metrics)))
     # the furthest metric of a key decides
-    far = values.select(*keys, combos.alias("c")).groupBy(*keys, F.col("c.method").alias("method"), F.col("c.threshold").alias("threshold")).agg(F.max("c.d").alias("d"))
-    return far.groupBy("method", "threshold").agg(F.count(F.when(F.col("d") > F.col("threshold"), 1)).alias("outlier_count"))
+    each = lambda m: [F.when(F.col(f"__v{i}").isNotNull(), distance(m, F.col(f"__v{i}"), f"__p{i}")) for i in range(len(metrics))]
+    far = wide.crossJoin(F.broadcast(one)).select(*keys, *(F.greatest(*each(m), F.lit(None).cast("double")).alias(f"__d{i}") for i, m in enumerate(methods)))
+    beyond = F.greatest(*(F.col(f"__d{i}") for i in range(len(methods))), F.lit(None).cast("double")) > min(map(float, thresholds))
+    furthest = far.filter(beyond).groupBy(*keys).agg(*(F.max(f"__d{i}").alias(f"__d{i}") for i in range(len(methods))))
+    combos = [(i, m, float(t)) for i, m in enumerate(methods) for t in thresholds]
+    counts = furthest.agg(*(F.count(F.when(F.col(f"__d{i}") > t, 1)).alias(f"__n{at}") for at, (i, _, t) in enumerate(combos)))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(t).alias("threshold"), F.col(f"__n{at}").alias("outlier_count")) for at, (_, m, t) in enumerate(combos)))).alias("c")).select("c.*")
 
 
 def level_of(issues: DataFrame, target: str = "target_index") -> tuple[DataFrame, DataFrame]:
