@@ -1,16 +1,16 @@
 """Exact k nearest neighbours in blocks, and what rests on them: coverage, dispersion, OOD scores, prioritization.
 
 Both sides are packed into blocks of ``BLOCK`` vectors and sent to the cells of a grid, queries along its rows, references
-along its columns: each block moves about sqrt(n) times, not once for each block that it meets. In a cell a product of
-matrices gives each query's best k over the cell's references, and this partial top-k goes on. No pair is ever a row. The result
-is exact and costs queries times references; for approximate search at scale an index belongs in front. Spanning trees
-are exact too, from the trees of every two blocks.
+along its columns: a block moves once for each of a few rows or columns, not for each block that it meets. In a cell products
+of matrices give each query's best k over the cell's references, and this partial top-k goes on. No pair is ever a row. The
+result is exact and costs queries times references; for approximate search at scale an index belongs in front. Spanning
+trees are exact too, by Boruvka rounds on neighbours.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ from plumbline.functions.ordering import numbered, renumbered
 from plumbline.functions.quantiles import exact_quantiles, quantile
 
 BLOCK = 2048
-#: Blocks of references that a task holds.
-HELD = 64
+#: Blocks that a task holds.
+HELD = 32
+#: Parts that blocks are dealt into so that all cores have work.
+WAYS = 16
 
 
 def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str | None = None) -> tuple[DataFrame, int]:
@@ -43,86 +45,191 @@ def _blocks(df: DataFrame, key: str, vector: str, block: int, side: str | None =
     return dealt.groupBy("b").applyInArrow(pack, "b int, k binary, x binary" + ", s binary" * bool(side)), count
 
 
-def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK, within: str | None = None) -> DataFrame:
+def opened(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, vectors and groups of a block, without rows that are not finite."""
+    k, x, s = row
+    names = np.frombuffer(k, np.int64)
+    x, s = np.frombuffer(x, np.float64).reshape(len(names), -1), np.frombuffer(s, np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        sound = np.isfinite((x * x).sum(1))
+    return (names, x, s) if sound.all() else (names[sound], x[sound], s[sound])
+
+
+class Known:
+    """A block made ready for products: ``x, 1`` against ``y, -y * y / 2`` (cosine: unit vectors) is larger for nearer
+    rows. With ``core`` the first component is a distance that the row is no nearer than to any other."""
+
+    def __init__(self, row: tuple, cosine: bool, core: bool) -> None:
+        self.names, x, self.groups = opened(row)
+        self.core, self.x = (x[:, 0], np.ascontiguousarray(x[:, 1:])) if core else (None, x)
+        self.square = (self.x * self.x).sum(1)
+        self.norm = np.sqrt(self.square)
+        self.longest = float(self.norm.max()) if len(x) else 0.0
+        self.unit = self.x / np.maximum(self.norm, 1e-300)[:, None] if cosine else None
+        self.made: dict = {}
+
+    def factor(self, kind: type, asks: bool) -> np.ndarray:
+        """One side of the product, rounded to ``kind``."""
+        if (kind, asks) not in self.made:
+            more = np.ones(len(self.x)) if asks else -self.square / 2
+            self.made[kind, asks] = (np.column_stack([self.x, more]) if self.unit is None else self.unit).astype(kind)
+        return self.made[kind, asks]
+
+
+class Nearest:
+    """The best k of a query block over the reference blocks that it meets one after the other.
+
+    Once k are known, only rows that are no farther than the k-th can be better: a product of matrices, in single
+    precision where its rounding is small beside that distance, and a comparison with a bound that allows for all
+    rounding find them; their distances are then taken term by term in double precision."""
+
+    ROWS, PAIRS = 512, 1 << 16
+
+    def __init__(self, asking: Known, k: int, exclude_self: bool, within: bool, apart: bool) -> None:
+        self.q, self.k, self.exclude_self, self.within, self.apart = asking, k, exclude_self, within, apart
+        self.d = np.full((len(asking.x), k), np.inf)
+        self.n = np.full((len(asking.x), k), np.iinfo(np.int64).max)
+
+    def distances(self, r: Known, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        q, out = self.q, np.empty(len(i))
+        for lo in range(0, len(i), self.PAIRS):
+            a, b = i[lo : lo + self.PAIRS], j[lo : lo + self.PAIRS]
+            if q.unit is None:
+                out[lo : lo + self.PAIRS] = np.sqrt(((q.x[a] - r.x[b]) ** 2).sum(1))
+            else:
+                out[lo : lo + self.PAIRS] = 1 - (q.x[a] * r.x[b]).sum(1) / np.maximum(q.norm[a] * r.norm[b], 1e-300)
+        return out if q.core is None else np.maximum(out, np.maximum(q.core[i], r.core[j]))
+
+    def allowed(self, r: Known, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = self.q.groups[i] == r.groups[j]
+        return same if self.within else ~same
+
+    def add(self, r: Known, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs, none of them known yet, compete with the best so far."""
+        if (self.within or self.apart) and len(i):
+            use = self.allowed(r, i, j)
+            i, j = i[use], j[use]
+        d = self.distances(r, i, j)
+        use = np.isfinite(d) & (d <= self.d[i, -1])
+        i, j, d = i[use], j[use], d[use]
+        if not len(i):
+            return
+        rows, at = np.unique(i, return_inverse=True)
+        q = np.concatenate([at, np.repeat(np.arange(len(rows)), self.k)])
+        d, n = np.concatenate([d, self.d[rows].ravel()]), np.concatenate([r.names[j], self.n[rows].ravel()])
+        order = np.lexsort((n, d, q))
+        heads = np.cumsum(np.append(0, np.bincount(q)[:-1]))
+        best = order[heads[:, None] + np.arange(self.k)]
+        self.d[rows], self.n[rows] = d[best], n[best]
+
+    def meet(self, r: Known) -> None:
+        if not len(r.x):
+            return
+        q, width = self.q, len(r.x)
+        for lo in range(0, len(q.x), self.ROWS):
+            hi = min(lo + self.ROWS, len(q.x))
+            norm, square = q.norm[lo:hi], q.square[lo:hi]
+            hidden = np.zeros((0, 2), np.int64)
+            if self.exclude_self:
+                first, last = (np.searchsorted(r.names, q.names[lo:hi], side) for side in ("left", "right"))
+                hidden = np.array([(i, j) for i in np.flatnonzero(last > first) for j in range(first[i], last[i])], np.int64).reshape(-1, 2)
+
+            def product(kind: type) -> np.ndarray:
+                g = q.factor(kind, True)[lo:hi] @ r.factor(kind, False).T
+                g[hidden[:, 0], hidden[:, 1]] = -np.inf
+                return g
+
+            def rounding(kind: type) -> np.ndarray:
+                much = (q.x.shape[1] + 8) * np.finfo(kind).eps
+                return much * (4.0 if q.unit is not None else norm * r.longest + r.longest**2 + square)
+
+            fits = max(q.longest, r.longest) < 1e15  # in single precision, squared
+            kind = np.float32 if fits else np.float64
+            g = product(kind)
+            new = np.flatnonzero(np.isinf(self.d[lo:hi, -1]))
+            if len(new):  # any k give a bound
+                part = g[new]
+                if self.within or self.apart:
+                    same = q.groups[lo + new][:, None] == r.groups[None, :]
+                    part[~same if self.within else same] = -np.inf
+                m = min(self.k + 8, width)
+                at = np.argpartition(part, width - m, axis=1)[:, width - m :]
+                i, j = np.repeat(np.arange(len(new)), m), at.ravel()
+                use = part[i, j] > -np.inf
+                i, j = new[i[use]], j[use]
+                self.add(r, lo + i, j)
+                hidden = np.concatenate([hidden, np.column_stack([i, j])])
+                g[i, j] = -np.inf
+            t = self.d[lo:hi, -1]
+            some = np.isfinite(t)  # of the others all pairs are known
+            if not some.any() or width <= self.k + 8 and len(new) == hi - lo:
+                continue
+            t = np.where(some, t, 0.0)
+            if kind is np.float32 and np.median(np.broadcast_to(rounding(kind), t.shape)[some]) > 1e-3 * np.median(t[some] if q.unit is not None else t[some] ** 2):
+                kind = np.float64
+                g = product(kind)
+            slack = rounding(kind) + (q.x.shape[1] + 8) * np.finfo(kind).eps * t**2
+            least = (1 - t if q.unit is not None else (square - t**2) / 2) - slack
+            near = g >= np.where(some, least, np.inf).astype(kind)[:, None]
+            i, j = np.divmod(np.flatnonzero(near), width)
+            for at in range(0, len(i), 1 << 18):
+                self.add(r, lo + i[at : at + (1 << 18)], j[at : at + (1 << 18)])
+
+
+def knn(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK, within: str | None = None, apart: str | None = None, core: bool = False) -> DataFrame:
     """``key, rank, neighbor, dist``: the k nearest references of every query, ties to the smaller key. ``metric``:
     euclidean or cosine (1 - cosine; a zero vector is at distance 1 from all). ``within``: only rows of the same value of
-    this column are neighbours (by its hash)."""
+    this column are neighbours (by its hash); ``apart``: only rows of other values. ``core``: the first component is a
+    distance that the row is no nearer than to any other (mutual reachability)."""
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    group = F.xxhash64(F.col(within).cast("string")) if within else F.lit(0).cast("long")
+    by = within or apart
+    group = F.xxhash64(F.col(by).cast("string")) if by else F.lit(0).cast("long")
     left, asking = _blocks(queries.withColumn("__s", group), key, vector, block, "__s")
     right, asked = _blocks(references.withColumn("__s", group), key, vector, block, "__s")
-
-    def opened(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, vectors and groups of a block."""
-        k, x, s = row
-        names = np.frombuffer(k, np.int64)
-        return names, np.frombuffer(x, np.float64).reshape(len(names), -1), np.frombuffer(s, np.int64)
-
-    def near(queried: tuple, known: tuple) -> Iterator[tuple[np.ndarray, ...]]:
-        (qk, qx, qs), (rk, rx, rs) = queried, known
-        for lo in range(0, len(qk), 512):
-            a, names = qx[lo : lo + 512], qk[lo : lo + 512]
-            if metric == "cosine":
-                na, nr = (np.linalg.norm(z, axis=1) for z in (a, rx))
-                d = 1 - a @ rx.T / np.maximum(np.outer(na, nr), 1e-300)
-            else:
-                d = squared_distances(a, rx)
-            if exclude_self:
-                d[names[:, None] == rk[None, :]] = np.inf
-            if within:
-                d[qs[lo : lo + 512][:, None] != rs[None, :]] = np.inf
-            m = min(k + 8, len(rk))  # a few more than k: distances are settled below, term by term
-            at = np.argpartition(d, m - 1, axis=1)[:, :m]
-            i = np.repeat(np.arange(len(names)), m)
-            j = at.ravel()
-            use = np.isfinite(d[i, j])
-            i, j = i[use], j[use]
-            exact = d[i, j] if metric == "cosine" else np.sqrt(((a[i] - rx[j]) ** 2).sum(1))
-            yield names[i], rk[j], exact
-
-    def nearest(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        """The best k of a query block over all reference blocks that it met here."""
-        q, n, d = (np.concatenate(z) for z in zip(*found))
-        order = np.lexsort((n, d, q))
-        q, n, d = q[order], n[order], d[order]
-        heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-        keep = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < k
-        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(d[keep])], ["q", "neighbor", "dist"])
+    cosine = metric == "cosine"
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cell by cell: its reference blocks come first and are held, then its query blocks, one at a time."""
-        cell, known = None, []
-        for batch in batches:
-            for i, j, side, *row in zip(*(column.to_pylist() for column in batch.columns)):
-                if (i, j) != cell:
-                    cell, known = (i, j), []
-                if side == 0:
-                    known.append(opened(row))
-                elif known:
-                    queried, found = opened(row), []
-                    for r in known:
-                        found.extend(near(queried, r))
-                        if sum(len(q) for q, _, _ in found) > 4_000_000:
-                            yield nearest(found)
-                            found = []
-                    if found:
-                        yield nearest(found)
-
-    # a grid of cells: a block goes to one row or column of it, so n blocks move sqrt(n) times each
-    rows, columns = _sides(asking), _sides(asked)
+        for known, row in met_in_cells(batches, lambda row: Known(row, cosine, core)):
+            found = Nearest(Known(row, cosine, core), k, exclude_self, bool(within), bool(apart))
+            for r in known:
+                found.meet(r)
+            i, j = np.nonzero(np.isfinite(found.d))
+            yield pa.RecordBatch.from_arrays([pa.array(found.q.names[i]), pa.array(found.n[i, j]), pa.array(found.d[i, j])], ["q", "neighbor", "dist"])
+
+    # a grid of cells, a task each: a block of references goes to one column of it, a block of queries to one row
+    rows, columns = _sides(asking, asked)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = right.select(upto(rows).alias("i"), F.pmod("b", F.lit(columns)).alias("j"), F.lit(0).alias("side"), "k", "x", "s")
-    ask = left.select(F.pmod("b", F.lit(rows)).alias("i"), upto(columns).alias("j"), F.lit(1).alias("side"), "k", "x", "s")
-    cells = met.unionByName(ask).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    cell = (F.col("i") * columns + F.col("j")).cast("int").alias("cell")
+    met = right.select(upto(rows).alias("i"), F.pmod("b", F.lit(columns)).alias("j"), "k", "x", "s").select(cell, F.lit(0).alias("side"), "k", "x", "s")
+    ask = left.select(F.pmod("b", F.lit(rows)).alias("i"), upto(columns).alias("j"), "k", "x", "s").select(cell, F.lit(1).alias("side"), "k", "x", "s")
+    cells = met.unionByName(ask).repartitionById(rows * columns, F.col("cell")).sortWithinPartitions("cell", "side")
     found = cells.mapInArrow(best, "q long, neighbor long, dist double")
     order = Window.partitionBy("q").orderBy("dist", "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", "neighbor", "dist")
 
 
-def _sides(blocks: int) -> int:
-    """Parts that so many blocks are dealt into: about their square root, all of few, and none of more than ``HELD``."""
-    return max(min(blocks, 8), math.ceil(math.sqrt(blocks)), math.ceil(blocks / HELD))
+def met_in_cells(batches: Iterable[pa.RecordBatch], ready: Callable[[tuple], object]) -> Iterator[tuple[list, tuple]]:
+    """``held, row`` of each row of side 1, with the rows of side 0 of its cell, made ready; rows are sorted by cell and
+    side. One row is taken out of a batch at a time."""
+    cell, held = None, []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            here, side, *row = (column[at].as_py() for column in batch.columns)
+            if here != cell:
+                cell, held = here, []
+            if side == 0:
+                held.append(ready(row))
+            elif held:
+                yield held, row
+
+
+def _sides(asking: int, asked: int) -> tuple[int, int]:
+    """Rows and columns of a grid for so many blocks of queries and references: no cell has more than ``HELD`` of
+    references, and few columns send few blocks of queries around."""
+    rows = min(asking, WAYS)
+    return rows, max(math.ceil(asked / HELD), min(asked, math.ceil(WAYS / rows)))
 
 
 def mean_distance(neighbours: DataFrame, key: str) -> DataFrame:
@@ -321,13 +428,29 @@ def fnn_divergence(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFra
     return crossing.crossJoin(F.broadcast(sizes)).select(F.round(F.greatest(F.lit(0.0), 1 - F.col("crossing") * (F.col("m") + F.col("n")) / (2.0 * F.col("m") * F.col("n"))), 6).alias("divergence"), "crossing")
 
 
-def meetings(blocks: DataFrame, n: int) -> DataFrame:
-    """Every two of ``n`` blocks once, as the columns of one and those of the other with ``2`` appended; a block meets
-    itself. Each block goes half the way round, so that all take part in about as many."""
-    steps = F.sequence(F.lit(0), F.lit(n // 2))
-    other = blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns))
-    dealt = blocks.withColumn("step", F.explode(steps)).filter((F.col("step") * 2 < n) | (F.col("b") * 2 < n))
-    return dealt.withColumn("b2", F.pmod(F.col("b") + F.col("step"), F.lit(n)).cast("int")).drop("step").join(other, "b2")
+def meetings(blocks: DataFrame, n: int, *columns: str) -> DataFrame:
+    """Every two of ``n`` blocks in one cell of a triangle (``cell, side, b`` and the columns; for ``met_pairs``): blocks are
+    dealt into parts, every two parts are a cell, a task each, that holds one and takes the blocks of the other one at a
+    time. A block moves once for each part, not for each block."""
+    parts = max(min(n, WAYS), math.ceil(n / HELD))
+    dealt = blocks.withColumn("p", F.pmod("b", F.lit(parts))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    low, high = F.least("p", "o"), F.greatest("p", "o")
+    cell = (high * (high + 1) / 2 + low).cast("int")
+    # a part is held where it is the lower one; in its own cell it is also the one that comes
+    sides = F.explode(F.when(F.col("p") < F.col("o"), F.array(F.lit(0))).when(F.col("p") > F.col("o"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+    met = dealt.select(cell.alias("cell"), sides.alias("side"), "b", *columns)
+    return met.repartitionById(parts * (parts + 1) // 2, F.col("cell")).sortWithinPartitions("cell", "side", "b")
+
+
+def met_pairs(batches: Iterable[pa.RecordBatch], ready: Callable[[tuple], tuple]) -> Iterator[tuple[tuple, tuple]]:
+    """Every two blocks that ``meetings`` brought together, made ready (a tuple that the number begins), once; each meets
+    itself. A part that meets itself meets the blocks before."""
+    for held, row in met_in_cells(batches, ready):
+        own = any(h[0] == row[0] for h in held)
+        other = ready(row)
+        for h in held:
+            if not own or h[0] <= other[0]:
+                yield h, other
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -355,38 +478,99 @@ def _tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return parent[ends], ends
 
 
-#: Edges that the driver holds at once to end a spanning tree; more are contracted by Spark first.
-DRIVER_EDGES = 500_000
+#: Edges and components that the driver holds at once to join them; more are joined by Spark.
+DRIVER_EDGES = 100_000
+#: Neighbours of each row that a spanning tree starts from.
+NEAR = 10
 
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One Boruvka round: the least edge of every component, and the edges left between the components joined by them.
+def _contracted(edges: DataFrame, sure: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One Boruvka round: the least edge of every component (``c``) of ``sure`` that has one no longer than its ``low``;
+    the edges left between the components joined by them; and ``c, p``, the new component of each that changes.
     edges: a, b (components), d, ka, kb."""
     e = F.struct("d", "ka", "kb", "a", "b")
-    least = edges.select(F.col("a").alias("c"), e.alias("e")).union(edges.select(F.col("b").alias("c"), e.alias("e"))).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*").checkpoint()
+    least = edges.select(F.col("a").alias("c"), e.alias("e")).union(edges.select(F.col("b").alias("c"), e.alias("e"))).groupBy("c").agg(F.min("e").alias("e")).join(sure, "c").filter("e.d <= low").select("c", "e.*").checkpoint()
+    if least.count() <= DRIVER_EDGES:
+        parents = _held_together(least)
+        return least.select("ka", "kb", "d").distinct(), _moved(edges, parents), parents
     other = F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    to = least.select("c", other.alias("p"), "ka", "kb")
+    to = least.select("c", other.alias("p"))
     back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-    # edges are in a strict order, so that cycles are of two: the smaller of both is the root
-    parents = to.join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")).checkpoint()
+    # edges are in a strict order, so that cycles are of two: the smaller of both is the root, as is one without an edge
+    ends = to.select(F.col("p").alias("c")).distinct().join(to, "c", "left_anti").select("c", F.col("c").alias("p"))
+    parents = to.join(back, "p", "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")).union(ends).checkpoint()
     while True:
         jumped = parents.join(parents.select(F.col("c").alias("p"), F.col("p").alias("g")), "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")).checkpoint()
         parents = jumped.select("c", "p")
         if jumped.filter("moved").isEmpty():
             break
-    roots = lambda end: parents.select(F.col("c").alias(end), F.col("p").alias(f"{end}r"))
-    moved = edges.join(roots("a"), "a").join(roots("b"), "b").filter("ar <> br")
-    left = moved.groupBy(F.least("ar", "br").alias("a"), F.greatest("ar", "br").alias("b")).agg(F.min(F.struct("d", "ka", "kb")).alias("e")).select("a", "b", "e.*").checkpoint()
-    return least.select("ka", "kb", "d").distinct(), left
+    return least.select("ka", "kb", "d").distinct(), _moved(edges, parents), parents
+
+
+def _held_together(least: DataFrame) -> DataFrame:
+    """``c, p``: the components that edges (``a, b``) join, by one of each."""
+    e = least.select("a", "b").toArrow()
+    names, at = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for u, v in zip(at[: len(at) // 2].tolist(), at[len(at) // 2 :].tolist()):
+        root[find(u)] = find(v)
+    return least.sparkSession.createDataFrame(pa.table({"c": names, "p": names[np.array([find(v) for v in range(len(names))], np.int64)]}))
+
+
+def _moved(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """The least edge between any two of the new components."""
+    for end in ("a", "b"):
+        edges = edges.join(parents.select(F.col("c").alias(end), "p"), end, "left").withColumn(end, F.coalesce("p", end)).drop("p")
+    return edges.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("d", "ka", "kb")).alias("e")).select("a", "b", "e.*").checkpoint()
+
+
+def joined(a: np.ndarray, b: np.ndarray, order: np.ndarray, d: np.ndarray, size: np.ndarray, low: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Boruvka rounds among components 0 to n: the edges used, and the root of each component. A component takes its least
+    edge if that is no longer than its ``low``, below which there may be unknown ones; the largest need not take any."""
+    n, used, root = len(size), [], list(range(len(size)))
+    a, b, live = a[order], b[order], order
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    at = np.arange(n)
+    while True:
+        a, b = at[a], at[b]
+        apart = a != b
+        a, b, live = a[apart], b[apart], live[apart]
+        total, least, best = np.bincount(at, size, n), np.full(n, np.inf), np.full(n, len(live))
+        np.minimum.at(least, at, low)
+        np.minimum.at(best, a, np.arange(len(live)))
+        np.minimum.at(best, b, np.arange(len(live)))
+        some = np.flatnonzero(best < len(live))
+        some = some[(d[live[best[some]]] <= least[some]) & (some != total.argmax())]
+        if not len(some):
+            return used, at
+        for e in np.unique(best[some]).tolist():
+            u, v = find(int(a[e])), find(int(b[e]))
+            if u != v:
+                root[v] = u
+                used.append(int(live[e]))
+        at = np.array([find(v) for v in range(n)])[at]
 
 
 def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK, core: str | None = None) -> DataFrame:
     """``a, b, d``: a Euclidean minimum spanning tree of any number of vectors and its lengths; keys are unique, a < b.
     ``core``: a column of distances that edges of a row are no shorter than (the larger of both ends: mutual reachability).
 
-    Equal vectors hang on the smallest key among them. Every two blocks of the distinct vectors give the minimum spanning
-    tree of both; an edge that is in none of these closes a cycle of shorter ones, so the tree is among theirs. Boruvka
-    rounds contract these edges until the driver can take the rest.
+    Equal vectors hang on the smallest key among them. The ``NEAR`` nearest of every distinct row are edges to start
+    from, and no unknown edge of the row is shorter than the last of them. So the least known edge of a component is its
+    least one if no row of it has a nearer end of its list: Boruvka rounds take these, by Spark until the driver can hold
+    the rest. Where a list ends too early, its row is given the nearest ones outside its component, by another search; the
+    largest component never needs any.
     """
     # the core distance travels as a component in front of the others
     x = F.transform(F.col(vector).cast("array<double>"), lambda v: v + F.lit(0.0))
@@ -396,14 +580,11 @@ def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK, core
     copies = rows.join(firsts.select("x", F.col("k").alias("a")), "x").filter("k <> a").select("a", F.col("k").alias("b"), F.col("x")[0].alias("d"))
     blocks, n = _blocks(firsts, "k", "x", block)
 
-    def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, k, x, k2, x2 in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            for k, x in zip(*(batch.column(c).to_pylist() for c in range(2))):
                 k, x = np.frombuffer(k, np.int64), np.frombuffer(x, np.float64)
                 x = x.reshape(len(k), -1)
-                if i != j:
-                    k2 = np.frombuffer(k2, np.int64)
-                    k, x = np.concatenate([k, k2]), np.concatenate([x, np.frombuffer(x2, np.float64).reshape(len(k2), -1)])
                 if len(k) > 1:
                     least, x = x[:, 0] ** 2, x[:, 1:]
                     d = squared_distances(x, x)
@@ -413,30 +594,54 @@ def spanning_tree(df: DataFrame, key: str, vector: str, block: int = BLOCK, core
                     d = np.maximum(((x[a] - x[b]) ** 2).sum(1), np.maximum(least[a], least[b]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k[b])), pa.array(np.maximum(k[a], k[b])), pa.array(np.sqrt(d))], ["a", "b", "d"])
 
-    met = meetings(blocks, n).filter((F.col("b") != F.col("b2")) | F.lit(n == 1))
-    edges = met.select("b", "b2", "k", "x", "k2", "x2").mapInArrow(trees, "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ka"), F.col("b").alias("kb")).checkpoint()
-    tree = copies
-    while edges.count() > DRIVER_EDGES:
-        chosen, edges = _contracted(edges)
-        tree = tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "d"))
-    rest = edges.toArrow()
-    a, b, d, ka, kb = (rest[c].to_numpy() for c in ("a", "b", "d", "ka", "kb"))
-    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root, order = list(range(len(names))), np.lexsort((kb, ka, d))
+    if n == 1:
+        return copies.union(blocks.select("k", "x").mapInArrow(whole, "a long, b long, d double").checkpoint())
 
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = v = root[root[v]]
-        return v
+    def listed(near: DataFrame) -> DataFrame:
+        """``k, bound``: no unknown edge is shorter; a list that is not full is all there is."""
+        return near.groupBy("k").agg(F.when(F.count("*") == NEAR, F.max("dist")).otherwise(F.lit(math.inf)).alias("bound"))
 
-    used = []
-    for at, u, v in zip(order.tolist(), ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()):
-        u, v = find(u), find(v)
-        if u != v:
-            root[v] = u
-            used.append(at)
-    last = pa.table({"a": pa.array(ka[used], pa.int64()), "b": pa.array(kb[used], pa.int64()), "d": pa.array(d[used], pa.float64())})
-    return tree.union(df.sparkSession.createDataFrame(last))
+    pairs = lambda near: near.groupBy(F.least("k", "neighbor").alias("ka"), F.greatest("k", "neighbor").alias("kb")).agg(F.min("dist").alias("d"))
+    near = knn(firsts, firsts, "k", "x", NEAR, block=block, core=True).checkpoint()
+    points = listed(near).withColumn("c", F.col("k")).checkpoint()
+    edges = pairs(near).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "d", "ka", "kb").checkpoint()
+    tree, spark = copies, df.sparkSession
+    while True:
+        comps = points.groupBy("c").agg(F.count("*").alias("n"), F.min("bound").alias("low")).checkpoint()
+        left = comps.count()
+        if left <= 1:
+            return tree
+        if edges.count() + left > DRIVER_EDGES:
+            largest = comps.orderBy(F.desc("n"), "c").first()["c"]
+            chosen, edges, parents = _contracted(edges, comps.filter(F.col("c") != largest).select("c", "low"))
+        else:
+            e, c = edges.toArrow(), comps.toArrow().sort_by("c")
+            names, size, low = (c[x].to_numpy() for x in ("c", "n", "low"))
+            a, b = (np.searchsorted(names, e[x].to_numpy()) for x in ("a", "b"))
+            ka, kb, d = (e[x].to_numpy() for x in ("ka", "kb", "d"))
+            used, root = joined(a, b, np.lexsort((kb, ka, d)), d, size, low)
+            chosen = spark.createDataFrame(pa.table({"ka": pa.array(ka[used], pa.int64()), "kb": pa.array(kb[used], pa.int64()), "d": pa.array(d[used], pa.float64())}))
+            parents = spark.createDataFrame(pa.table({"c": names, "p": names[root]}))
+            if len(np.unique(root)) == 1:
+                return tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "d"))
+            edges = _moved(edges, parents) if used else edges
+            largest = names[root][np.bincount(root, size)[root].argmax()].item()
+        if not chosen.isEmpty():
+            tree = tree.union(chosen.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "d"))
+            points = points.join(parents, "c", "left").select("k", "bound", F.coalesce("p", "c").alias("c")).checkpoint()
+            continue
+        # rows with a list that ends before the least known edge of their component
+        least = edges.select(F.col("a").alias("c"), "d").union(edges.select(F.col("b").alias("c"), "d")).groupBy("c").agg(F.min("d").alias("d"))
+        short = points.filter(F.col("c") != largest).join(least, "c", "left").filter(F.col("d").isNull() | (F.col("bound") < F.col("d"))).select("k")
+        placed = firsts.join(points.select("k", "c"), "k").checkpoint()
+        near = knn(placed.join(short, "k", "left_semi"), placed, "k", "x", NEAR, block=block, apart="c", core=True).checkpoint()
+        if near.isEmpty():
+            return tree
+        found = pairs(near)
+        for end in ("a", "b"):
+            found = found.join(points.select(F.col("k").alias(f"k{end}"), F.col("c").alias(end)), f"k{end}")
+        edges = _moved(edges.unionByName(found), points.select("c", F.col("c").alias("p")).limit(0))
+        points = points.join(listed(near).withColumnRenamed("bound", "further"), "k", "left").select("k", F.coalesce("further", "bound").alias("bound"), "c").checkpoint()
 
 
 def mst_divergence(a: DataFrame, b: DataFrame, key: str, vector: str, block: int = BLOCK) -> float:

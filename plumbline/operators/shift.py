@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.ordering import numbered
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators.boosting import auroc, out_of_fold
-from plumbline.operators.neighbors import BLOCK, _blocks, knn, mean_distance, meetings, squared_distances
+from plumbline.operators.neighbors import BLOCK, _blocks, knn, mean_distance, meetings, met_pairs, squared_distances
 
 
 def melted(reference: DataFrame, test: DataFrame, vector: str, *keep: str) -> DataFrame:
@@ -199,11 +199,15 @@ def mmd2(x: np.ndarray, y: np.ndarray, permutations: int = 0, seed: int = 1, blo
     return seen, (1 + more) / (1 + permutations)
 
 
-def _met(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """``b, s, b2, s2, d2``: two blocks, their sides and their squared distances."""
-    for i, x, s, j, x2, s2 in zip(*(batch.column(c).to_pylist() for c in range(6))):
-        s, s2 = np.frombuffer(s, np.int64), np.frombuffer(s2, np.int64)
-        x, x2 = np.frombuffer(x, np.float64).reshape(len(s), -1), np.frombuffer(x2, np.float64).reshape(len(s2), -1)
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """``b, s, b2, s2, d2``: two blocks, their sides and their squared distances; a block with itself too."""
+
+    def ready(row: tuple) -> tuple:
+        b, x, s = row
+        s = np.frombuffer(s, np.int64)
+        return b, np.frombuffer(x, np.float64).reshape(len(s), -1), s
+
+    for (i, x, s), (j, x2, s2) in met_pairs(batches, ready):
         yield i, s, j, s2, squared_distances(x, x2)
 
 
@@ -219,15 +223,14 @@ def _median_distance(met: DataFrame, top: float, pairs: int) -> float:
     def counted(within: list[int]) -> np.ndarray:
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros((max(1, len(within)), RANGES), np.int64)
-            for batch in batches:
-                for i, _, j, _, d in _met(batch):
-                    d = (d[np.triu_indices(len(d), 1)] if i == j else d.ravel()) / width
-                    at = np.minimum(d, RANGES - 1).astype(np.int64)
-                    if not within:
-                        seen[0] += np.bincount(at, minlength=RANGES)
-                    for row, k in enumerate(within):
-                        part = np.minimum((d[at == k] - k) * RANGES, RANGES - 1).astype(np.int64)
-                        seen[row] += np.bincount(part, minlength=RANGES)
+            for i, _, j, _, d in _met(batches):
+                d = (d[np.triu_indices(len(d), 1)] if i == j else d.ravel()) / width
+                at = np.minimum(d, RANGES - 1).astype(np.int64)
+                if not within:
+                    seen[0] += np.bincount(at, minlength=RANGES)
+                for row, k in enumerate(within):
+                    part = np.minimum((d[at == k] - k) * RANGES, RANGES - 1).astype(np.int64)
+                    seen[row] += np.bincount(part, minlength=RANGES)
             row, at = np.nonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at), pa.array(seen[row, at])], ["row", "at", "n"])
 
@@ -256,7 +259,7 @@ def drift_mmd(reference: DataFrame, test: DataFrame, key: str, vector: str, perm
     square = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda t, v: t + v * v)
     n, m, longest = both.agg(F.sum("side"), F.count("*") - F.sum("side"), F.max(square)).first()
     blocks, count = _blocks(both, key, vector, block, "side")
-    met = meetings(blocks.checkpoint(), count).select("b", "x", "s", "b2", "x2", "s2")
+    met = meetings(blocks.checkpoint(), count, "x", "s")
     sigma2 = (_median_distance(met, 4 * longest, (m + n) * (m + n - 1) // 2) if longest else 0.0) or 1.0
 
     def sides(b: int, s: np.ndarray) -> np.ndarray:
@@ -265,18 +268,17 @@ def drift_mmd(reference: DataFrame, test: DataFrame, key: str, vector: str, perm
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yy, xy, whole = np.zeros(1 + permutations), np.zeros(1 + permutations), 0.0
-        for batch in batches:
-            for i, s, j, s2, k in _met(batch):
-                k /= -2 * sigma2
-                np.exp(k, out=k)
-                if i == j:
-                    np.fill_diagonal(k, 0)
-                one, two = sides(i, s), sides(j, s2)
-                inside = (one * (k @ two)).sum(0)
-                across = k.sum(0) @ two - inside
-                if i != j:
-                    across += k.sum(1) @ one - inside
-                yy, xy, whole = yy + inside * (1 + (i != j)), xy + across, whole + k.sum() * (1 + (i != j))
+        for i, s, j, s2, k in _met(batches):
+            k /= -2 * sigma2
+            np.exp(k, out=k)
+            if i == j:
+                np.fill_diagonal(k, 0)
+            one, two = sides(i, s), sides(j, s2)
+            inside = (one * (k @ two)).sum(0)
+            across = k.sum(0) @ two - inside
+            if i != j:
+                across += k.sum(1) @ one - inside
+            yy, xy, whole = yy + inside * (1 + (i != j)), xy + across, whole + k.sum() * (1 + (i != j))
         yield pa.RecordBatch.from_arrays([pa.array([yy.tolist()]), pa.array([xy.tolist()]), pa.array([whole])], ["yy", "xy", "whole"])
 
     found = met.mapInArrow(sums, "yy array<double>, xy array<double>, whole double").collect()
@@ -377,7 +379,7 @@ def mmd_chunks(reference: DataFrame, rows: DataFrame, vector: str, block: int =
     square = F.aggregate(F.col(vector), F.lit(0.0), lambda t, v: t + v * v)
     n, longest = every.agg(F.count("*"), F.max(square)).first()
     blocks, count = _blocks(every, "name", vector, block, "chunk")
-    met = meetings(blocks.checkpoint(), count).select("b", "x", "s", "b2", "x2", "s2")
+    met = meetings(blocks.checkpoint(), count, "x", "s")
     sigma2 = (_median_distance(met, 4 * longest, n * (n - 1) // 2) if longest else 0.0) or 1.0
 
     def by_chunk(values: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[int, float]]:
@@ -387,21 +389,20 @@ def mmd_chunks(reference: DataFrame, rows: DataFrame, vector: str, block: int =
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, float] = {}
         cross: dict[int, float] = {}
-        for batch in batches:
-            for i, s, j, s2, k in _met(batch):
-                k /= -2 * sigma2
-                np.exp(k, out=k)
-                if i == j:
-                    np.fill_diagonal(k, 0)
-                times = 1 + (i != j)
-                for c, v in by_chunk(k @ (s2 < 0).astype(float), s):
+        for i, s, j, s2, k in _met(batches):
+            k /= -2 * sigma2
+            np.exp(k, out=k)
+            if i == j:
+                np.fill_diagonal(k, 0)
+            times = 1 + (i != j)
+            for c, v in by_chunk(k @ (s2 < 0).astype(float), s):
+                cross[c] = cross.get(c, 0.0) + v
+            if i != j:
+                for c, v in by_chunk((s < 0).astype(float) @ k, s2):
                     cross[c] = cross.get(c, 0.0) + v
-                if i != j:
-                    for c, v in by_chunk((s < 0).astype(float) @ k, s2):
-                        cross[c] = cross.get(c, 0.0) + v
-                same = np.where(s[:, None] == s2[None, :], k, 0.0).sum(1)
-                for c, v in by_chunk(same, s):
-                    own[c] = own.get(c, 0.0) + times * v
+            same = np.where(s[:, None] == s2[None, :], k, 0.0).sum(1)
+            for c, v in by_chunk(same, s):
+                own[c] = own.get(c, 0.0) + times * v
         names = sorted({*own, *cross})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([own.get(c, 0.0) for c in names], pa.float64()), pa.array([cross.get(c, 0.0) for c in names], pa.float64())], ["chunk", "own", "crossed"])
 

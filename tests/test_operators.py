@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,35 @@ def test_level_propagation(spark):
     boxes = spark.createDataFrame([(i, t, 2.0) for i in range(6) for t in (0, 1)], "item_index long, target_index long, mean double")
     rows = encoding.propagate(unit, boxes, "item_index", ["weather", "mean"]).collect()
     assert len(rows) == 12 and all(r.weather and r.unit_mean == 1 and r.instance_mean == 2 for r in rows)
+
+
+def test_spanning_tree_of_groups_that_lists_do_not_leave(spark):
+    """Groups of more rows than a list has neighbours, far apart; their edges come from searches outside the component."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(100 * g, 1, size=(30, 3)) for g in range(5)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, x array<double>")
+    found = {(r.a, r.b) for r in neighbors.spanning_tree(df, "k", "x", block=25).collect()}
+    assert found == {(min(e), max(e)) for e in prim(x)}
+
+
+def test_blocks_that_meet_move_with_the_parts_not_with_the_blocks(spark):
+    n = 200
+    blocks = spark.range(n).select(F.col("id").cast("int").alias("b"))
+    cells = neighbors.meetings(blocks, n)
+    assert cells.count() == n * (neighbors.WAYS + 1)  # before: n / 2 times each
+    kinds = pa.schema({"i": pa.int32(), "j": pa.int32()})
+    met = cells.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"i": i[0], "j": j[0]} for i, j in neighbors.met_pairs(batches, tuple)], kinds),), "i int, j int")
+    pairs = [tuple(sorted(r)) for r in met.collect()]
+    assert len(pairs) == len(set(pairs)) == n * (n + 1) // 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e20])
+def test_neighbours_far_from_the_origin_and_of_any_size(spark, scale):
+    """Single precision can't tell these apart: the bound sends them to double precision."""
+    rng = np.random.default_rng(9)
+    x = (np.array([1e4, -1e4, 0.0]) + rng.normal(size=(90, 3))) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    found = {(r.k, r.rank): r.neighbor for r in neighbors.knn(df, df, "k", "x", 3, block=30).collect()}
+    assert found == {(i, m + 1): j for i, row in enumerate(np.argsort(d, 1)[:, :3].tolist()) for m, j in enumerate(row)}
