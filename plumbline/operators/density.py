@@ -1,6 +1,6 @@
 """Density clusters (HDBSCAN) and what rests on their tree.
 
-Core distances come from exact neighbours, the spanning tree of mutual reachability from block trees and Boruvka rounds.
+Core distances come from exact neighbours, the spanning tree of mutual reachability from Boruvka rounds on neighbours.
 Its edges, from short to long, merge components; they are taken in windows of at most ``WINDOW`` edges, so that neither the
 driver nor a task holds the tree: a window's merges are found in memory, and what they made of the components they met is
 joined to the edges and points that are left. A component of ``min_cluster_size`` points is a cluster; it ends where
@@ -26,7 +26,7 @@ from plumbline.operators.duplicates import merged_groups
 from plumbline.operators.neighbors import knn, spanning_tree
 
 #: Edges of the tree that are merged in memory at once (all of one length stay together).
-WINDOW = 500_000
+WINDOW = 100_000
 
 
 def core_distances(df: DataFrame, key: str, vector: str, min_samples: int = 5) -> DataFrame:

@@ -244,3 +244,10 @@ def test_workflows_use_density_clusters(spark):
         r = c.Prioritization(name="x", type="data-prioritization", method=method)
         ranked = run("data-prioritization", r, a=SourceFrames(items), b=SourceFrames(items.filter("item_index % 2 = 0"))).tables["prioritized"].orderBy("position").collect()
         assert [t.position for t in ranked] == list(range(1, len(ranked) + 1)) and all(a.score >= b.score for a, b in zip(ranked, ranked[1:]))
+
+
+def test_the_driver_holds_few_edges_at_once():
+    """Of a tree of any size: its merges are Python objects on the driver (500,000 edges before)."""
+    from plumbline.operators import neighbors
+
+    assert density.WINDOW <= 100_000 and neighbors.DRIVER_EDGES <= 100_000
