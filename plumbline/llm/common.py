@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker.
 SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to a worker, which the executor and the worker both hold; Spark's own bound is 10,000
+#: rows, whatever they weigh.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -193,4 +197,8 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of about ``BATCH_BYTES``, unless the session has a bound of its own. ``f`` sees all rows, and
+    may not depend on where a batch ends."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)

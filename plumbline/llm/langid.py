@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import settled, slices
+from plumbline.llm.common import arrow_map, settled, slices
 
 UNKNOWN = "und"
 #: Columns of the hashed vectors.
@@ -188,7 +188,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
             names, scores, rejected = classify(model, part.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, "p", "s", "r"])
 
-    return kept.mapInArrow(run, schema).toDF(*rest, *outputs)
+    return arrow_map(kept, run, schema).toDF(*rest, *outputs)
 
 
 def held_out(key: str, parts: int, part: int) -> Column:

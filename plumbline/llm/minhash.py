@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import give_back, mix64, settled, shingle_set, slices
+from plumbline.llm.common import arrow_map, give_back, mix64, settled, shingle_set, slices
 from plumbline.llm.graph import components
 
 BINS, ROWS = 128, 4
@@ -79,7 +79,7 @@ def shingle_classes(df: DataFrame, key: str, text: str, words: int) -> DataFrame
                 names.append(bands(minima).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketches, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["k", "n", "c", "sketch", "bands"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n long, c long, sketch binary, bands array<long>")
+    return arrow_map(df.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n long, c long, sketch binary, bands array<long>")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
@@ -158,7 +158,7 @@ def group_links(rows: DataFrame, most: int, weight: int, linked: Callable[[list,
 
         return run
 
-    meet = lambda df, told=False: df.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare(told), "a long, b long")
+    meet = lambda df, told=False: arrow_map(df.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j"), compare(told), "a long, b long")
     found = meet(one)
     if not large.isEmpty():
         # the pivot is -1, and meets every part; it is the smallest name of its star, so its edges lead to it
@@ -260,7 +260,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *part.columns[2:]], ["c", "found", "data", "n", "group", "first"])
 
     texts = df.select(F.col(key).alias("dk"), F.col(text).alias("t")).join(members, F.col("dk").eqNullSafe(F.col("k"))).select("c", "t", F.col("family").alias("group"), F.col("k").alias("first"))
-    sets = texts.mapInArrow(shingles, f"c long, found long, data binary, n long, group long, first {kind}").filter("c = found").dropDuplicates(["group", "c"])
+    sets = arrow_map(texts, shingles, f"c long, found long, data binary, n long, group long, first {kind}").filter("c = found").dropDuplicates(["group", "c"])
     linked = components(group_links(settled(sets.select("group", "c", "first", "n", "data")), BLOCK_MEMBERS, BLOCK_SHINGLES, sets_linked(percent)))
     smallest = linked.join(classes.select("c", "k"), F.col("node") == F.col("c")).groupBy("root").agg(F.min("k").alias("least"))
     labels = classes.select("c", "k").join(linked, F.col("c") == F.col("node"), "left").join(smallest, "root", "left").select(F.col("c").alias("label"), F.coalesce("least", "k").alias("component_id"))

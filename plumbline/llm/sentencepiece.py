@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import arrow_map, slices
 
 SPACE = "▁"
 NONE = np.int32(-1)
@@ -25,9 +25,11 @@ NO_RANK = np.iinfo(np.int32).max
 #: The pair table has 2 ** SLOT_BITS slots.
 SLOT_BITS = 19
 #: Words a worker keeps encoded before it empties its cache.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 #: Characters of new words encoded at once.
-ROUND_CHARS = 1 << 19
+ROUND_CHARS = 1 << 17
+#: Bytes of text encoded at once: each takes about thirty in words and ids.
+ENCODE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -267,12 +269,12 @@ def encode(df: DataFrame, model: PieceModel, key: str, text: str = "text", deriv
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for part in slices(batches):
+        for part in slices(batches, most=ENCODE_BYTES):
             ids = encoder.encode(part.column(1).to_pylist())
             columns = derive(ids, [decode(model, row) for row in ids])
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *(f"c{i}" for i in range(len(columns)))])
 
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [c.split()[1] for c in schema.split(", ")]
-    out = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, ", ".join([f"key {kind}", *(f"c{i} {k}" for i, k in enumerate(kinds))]))
+    out = arrow_map(df.select(df[key].alias("key"), df[text].alias("text")), run, ", ".join([f"key {kind}", *(f"c{i} {k}" for i, k in enumerate(kinds))]))
     return out.toDF(key, *names)

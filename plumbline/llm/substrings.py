@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
+from plumbline.llm.common import arrow_map, discard, give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
 
 ANCHOR = 5
 BLOCK_CHARS = 8 << 20
@@ -74,7 +74,7 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], ["anchor", "k"])
 
-    anchors = docs.select("k", "t").mapInArrow(run, "anchor long, k long")
+    anchors = arrow_map(docs.select("k", "t"), run, "anchor long, k long")
     recurring = anchors.groupBy("anchor").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a < b").select("anchor")
     return anchors.join(recurring, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("shared"))
 
@@ -137,7 +137,7 @@ def recurring_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("source", "w", "first", "block"), columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
     both = docs.repartition(blocks, "k").join(lists.withColumnRenamed("k", "lk").repartition(blocks, "lk"), F.col("k") == F.col("lk"))
-    rows = both.select("k", "t", "shared", "block").mapInArrow(run, PACKED)
+    rows = arrow_map(both.select("k", "t", "shared", "block"), run, PACKED)
     return rows.groupBy("range").applyInArrow(confirm, "source int, w binary, first binary, block binary")
 
 
@@ -233,21 +233,18 @@ class Passages:
         return starts[equal]
 
 
-def _marks(keys: list, texts: list[list[bytes]], held: list[str], firsts: list[int], window: int) -> list[np.ndarray]:
-    """For each document of a block, which words a window covers that a smaller key's passage has."""
-    marks = [np.zeros(len(words), bool) for words in texts]
-    if not held:
-        return marks
-    known = Passages(held, firsts, window)
-    get = known.numbers.get
-    streams = []
+def _marks(keys: list, texts: Iterable[list[bytes]], held: list[str], firsts: list[int], window: int) -> list[np.ndarray]:
+    """For each document of a block, which words a window covers that a smaller key's passage has. ``texts`` may come one
+    by one: only the numbers of their words are kept, as an object for each word takes ten times as much."""
+    known = Passages(held, firsts, window) if held else None
+    marks, streams = [], []
     for n, (k, words) in enumerate(zip(keys, texts)):
-        if k is not None and len(words) >= window:
-            numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            streams.append((n, numbers, known.letters(numbers)))
-    for automaton in known.automata():
-        for n, numbers, letters in streams:
-            ends = np.array([end for end, _ in automaton.iter(letters)], np.int64)
+        marks.append(np.zeros(len(words), bool))
+        if known and k is not None and len(words) >= window:
+            streams.append((n, np.fromiter(map(known.numbers.get, words, repeat(-1)), np.int32, len(words))))
+    for automaton in known.automata() if known else ():
+        for n, numbers in streams:
+            ends = np.array([end for end, _ in automaton.iter(known.letters(numbers))], np.int64)
             if not len(ends):
                 continue
             near = np.zeros(len(numbers) - window + 1, bool)
@@ -255,7 +252,7 @@ def _marks(keys: list, texts: list[list[bytes]], held: list[str], firsts: list[i
             for back in range(window - known.size + 1):
                 s = start - back
                 near[s[(s >= 0) & (s < len(near))]] = True
-            s = known.earlier(numbers, np.flatnonzero(near), keys[n])
+            s = known.earlier(numbers.astype(np.int64), np.flatnonzero(near), keys[n])
             for i in range(window):
                 marks[n][s + i] = True
     return marks
@@ -277,11 +274,16 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
     discard(recurring)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = left["k"].to_pylist(), [words_of(t) for t in left["t"].to_pylist()]
-        marks = _marks(keys, texts, right["passage"].to_pylist(), right["first"].to_pylist(), window)
-        kept = [b" ".join([w for w, m in zip(words, mark.tolist()) if not m]).decode() if mark.any() else b" ".join(words).decode() for words, mark in zip(texts, marks)]
+        keys, texts = left["k"].to_pylist(), left["t"].to_pylist()
+        marks = _marks(keys, map(words_of, texts), right["passage"].to_pylist(), right["first"].to_pylist(), window)
+        kept = []
+        for text, mark in zip(texts, marks):
+            words = words_of(text)
+            kept.append(b" ".join([w for w, m in zip(words, mark.tolist()) if not m] if mark.any() else words).decode())
+        out = pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(m) for m in marks], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        del texts, marks, kept  # before memory goes back: an idle worker keeps the rest
         give_back()
-        return pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(w) for w in texts], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return out
 
     out = docs.groupBy("block").cogroup(held.groupBy("to")).applyInArrow(run, "k long, n_words long, n_removed long, kept_text string")
     return out.select(F.col("k").cast(dict(df.dtypes)[key]).alias(key), "n_words", "n_removed", "kept_text")

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import common
 from plumbline.llm.common import rolled, word_hashes, words_of
@@ -66,3 +67,23 @@ def test_a_discarded_table_is_gone(spark):
     common.discard(df)
     common.discard(spark.range(3))  # never settled: nothing to delete
     assert not os.path.exists(path)
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    """Rows of 100 kB: Spark's bound of 10,000 rows would send all 20 MB at once."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    df = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('x', 100000) as t")
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        found = common.arrow_map(df, run, "rows long, bytes long").collect()
+        assert sum(r.rows for r in found) == 200
+        assert max(r.bytes for r in found) <= common.BATCH_BYTES + 200_000
+        spark.conf.set(common.BATCH_SETTING, str(8 << 20))  # a session's own bound stays
+        assert max(r.bytes for r in common.arrow_map(df, run, "rows long, bytes long").collect()) > common.BATCH_BYTES + 200_000
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if before is None else spark.conf.set(common.BATCH_SETTING, before)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,3 +72,15 @@ def test_windows_of_one_hash_are_told_apart_by_their_words(monkeypatch):
     one, two = (" ".join(f"{c}{i}" for i in range(6)) for c in "ab")
     marks = substrings._marks([5, 6], [two.encode().split(), b"c d e f g h".split()], [one, two], [1, 2], 4)
     assert marks[0].all() and not marks[1].any()
+
+
+def test_words_of_a_block_are_not_kept_as_objects():
+    """Two million words come one text at a time; what is kept of them is a number and a mark each."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    line = (passage + " " + "x y z " * 60_000).encode()
+    tracemalloc.start()
+    marks = substrings._marks(list(range(2, 13)), (line.split() for _ in range(11)), [passage], [1], 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(m.sum() == 20 and m[:20].all() for m in marks)
+    assert peak < 60 << 20
