@@ -153,7 +153,21 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word of a text (those of ``words_of``): eight bytes of all words at a time are scrambled into
     what came before; long words have their XXH3."""
     raw = (text or "").encode()
-    raw = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+    return _hashes_of(np.frombuffer(raw.lower() if lower else raw, np.uint8))
+
+
+def joined_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``word_hashes`` of several texts, one behind the other, and how many each has: a call a text costs more than the
+    hashing."""
+    encoded = [(t or "").encode() for t in texts]
+    raw = np.frombuffer(b" ".join(encoded), np.uint8)
+    begins = np.cumsum([0, *(len(x) + 1 for x in encoded)])
+    space = np.append(True, SPACES[raw])
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    return _hashes_of(raw), np.diff(np.searchsorted(starts, begins))
+
+
+def _hashes_of(raw: np.ndarray) -> np.ndarray:
     if len(raw) <= PIECE_BYTES:
         return _piece_hashes(raw)
     space = np.append(np.flatnonzero(SPACES[raw]), len(raw))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, discard, give_back, rolled, settled, slices, text_bytes, word_hashes, words_of
+from plumbline.llm.common import arrow_map, discard, give_back, joined_hashes, rolled, settled, slices, text_bytes, word_hashes, words_of
 
 ANCHOR = 5
 BLOCK_CHARS = 8 << 20
 SHARD_PHRASES = 50_000
+#: Words of the texts that are streamed through an automaton at once; a longer text is alone.
+STREAM_WORDS = 1 << 16
 #: Windows gathered before a task hands on their distinct ones; characters of text whose windows meet in one range.
 FLUSH_WINDOWS, RANGE_CHARS = 400_000, 32 << 20
 #: A word is written as two letters from these many, the first and the second kind apart, so that no node of an
@@ -54,25 +56,50 @@ def anchors_of(hashes: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def windows_of(texts: list[str | None], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the words of several texts, one behind the other; where the windows within a text start, and which text
+    that is."""
+    hashes, counts = joined_hashes(texts)
+    own = np.repeat(np.arange(len(counts)), counts)
+    starts = np.flatnonzero(np.arange(len(own)) + window <= np.cumsum(counts)[own])
+    return hashes, starts, own[starts]
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any of the columns; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(out)
+
+
+def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the values the ordered ones hold."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def block_count(df: DataFrame, text: str, chars: int = BLOCK_CHARS) -> int:
     """Blocks of about ``chars`` of text, and no fewer than the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes(df, text) / chars))
 
 
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``k, shared``: the anchors of each document that another has too."""
+    """``k, shared``: the anchors of each document that another has too; no ``k`` is null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            keys, found = [], []
-            for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if k is None:
-                    continue
-                anchors = np.unique(anchors_of(word_hashes(t), window))
-                keys.append(np.full(len(anchors), k, np.int64))
-                found.append(anchors.view(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], ["anchor", "k"])
+            hashes, starts, own = windows_of(part.column(1).to_pylist(), window)
+            anchors = anchors_of(hashes, window)[starts]
+            heads = changes(anchors, own)
+            anchors, own = anchors[heads], own[heads]
+            order = np.argsort(anchors, kind="stable")  # an anchor's texts stay in order
+            anchors, own = anchors[order], own[order]
+            heads = changes(anchors, own)
+            k = part.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[heads].view(np.int64)), pa.array(k[own[heads]])], ["anchor", "k"])
 
     anchors = arrow_map(docs.select("k", "t"), run, "anchor long, k long")
     recurring = anchors.groupBy("anchor").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a < b").select("anchor")
@@ -93,10 +120,13 @@ def recurring_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
         def flush() -> pa.RecordBatch:
             """One entry for each window and block: its least document, and whether there are several."""
             w, block, k = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((k, w, block))
+            order = np.argsort(w)
+            if len(changes(block)) > 1:
+                order = order[np.argsort(block[order], kind="stable")]
             w, block, k = w[order], block[order], k[order]
-            heads = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (block[1:] != block[:-1])))
-            least, several = k[heads], k[np.append(heads[1:], len(w)) - 1] > k[heads]
+            heads = changes(w, block)
+            least = np.minimum.reduceat(k, heads)
+            several = np.maximum.reduceat(k, heads) > least
             w, block = w[heads], block[heads]
             part = (w >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
             cuts = [*np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (block[1:] != block[:-1]))).tolist(), len(w)]
@@ -105,14 +135,18 @@ def recurring_windows(docs: DataFrame, lists: DataFrame, window: int, blocks: in
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "block", "w", "least", "several"])
 
         for part in slices(batches):
-            for k, t, shared, block in zip(*(part.column(i).to_pylist() for i in range(4))):
-                hashes = word_hashes(t)
-                w = np.unique(rolled(hashes, window)[np.isin(anchors_of(hashes, window), np.array(shared, np.int64).view(np.uint64))])
-                held.append((w, np.full(len(w), block, np.int32), np.full(len(w), k, np.int64)))
-                size += len(w)
-                if size > FLUSH_WINDOWS:
-                    yield flush()
-                    held, size = [], 0
+            hashes, starts, own = windows_of(part.column(1).to_pylist(), window)
+            anchors = anchors_of(hashes, window)[starts]
+            heads = changes(anchors)
+            # an anchor that one of the texts shares is shared by all that have it
+            shared = within(anchors[heads], np.unique(part.column(2).flatten().to_numpy().view(np.uint64)))
+            found = np.repeat(shared, np.diff(np.append(heads, len(anchors))))
+            w, own = rolled(hashes, window)[starts[found]], own[found]
+            held.append((w, part.column(3).to_numpy()[own], part.column(0).to_numpy()[own]))
+            size += len(w)
+            if size > FLUSH_WINDOWS:
+                yield flush()
+                held, size = [], 0
         if size:
             yield flush()
 
@@ -152,15 +186,17 @@ def passages(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
         keys, edges = np.unique(first, return_index=True)
         edges = dict(zip(keys.tolist(), zip(edges.tolist(), [*edges[1:].tolist(), len(first)])))
         out: list[tuple[int, int, str]] = []
-        for k, t in zip(left["k"].to_pylist(), left["t"].to_pylist()):
-            if k not in edges:
-                continue
-            a, b = edges[k]
-            words, own = words_of(t), rolled(word_hashes(t), window)
-            for lo, hi in _runs(block[a:b]):
-                held = np.concatenate([[False], np.isin(own, w[a + lo : a + hi]), [False]])
-                turns = np.flatnonzero(held[1:] != held[:-1])
-                out += [(int(block[a + lo]), k, b" ".join(words[i : j + window - 1]).decode()) for i, j in zip(turns[0::2].tolist(), turns[1::2].tolist())]
+        for part in slices(left.to_batches(), 2):
+            here = [(k, t) for k, t in zip(part["k"].to_pylist(), part["t"].to_pylist()) if k in edges]
+            hashes, counts = joined_hashes(t for _, t in here)
+            runs, ends = rolled(hashes, window), np.cumsum(counts)
+            for (k, t), n, end in zip(here, counts.tolist(), ends.tolist()):
+                a, b = edges[k]
+                words, own = words_of(t), runs[end - n : max(end - n, end - window + 1)]
+                for lo, hi in _runs(block[a:b]):
+                    held = np.concatenate([[False], within(own, w[a + lo : a + hi]), [False]])
+                    turns = np.flatnonzero(held[1:] != held[:-1])
+                    out += [(int(block[a + lo]), k, b" ".join(words[i : j + window - 1]).decode()) for i, j in zip(turns[0::2].tolist(), turns[1::2].tolist())]
         columns = list(zip(*out)) if out else [[]] * 3
         give_back()
         return pa.table({"to": pa.array(columns[0], pa.int32()), "first": pa.array(columns[1], pa.int64()), "passage": pa.array(columns[2], pa.string())})
@@ -221,11 +257,11 @@ class Passages:
             automaton.make_automaton()
             yield automaton
 
-    def earlier(self, words: np.ndarray, starts: np.ndarray, key: int) -> np.ndarray:
-        """Those of the starts at which a window stands that a passage from a smaller key has, word by word."""
+    def earlier(self, words: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Those of the starts at which a window stands that a passage from a key smaller than theirs has, word by word."""
         hashes = self._hashes(words)[starts]
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = (self.hashes[at] == hashes) & (self.first[at] < key)
+        same = (self.hashes[at] == hashes) & (self.first[at] < keys)
         starts, at = starts[same], self.starts[at[same]]
         equal = np.ones(len(starts), bool)
         for i in range(self.window):
@@ -240,24 +276,44 @@ def _marks(keys: list, texts: Iterable[list[bytes]], held: list[str], firsts: li
     marks, streams = [], []
     for n, (k, words) in enumerate(zip(keys, texts)):
         marks.append(np.zeros(len(words), bool))
-        if known and k is not None and len(words) >= window:
-            streams.append((n, np.fromiter(map(known.numbers.get, words, repeat(-1)), np.int32, len(words))))
-    for automaton in known.automata() if known else ():
-        for n, numbers in streams:
+        if known and k is not None and len(words) >= window:  # a word that no passage has ends it: nothing matches across texts
+            streams.append((n, np.fromiter(chain(map(known.numbers.get, words, repeat(-1)), [-1]), np.int32, len(words) + 1)))
+    if not streams:
+        return marks
+    sizes = np.array([len(numbers) for _, numbers in streams])
+    joined = []
+    for lo, hi in _runs((np.cumsum(sizes) - sizes) // STREAM_WORDS):
+        numbers = np.concatenate([numbers for _, numbers in streams[lo:hi]])
+        joined.append(([n for n, _ in streams[lo:hi]], sizes[lo:hi], numbers, np.zeros(len(numbers), bool)))
+    del streams
+    for automaton in known.automata():
+        for at, lengths, numbers, covered in joined:
             ends = np.array([end for end, _ in automaton.iter(known.letters(numbers))], np.int64)
             if not len(ends):
                 continue
-            near = np.zeros(len(numbers) - window + 1, bool)
-            start = ends // 2 - known.size + 1
-            for back in range(window - known.size + 1):
-                s = start - back
-                near[s[(s >= 0) & (s < len(near))]] = True
-            s = known.earlier(numbers.astype(np.int64), np.flatnonzero(near), keys[n])
+            found = np.zeros(len(numbers) - known.size + 1, bool)
+            found[ends // 2 - known.size + 1] = True
+            near = _spread(found, len(numbers) - window + 1)
+            starts = np.flatnonzero(near)
+            own = np.repeat(np.array([keys[n] for n in at]), lengths)[starts]
+            near[:] = False
+            near[known.earlier(numbers, starts, own)] = True
             for i in range(window):
-                marks[n][s + i] = True
+                covered[i : i + len(near)] |= near
+    for at, lengths, _, covered in joined:
+        for n, part in zip(at, np.split(covered, np.cumsum(lengths)[:-1])):
+            marks[n] = part[:-1]
     return marks
 
 
+def _spread(found: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` places, whether anything is found from there to the last place that a window from there has."""
+    out = found[:size].copy()
+    for back in range(1, len(found) - size + 1):
+        out |= found[back : back + size]
+    return out
+
+
 def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
     """``key, n_words, n_removed, kept_text``: each word covered by a ``window``-word passage that also starts in a row
     with a smaller key is removed; the kept words are joined by one space. Windows are judged on the input."""
@@ -279,7 +335,7 @@ def dedup_substrings(df: DataFrame, key: str = "doc_id", text: str = "text", win
         kept = []
         for text, mark in zip(texts, marks):
             words = words_of(text)
-            kept.append(b" ".join([w for w, m in zip(words, mark.tolist()) if not m] if mark.any() else words).decode())
+            kept.append(b" ".join(compress(words, (~mark).tolist()) if mark.any() else words).decode())
         out = pa.table({"k": pa.array(keys, pa.int64()), "n_words": pa.array([len(m) for m in marks], pa.int64()), "n_removed": pa.array([int(m.sum()) for m in marks], pa.int64()), "kept_text": pa.array(kept, pa.string())})
         del texts, marks, kept  # before memory goes back: an idle worker keeps the rest
         give_back()

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from plumbline.llm import queries, substrings
+from plumbline.llm import common, queries, substrings
 from plumbline.llm.substrings import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,3 +84,31 @@ def test_words_of_a_block_are_not_kept_as_objects():
     tracemalloc.stop()
     assert all(m.sum() == 20 and m[:20].all() for m in marks)
     assert peak < 60 << 20
+
+
+def test_texts_are_hashed_together_as_each_alone(monkeypatch):
+    monkeypatch.setattr(common, "PIECE_BYTES", 3000)
+    random.seed(5)
+    texts = [None, "", " \t", "a", " b ", "x" * 70 + "\ny 漢é\x0bz", "p q r s t"] + [random.choice(" \n").join(random.choice(["a", "bcd", "longer-than-eight", "é" * 40, ""]) for _ in range(random.randint(0, 60))) for _ in range(50)]
+    calls, piece = [], common._piece_hashes
+    monkeypatch.setattr(common, "_piece_hashes", lambda raw: calls.append(1) or piece(raw))
+    hashes, starts, own = substrings.windows_of(texts, 4)
+    assert len(calls) < len(texts)
+    alone = [common.word_hashes(t) for t in texts]
+    assert hashes.tolist() == np.concatenate(alone).tolist()
+    windows = [(n, w) for n, h in enumerate(alone) for w in common.rolled(h, 4).tolist()]
+    assert list(zip(own.tolist(), common.rolled(hashes, 4)[starts].tolist())) == windows
+    anchors = [a for h in alone for a in substrings.anchors_of(h, 4).tolist()]
+    assert substrings.anchors_of(hashes, 4)[starts].tolist() == anchors
+
+
+def test_short_texts_are_streamed_together_and_nothing_matches_across_them(monkeypatch):
+    passage = [f"p{i}".encode() for i in range(30)]
+    texts = [[b"x", *passage[:20], b"y"], passage[:6], passage[6:], [*passage[:12]], passage[12:], passage] * 50
+    calls, earlier = [], substrings.Passages.earlier
+    monkeypatch.setattr(substrings.Passages, "earlier", lambda self, words, starts, keys: calls.append(1) or earlier(self, words, starts, keys))
+    marks = substrings._marks([*range(7, 306), 7], texts, [b" ".join(passage).decode()], [7], 13)
+    assert len(calls) <= 2
+    for n, mark in enumerate(marks):
+        whole = 20 * (n % 6 == 0) + 24 * (n % 6 == 2) + 18 * (n % 6 == 4) + 30 * (n % 6 == 5)
+        assert mark.sum() == (0 if n in (0, 299) else whole)
